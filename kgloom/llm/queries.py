@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, simhash, tokenstore
 from .common import table
 
 
@@ -41,6 +41,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op5_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    folder = tokenstore.write(table(spark, sf_dir, "documents"), path)
+    return tokenstore.read_digests(spark, folder, tokenstore.width_of(path))
+
+
 _OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -59,6 +65,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op5_tokenstore": op5_tokenstore,
     "op8_decontaminate": op8_decontaminate,
 }
 ORACLES = {
