@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, sharding, simhash, tokenstore
+from . import bpe, decontaminate, quality, sharding, simhash, tokenstore, toxicity
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     folder = tokenstore.write(table(spark, sf_dir, "documents"), path)
@@ -74,6 +78,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_tokenstore": op5_tokenstore,
     "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
