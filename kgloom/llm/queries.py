@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, sharding, simhash, substrings, tokenstore, toxicity
+from . import bpe, decontaminate, quality, sharding, simhash, substrings, suffixes, tokenstore, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op5_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_digests(spark, folder, tokenstore.width_of(path))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_tokenstore": op5_tokenstore,
+    "op6_suffixes": op6_suffixes,
     "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
