@@ -37,8 +37,9 @@ END, WINDOW, LEAST, MEAN_BITS, MOST = 0, 16, 256, 10, 8192
 
 
 class LibraryPieces:
-    """The tokenizers library on pre-tokens that are not in the cache. Pre-tokens of a space and letters go through it
-    end to end in one text, which its pre-tokenizer cuts at the very same spaces."""
+    """The tokenizers library on pre-tokens that are not in the cache. Many go through it end to end in one text, where its
+    pre-tokenizer is bound to cut at the same places: those of a space and letters as they are, others without inner
+    white space with a line break, which is a pre-token and an id of its own, between them."""
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
@@ -48,16 +49,36 @@ class LibraryPieces:
         self.library.no_truncation()
         self.library.no_padding()
         self.opens = np.array([t[:1] == b" " for t in v.token])
+        self.line = v.ids[b"\n"]
         self.wide = v.size > 1 << 16
         self.pieces = Pieces(v.special, self.many)
 
-    def many(self, new: list[str]) -> list[list[int]]:
-        plain = [p[:1] == " " and p[1:].isalpha() for p in new]
-        line = self.library.encode_batch_fast(["".join(p for p, x in zip(new, plain, strict=True) if x)], add_special_tokens=False)[0].ids
-        ids = np.array(line, dtype=np.int64)
-        parts = iter(np.split(ids, np.flatnonzero(self.opens[ids])[1:]) if len(ids) else [])
-        rest = iter(self.library.encode_batch_fast([p for p, x in zip(new, plain, strict=True) if not x], add_special_tokens=False))
-        return [next(parts) if x else next(rest).ids for x in plain]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def many(self, new: list[str]) -> list[bytes]:
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for k, p in enumerate(new):
+            word = p[1:] if p[:1] == " " else p
+            kinds[0 if word is not p and word.isalpha() else 1 if word and not any(map(str.isspace, word)) else 2].append(k)
+        out: list[bytes] = [b""] * len(new)
+        for some, glue in ((kinds[0], ""), (kinds[1], "\n")):
+            ids = self._ids(glue.join([new[k] for k in some]))
+            data = ids.tobytes()
+            if glue:
+                marks = np.flatnonzero(ids == self.line)
+                begins, ends = [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
+            else:
+                begins = np.flatnonzero(self.opens[ids]).tolist()
+                ends = [*begins[1:], len(ids)]
+            if some and len(begins) != len(some):
+                kinds[2].extend(some)
+                continue
+            for k, a, e in zip(some, begins, ends, strict=False):
+                out[k] = data[4 * a : 4 * e]
+        for k, e in zip(kinds[2], self.library.encode_batch_fast([new[k] for k in kinds[2]], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
 
 _LIBRARY: dict[str, LibraryPieces] = {}
@@ -70,15 +91,16 @@ def library(source: str) -> LibraryPieces:
     return _LIBRARY[key]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where chunks end: content decides, within LEAST and MOST ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Places before which the last WINDOW ids have a hash with low bits of zero."""
     marks = Rolling(mix(ids.astype(np.uint64) + np.uint64(1))).every(WINDOW)
-    ends = np.flatnonzero((marks & np.uint64((1 << MEAN_BITS) - 1)) == 0) + WINDOW
+    return np.flatnonzero((marks & np.uint64((1 << MEAN_BITS) - 1)) == 0) + WINDOW
+
+
+def cuts(n: int, marks: list[int]) -> list[int]:
+    """Where the chunks of n ids end: at marks, with LEAST to MOST ids in a chunk (a last one may have fewer)."""
     out, last = [], 0
-    for e in ends.tolist():
+    for e in marks:
         while e - last > MOST:
             last += MOST
             out.append(last)
@@ -91,6 +113,19 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*out, n]
 
 
+def _chunked(lists: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each list. A mark whose window reaches into the list before is none."""
+    size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    begin = np.cumsum(size) - size
+    marks = marks_of(np.concatenate(lists))
+    who = np.searchsorted(begin, marks - 1, "right") - 1
+    inner = marks - begin[who]
+    keep = inner >= WINDOW
+    who, inner = who[keep], inner[keep]
+    edges = np.searchsorted(who, np.arange(len(lists) + 1))
+    return [cuts(n, inner[a:b].tolist()) for n, a, b in zip(size.tolist(), edges[:-1], edges[1:], strict=True)]
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of a binary hash tree; an odd node moves up as it is."""
     level = leaves or [hashlib.sha256(b"").digest()]
@@ -139,10 +174,9 @@ def _encode(docs: DataFrame, path: str) -> DataFrame:
 
         def make(b):
             counts, roots, names, data = [], [], [], []
-            for ids in lib.pieces.encode([x.decode() for x in texts_of(b)]):
-                ids = np.append(ids, np.uint32(END))
-                ends = cuts(ids)
-                parts = [ids[x:y].astype(form).tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+            lists = [np.append(x, np.uint32(END)).astype(form) for x in lib.pieces.encode([x.decode() for x in texts_of(b)])]
+            for ids, ends in zip(lists, _chunked(lists), strict=True):
+                parts = [ids[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)]
                 addresses = [hashlib.sha256(p).digest() for p in parts]
                 counts.append(len(ids))
                 roots.append(merkle(addresses))

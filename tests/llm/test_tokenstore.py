@@ -28,11 +28,21 @@ def test_streamed_root_equals_tree():
 
 def test_cuts_cover_and_bound():
     ids = np.random.default_rng(2).integers(0, 50_000, 200_000)
-    for part in (ids, ids[:10], np.zeros(30_000, dtype=np.int64), ids[:0]):
-        ends = tokenstore.cuts(part)
-        sizes = np.diff([0, *ends])
-        assert ends[-1] == len(part) and (sizes <= tokenstore.MOST).all()
-    assert 500 < len(ids) / len(tokenstore.cuts(ids)) < 2500
+    lists = [ids, ids[:10], np.zeros(30_000, dtype=np.int64), ids[:1], ids[150:9000]]
+    together = tokenstore._chunked(lists)
+    for part, ends in zip(lists, together):
+        assert ends == tokenstore._chunked([part])[0]
+        assert ends[-1] == len(part) and (np.diff([0, *ends]) <= tokenstore.MOST).all()
+    assert 500 < len(ids) / len(together[0]) < 2500
+
+
+def test_library_pieces_equal_whole_texts():
+    rng, lib, plain = random.Random(7), tokenstore.LibraryPieces(tokenstore.read_file(PATH)), Tokenizer.from_file(PATH)
+    letters = "abcdefgh  \n\t'sté ñ中文字😀123.,!-_<|>\x00\x1c\x85\xa0​　ÀÉ²½ªº"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(2000)]
+    for k in range(0, 2000, 100):
+        for t, mine in zip(texts[k : k + 100], lib.pieces.encode(texts[k : k + 100])):
+            assert mine.tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
 def test_round_trip(spark, tmp_path):
