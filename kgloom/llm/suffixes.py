@@ -103,9 +103,10 @@ def _order() -> list:
 def _owners(rows: DataFrame) -> DataFrame:
     """(block, copies, asked): contents of which an earlier copy exists, and first ones whose gram has other contents too.
 
-    Rows come sorted by (g, c, order) and are streamed; of a group no more than one row is held."""
+    Rows come sorted by (g, c, order) and are streamed; of a group no more than one row waits for a decision."""
 
     def run(batches):
+        held: list[tuple] = []  # answers, to be sent by block in large pieces
         g0, c0, seen, waiting = None, None, 0, None  # the last g and c, how many contents g had, its only first row
         for b in batches:
             if not b.num_rows:
@@ -130,7 +131,12 @@ def _owners(rows: DataFrame) -> DataFrame:
                 last = int(np.flatnonzero(first)[-1])
                 waiting = (block[last], c[last])
             g0, c0, seen = g[-1], c[-1], int(counts[-1])
-            yield _blobs(np.concatenate(out_block), np.concatenate(out_c), np.concatenate(out_kind))
+            held.append((np.concatenate(out_block), np.concatenate(out_c), np.concatenate(out_kind)))
+            if sum(len(x[0]) for x in held) >= 1 << 20:
+                yield _blobs(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            yield _blobs(*map(np.concatenate, zip(*held, strict=True)))
 
     met = rows.repartition("g").sortWithinPartitions("g", "c", *_order()).select("g", "c", "block").mapInArrow(run, "block bigint, copies binary, asked binary")
     return met.groupBy("block").agg(F.collect_list("copies").alias("copies"), F.collect_list("asked").alias("asked"))
