@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, each, keep, mix, texts_of, tune
+from .common import LOWER, each, keep, mix, texts_of, tune, written
 from .components import components
 
 SHINGLE, RADIUS, SEGMENTS, BITS, PIVOTS, HOT = 3, 2, 4, 16, 12, 64
@@ -213,3 +213,167 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     by_fp = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(by_fp.select("fp", "root").join(of_root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+# --- Near-duplicates by similarity: many lanes of 64 bits ---------------------------------------------------------------
+
+#: Lanes of 64 bits; segments of a lane and their bits; lanes of the sketch that travels with each key; its references.
+LANES, LANE_SEGMENTS, SEGMENT_BITS, SKETCH, SKETCH_PIVOTS, SIMILAR_HOT = 22, 3, 20, 4, 8, 4096
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+
+
+def differing_share(jaccard: float) -> float:
+    """Expected share of differing SimHash bits of two sets of equal size with this Jaccard similarity."""
+    return float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
+
+
+def wide_fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
+    """A row of LANES values for each text: the SimHash of its shingles under as many hash functions."""
+    parts = [_shingle_hashes(t, shingle) for t in texts]
+    count = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 8
+    h = np.frombuffer(b"".join(parts), dtype=">u8").astype(np.uint64)
+    first = np.cumsum(count) - count
+    return np.stack([_majority(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))), first, count) for k in range(LANES)], axis=1)
+
+
+class _Wide:
+    """Pivot tables of the wide fingerprints: distance vectors of a segment's values, and references for sketches."""
+
+    def __init__(self, pivots: int = PIVOTS, seed: int = 6):
+        rng = np.random.default_rng(seed)
+        values = np.arange(1 << SEGMENT_BITS, dtype=np.uint64)
+        self.packed = np.zeros(1 << SEGMENT_BITS, dtype=np.uint64)
+        for p, ref in enumerate(rng.integers(0, 1 << SEGMENT_BITS, pivots, dtype=np.uint64)):
+            self.packed |= np.bitwise_count(values ^ ref).astype(np.uint64) << np.uint64(5 * p)
+        self.references = rng.integers(0, 2**64, (SKETCH_PIVOTS, SKETCH), dtype=np.uint64)
+
+    def keys(self, fp: np.ndarray) -> np.ndarray:
+        out = []
+        for lane in range(LANES):
+            for s in range(LANE_SEGMENTS):
+                seg = ((fp[:, lane] >> np.uint64(SEGMENT_BITS * s)) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
+                out.append(mix(self.packed[seg] * np.uint64(3) + np.uint64(LANE_SEGMENTS * lane + s)))
+        return np.stack(out, axis=1)
+
+    def coordinates(self, sketch: np.ndarray) -> np.ndarray:
+        return np.stack([np.bitwise_count(sketch ^ r).sum(axis=1, dtype=np.int16) for r in self.references], axis=1)
+
+
+_WIDE: list[_Wide] = []
+
+
+def _wide() -> _Wide:
+    if not _WIDE:
+        _WIDE.append(_Wide())
+    return _WIDE[0]
+
+
+def _nearest(key: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by key -> for each row the nearest earlier one of its key, if its sketch differs in `most` bits or fewer."""
+    n = len(key)
+    best, to = np.full(n, 1 << 30), np.full(n, -1)
+    t = _wide().coordinates(sketch)
+    for shift in range(1, n):
+        at = np.flatnonzero(key[shift:] == key[:-shift])
+        if not len(at):
+            break
+        at = at[(np.abs(t[at] - t[at + shift]) <= most).all(axis=1)]
+        d = np.bitwise_count(sketch[at] ^ sketch[at + shift]).sum(axis=1, dtype=np.int64)
+        ok = (d <= most) & (d < best[at + shift])
+        best[at[ok] + shift], to[at[ok] + shift] = d[ok], at[ok]
+    found = np.flatnonzero(to >= 0)
+    return found, to[found]
+
+
+def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int = SIMILAR_HOT) -> DataFrame:
+    """Distinct wide fingerprints (id, lanes) -> verified links (a, b).
+
+    A document meets those that share a segment's distance vector (66 segments of 20 bits: two documents of similarity 0.8
+    meet in one or more with probability 0.92, of 0.85 with 0.98, of 0.9 with 0.999). Within a bucket the pivot table of the
+    sketches (256 bits) discards, the sketches pick each document's nearest earlier one, and all lanes verify it. A bucket of
+    more than `hot` documents is cut by the next segment of its documents, so that no task compares more than that."""
+    share = differing_share(similarity)
+    sketch_bits, all_bits = SKETCH * 64, LANES * 64
+    loose = int(sketch_bits * (share + 2.5 * np.sqrt(share * (1 - share) / sketch_bits)))
+    strict = int(all_bits * (share + np.sqrt(share * (1 - share) / all_bits)))
+    as_matrix = lambda col, width: np.frombuffer(b"".join(col.to_pylist()), dtype="<u8").reshape(-1, width)
+
+    def keyed(batches):
+        def make(b):
+            fp = as_matrix(b.column(1), LANES)
+            k = _wide().keys(fp)
+            n = k.shape[1]
+            sketches = [x[: 8 * SKETCH] for x in b.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.roll(k, -1, axis=1).reshape(-1).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(fp)), n))), pa.array(sketches, pa.binary()).take(pa.array(np.repeat(np.arange(len(fp)), n)))], names=["key", "further", "id", "sketch"])
+
+        return each(batches, make)
+
+    def compared(batches):
+        keys, ids, sketches = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, SKETCH), dtype=np.uint64)
+
+        def out(k, i, s):
+            found, to = _nearest(k, s, loose)
+            return pa.RecordBatch.from_arrays([pa.array(i[found]), pa.array(i[to])], names=["a", "b"])
+
+        for x in batches:
+            keys, ids = np.concatenate([keys, x.column(0).to_numpy(zero_copy_only=False)]), np.concatenate([ids, x.column(1).to_numpy(zero_copy_only=False)])
+            sketches = np.concatenate([sketches, as_matrix(x.column(2), SKETCH)])
+            if len(keys) and (at := int(np.searchsorted(keys, keys[-1]))):
+                yield out(keys[:at], ids[:at], sketches[:at])
+                keys, ids, sketches = keys[at:], ids[at:], sketches[at:]
+        if len(keys):
+            yield out(keys, ids, sketches)
+
+    def verified(batches):
+        def make(b):
+            ok = np.bitwise_count(as_matrix(b.column(2), LANES) ^ as_matrix(b.column(3), LANES)).sum(axis=1, dtype=np.int64) <= strict
+            return b.select(["a", "b"]).filter(pa.array(ok))
+
+        return each(batches, make)
+
+    rows = prints.select("id", "lanes").mapInArrow(keyed, "key bigint, further bigint, id bigint, sketch binary")
+    sizes = rows.groupBy("key").count().where("count > 1")
+    split = rows.join(sizes, "key").withColumn("key", F.when(F.col("count") > hot, F.xxhash64("key", "further")).otherwise(F.col("key")))
+    pairs = split.select("key", "id", "sketch").repartition("key").sortWithinPartitions("key", "id").mapInArrow(compared, "a bigint, b bigint").distinct()
+    lanes = lambda name: prints.select(F.col("id").alias(name), F.col("lanes").alias(f"lanes_{name}"))
+    return pairs.join(lanes("a"), "a").join(lanes("b"), "b").select("a", "b", "lanes_a", "lanes_b").mapInArrow(verified, "a bigint, b bigint")
+
+
+def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without near-duplicates: of each group, linked by similarity (estimated by the lanes) or by the exact rule
+    of `near_duplicates`, the one of smallest doc_id stays, with all its columns.
+
+    Repeated rows are duplicates of each other; null doc_ids stay only where their group has no other."""
+    tune(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def prints(batches):
+        def make(b):
+            texts = texts_of(b)
+            lanes = wide_fingerprints_of(texts, shingle)
+            id_ = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in lanes], pa.int64())
+            return pa.RecordBatch.from_arrays([b.column(0), id_, pa.array([x.astype("<u8").tobytes() for x in lanes], pa.binary()), pa.array(fingerprints_of(texts).view(np.int64)), b.column(2)], names=["doc_id", "id", "lanes", "fp", "text_hash"])
+
+        return each(batches, make)
+
+    # One row a document: its narrow fingerprint, and the hash of its wide one as a node.
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.lit(8), F.coalesce("text", F.lit(""))).alias("text_hash"))
+    all_ = written(hashed.mapInArrow(prints, f"doc_id {kind}, id bigint, lanes binary, fp bigint, text_hash bigint"))
+    nodes = keep(all_.groupBy("id").agg(F.min("lanes").alias("lanes")))
+    fps = keep(all_.groupBy("fp").agg(F.min("id").alias("id")))
+    by_fp = all_.select("fp", F.col("id").alias("a")).distinct().join(fps.withColumnRenamed("id", "b"), "fp").select("a", "b")
+    ids = fps.withColumnRenamed("id", "n")
+    near = links(fps).join(ids.withColumnRenamed("fp", "a").withColumnRenamed("n", "na"), "a").join(ids.withColumnRenamed("fp", "b").withColumnRenamed("n", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    edges = similar_links(nodes, similarity).unionByName(by_fp).unionByName(near)
+    roots = components(edges)
+    member = all_.select("doc_id", "id", "text_hash").join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
+    # A third of all rows may be one group: its first is found by a combined minimum, nulls last.
+    first = keep(member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("m")).select("m.doc_id", "m.text_hash"))
+    of_text = F.xxhash64(F.lit(8), F.coalesce("text", F.lit("")))
+    met = docs.join(first.select(F.col("doc_id").alias("__first"), F.col("text_hash").alias("__hash")), F.col("doc_id").eqNullSafe(F.col("__first")) & (of_text == F.col("__hash")), "left_semi")
+    # Rows that repeat both doc_id and text are one document.
+    return met if not _repeated(all_) else met.dropDuplicates(["doc_id", "text"])
+
+
+def _repeated(rows: DataFrame) -> bool:
+    return rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
