@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, sharding, simhash, substrings, suffixes, tokenstore, toxicity
+from . import bpe, decontaminate, licenses, quality, sharding, simhash, substrings, suffixes, tokenstore, toxicity
 from .common import table
 
 
@@ -41,6 +41,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    span = F.transform("matches", lambda m: F.format_string("%s:%d-%d:%.4f", m["license"], m["start"], m["stop"], m["coverage"]))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0)).alias("best_coverage"),
+        F.array_join(span, ";").alias("spans"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -98,6 +110,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op3_licenses": op3_licenses,
     "op4_toxicity": op4_toxicity,
     "op5_tokenstore": op5_tokenstore,
     "op6_suffixes": op6_suffixes,
