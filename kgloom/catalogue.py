@@ -1,10 +1,537 @@
-"""The queries of the graph engine by name, each with its equivalent SQL where SQL can express it."""
+"""The queries of the graph engine by name, each with its equivalent SQL where SQL can express it.
+
+The star schema gives a graph with every relation, the documents give word entities, questions come from conversations and vectors
+from embeddings. All queries run over their whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .functions.chunking import chunks
+from .model import Graph
+from .operators import audit, export, graphs, paths, resolve, retrieve
+from .sources import tables
+from .streaming.ingest import pending
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+_NODES = """nodes AS (SELECT DISTINCT * FROM (
+  SELECT r_name AS id, 'Region' AS tipo FROM region UNION ALL SELECT n_name, 'Nation' FROM nation UNION ALL SELECT c_name, 'Customer' FROM customer
+  UNION ALL SELECT s_name, 'Supplier' FROM supplier UNION ALL SELECT p_name, 'Product' FROM part UNION ALL SELECT p_brand, 'Brand' FROM part))"""
+_TREE = """SELECT c_name AS src, 'LOCATED_IN' AS rel, n_name AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT s_name, 'LOCATED_IN', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION SELECT n_name, 'PART_OF', r_name FROM nation JOIN region ON n_regionkey = r_regionkey"""
+_EDGES = f"""edges AS ({_TREE}
+  UNION SELECT c_name, 'BOUGHT_FROM', s_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  UNION SELECT s_name, 'SUPPLIES', p_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
+  UNION SELECT p_name, 'MADE_BY', p_brand FROM part)"""
+_WORDS = r"""mentions AS (SELECT DISTINCT doc_id, lang AS tipo, unnest(regexp_extract_all(text, '\p{Lu}\p{L}{3,}')) AS id FROM documents)"""
+_NORM = r"trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))".format
+
+
+def _entities(least: int) -> str:
+    return f"{_WORDS}, entities AS (SELECT id, tipo, count(*) AS grado, {_NORM('id')} AS norm FROM mentions GROUP BY id, tipo HAVING count(*) >= {least})"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _words(spark: SparkSession, folder: str, least: int) -> DataFrame:
+    return tables.word_entities(tables.read(spark, folder, "documents"), least)
+
+
+# --- Counts and degrees -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_NODES} SELECT tipo, count(*) AS n FROM nodes GROUP BY tipo")
+def node_type_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.type_counts(tables.star(spark, folder, ["PART_OF"]))
+
+
+@query(f"WITH {_EDGES} SELECT rel, count(*) AS n FROM edges GROUP BY rel")
+def edge_type_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.relation_counts(tables.star(spark, folder))
+
+
+@query(f"WITH {_NODES}, {_EDGES} SELECT count(*) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges FROM nodes")
+def graph_totals(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.star(spark, folder)
+    return g.nodes.agg(F.count("*").alias("n_nodes")).crossJoin(g.edges.agg(F.count("*").alias("n_edges")))
+
+
+@query(f"""WITH {_NODES}, {_EDGES}, ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges WHERE src <> dst)
+SELECT n.id, tipo, count(e.id) AS grado FROM nodes n LEFT JOIN ends e ON n.id = e.id GROUP BY n.id, tipo""")
+def entity_degree_db(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.degree(tables.star(spark, folder))
+
+
+@query(f"WITH {_EDGES} SELECT id, count(*) AS grado FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id")
+def entity_degree_endpoint(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.endpoint_degree(tables.star_edges(spark, folder))
+
+
+@query(f"WITH {_EDGES} SELECT id, count(*) AS grado FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id HAVING count(*) >= 3")
+def min_degree_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.endpoint_degree(tables.star_edges(spark, folder)).where("grado >= 3")
+
+
+@query(f"WITH {_EDGES} SELECT src, rel, dst FROM edges WHERE rel IN ('LOCATED_IN', 'SUPPLIES')")
+def relation_type_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.star_edges(spark, folder, ["LOCATED_IN", "SUPPLIES"]).select("src", "rel", "dst")
+
+
+@query(f"""WITH {_NODES}, {_EDGES} SELECT src, s.tipo AS src_tipo, rel, dst, d.tipo AS dst_tipo FROM edges JOIN nodes s ON src = s.id JOIN nodes d ON dst = d.id WHERE rel IN ('PART_OF', 'LOCATED_IN')""")
+def typed_edge_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.typed_edges(tables.star(spark, folder, tables.HIERARCHY))
+
+
+# --- Neighbourhoods -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_EDGES} SELECT DISTINCT src || ' -' || rel || '-> ' || dst AS hecho FROM edges WHERE rel IN ('LOCATED_IN', 'PART_OF') AND (src = 'NATION_3' OR dst = 'NATION_3') ORDER BY hecho LIMIT 60""")
+def neighbourhood_facts(spark: SparkSession, folder: str) -> DataFrame:
+    ids = spark.createDataFrame([("NATION_3",)], "id string")
+    return graphs.neighbourhood(tables.star_edges(spark, folder, tables.HIERARCHY), ids, most=60)
+
+
+@query(f"""WITH {_EDGES} SELECT DISTINCT src || ' -' || rel || '-> ' || dst AS hecho FROM edges WHERE src LIKE 'Supplier#%' OR dst LIKE 'Supplier#%'""")
+def neighbourhood_of_type(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.star(spark, folder)
+    return graphs.neighbourhood(g.edges, g.nodes.where("tipo = 'Supplier'").select("id"))
+
+
+# --- Text functions -----------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_NORM('text')} AS norm FROM documents")
+def normalize_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read(spark, folder, "documents").select("doc_id", X.normalize(F.col("text")).alias("norm"))
+
+
+@query(f"WITH {_entities(1)} SELECT tipo, id, norm FROM entities")
+def normalize_names(spark: SparkSession, folder: str) -> DataFrame:
+    return _words(spark, folder, 1).select("tipo", "id", X.normalize(F.col("id")).alias("norm"))
+
+
+_CLUB_SQL = ", ".join(f"'{w}'" for w in X.D.CLUB_NOISE)
+
+
+@query(f"""WITH n AS (SELECT item_id, text, {_NORM('text')} AS norm FROM benchmark)
+SELECT item_id, array_to_string(list_filter(string_split(norm, ' '), lambda t: t NOT IN ({_CLUB_SQL}) AND t <> ''), ' ') AS club_key, norm AS other_key FROM n""")
+def match_keys(spark: SparkSession, folder: str) -> DataFrame:
+    t = tables.read(spark, folder, "benchmark")
+    return t.select("item_id", X.match_key(F.col("text"), F.lit("Club")).alias("club_key"), X.match_key(F.col("text"), F.lit("Jugador")).alias("other_key"))
+
+
+@query("SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM pages")
+def slugify_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read(spark, folder, "pages").select("page_id", X.slugify(F.col("url")).alias("slug"))
+
+
+_YEAR = r"regexp_replace(trim({0}), '(?:\s+(?:(?:en|de|del)\s+)?\d{{4}}(?:\s*[-/]\s*\d{{2,4}})?)+$', '')".format
+_YEARLY = "p_name || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || (1990 + p_size) WHEN 2 THEN ' en ' || (1950 + p_size) ELSE ' ' || (1990 + p_size) || '-' || (10 + p_size) || ' 2000' END"
+
+
+@query(f"SELECT p_partkey, trim({_YEAR(_YEARLY)}) AS clean FROM part")
+def strip_years(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read(spark, folder, "part").select("p_partkey", X.strip_year(F.expr(_YEARLY)).alias("clean"))
+
+
+@query("SELECT doc_id, CAST(length(text[1:8000]) AS BIGINT) AS n, md5(text[1:8000]) AS digest FROM documents")
+def truncate_documents(spark: SparkSession, folder: str) -> DataFrame:
+    t = X.truncated(F.col("text"))
+    return tables.read(spark, folder, "documents").select("doc_id", F.char_length(t).cast("long").alias("n"), F.md5(t.cast("binary")).alias("digest"))
+
+
+_TOKENS = "list_sort(list_distinct(list_filter(string_split({0}, ' '), lambda t: length(t) > 2 AND t NOT IN ({1}))))".format
+
+
+@query(f"SELECT item_id, array_to_string({_TOKENS(_NORM('text'), ', '.join(repr(w) for w in X.D.NAME_NOISE))}, ' ') AS tokens FROM benchmark")
+def significant_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read(spark, folder, "benchmark").select("item_id", F.array_join(X.significant_tokens(F.col("text")), " ").alias("tokens"))
+
+
+# --- Noise and duplicates -----------------------------------------------------------------------------------------------
+
+_NOISE_NAME = "CASE doc_id % 12 WHEN 0 THEN left(text, 60) WHEN 1 THEN '12 ' || left(text, 9) WHEN 2 THEN 'Mejor ' || left(text, 10) WHEN 3 THEN 'Equipo de su ' || left(text, 5) WHEN 4 THEN 'Subcampeonato ' || left(text, 9) WHEN 5 THEN 'Copa (' || left(text, 5) || ')' WHEN 6 THEN 'Liga contra ' || left(text, 9) WHEN 7 THEN 'CLUB' WHEN 8 THEN ' . ' WHEN 9 THEN 'a b c d e f g h i j' WHEN 10 THEN 'Equipo del ' || left(text, 5) ELSE left(text, 12) END"
+
+
+@query(rf"""WITH n AS (SELECT doc_id, {_NOISE_NAME} AS id FROM documents), m AS (SELECT *, {_NORM('id')} AS b FROM n)
+SELECT doc_id, CASE WHEN b = '' THEN 'empty' WHEN b IN ({', '.join(repr(w) for w in X.D.GENERIC_NAMES)}) THEN 'generic' WHEN length(id) > 55 THEN 'sentence' WHEN regexp_matches(id, '^\d+\s') THEN 'leading count'
+ WHEN len(list_filter(regexp_split_to_array(id, '\s+'), lambda w: w <> '')) > 9 THEN 'too many words'
+ WHEN regexp_matches(b, '^(partido|partidos|generacion|mejor|mejores|personalidad|campeona)\b') OR regexp_matches(b, '^equipos? de (su|mi|la|el|los)\b') THEN 'description'
+ WHEN regexp_matches(b, '\b((subcampeon|clasificad)[\p{{L}}\p{{N}}_]*|puesto|posicion|rendimiento)\b') THEN 'result' WHEN contains(id, '(') OR contains(id, ')') THEN 'parenthetical'
+ WHEN regexp_matches(b, '\b(contra|frente|para|desde|hasta|durante|tras|segun|historia|epoca|temporada)\b') THEN 'phrase' END AS motivo FROM m""")
+def noise_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read(spark, folder, "documents").select("doc_id", X.noise_reason(F.expr(_NOISE_NAME)).alias("motivo"))
+
+
+@query(f"""WITH {_entities(1)}, r AS (SELECT *, row_number() OVER (PARTITION BY tipo, norm ORDER BY grado DESC, length(id) DESC, id) AS k, count(*) OVER (PARTITION BY tipo, norm) AS n FROM entities)
+SELECT tipo, norm AS clave, string_agg(id, '|' ORDER BY k) AS variantes FROM r WHERE n >= 2 GROUP BY tipo, norm""")
+def dup_normalised(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.same_key(_words(spark, folder, 1)).select("tipo", "clave", F.array_join("variantes", "|").alias("variantes"))
+
+
+_LONG = "CASE WHEN c_custkey % 40 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 0 THEN c_mktsegment || ' ' || n_name WHEN c_custkey % 3 = 1 THEN n_name ELSE c_mktsegment || ' ' || substr(c_name, 12, 4) || ' ' || n_name END"
+_PEOPLE = f"people AS (SELECT DISTINCT id, tipo, {_NORM('id')} AS norm FROM (SELECT {_LONG} AS id, CASE WHEN n_regionkey < 3 THEN 'Jugador' ELSE 'Club' END AS tipo FROM customer JOIN nation ON c_nationkey = n_nationkey))"
+
+
+def _people(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tables.read(spark, folder, "customer").join(tables.read(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.expr(_LONG).alias("id"), F.expr("CASE WHEN n_regionkey < 3 THEN 'Jugador' ELSE 'Club' END").alias("tipo")).distinct().withColumn("grado", F.lit(1).cast("long"))
+
+
+@query(f"WITH {_PEOPLE} SELECT a.tipo, a.id AS corto, b.id AS largo FROM people a JOIN people b ON a.tipo = b.tipo AND a.id <> b.id AND a.norm <> '' AND starts_with(b.norm, a.norm || ' ')")
+def dup_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.prefix_pairs(_people(spark, folder))
+
+
+@query(f"""WITH {_PEOPLE} SELECT a.tipo, a.id AS corto, b.id AS largo FROM people a JOIN people b ON a.tipo = b.tipo AND a.tipo = 'Jugador' AND NOT contains(a.id, ' ') AND contains(b.id, ' ') AND string_split(b.norm, ' ')[-1] = a.norm""")
+def dup_surname(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.surname_pairs(_people(spark, folder))
+
+
+@query(f"""WITH {_PEOPLE}, t AS (SELECT *, string_split(norm, ' ') AS w FROM people WHERE tipo = 'Jugador')
+SELECT a.tipo, a.id AS corto, b.id AS largo FROM t a JOIN t b ON len(a.w) >= 2 AND len(b.w) > len(a.w) AND a.w[1] = b.w[1] AND a.w[-1] = b.w[-1] AND list_has_all(b.w, a.w)""")
+def dup_subset(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.subset_pairs(_people(spark, folder))
+
+
+@query(f"""WITH {_entities(5)}, s AS (SELECT * FROM entities WHERE regexp_matches(norm, '^[\\x00-\\x7F]*$'))
+SELECT a.tipo, a.id AS corto, b.id AS largo FROM s a JOIN s b ON a.tipo = b.tipo AND a.id < b.id AND length(a.norm) >= 6 AND abs(length(a.norm) - length(b.norm)) <= 2 AND levenshtein(a.norm, b.norm) BETWEEN 1 AND 2""")
+def dup_typo(spark: SparkSession, folder: str) -> DataFrame:
+    ascii_ = X.normalize(F.col("id")).rlike(r"^[\x00-\x7F]*$")
+    return resolve.typo_pairs(_words(spark, folder, 5).where(ascii_))
+
+
+@query(f"""WITH {_PEOPLE}, p AS (SELECT a.id AS corto, b.id AS largo FROM people a JOIN people b ON a.tipo = b.tipo AND a.id <> b.id AND a.norm <> '' AND starts_with(b.norm, a.norm || ' ')),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY corto ORDER BY largo) AS k FROM p)
+SELECT corto, count(*) AS n, string_agg(DISTINCT CASE WHEN k <= 6 THEN largo END, '|' ORDER BY CASE WHEN k <= 6 THEN largo END) AS ejemplos FROM r GROUP BY corto HAVING count(*) > 1""")
+def ambiguous_short_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.ambiguous(resolve.prefix_pairs(_people(spark, folder))).select("corto", "n", F.array_join("ejemplos", "|").alias("ejemplos"))
+
+
+@query()
+def merge_groups_greedy(spark: SparkSession, folder: str) -> DataFrame:
+    words = _words(spark, folder, 3)
+    return resolve.propose(words, persons=["en", "es"]).select("detector", "tipo", "canonico", F.array_join("variantes", "|").alias("variantes"))
+
+
+# --- Mutations ----------------------------------------------------------------------------------------------------------
+
+_SEGMENT = "c_mktsegment || ' ' || (c_custkey % 7)"
+
+
+def _segment_map(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read(spark, folder, "customer").select(F.col("c_name").alias("variante"), F.expr(_SEGMENT).alias("canonico"), F.col("c_custkey").cast("int").alias("ord"))
+
+
+@query(f"""WITH {_EDGES}, m AS (SELECT c_name AS v, {_SEGMENT} AS c FROM customer)
+SELECT DISTINCT coalesce(a.c, src) AS src, rel, coalesce(b.c, dst) AS dst FROM edges LEFT JOIN m a ON src = a.v LEFT JOIN m b ON dst = b.v""")
+def contract_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.contract(tables.star(spark, folder), _segment_map(spark, folder)).edges.select("src", "rel", "dst")
+
+
+@query(f"""WITH {_NODES}, m AS (SELECT c_name AS v, {_SEGMENT} AS c FROM customer) SELECT coalesce(c, id) AS id, min(tipo) AS tipo FROM nodes LEFT JOIN m ON id = v GROUP BY 1""")
+def contract_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.contract(tables.star(spark, folder, ["PART_OF"]), _segment_map(spark, folder)).nodes.select("id", "tipo")
+
+
+def _yearly_graph(spark: SparkSession, folder: str) -> Graph:
+    part = tables.read(spark, folder, "part")
+    nodes = part.select(F.expr(_YEARLY).alias("id")).distinct().select("id", F.array(F.lit("Competicion")).alias("tipos"), F.lit("Competicion").alias("tipo"), F.lit(None).cast("string").alias("origen"))
+    edges = part.select(F.col("p_brand").alias("src"), F.lit("GANO").alias("rel"), F.expr(_YEARLY).alias("dst"), F.lit(None).cast("string").alias("origen")).distinct()
+    return Graph(nodes, edges)
+
+
+@query(f"SELECT DISTINCT p_brand AS src, 'GANO' AS rel, trim({_YEAR(_YEARLY)}) AS dst FROM part")
+def strip_year_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.merge_years(_yearly_graph(spark, folder)).edges.select("src", "rel", "dst")
+
+
+@query(f"""WITH n AS (SELECT DISTINCT {_YEARLY} AS id FROM part), g AS (SELECT trim({_YEAR('id')}) AS canonico, list(id ORDER BY id) AS v FROM n GROUP BY 1)
+SELECT canonico, array_to_string(v, '|') AS variantes FROM g WHERE len(v) > 1 OR v[1] <> canonico""")
+def year_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.year_groups(_yearly_graph(spark, folder).nodes).select("canonico", F.array_join("variantes", "|").alias("variantes"))
+
+
+_ALIASES = "SELECT 'Supplier#' || lpad(CAST(s_suppkey - s_suppkey % 3 AS VARCHAR), 9, '0') AS canonico, CASE WHEN s_suppkey % 5 = 0 THEN 'Missing ' || s_suppkey ELSE s_name END AS variante, s_suppkey AS ord FROM supplier WHERE s_suppkey % 3 > 0"
+
+
+def _aliases(spark: SparkSession, folder: str) -> DataFrame:
+    s = tables.read(spark, folder, "supplier").where("s_suppkey % 3 > 0")
+    return s.select(F.expr("concat('Supplier#', lpad(cast(s_suppkey - s_suppkey % 3 as string), 9, '0'))").alias("canonico"), F.expr("CASE WHEN s_suppkey % 5 = 0 THEN concat('Missing ', s_suppkey) ELSE s_name END").alias("variante"), F.col("s_suppkey").cast("int").alias("ord"))
+
+
+@query(f"""WITH {_NODES}, a AS ({_ALIASES}), u AS (SELECT canonico, variante AS id, ord FROM a UNION SELECT canonico, canonico, -1 FROM a)
+SELECT canonico, string_agg(id, '|' ORDER BY ord) AS presentes FROM u WHERE id IN (SELECT id FROM nodes) GROUP BY canonico HAVING count(*) >= 2""")
+def alias_present_filter(spark: SparkSession, folder: str) -> DataFrame:
+    found = graphs.present_aliases(tables.star_nodes(spark, folder), _aliases(spark, folder))
+    return found.select("canonico", F.array_join("presentes", "|").alias("presentes"))
+
+
+@query(f"""WITH {_NODES}, {_EDGES}, a AS ({_ALIASES}), m AS (SELECT variante, canonico FROM a WHERE variante IN (SELECT id FROM nodes) AND (canonico IN (SELECT id FROM nodes) OR canonico IN (SELECT canonico FROM a WHERE variante IN (SELECT id FROM nodes) GROUP BY canonico HAVING count(*) >= 2)))
+SELECT DISTINCT coalesce(x.canonico, src) AS src, rel, coalesce(y.canonico, dst) AS dst FROM edges LEFT JOIN m x ON src = x.variante LEFT JOIN m y ON dst = y.variante WHERE rel IN ('LOCATED_IN', 'SUPPLIES')""")
+def merge_alias_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.merge_aliases(tables.star(spark, folder, ["LOCATED_IN", "SUPPLIES"]), _aliases(spark, folder)).edges.select("src", "rel", "dst")
+
+
+@query(f"""WITH {_EDGES}, d AS (SELECT s_name AS id FROM supplier WHERE s_acctbal < 1000) SELECT src, rel, dst FROM edges WHERE src NOT IN (SELECT id FROM d) AND dst NOT IN (SELECT id FROM d)""")
+def detach_delete(spark: SparkSession, folder: str) -> DataFrame:
+    ids = tables.read(spark, folder, "supplier").where("s_acctbal < 1000").select(F.col("s_name").alias("id"))
+    return graphs.detach_delete(tables.star(spark, folder), ids).edges.select("src", "rel", "dst")
+
+
+_FALSE = "SELECT c_name AS src, 'LOCATED_IN' AS rel, n_name AS dst FROM customer JOIN nation ON (c_custkey % 25) = n_nationkey"
+
+
+def _false_edges(spark: SparkSession, folder: str) -> DataFrame:
+    c, n = tables.read(spark, folder, "customer"), tables.read(spark, folder, "nation")
+    return c.join(n, F.col("c_custkey") % 25 == F.col("n_nationkey")).select(F.col("c_name").alias("src"), F.lit("LOCATED_IN").alias("rel"), F.col("n_name").alias("dst"))
+
+
+@query(f"WITH {_EDGES}, f AS ({_FALSE}) SELECT src, rel, dst FROM edges EXCEPT SELECT src, rel, dst FROM f")
+def delete_false_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.delete_edges(tables.star(spark, folder), _false_edges(spark, folder)).edges.select("src", "rel", "dst")
+
+
+@query(f"WITH {_EDGES}, f AS ({_FALSE}) SELECT src, rel, dst FROM f INTERSECT SELECT src, rel, dst FROM edges")
+def existing_false_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.existing_edges(tables.star_edges(spark, folder, ["LOCATED_IN"]), _false_edges(spark, folder))
+
+
+@query(f"""WITH {_EDGES}, w AS (SELECT s_name AS src, p_name AS dst FROM supplier JOIN part ON s_suppkey % 50 = p_partkey % 50 WHERE s_suppkey % 2 = 0)
+SELECT src, rel, dst FROM edges WHERE rel = 'SUPPLIES' AND NOT (src IN (SELECT src FROM w) AND (src, dst) NOT IN (SELECT src, dst FROM w))""")
+def whitelist_edges(spark: SparkSession, folder: str) -> DataFrame:
+    s, p = tables.read(spark, folder, "supplier").where("s_suppkey % 2 = 0"), tables.read(spark, folder, "part")
+    listed = s.join(p, F.col("s_suppkey") % 50 == F.col("p_partkey") % 50).select(F.col("s_name").alias("src"), F.col("p_name").alias("dst")).distinct()
+    return graphs.enforce_whitelist(tables.star(spark, folder, ["SUPPLIES"]), listed, "SUPPLIES").edges.select("src", "rel", "dst")
+
+
+@query(f"""WITH {_NODES}, e AS ({_TREE}), f AS ({_FALSE})
+SELECT src, rel, dst, NULL::VARCHAR AS origen FROM e UNION ALL SELECT src, rel, dst, 'curado' FROM (SELECT src, rel, dst FROM f EXCEPT SELECT src, rel, dst FROM e)""")
+def repair_missing_edges(spark: SparkSession, folder: str) -> DataFrame:
+    missing = _false_edges(spark, folder).withColumn("dst_tipo", F.lit("Nation"))
+    return graphs.repair(tables.star(spark, folder, tables.HIERARCHY), missing).edges.select("src", "rel", "dst", "origen")
+
+
+@query(f"""WITH {_NODES}, {_EDGES} SELECT src, rel, dst FROM edges JOIN nodes s ON src = s.id JOIN nodes d ON dst = d.id
+WHERE (s.tipo, rel, d.tipo) IN (('Customer', 'LOCATED_IN', 'Nation'), ('Nation', 'PART_OF', 'Region'), ('Supplier', 'SUPPLIES', 'Product'), ('Supplier', 'BOUGHT_FROM', 'Customer'))""")
+def strict_schema_edges(spark: SparkSession, folder: str) -> DataFrame:
+    allowed = spark.createDataFrame([("Customer", "LOCATED_IN", "Nation"), ("Nation", "PART_OF", "Region"), ("Supplier", "SUPPLIES", "Product"), ("Supplier", "BOUGHT_FROM", "Customer")], "src_tipo string, rel string, dst_tipo string")
+    return graphs.strict_schema(graphs.typed_edges(tables.star(spark, folder)), allowed)[0].select("src", "rel", "dst")
+
+
+# --- Paths --------------------------------------------------------------------------------------------------------------
+
+_PAIRS = "pairs AS (SELECT c_custkey AS pair_id, c_name AS a, s_name AS b FROM customer JOIN supplier ON c_custkey % (SELECT count(*) FROM supplier) = s_suppkey)"
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    s, c = tables.read(spark, folder, "supplier"), tables.read(spark, folder, "customer")
+    n = s.agg(F.count("*").alias("n"))
+    return c.crossJoin(F.broadcast(n)).join(s, F.col("c_custkey") % F.col("n") == F.col("s_suppkey")).select(F.col("c_custkey").alias("pair_id"), F.col("c_name").alias("a"), F.col("s_name").alias("b"))
+
+
+_UP = f"""WITH {_PAIRS}, p AS (SELECT pair_id, a, b, cn.n_name AS x, sn.n_name AS y, r1.r_name AS rx, r2.r_name AS ry FROM pairs JOIN customer ON a = c_name JOIN supplier ON b = s_name
+ JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region r1 ON cn.n_regionkey = r1.r_regionkey JOIN region r2 ON sn.n_regionkey = r2.r_regionkey)"""
+
+
+@query(f"""{_UP} SELECT pair_id, CASE WHEN x = y THEN 2 ELSE 4 END::BIGINT AS hops,
+ CASE WHEN x = y THEN a || ' -LOCATED_IN-> ' || x || '; ' || b || ' -LOCATED_IN-> ' || y ELSE a || ' -LOCATED_IN-> ' || x || '; ' || x || ' -PART_OF-> ' || rx || '; ' || y || ' -PART_OF-> ' || ry || '; ' || b || ' -LOCATED_IN-> ' || y END AS pasos
+FROM p WHERE rx = ry""")
+def shortest_path_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
+    found = paths.shortest_paths(tables.star_edges(spark, folder, tables.HIERARCHY), _pairs(spark, folder), 6)
+    return found.select("pair_id", "hops", F.array_join("pasos", "; ").alias("pasos"))
+
+
+@query(f"{_UP} SELECT hops, count(*) AS n FROM (SELECT CASE WHEN x = y THEN 2 ELSE 4 END::BIGINT AS hops FROM p WHERE rx = ry) GROUP BY hops")
+def path_hops(spark: SparkSession, folder: str) -> DataFrame:
+    found = paths.shortest_paths(tables.star_edges(spark, folder, tables.HIERARCHY), _pairs(spark, folder), None)
+    return found.groupBy("hops").agg(F.count("*").alias("n"))
+
+
+@query(f"{_UP} SELECT pair_id, a, b FROM p WHERE rx <> ry")
+def unreachable_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = _pairs(spark, folder)
+    found = paths.shortest_paths(tables.star_edges(spark, folder, tables.HIERARCHY), pairs, None)
+    return pairs.join(found, "pair_id", "left_anti")
+
+
+@query(f"""{_UP}, k AS (SELECT pair_id, a AS src, 'LOCATED_IN' AS rel, x AS dst FROM p WHERE rx = ry UNION SELECT pair_id, b, 'LOCATED_IN', y FROM p WHERE rx = ry
+ UNION SELECT pair_id, x, 'PART_OF', rx FROM p WHERE rx = ry AND x <> y UNION SELECT pair_id, y, 'PART_OF', ry FROM p WHERE rx = ry AND x <> y) SELECT * FROM k""")
+def path_highlight_edges(spark: SparkSession, folder: str) -> DataFrame:
+    edges = tables.star_edges(spark, folder, tables.HIERARCHY)
+    return paths.on_path(edges, paths.shortest_paths(edges, _pairs(spark, folder), 6))
+
+
+# --- Vectors and retrieval ----------------------------------------------------------------------------------------------
+
+_COSINE = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
+
+
+def _vectors(spark: SparkSession, folder: str, questions: str) -> tuple[DataFrame, DataFrame]:
+    e = tables.read(spark, folder, "embeddings")
+    return e.select(F.col("vec_id").alias("doc_id"), "embedding"), e.where(questions).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+
+
+@query(f"SELECT e.vec_id AS doc_id, {_COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY score DESC, e.vec_id LIMIT 4")
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieve.top_k(*_vectors(spark, folder, "vec_id = 0")).select("doc_id", "score")
+
+
+@query(f"""SELECT question_id, doc_id, score, rank FROM (SELECT q.vec_id AS question_id, e.vec_id AS doc_id, {_COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank
+ FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 4""")
+def vector_topk_per_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = retrieve.top_k(*_vectors(spark, folder, "vec_id % 20 = 0"))
+    return found.select("question_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS total, count(CASE WHEN vec_id % 7 > 0 THEN 1 END) AS con_vector, max(CAST(len(embedding) AS BIGINT)) AS dimension FROM embeddings")
+def index_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieve.index_coverage(tables.read(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.expr("CASE WHEN vec_id % 7 > 0 THEN embedding END").alias("embedding")))
+
+
+_MENTIONS = "men AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS doc_id, s_name AS entity_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)"
+
+
+@query(f"""WITH {_MENTIONS}, e AS ({_TREE}), o AS (SELECT doc_id, list(DISTINCT src || ' -' || rel || '-> ' || dst) AS f FROM men JOIN e ON entity_id = src GROUP BY doc_id),
+i AS (SELECT doc_id, list(DISTINCT src || ' -' || rel || '-> ' || dst) AS f FROM men JOIN e ON entity_id = dst GROUP BY doc_id)
+SELECT coalesce(o.doc_id, i.doc_id) AS doc_id, array_to_string(list_concat(list_sort(coalesce(o.f, [])), list_sort(coalesce(i.f, [])))[1:30], chr(10)) AS hechos FROM o FULL JOIN i ON o.doc_id = i.doc_id""")
+def chunk_expansion_facts(spark: SparkSession, folder: str) -> DataFrame:
+    o, li, s = (tables.read(spark, folder, t) for t in ("orders", "lineitem", "supplier"))
+    men = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("s_name").alias("entity_id")).distinct()
+    return retrieve.chunk_facts(men, tables.star_edges(spark, folder, tables.HIERARCHY)).select("doc_id", F.array_join("hechos", "\n").alias("hechos"))
+
+
+_QUESTIONS = "q AS (SELECT conv_id || '/' || turn AS question_id, text FROM conversations WHERE role = 'user')"
+_DETECT = f"""{_entities(5)}, {_QUESTIONS}, nm AS (SELECT norm, arg_min(id, (-g, id)) AS id FROM (SELECT norm, id, max(grado) AS g FROM entities WHERE length(norm) >= 4 GROUP BY norm, id) GROUP BY norm),
+h AS (SELECT question_id, id, norm FROM q JOIN nm ON contains(' ' || {_NORM('text')} || ' ', ' ' || norm || ' ')),
+det AS (SELECT question_id, id FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.question_id = a.question_id AND b.id <> a.id AND contains(b.norm, a.norm)))"""
+
+
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read(spark, folder, "conversations").where("role = 'user'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), "text")
+
+
+@query(f"WITH {_DETECT} SELECT question_id, id FROM det")
+def detect_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieve.detect_entities(_questions(spark, folder), _words(spark, folder, 5)).select("question_id", "id")
+
+
+@query(f"""WITH {_DETECT}, c AS (SELECT question_id, count(*) AS n FROM det GROUP BY question_id)
+SELECT q.question_id, coalesce(n, 0) AS n, CASE WHEN n >= 2 THEN 'path' WHEN n = 1 THEN 'neighbourhood' ELSE 'vectors' END AS ruta FROM q LEFT JOIN c ON q.question_id = c.question_id""")
+def route_questions(spark: SparkSession, folder: str) -> DataFrame:
+    q = _questions(spark, folder)
+    return retrieve.routes(q, retrieve.detect_entities(q, _words(spark, folder, 5)))
+
+
+def _star_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions that name a customer, or a customer and a supplier."""
+    pairs = _pairs(spark, folder)
+    return pairs.select(F.col("pair_id").alias("question_id"), F.when(F.col("pair_id") % 3 == 0, F.concat(F.lit("Where is "), "a")).otherwise(F.concat(F.lit("What links "), "a", F.lit(" and "), "b", F.lit("?"))).alias("text"))
+
+
+@query()
+def graph_context(spark: SparkSession, folder: str) -> DataFrame:
+    edges = tables.star_edges(spark, folder, tables.HIERARCHY)
+    questions = _star_questions(spark, folder)
+    entities = tables.star_nodes(spark, folder).where("tipo in ('Customer', 'Supplier')").select("id", "tipo", F.lit(1).alias("grado"))
+    chunks_ = questions.select("question_id", F.lit(1).alias("rank"), F.lit("orders").alias("fuente"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_hechos"))
+    found = retrieve.contexts(questions, retrieve.detect_entities(questions, entities), edges, chunks_)
+    return found.select("question_id", "contexto", F.array_join("detectadas", "|").alias("detectadas"), "camino", "hechos", "caracteres")
+
+
+@query()
+def text_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(tables.read(spark, folder, "documents"), "doc_id")
+
+
+# --- Audit, lists, export -----------------------------------------------------------------------------------------------
+
+_TRUTH = "truth AS (SELECT 'SUPPLIES' AS rel, s_name AS persona, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) || ' Club F. C.' END AS equipo FROM supplier JOIN part ON s_suppkey % 97 = p_partkey % 97 WHERE s_suppkey % 2 = 0)"
+
+
+def _truth(spark: SparkSession, folder: str) -> DataFrame:
+    s, p = tables.read(spark, folder, "supplier").where("s_suppkey % 2 = 0"), tables.read(spark, folder, "part")
+    name = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.upper("p_name"), F.lit(" Club F. C.")))
+    return s.join(p, F.col("s_suppkey") % 97 == F.col("p_partkey") % 97).select(F.lit("SUPPLIES").alias("rel"), F.col("s_name").alias("persona"), name.alias("equipo"))
+
+
+_NOISE_SQL = ", ".join(repr(w) for w in X.D.NAME_NOISE)
+_MATCH = f"""{_EDGES}, {_TRUTH}, t AS (SELECT DISTINCT rel, persona, equipo AS b, {_TOKENS(_NORM('equipo'), _NOISE_SQL)} AS tb FROM truth),
+gr AS (SELECT DISTINCT rel, src AS persona, dst AS a, {_TOKENS(_NORM('dst'), _NOISE_SQL)} AS ta FROM edges WHERE rel = 'SUPPLIES' AND src IN (SELECT persona FROM t)),
+mt AS (SELECT DISTINCT gr.persona, a, b FROM gr JOIN t ON gr.persona = t.persona AND (a = b OR (len(ta) > 0 AND ta = tb)))"""
+
+
+def _compared(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.star(spark, folder, ["SUPPLIES"])
+    return audit.compare(g.edges, g.nodes, _truth(spark, folder))
+
+
+@query(f"WITH {_MATCH} SELECT persona, a, b FROM mt")
+def same_entity_matches(spark: SparkSession, folder: str) -> DataFrame:
+    t = _truth(spark, folder).select("persona", F.col("equipo").alias("b")).distinct()
+    mine = tables.star_edges(spark, folder, ["SUPPLIES"]).select(F.col("src").alias("persona"), F.col("dst").alias("a"))
+    return audit.same_entity(mine, t, ["persona"])
+
+
+@query(f"""WITH {_MATCH}, p AS (SELECT DISTINCT persona FROM t) SELECT 'SUPPLIES' AS rel, persona, (SELECT count(DISTINCT a) FROM mt WHERE mt.persona = p.persona) AS n_ok,
+ (SELECT count(*) FROM gr WHERE gr.persona = p.persona AND (gr.persona, a) NOT IN (SELECT persona, a FROM mt)) AS n_extra,
+ (SELECT count(*) FROM t WHERE t.persona = p.persona AND (t.persona, b) NOT IN (SELECT persona, b FROM mt)) AS n_missing FROM p""")
+def audit_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.counts(_compared(spark, folder))
+
+
+@query(f"""WITH {_MATCH}, o AS (SELECT count(*) AS ok FROM (SELECT DISTINCT persona, a FROM mt)), f AS (SELECT count(*) AS n FROM t WHERE (persona, b) NOT IN (SELECT persona, b FROM mt)), x AS (SELECT count(*) AS n FROM gr)
+SELECT 'SUPPLIES' AS rel, ok AS n_ok, x.n AS n_graph, ok + f.n AS n_truth, round(ok / x.n, 9) AS precision, round(ok / (ok + f.n), 9) AS coverage FROM o, f, x""")
+def precision_recall(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.totals(_compared(spark, folder)).select("rel", "n_ok", "n_graph", "n_truth", F.round("precision", 9).alias("precision"), F.round("coverage", 9).alias("coverage"))
+
+
+@query("""SELECT tipo, equipo, inicio, fin FROM (SELECT 'entrenador' AS tipo, 'Q' || CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ' team' END AS equipo, strftime(o_orderdate, '%Y') AS inicio, '' AS fin FROM orders WHERE o_orderstatus = 'F'
+ UNION ALL SELECT 'jugador', o_orderpriority, strftime(o_orderdate, '%Y'), strftime(o_orderdate, '%Y') FROM orders WHERE o_orderstatus = 'O') WHERE NOT regexp_matches(equipo, '^Q[0-9]+$')""")
+def career_union(spark: SparkSession, folder: str) -> DataFrame:
+    o = tables.read(spark, folder, "orders")
+    date = F.col("o_orderdate").cast("string")
+    team = F.concat(F.lit("Q"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(" team"))
+    first = o.where("o_orderstatus = 'F'").select(team.alias("equipo"), date.alias("inicio"), F.lit(None).cast("string").alias("fin"))
+    second = o.where("o_orderstatus = 'O'").select(F.col("o_orderpriority").alias("equipo"), date.alias("inicio"), date.alias("fin"))
+    return audit.career(first, second, ("entrenador", "jugador"))
+
+
+@query("SELECT o_orderstatus AS rel, c_name AS persona, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS equipos FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
+def truth_lists(spark: SparkSession, folder: str) -> DataFrame:
+    o, c = tables.read(spark, folder, "orders"), tables.read(spark, folder, "customer")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderstatus").alias("rel"), F.col("c_name").alias("persona"), F.col("o_orderpriority").alias("equipo"))
+    return audit.truth_lists(rows).select("rel", "persona", F.array_join("equipos", "|").alias("equipos"))
+
+
+@query(f"""WITH {_NODES}, {_EDGES}, e AS (SELECT * FROM edges WHERE rel IN ('LOCATED_IN', 'PART_OF', 'MADE_BY')), d AS (SELECT id, count(*) AS grado FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
+SELECT id, tipo, grado, grado >= 3 AS destacado FROM d JOIN nodes USING (id)""")
+def site_payload(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.star(spark, folder, [*tables.HIERARCHY, "MADE_BY"])
+    return export.site_nodes(export.site_edges(g, [*tables.HIERARCHY, "MADE_BY"]))
+
+
+@query("SELECT doc_id, 'src' || (doc_id % 10) AS fuente FROM documents WHERE doc_id % 10 >= 4")
+def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    files = tables.read(spark, folder, "documents").select("doc_id", F.concat(F.lit("src"), (F.col("doc_id") % 10).cast("string")).alias("fuente"))
+    done = spark.createDataFrame([(f"src{i}",) for i in range(4)], "fuente string")
+    return pending(files, done).select("doc_id", "fuente")
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Question -> detected entities -> neighbourhood and shortest path -> context rows."""
+    return graph_context(spark, folder)
