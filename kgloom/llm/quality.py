@@ -123,7 +123,7 @@ def judged(docs: DataFrame, least: float = 0.5) -> DataFrame:
     votes = rules()
     voted = keep(found.select("*", failed.alias("base_failed"), *(v.cast("int").alias(f"vote_{k}") for k, v in votes.items())))
     names = [f"vote_{k}" for k in votes]
-    counts = [(tuple(r[:-1]), r[-1]) for r in sorted(voted.groupBy(*names).count().collect())]
+    counts = [(tuple(r[:-1]), r[-1]) for r in sorted(voted.groupBy(*names).count().collect())] or [((0,) * len(names), 0)]
     share, table = fit(counts)
     logit = F.lit(math.log(share / (1 - share)))
     for name, t in zip(names, table, strict=True):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, tune
 
-SHARDS, RANGES, RANGE_BYTES, SAMPLES, OVERFULL = 16, 128, 4 << 30, 16, 2.0
+SHARDS, RANGES, RANGE_BYTES, SAMPLES, OVERFULL, LEVEL = 16, 128, 4 << 30, 16, 2.0, 0.002
 
 Key = tuple  # (hash, has doc_id, doc_id, row)
 
@@ -74,6 +74,18 @@ def _assign(sums: list[tuple[int, int, int]], shards: int) -> list[tuple[int, in
         k = min(range(shards), key=lambda s: (load[s], s))
         shard_of[r] = k
         load[k] += b
+    # What one large range has upset is levelled by ranges that fit between the heaviest and the lightest shard.
+    size = {r: b for r, b, _ in sums}
+    for _ in range(len(sums)):
+        heavy, light = max(range(shards), key=lambda s: (load[s], s)), min(range(shards), key=lambda s: (load[s], s))
+        gap = load[heavy] - load[light]
+        fits = [r for r, s in shard_of.items() if s == heavy and 0 < size[r] < gap]
+        if gap * shards <= LEVEL * total or not fits:
+            break
+        r = min(fits, key=lambda r: (abs(2 * size[r] - gap), r))
+        shard_of[r] = light
+        load[heavy] -= size[r]
+        load[light] += size[r]
     slots, out = [0] * shards, []
     for r, _, n in sums:
         out.append((r, shard_of[r], slots[shard_of[r]]))
