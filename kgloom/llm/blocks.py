@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, tune
+from .common import shared_dir, tidy, tune
 
-TARGET = 4 << 20
+TARGET = 2 << 20
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -80,6 +80,7 @@ def sent(blocks: DataFrame, hashes: Callable) -> DataFrame:
 
     found is None, or what `answered` brought: the hashes of the block that were found elsewhere too."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):

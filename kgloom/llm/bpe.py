@@ -29,11 +29,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import each, texts_of, tune
+from .common import each, texts_of, tidy, tune
 
 #: Fixed value: the pre-token pattern of byte-level BPE files of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 300_000
+CACHED, MOST_PAIRS = 150_000, 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -120,6 +120,8 @@ class Encoder:
                     i += 1
                 else:
                     j += 1
+            if len(self.fits) >= MOST_PAIRS:
+                self.fits.clear()
             self.fits[left, right] = known
         return known
 
@@ -241,16 +243,6 @@ class Codec:
         self.decimal = [str(i) for i in range(v.size)]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(source: str) -> Codec:
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS[key] = Codec(source)
-    return _CODECS[key]
-
-
 def read_file(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -284,8 +276,9 @@ def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = tuple(OUTPUTS
     source = spark.sparkContext.broadcast(read_file(path))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(source.value)
-        return each(batches, lambda b: pa.RecordBatch.from_arrays([b.column(0), *_columns(c, [x.decode() for x in texts_of(b)], outputs)], names=["doc_id", *outputs]))
+        c = Codec(source.value)  # of this task: a second or so, and nothing stays in the worker
+        yield from each(batches, lambda b: pa.RecordBatch.from_arrays([b.column(0), *_columns(c, [x.decode() for x in texts_of(b)], outputs)], names=["doc_id", *outputs]))
 
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{k} {OUTPUTS[k]}" for k in outputs)]))

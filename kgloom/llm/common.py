@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,15 +58,6 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def words(text: bytes) -> list[bytes]:
-    """Runs of bytes other than 0x20 and 0x09-0x0D: exactly what bytes.split() cuts at."""
-    return text.split()
-
-
-def code_words(pattern: str, text: str) -> list[str]:
-    return re.findall(pattern, text)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit values (shift and multiply rounds)."""
     x = x ^ (x >> np.uint64(31))
@@ -179,3 +172,23 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and stops of the runs of True."""
     turn = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
     return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back at a task's end: Python workers live on between tasks, and
+    what one stage leaves in them would stand in the way of the next."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            Rolling._up = Rolling._down = np.zeros(0, dtype=np.uint64)
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library: memory stays with the worker
+                pass
+
+    return whole

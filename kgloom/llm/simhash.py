@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, each, keep, mix, texts_of, tune, written
+from .common import LOWER, each, keep, mix, texts_of, tidy, tune, written
 from .components import components
 
 SHINGLE, RADIUS, SEGMENTS, BITS, PIVOTS, HOT = 3, 2, 4, 16, 12, 64
@@ -217,8 +217,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # --- Near-duplicates by similarity: many lanes of 64 bits ---------------------------------------------------------------
 
-#: Lanes of 64 bits; segments of a lane and their bits; lanes of the sketch that travels with each key; its references.
-LANES, LANE_SEGMENTS, SEGMENT_BITS, SKETCH, SKETCH_PIVOTS, SIMILAR_HOT = 22, 3, 20, 4, 8, 4096
+#: Lanes of 64 bits; keys and the bits of each; lanes of the sketch that is compared first, and its references.
+LANES, KEYS, KEY_BITS, SKETCH, SKETCH_PIVOTS, SIMILAR_HOT = 22, 100, 22, 4, 8, 4096
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -237,22 +237,26 @@ def wide_fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
 
 
 class _Wide:
-    """Pivot tables of the wide fingerprints: distance vectors of a segment's values, and references for sketches."""
+    """Pivot tables of the wide fingerprints: distance vectors of samples of their bits, and references for sketches."""
 
     def __init__(self, pivots: int = PIVOTS, seed: int = 6):
         rng = np.random.default_rng(seed)
-        values = np.arange(1 << SEGMENT_BITS, dtype=np.uint64)
-        self.packed = np.zeros(1 << SEGMENT_BITS, dtype=np.uint64)
-        for p, ref in enumerate(rng.integers(0, 1 << SEGMENT_BITS, pivots, dtype=np.uint64)):
+        self.sample = np.stack([rng.choice(LANES * 64, KEY_BITS, replace=False) for _ in range(KEYS)])
+        self.half = KEY_BITS // 2
+        values = np.arange(1 << self.half, dtype=np.uint64)
+        self.packed = np.zeros(1 << self.half, dtype=np.uint64)
+        for p, ref in enumerate(rng.integers(0, 1 << self.half, pivots, dtype=np.uint64)):
             self.packed |= np.bitwise_count(values ^ ref).astype(np.uint64) << np.uint64(5 * p)
         self.references = rng.integers(0, 2**64, (SKETCH_PIVOTS, SKETCH), dtype=np.uint64)
 
     def keys(self, fp: np.ndarray) -> np.ndarray:
+        """For each sample of bits the distance vectors of its two halves to the references, as one hash."""
+        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+        weight = 1 << np.arange(self.half)
         out = []
-        for lane in range(LANES):
-            for s in range(LANE_SEGMENTS):
-                seg = ((fp[:, lane] >> np.uint64(SEGMENT_BITS * s)) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
-                out.append(mix(self.packed[seg] * np.uint64(3) + np.uint64(LANE_SEGMENTS * lane + s)))
+        for k, places in enumerate(self.sample):
+            low, high = bits[:, places[: self.half]] @ weight, bits[:, places[self.half :]] @ weight
+            out.append(mix(mix(self.packed[low] + np.uint64(2 * k)) * np.uint64(3) + mix(self.packed[high] + np.uint64(2 * k + 1))))
         return np.stack(out, axis=1)
 
     def coordinates(self, sketch: np.ndarray) -> np.ndarray:
@@ -288,10 +292,12 @@ def _nearest(key: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray
 def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int = SIMILAR_HOT) -> DataFrame:
     """Distinct wide fingerprints (id, lanes) -> verified links (a, b).
 
-    A document meets those that share a segment's distance vector (66 segments of 20 bits: two documents of similarity 0.8
-    meet in one or more with probability 0.92, of 0.85 with 0.98, of 0.9 with 0.999). Within a bucket the pivot table of the
-    sketches (256 bits) discards, the sketches pick each document's nearest earlier one, and all lanes verify it. A bucket of
-    more than `hot` documents is cut by the next segment of its documents, so that no task compares more than that."""
+    A document meets those that share the distance vectors of a sample of 22 bits (of 100 samples two documents of
+    similarity 0.8 share one or more with probability 0.94, of 0.85 with 0.99, of 0.9 with 0.9997). Within a bucket the pivot
+    table of the sketches (256 bits) discards, the sketches pick each document's nearest earlier one, and all lanes verify it.
+    A bucket of more than `hot` documents is cut by the next sample of its documents, so that no task compares more than
+    that. Buckets fill up with chance meetings in proportion to the number of documents over 2 ** KEY_BITS: for corpora far
+    beyond some million documents KEY_BITS is to be raised by their logarithm, and KEYS with it."""
     share = differing_share(similarity)
     sketch_bits, all_bits = SKETCH * 64, LANES * 64
     loose = int(sketch_bits * (share + 2.5 * np.sqrt(share * (1 - share) / sketch_bits)))
@@ -302,9 +308,7 @@ def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int =
         def make(b):
             fp = as_matrix(b.column(1), LANES)
             k = _wide().keys(fp)
-            n = k.shape[1]
-            sketches = [x[: 8 * SKETCH] for x in b.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.roll(k, -1, axis=1).reshape(-1).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(fp)), n))), pa.array(sketches, pa.binary()).take(pa.array(np.repeat(np.arange(len(fp)), n)))], names=["key", "further", "id", "sketch"])
+            return pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(fp)), k.shape[1])))], names=["key", "id"])
 
         return each(batches, make)
 
@@ -331,10 +335,12 @@ def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int =
 
         return each(batches, make)
 
-    rows = prints.select("id", "lanes").mapInArrow(keyed, "key bigint, further bigint, id bigint, sketch binary")
+    rows = prints.select("id", "lanes").mapInArrow(keyed, "key bigint, id bigint")
     sizes = rows.groupBy("key").count().where("count > 1")
-    split = rows.join(sizes, "key").withColumn("key", F.when(F.col("count") > hot, F.xxhash64("key", "further")).otherwise(F.col("key")))
-    pairs = split.select("key", "id", "sketch").repartition("key").sortWithinPartitions("key", "id").mapInArrow(compared, "a bigint, b bigint").distinct()
+    met = keep(rows.join(sizes, "key"))  # few of all rows: the others share no key
+    sketch = prints.select("id", F.expr(f"substring(lanes, 1, {8 * SKETCH})").alias("sketch"), F.expr("xxhash64(substring(lanes, 33, 2))").alias("further"))
+    cut = met.join(sketch, "id").withColumn("key", F.when(F.col("count") > hot, F.xxhash64("key", "further")).otherwise(F.col("key")))
+    pairs = cut.select("key", "id", "sketch").repartition("key").sortWithinPartitions("key", "id").mapInArrow(compared, "a bigint, b bigint").distinct()
     lanes = lambda name: prints.select(F.col("id").alias(name), F.col("lanes").alias(f"lanes_{name}"))
     return pairs.join(lanes("a"), "a").join(lanes("b"), "b").select("a", "b", "lanes_a", "lanes_b").mapInArrow(verified, "a bigint, b bigint")
 
@@ -347,6 +353,7 @@ def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: f
     tune(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def prints(batches):
         def make(b):
             texts = texts_of(b)
@@ -354,7 +361,7 @@ def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: f
             id_ = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in lanes], pa.int64())
             return pa.RecordBatch.from_arrays([b.column(0), id_, pa.array([x.astype("<u8").tobytes() for x in lanes], pa.binary()), pa.array(fingerprints_of(texts).view(np.int64)), b.column(2)], names=["doc_id", "id", "lanes", "fp", "text_hash"])
 
-        return each(batches, make)
+        yield from each(batches, make)
 
     # One row a document: its narrow fingerprint, and the hash of its wide one as a node.
     hashed = docs.select("doc_id", "text", F.xxhash64(F.lit(8), F.coalesce("text", F.lit(""))).alias("text_hash"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import anchors, answered, blocked, column, found_of, joined, sent, texts, within
-from .common import SPACE, Rolling, Words, covered, runs
+from .common import SPACE, Rolling, Words, covered, runs, tidy
 
 WINDOW = 35
 
@@ -108,6 +108,7 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
@@ -129,6 +130,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n_chars, if there, is set to the new length."""
     names = docs.columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):

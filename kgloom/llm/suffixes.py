@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import anchors, answered, blocked, column, found_of, joined, within
-from .common import Rolling, byte_values, covered, keep, mix, runs
+from .common import Rolling, byte_values, covered, keep, mix, runs, tidy
 
 LENGTH, GRAM, CROWD = 100, 32, 20_000
 _BYTES = byte_values(23)
@@ -80,6 +80,7 @@ def _rows_of(x: Segments, some: np.ndarray, block: int) -> list[pa.Array]:
 def _segments(blocks: DataFrame, length: int, kind: str) -> DataFrame:
     """(g, c, doc_id, block, seq, pos) of the segments whose gram is found elsewhere, the first of each content in a block."""
 
+    @tidy
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
@@ -158,6 +159,7 @@ def _list(b: pa.RecordBatch, name: str, k: int) -> np.ndarray:
 def _contexts(blocks: DataFrame, length: int, kind: str) -> DataFrame:
     """(g, c, doc_id, block, seq, pos, left, bytes) of the asked segments; left: bytes before the anchor."""
 
+    @tidy
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
@@ -287,6 +289,7 @@ def _judged(docs: DataFrame, length: int, crowd: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = blocked(docs)
 
+    @tidy
     def grams(batches):
         for b in batches:
             for k in range(b.num_rows):
@@ -308,6 +311,7 @@ def removed(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, each, mix, texts_of, tune
+from .common import Rolling, each, mix, texts_of, tidy, tune
 
 BUCKET_BITS, SIZES, WIDTH = 18, (3, 4, 5, 6), 6
 TRAIN_DOCS, TRAIN_WORDS, LEAST_Z, LEAST_DOCS, MOST_VECTORS = 6000, 4000, 6.0, 5, 4000
 STEPS, RATE, DECAY, SEED = 200, 0.02, 1e-3, 13
-THRESHOLD, CACHED = 0.7, 300_000
+THRESHOLD, CACHED = 0.7, 150_000
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +169,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mod
     shared = spark.sparkContext.broadcast(model or fitted(docs, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        return each(batches, lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.scores([x.decode() for x in texts_of(b)]))], names=["doc_id", "score"]))
+        yield from each(batches, lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.scores([x.decode() for x in texts_of(b)]))], names=["doc_id", "score"]))
 
     found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -183,6 +184,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     shared = spark.sparkContext.broadcast(fitted(docs, labels))
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for b in batches:

@@ -25,7 +25,7 @@ def samples():
 
 
 def test_ids_equal_the_library(library):
-    c = bpe.codec(bpe.read_file(PATH))
+    c = bpe.Codec(bpe.read_file(PATH))
     texts = samples()
     for t, mine, theirs in zip(texts, c.pieces.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert mine.tolist() == theirs.ids, t
