@@ -31,7 +31,8 @@ Extractor = Callable[[str], list[Triple]]
 class PatternExtractor:
     """Names in capital letters around a phrase that stands for a relation, with the types that the schema gives its ends."""
 
-    NAME = r"([A-ZÁÉÍÓÚÑÜ][\w.'-]*(?:\s+(?:de|del|la|los|y|[A-ZÁÉÍÓÚÑÜ][\w.'-]*))*)"
+    CAPITAL = r"(?:[A-ZÁÉÍÓÚÑÜ]\.|[A-ZÁÉÍÓÚÑÜ][\w'-]*)"  # a word or an initial with its dot
+    NAME = rf"({CAPITAL}(?:\s+(?:de|del|la|los|y|{CAPITAL}))*)"
 
     def __init__(self, phrases: dict[str, tuple[str, str, str]]):
         """phrases: words between two names -> (source type, relation, target type)."""
