@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 # --- Near-duplicates by similarity: many lanes of 64 bits ---------------------------------------------------------------
 
 #: Lanes of 64 bits; keys and the bits of each; lanes of the sketch that is compared first, and its references.
-LANES, KEYS, KEY_BITS, SKETCH, SKETCH_PIVOTS, SIMILAR_HOT = 22, 100, 22, 4, 8, 4096
+LANES, KEYS, KEY_BITS, SKETCH, SKETCH_PIVOTS, SIMILAR_HOT = 22, 140, 24, 4, 8, 4096
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -292,8 +292,8 @@ def _nearest(key: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray
 def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int = SIMILAR_HOT) -> DataFrame:
     """Distinct wide fingerprints (id, lanes) -> verified links (a, b).
 
-    A document meets those that share the distance vectors of a sample of 22 bits (of 100 samples two documents of
-    similarity 0.8 share one or more with probability 0.94, of 0.85 with 0.99, of 0.9 with 0.9997). Within a bucket the pivot
+    A document meets those that share the distance vectors of a sample of 24 bits (of 140 samples two documents of
+    similarity 0.8 share one or more with probability 0.94, of 0.85 with 0.99, of 0.9 with 0.9999). Within a bucket the pivot
     table of the sketches (256 bits) discards, the sketches pick each document's nearest earlier one, and all lanes verify it.
     A bucket of more than `hot` documents is cut by the next sample of its documents, so that no task compares more than
     that. Buckets fill up with chance meetings in proportion to the number of documents over 2 ** KEY_BITS: for corpora far
@@ -335,11 +335,37 @@ def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int =
 
         return each(batches, make)
 
+    def shared(batches):
+        """Rows sorted by key -> those whose key others have too, and whether it has more than `hot`; of a key at most so many
+        rows are held back."""
+        key, ids, crowded = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
+
+        def out(k, i):
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            n = np.diff(np.concatenate([first, [len(k)]]))
+            n[k[first] == crowded] += hot + 1
+            n = np.repeat(n, np.diff(np.concatenate([first, [len(k)]])))
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(n > hot)], names=["key", "id", "crowded"]).filter(pa.array(n > 1))
+
+        for x in batches:
+            key, ids = np.concatenate([key, x.column(0).to_numpy(zero_copy_only=False)]), np.concatenate([ids, x.column(1).to_numpy(zero_copy_only=False)])
+            if not len(key):
+                continue
+            at = int(np.searchsorted(key, key[-1]))
+            if len(key) - at > hot:
+                yield out(key, ids)
+                crowded, key, ids = key[-1], key[:0], ids[:0]
+            elif at:
+                yield out(key[:at], ids[:at])
+                key, ids = key[at:], ids[at:]
+        if len(key):
+            yield out(key, ids)
+
     rows = prints.select("id", "lanes").mapInArrow(keyed, "key bigint, id bigint")
-    sizes = rows.groupBy("key").count().where("count > 1")
-    met = keep(rows.join(sizes, "key"))  # few of all rows: the others share no key
+    ordered = rows.repartition("key").sortWithinPartitions("key")
+    met = keep(ordered.mapInArrow(shared, "key bigint, id bigint, crowded boolean"))  # few of all rows
     sketch = prints.select("id", F.expr(f"substring(lanes, 1, {8 * SKETCH})").alias("sketch"), F.expr("xxhash64(substring(lanes, 33, 2))").alias("further"))
-    cut = met.join(sketch, "id").withColumn("key", F.when(F.col("count") > hot, F.xxhash64("key", "further")).otherwise(F.col("key")))
+    cut = met.join(sketch, "id").withColumn("key", F.when(F.col("crowded"), F.xxhash64("key", "further")).otherwise(F.col("key")))
     pairs = cut.select("key", "id", "sketch").repartition("key").sortWithinPartitions("key", "id").mapInArrow(compared, "a bigint, b bigint").distinct()
     lanes = lambda name: prints.select(F.col("id").alias(name), F.col("lanes").alias(f"lanes_{name}"))
     return pairs.join(lanes("a"), "a").join(lanes("b"), "b").select("a", "b", "lanes_a", "lanes_b").mapInArrow(verified, "a bigint, b bigint")

@@ -44,6 +44,11 @@ def test_crowded_buckets_are_split(spark):
         rows.append((i, " ".join(x)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in simhash.first_of_each(docs).collect()] == [0]
+    lanes = simhash.wide_fingerprints_of([t.encode() for _, t in rows], 5)
+    prints = spark.createDataFrame([(i, bytearray(x.astype("<u8").tobytes())) for i, x in enumerate(lanes)], "id long, lanes binary")
+    for hot in (3, 30, 4096):
+        roots = {r.node: r.root for r in simhash.components(simhash.similar_links(prints, hot=hot)).collect()}
+        assert roots == dict.fromkeys(range(120), 0)
 
 
 def test_pipeline_runs_over_all_stages(spark, tmp_path):
