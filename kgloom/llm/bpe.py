@@ -17,10 +17,10 @@ their ids, as the tokenizers library does by default. Repeated rows are returned
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -29,11 +29,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import each, texts_of, tidy, tune
+from .common import Rolling, each, texts_of, tidy, tune
 
 #: Fixed value: the pre-token pattern of byte-level BPE files of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED, MOST_PAIRS = 150_000, 200_000
+TABLE_BITS, TABLE_IDS, MOST_PAIRS = 21, 6_000_000, 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -43,12 +43,53 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def latin_pattern() -> str:
-    """PATTERN for texts of Latin-1 characters alone, with its classes written out, for the faster `re`."""
-    chars = [chr(i) for i in range(256)]
-    of = lambda kind: "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == kind)
-    letters, numbers, blanks = of("L"), of("N"), "\t-\r \x85\xa0"
-    return PATTERN.replace(r"\s\p{L}\p{N}", blanks + letters + numbers).replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{blanks}]").replace(r"\S", f"[^{blanks}]")
+#: Classes of characters: other, letter, number, white space.
+OTHER, LETTER, NUMBER, SPACE = range(4)
+APOSTROPHE, BLANK = ord("'"), ord(" ")
+
+
+@functools.cache
+def character_classes() -> np.ndarray:
+    """The class of each code point, as the pattern's own classes have it."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        for run in regex.findall(name + "+", every):
+            found = np.frombuffer(run.encode("utf-32-le"), dtype="<u4")
+            out[found] = kind
+    return out
+
+
+def cut_pieces(codes: np.ndarray, text_start: np.ndarray) -> np.ndarray:
+    """Starts of the pre-tokens of many texts, laid end to end as code points: where PATTERN would begin its matches.
+
+    A pre-token is a run of one class with one blank before it; of white space before other characters the last one stands
+    alone or, if it is a blank, goes with them; an apostrophe that begins a match takes its contraction with it."""
+    n = len(codes)
+    kind = character_classes()[codes]
+    opens = np.zeros(n + 1, dtype=bool)  # a text begins here; the end counts as one
+    opens[text_start] = opens[n] = True
+    start = opens[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # The last white space before other characters of the same text.
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~opens[1:n])
+    start[last] = True
+    start[last + 1] = codes[last] != BLANK
+    # Contractions: an apostrophe that begins a match, and letters of the same text after it.
+    at = np.flatnonzero((codes == APOSTROPHE) & start)
+    if len(at):
+        after = lambda k: np.where(at + k < n, codes[np.minimum(at + k, n - 1)], 0)
+        joint = lambda k: ~opens[np.minimum(at + k, n)]
+        one, two = after(1), after(2)
+        is_ = lambda c, letters: np.isin(c, [ord(x) for x in letters])
+        short = joint(1) & is_(one, "stmd")
+        long = joint(1) & joint(2) & ~short & (((is_(one, "rv") & is_(two, "e")) | (is_(one, "l") & is_(two, "l"))))
+        for some, size in ((at[short], 2), (at[long], 3)):
+            start[some + 1] = False
+            end = some + size
+            end = end[end < n]
+            start[end[kind[end] == LETTER]] = True
+    return np.flatnonzero(start)
 
 
 class Vocabulary:
@@ -163,57 +204,78 @@ class Encoder:
 
 
 class Pieces:
-    """Pre-tokens with a cache of their ids. `many` encodes new pre-tokens, each to little-endian unsigned 32-bit ids."""
+    """Pre-tokens of many texts at once, and a table of the ids of those met before.
 
-    def __init__(self, special: dict[str, int], many: Callable[[list[str]], list[bytes]], cached: int = CACHED):
-        self.many, self.cached = many, cached
-        self.find, self.find_latin = regex.compile(PATTERN).findall, re.compile(latin_pattern()).findall
+    `many` encodes new pre-tokens, each to little-endian unsigned 32-bit ids. The table is an array with two places for each
+    64-bit hash; a pre-token that finds neither is encoded, and takes the first if that is free, else the second. It is
+    emptied when it holds `most` ids or more."""
+
+    def __init__(self, special: dict[str, int], many: Callable[[list[str]], list[bytes]], bits: int = TABLE_BITS, most: int = TABLE_IDS):
+        self.many, self.bits, self.most = many, bits, most
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
         self.special = special
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def split(self, text: str) -> list[str]:
-        find = self.find_latin
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                find = self.find
-        if self.cut is None or not any(s in text for s in self.special):
-            return find(text)
-        out: list[str] = []
-        for k, part in enumerate(self.cut(text)):
-            out += [part] if k % 2 else find(part)
-        return out
+        self._empty()
+
+    def _empty(self) -> None:
+        self.key = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.begin, self.size = np.zeros(1 << self.bits, dtype=np.int32), np.zeros(1 << self.bits, dtype=np.int32)
+        self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = np.uint64(64 - self.bits)
+        return (h >> top).astype(np.int64), ((h << np.uint64(self.bits)) >> top).astype(np.int64)
+
+    def _learn(self, h: np.ndarray, encoded: list[bytes]) -> np.ndarray:
+        """Put new pre-tokens into the table; their places among the ids."""
+        size = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
+        new = np.frombuffer(b"".join(encoded), dtype="<u4")
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), dtype="<u4")])
+        self.ids[self.used : self.used + len(new)] = new
+        begin = self.used + np.cumsum(size) - size
+        self.used += len(new)
+        one, two = self._places(h)
+        at = np.where(self.key[one] == 0, one, two)
+        at, first = np.unique(at, return_index=True)  # of several for one place the first takes it
+        self.key[at], self.begin[at], self.size[at] = h[first], begin[first], size[first]
+        return np.stack([begin, size])
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        text_start = np.cumsum(length) - length
+        line = "".join(texts)
+        if not line:
+            return [np.zeros(0, dtype="<u4") for _ in texts]
+        codes = np.frombuffer(line.encode("utf-32-le"), dtype="<u4")
+        start = cut_pieces(codes, text_start[length > 0])
+        stop = np.append(start[1:], len(codes))
+        h = Rolling(codes.astype(np.uint64) + np.uint64(1)).windows(start, stop)
+        h[h == 0] = 1
+        if self.used >= self.most:
+            self._empty()
+        one, two = self._places(h)
+        in_one, in_two = self.key[one] == h, self.key[two] == h
+        place = np.where(in_one, one, two)
+        begin, size = self.begin[place].astype(np.int64), self.size[place].astype(np.int64)
+        missed = np.flatnonzero(~(in_one | in_two))
+        if len(missed):
+            new, first, again = np.unique(h[missed], return_index=True, return_inverse=True)
+            where = missed[first]
+            pieces = [line[a:b] for a, b in zip(start[where].tolist(), stop[where].tolist(), strict=True)]
+            begin[missed], size[missed] = self._learn(new, self.many(pieces))[:, again]
+        end = np.cumsum(size)
+        ids = self.ids[np.arange(end[-1]) + np.repeat(begin - (end - size), size)]
+        bounds = np.concatenate([[0], end])[np.searchsorted(start, np.append(text_start, len(codes)))]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """ids of each text as little-endian unsigned 32-bit integers."""
-        young, old, new, gaps = self.young, self.old, {}, []
-        get = young.get
-        cut = [self.split(t) for t in texts]
-        ids = [list(map(get, c)) for c in cut]
-        for pieces, found in zip(cut, ids, strict=True):
-            at, n = -1, found.count(None)
-            for _ in range(n):
-                at = found.index(None, at + 1)
-                piece = pieces[at]
-                if (got := young.get(piece)) is None and (got := old.get(piece)) is not None:
-                    young[piece] = got
-                if got is None:
-                    new[piece] = None
-                    gaps.append((found, at, piece))
-                else:
-                    found[at] = got
-        plain = [p for p in new if p not in self.special]
-        new.update(zip(plain, self.many(plain), strict=True))
-        new.update((p, np.array([self.special[p]], dtype="<u4").tobytes()) for p in new if p in self.special)
-        for found, at, piece in gaps:
-            found[at] = new[piece]
-        young.update(new)
-        if len(young) > self.cached:
-            self.old, self.young = young, {}
-        return [np.frombuffer(b"".join(x), dtype="<u4") for x in ids]
+        if self.cut is None or not any(s in t for t in texts for s in self.special):
+            return self._encode_plain(texts)
+        parts = [self.cut(t) for t in texts]
+        plain = iter(self._encode_plain([p for c in parts for p in c[::2]]))
+        mark = lambda p: np.array([self.special[p]], dtype="<u4")
+        return [np.concatenate([mark(p) if k % 2 else next(plain) for k, p in enumerate(c)]) for c in parts]
 
 
 class OffsetTable:
