@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, Words, covered, each, runs, texts_of, tune, written
+from .common import PUNCT, Rolling, Words, covered, each, runs, texts_of, tune, written
 
 NGRAM = 10
 BROADCAST_BYTES = 64 << 20
@@ -55,8 +55,6 @@ class Grams:
         self.by_length = {}
         for n, found in lengths.items():
             w = Words(sorted(found), PUNCT, lower=True)
-            from .common import Rolling
-
             hashes = np.unique(Rolling(w.hash).windows(w.first[:-1], w.first[1:]))
             sieve = np.zeros(1 << self.BITS, dtype=bool)
             sieve[hashes >> np.uint64(64 - self.BITS)] = True
@@ -64,8 +62,6 @@ class Grams:
 
     def find(self, w: Words) -> list[tuple[int, int, frozenset]]:
         """Verified occurrences: first word, word after the last, items."""
-        from .common import Rolling
-
         rolling, out = Rolling(w.hash), []
         for n, (hashes, sieve) in self.by_length.items():
             at = w.inside(n)
@@ -133,10 +129,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, broadcast_by
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SPANS}")
 
 
-def _scan_by_join(docs: DataFrame, benchmark: DataFrame, ngram: int) -> DataFrame:
-    """The same for a benchmark of any size: windows as rows, joined on their words."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    base = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+def _hits_by_join(base: DataFrame, benchmark: DataFrame, ngram: int) -> DataFrame:
+    """base (__row, text) -> (__row, found, items) for a benchmark of any size: windows as rows, joined on their words."""
 
     def grams(batches):
         for b in batches:
@@ -153,49 +147,67 @@ def _scan_by_join(docs: DataFrame, benchmark: DataFrame, ngram: int) -> DataFram
             for n in lengths:
                 for part in np.array_split(w.inside(n), len(w.inside(n)) // 20000 + 1):
                     at = part.tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([rows[w.text[i]] for i in at], pa.int64()), pa.array([i - int(w.first[w.text[i]]) for i in at], pa.int64()), pa.array([w.joined(i, i + n) for i in at], pa.binary()), pa.array([n] * len(at), pa.int32())], names=["row", "at", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[w.text[i]] for i in at], pa.int64()), pa.array([i - int(w.first[w.text[i]]) for i in at], pa.int64()), pa.array([w.joined(i, i + n) for i in at], pa.binary()), pa.array([n] * len(at), pa.int32())], names=["__row", "at", "gram", "n"])
 
     by_gram = items.groupBy("gram", "n").agg(F.collect_set("item").alias("items"))
-    hits = base.select("row", "text").mapInArrow(windows, "row bigint, at bigint, gram binary, n int").join(by_gram, ["gram", "n"])
-    per = hits.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("found"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = base.select("__row", "text").mapInArrow(windows, "__row bigint, at bigint, gram binary, n int").join(by_gram, ["gram", "n"])
+    return hits.groupBy("__row").agg(F.collect_list(F.struct("at", "n")).alias("__found"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("__items"))
+
+
+def _joined_hits(texts: list[bytes], found: list, items: list):
+    """What _judge gives, from joined hits."""
+    w = Words(texts, PUNCT, lower=True)
+    hit, names = np.zeros(len(w.start), dtype=bool), {}
+    for k, (some, listed) in enumerate(zip(found, items, strict=True)):
+        for x in some or ():
+            hit[w.first[k] + x["at"] : w.first[k] + x["at"] + x["n"]] = True
+        names[k] = set(listed or ())
+    return w, hit, names
+
+
+def _scan_by_join(docs: DataFrame, benchmark: DataFrame, ngram: int) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    base = written(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text"))
 
     def finish(batches):
         for b in batches:
-            w = Words(texts_of(b), PUNCT, lower=True)
-            hit, items = np.zeros(len(w.start), dtype=bool), {}
-            for k, (found, names) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                for x in found or ():
-                    hit[w.first[k] + x["at"] : w.first[k] + x["at"] + x["n"]] = True
-                items[k] = set(names or ())
-            n_words, n_hit, spans, listed = _spans(w, hit, items)
+            n_words, n_hit, spans, listed = _spans(*_joined_hits(texts_of(b), b.column(2).to_pylist(), b.column(3).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _STRUCT), pa.array(listed, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "spans", "items"])
 
-    return base.join(per, "row", "left").select("doc_id", "text", "found", "items").mapInArrow(finish, f"doc_id {kind}, {SPANS}")
+    found = base.join(_hits_by_join(base, benchmark, ngram), "__row", "left").select("doc_id", "text", "__found", "__items")
+    return found.mapInArrow(finish, f"doc_id {kind}, {SPANS}")
+
 
+def _cut(text: bytes, spans: list) -> bytes:
+    out, last = [], 0
+    for s in spans:
+        out.append(text[last : s["start"]])
+        last = s["stop"]
+    return b"\n".join([*out, text[last:]])
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, most: float = 0.5) -> DataFrame:
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, most: float = 0.5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents with hit spans cut out of `text` (a line break takes their place); a document of which more than
     the share `most` of its words is hit goes. All columns stay; n_chars, if there, is set to the new length."""
     spark = tune(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(_grams(benchmark, ngram))
-    at = docs.columns.index("text")
-
-    def cut(text: bytes, spans: list) -> bytes:
-        out, last = [], 0
-        for s in spans:
-            out.append(text[last : s["start"]])
-            last = s["stop"]
-        return b"\n".join([*out, text[last:]])
+    at, names = docs.columns.index("text"), docs.columns
+    if small(benchmark, broadcast_bytes):
+        shared, source = spark.sparkContext.broadcast(_grams(benchmark, ngram)), docs
+    else:
+        base = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+        shared, source = None, base.join(_hits_by_join(base, benchmark, ngram), "__row", "left").select(*names, "__found", "__items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if x is None else x for x in b.column(at).cast(pa.binary()).to_pylist()]
-            n_words, n_hit, spans, _ = _spans(*_judge([x or b"" for x in texts], shared.value))
-            new = [t if not h else cut(t, s) for t, h, s in zip(texts, n_hit, spans, strict=True)]
-            columns = list(b.columns)
+            texts = b.column(at).cast(pa.binary()).to_pylist()
+            whole = [x or b"" for x in texts]
+            judged = _judge(whole, shared.value) if shared else _joined_hits(whole, b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist())
+            n_words, n_hit, spans, _ = _spans(*judged)
+            new = [t if not h else _cut(t, s) for t, h, s in zip(texts, n_hit, spans, strict=True)]
+            columns = list(b.columns[: len(names)])
             columns[at] = pa.array([None if x is None else x.decode() for x in new], pa.string())
             stays = pa.array([h <= most * n for n, h in zip(n_words, n_hit, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(stays)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(stays)
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = source.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

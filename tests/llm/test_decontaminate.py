@@ -53,6 +53,8 @@ def test_cleaned_cuts_spans_and_drops_benchmark_texts(spark):
     passage = " ".join(f"Item{i}" for i in range(14))
     rows = [(1, f"own words here, {passage}. And more own words follow it to the very end of this text, so that most of it stays.", 9), (2, passage, 9), (3, "clean  text", 9), (4, None, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
-    got = {r.doc_id: r for r in decontaminate.cleaned(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.cleaned(docs, bench).collect()}
+    assert got == {r.doc_id: r for r in decontaminate.cleaned(docs, bench, broadcast_bytes=0).collect()}
     assert set(got) == {1, 3, 4} and "Item5" not in got[1].text and got[1].text.startswith("own words here, \n.")
     assert got[3].text == "clean  text" and got[4].text is None and got[1].n_chars == len(got[1].text)
