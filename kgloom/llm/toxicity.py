@@ -6,7 +6,7 @@ of its words' vectors; a linear softmax over two classes follows. Embeddings and
 on the log loss. A misspelled word that was never seen keeps most of its n-grams, and with them its score.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1; of these, at most TRAIN_DOCS are fitted (the
-least by a hash of doc_id: a documented bound), and of a training text at most TRAIN_WORDS different words; every
+least by a hash of doc_id: a documented bound), and of a training text TRAIN_CHARS characters and TRAIN_WORDS different words; every
 document is scored over its whole text. For scoring, embeddings and softmax fold into one weight a bucket: a table of
 2 ** BUCKET_BITS floats is broadcast, whatever the input.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, each, mix, texts_of, tidy, tune
 
 BUCKET_BITS, SIZES, WIDTH = 18, (3, 4, 5, 6), 6
-TRAIN_DOCS, TRAIN_WORDS, LEAST_Z, LEAST_DOCS, MOST_VECTORS = 6000, 4000, 6.0, 5, 4000
+TRAIN_DOCS, TRAIN_WORDS, TRAIN_CHARS, LEAST_R, LEAST_Z, LEAST_DOCS, MOST_VECTORS = 8000, 4000, 200_000, 0.11, 5.0, 5, 2000
 STEPS, RATE, DECAY, SEED = 200, 0.02, 1e-3, 13
 THRESHOLD, CACHED = 0.7, 150_000
 
@@ -76,11 +76,11 @@ def _bags(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield bucket, np.bincount(at, weights=np.repeat(times / times.sum() / size, size))
 
 
-def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = SEED, least_z: float = LEAST_Z, decay: float = DECAY) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = SEED, least_r: float = LEAST_R, decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Weights by bucket and a bias: a document's log-odds are the bias and the mean over its words of their mean weight.
 
-    Buckets whose weights differ between the classes by less than `least_z` standard errors, or that fewer than LEAST_DOCS
-    training texts have, keep a zero vector; the others' vectors and the softmax are trained together."""
+    Buckets whose weights correlate with the label by less than `least_r` (or by less than LEAST_Z standard errors), or that
+    fewer than LEAST_DOCS training texts have, keep a zero vector; the others' vectors and the softmax are trained together."""
     share = sum(labels) / len(labels) if labels else 0.0
     out = np.zeros(1 << BUCKET_BITS, dtype=np.float32)
     if not 0 < share < 1:
@@ -94,7 +94,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
         docs[bucket] += 1
     spread = np.maximum(square - total * total / n, 1e-18)
     z = toward / np.sqrt(spread * share * (1 - share))
-    chosen = np.flatnonzero((np.abs(z) >= least_z) & (docs >= LEAST_DOCS))
+    chosen = np.flatnonzero((np.abs(z) >= max(LEAST_Z, least_r * np.sqrt(n))) & (docs >= LEAST_DOCS))
     chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MOST_VECTORS]])
     place = np.full(1 << BUCKET_BITS, -1)
     place[chosen] = np.arange(len(chosen))
@@ -158,7 +158,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[
     """A model from a bounded sample of the rows that may be learned from."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS).alias("text"), "label").collect()
     rows.sort(key=lambda r: str(r.doc_id))
     return train([r.text for r in rows], [int(r.label) for r in rows])
 
