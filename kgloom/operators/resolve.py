@@ -172,13 +172,13 @@ def keep_decisions(proposed: DataFrame, before: DataFrame) -> DataFrame:
 def approve(groups: DataFrame, approved: DataFrame, manual: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
     """Mark groups: exact keys and approved canonicals (column canonico) yes, rejected ones no; manual groups keep their flag, and
     those whose canonical is missing are added. Running it again changes nothing."""
-    yes = groups.join(F.broadcast(approved.select("canonico", F.lit(True).alias("__yes")).distinct()), "canonico", "left")
+    yes = groups.join(approved.select("canonico", F.lit(True).alias("__yes")).distinct(), "canonico", "left")
     ok = F.when(F.col("detector") == "manual", F.coalesce("aprobado", F.lit(False))).otherwise((F.col("detector") == "normalizacion") | F.coalesce("__yes", F.lit(False)))
     out = yes.withColumn("aprobado", ok).select(*groups.columns)
     if manual is not None:
         out = out.unionByName(manual.join(groups.where("detector = 'manual'").select("canonico"), "canonico", "left_anti").select(*groups.columns))
     if rejected is not None:
-        no = out.join(F.broadcast(rejected.select("canonico", F.lit(True).alias("__no")).distinct()), "canonico", "left")
+        no = out.join(rejected.select("canonico", F.lit(True).alias("__no")).distinct(), "canonico", "left")
         out = no.withColumn("aprobado", F.col("aprobado") & F.col("__no").isNull()).select(*groups.columns)
     return out
 

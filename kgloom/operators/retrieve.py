@@ -27,10 +27,21 @@ def index_coverage(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("total"), F.count("embedding").alias("con_vector"), first["n"].cast("long").alias("dimension"))
 
 
-def top_k(docs: DataFrame, vectors: DataFrame, k: int = D.TOP_K) -> DataFrame:
+BLOCK = 2000
+
+
+def top_k(docs: DataFrame, vectors: DataFrame, k: int = D.TOP_K, block: int = BLOCK) -> DataFrame:
     """vectors (question_id, vector), a stated set of questions, against all docs (doc_id, embedding): (question_id, doc_id, score,
-    rank), the k nearest by cosine (six digits), then by id. Docs aren't shuffled: the questions go to them, and of each question
-    every task keeps k rows before the window."""
+    rank), the k nearest by cosine (six digits), then by id. Docs aren't shuffled: the questions go to them, in blocks of about
+    `block` by a hash of their id, and of each question every task keeps k rows before the window."""
+    blocks = max(1, -(-vectors.count() // block))
+    one, *rest = (_top_k(docs, vectors.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i), k) for i in range(blocks))
+    for r in rest:
+        one = one.unionByName(r)
+    return one
+
+
+def _top_k(docs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     pairs = docs.where("embedding is not null").select("doc_id", "embedding").crossJoin(F.broadcast(vectors.where("vector is not null")))
     scored = pairs.select("question_id", "doc_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("score")).where("score is not null")
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
