@@ -15,7 +15,7 @@ from .operators.extract import PatternExtractor
 from .plans import answer as answers
 from .plans.doctor import doctor
 from .sources import files
-from .streaming.ingest import ingest
+from .streaming.ingest import ingest, ingest_some
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -57,7 +57,10 @@ def main(argv: list[str] | None = None) -> int:
             store.reset()
         with open(a.phrases, encoding="utf-8") as f:
             phrases = {k: tuple(v) for k, v in json.load(f).items()}
-        ingest(spark, a.corpus, store, PatternExtractor(phrases), f"{a.store}/checkpoint", a.limit)
+        if a.limit:
+            print(ingest_some(spark, a.corpus, store, PatternExtractor(phrases), a.limit))
+        else:
+            print(*ingest(spark, a.corpus, store, PatternExtractor(phrases), f"{a.store}/checkpoint"), sep="\n")
         graphs.type_counts(store.load()).orderBy(F.desc("n")).show()
         graphs.relation_counts(store.load()).orderBy(F.desc("n")).show()
         return 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import defaults as D
 from ..operators.extract import Extractor, extract
-from ..sources.files import GraphStore
+from ..sources.files import GraphStore, corpus
 
 
 def pending(files: DataFrame, done: DataFrame) -> DataFrame:
@@ -19,18 +19,33 @@ def pending(files: DataFrame, done: DataFrame) -> DataFrame:
     return files.join(done.select("fuente"), "fuente", "left_anti")
 
 
-def ingest(spark: SparkSession, folder: str, store: GraphStore, extractor: Extractor, checkpoint: str, files_per_batch: int | None = None, chars: int = D.DOCUMENT_CHARS) -> None:
-    """Read all *.txt files that are new since the last call, then stop."""
+def ingest(spark: SparkSession, folder: str, store: GraphStore, extractor: Extractor, checkpoint: str, files_per_batch: int | None = None, chars: int = D.DOCUMENT_CHARS) -> list[dict]:
+    """Read all *.txt files that are new since the last call, then stop; what each batch has found, in order."""
     reader = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.txt$", "")
     stream = reader.load(folder).select(name.alias("fuente"), F.substring("value", 1, chars).alias("text"))
+    found: list[dict] = []
 
-    def batch(corpus: DataFrame, number: int) -> None:
-        g, _, errors = extract(corpus.persist(), extractor)
-        store.upsert(g)
-        errors.write.mode("overwrite").parquet(f"{store.folder}/errors/batch={number}")
-        corpus.unpersist()
+    def batch(rows: DataFrame, number: int) -> None:
+        found.append({"batch": number} | _upsert(rows, store, extractor, f"batch={number}"))
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return found
+
+
+def _upsert(rows: DataFrame, store: GraphStore, extractor: Extractor, name: str) -> dict:
+    g, _, errors = extract(rows.persist(), extractor)
+    store.upsert(g)
+    errors.write.mode("overwrite").parquet(f"{store.folder}/errors/{name}")
+    counts = {"nodes": g.nodes.count(), "relations": g.edges.count(), "errors": errors.count()}
+    rows.unpersist()
+    return counts
+
+
+def ingest_some(spark: SparkSession, folder: str, store: GraphStore, extractor: Extractor, limit: int, chars: int = D.DOCUMENT_CHARS) -> dict:
+    """The same without a stream, for the first `limit` files by name; those whose chunks the store has are skipped."""
+    first = corpus(spark, folder, chars).orderBy("fuente").limit(limit)
+    rest = pending(first, store.load().docs.select("fuente").distinct())
+    return _upsert(rest, store, extractor, f"version={len(store.versions()) + 1}")

@@ -7,7 +7,7 @@ from kgloom import model
 from kgloom.operators.extract import PatternExtractor, Triple, extract
 from kgloom.plans.doctor import doctor
 from kgloom.sources import files
-from kgloom.streaming.ingest import ingest, pending
+from kgloom.streaming.ingest import ingest, ingest_some, pending
 
 PHRASES = {"entrenó al": ("Entrenador", "ENTRENO_A", "Club"), "jugó en el": ("Jugador", "JUGO_EN", "Club"), "venció a": ("Club", "VENCIO", "Club")}
 
@@ -73,6 +73,16 @@ def test_stream_reads_new_files_once_and_upserts(spark, tmp_path):
     assert store.load().nodes.count() == 0 and doctor(spark, store.folder) == ["the store has no version"]
 
 
+def test_limited_ingest_takes_the_first_files_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, club in (("b", "Ajax"), ("a", "Milan"), ("c", "Lille")):
+        (tmp_path / f"in/{name}.txt").write_text(f"Johan Cruyff entrenó al {club}.", encoding="utf-8")
+    store = files.GraphStore(spark, str(tmp_path / "store"))
+    run = lambda n: ingest_some(spark, str(tmp_path / "in"), store, PatternExtractor(PHRASES), n)
+    assert run(2) == {"nodes": 3, "relations": 2, "errors": 0} and {r.dst for r in store.load().edges.collect()} == {"Milan", "Ajax"}
+    assert run(2)["relations"] == 0 and run(3)["relations"] == 1
+
+
 def test_pending_is_an_anti_join(spark):
     f = spark.createDataFrame([("a",), ("b",)], "fuente string")
     assert [r.fuente for r in pending(f, f.where("fuente = 'a'")).collect()] == ["b"]
