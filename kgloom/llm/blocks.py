@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, tidy, tune
+from .common import MADE, shared_dir, tidy, tune
 
 TARGET = 2 << 20
 
@@ -62,6 +62,7 @@ def blocked(docs: DataFrame, target: int = TARGET) -> DataFrame:
     frame = docs.mapInArrow(run, f"block bigint, n_rows bigint, rows array<struct<{_ddl(docs.schema)}>>")
     name = f"kgloom_blocks_{uuid.uuid4().hex}"
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    MADE.append((f"{shared_dir(spark)}/{name}", name))
     frame.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(count, "block").saveAsTable(name)
     return spark.table(name)
 
