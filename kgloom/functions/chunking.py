@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import ship
 from . import defaults as D
 
 
@@ -45,5 +46,6 @@ def chunks(docs: DataFrame, key: str, text: str = "text", size: int = D.CHUNK_SI
         for t in texts:
             yield t.map(lambda x: split_text(x, size, overlap) if x else [])
 
+    ship(docs.sparkSession)
     parts: Column = F.posexplode(split(F.col(text))).alias("chunk", "text")
     return docs.select(F.col(key), parts)

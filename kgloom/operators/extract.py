@@ -14,6 +14,7 @@ from .. import model
 from ..functions import defaults as D
 from ..functions.chunking import chunks
 from ..model import Graph
+from ..plans.session import ship
 
 
 class Triple(NamedTuple):
@@ -65,7 +66,7 @@ def allowed_relations(spark: SparkSession, triples: list[tuple[str, str, str]] |
 
 def extract(corpus: DataFrame, extractor: Extractor, allowed: DataFrame | None = None) -> tuple[Graph, DataFrame, DataFrame]:
     """corpus (fuente, text) -> a graph with chunks and mentions, the triples that the schema rejects, and (doc_id, error)."""
-    spark = corpus.sparkSession
+    spark = ship(corpus.sparkSession)
     allowed = allowed_relations(spark) if allowed is None else allowed
     docs = chunks(corpus, "fuente").select(F.concat_ws("#", "fuente", F.col("chunk").cast("string")).alias("doc_id"), "fuente", "chunk", "text", F.lit(None).cast("array<float>").alias("embedding"))
     found = _triples(docs, extractor).persist()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import defaults as D
 from ..model import Graph
 from ..operators import graphs, retrieve
+from .session import ship
 
 #: A model maps (context, question) to an answer.
 AnswerModel = Callable[[str, str], str]
@@ -45,6 +46,7 @@ def answer(g: Graph, questions: DataFrame, embed: Callable[[Column], Column], wi
     """questions (question_id, text) -> (question_id, respuesta, fuentes, hechos, detectadas, camino, caracteres, contexto).
 
     Without the graph the context is the nearest chunks alone."""
+    ship(questions.sparkSession)
     vectors = questions.select("question_id", embed(F.col("text")).alias("vector"))
     near = retrieve.top_k(g.docs, vectors, k)
     texts = retrieve.expanded(g.docs, retrieve.chunk_facts(g.mentions, g.edges)) if with_graph else g.docs.select("doc_id", "fuente", "text", F.lit(0).cast("long").alias("n_hechos"))

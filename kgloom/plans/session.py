@@ -1,9 +1,31 @@
-"""Session-wide conventions: where lineage is cut."""
+"""Session-wide conventions: where lineage is cut, and how Python workers come by this package."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """See to it that Python workers can import this package: unless it is on PYTHONPATH (or, for a local master, in the
+    working folder), Spark sends it to them, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        home = Path(__file__).resolve().parents[2]
+        seen = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            seen.append(os.getcwd())
+        if home not in {Path(p).resolve() for p in seen}:
+            sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "kgloom"), "zip", home, "kgloom"))
+    return spark
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which driver and executors share; our own folder where it is unset, as in tests."""
