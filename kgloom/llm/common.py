@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.session import shared_dir, ship
+
 #: ASCII lower-casing, as the contracts ask for (A-Z only).
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows and bytes of one Arrow batch; texts can be long, so batches stay small.
@@ -19,22 +21,13 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough for long texts."""
+    """Keep Arrow batches small enough for long texts, and see that workers can import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = "/tmp/kgloom-shared"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(there)
-    return there.rstrip("/")
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small table: a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
