@@ -116,8 +116,16 @@ def contains_words(text_norm: Column, name_norm: Column) -> Column:
     return F.contains(pad(text_norm), pad(name_norm))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays in double precision; null where one is null or has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+def dot(a: Column, b: Column) -> Column:
+    """Inner product in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def length(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, length_a: Column | None = None, length_b: Column | None = None) -> Column:
+    """Cosine similarity of two arrays; null where one is null or has no length. Lengths may be given, if known."""
+    product = (length(a) if length_a is None else length_a) * (length(b) if length_b is None else length_b)
+    return F.when(product > 0, dot(a, b) / product)

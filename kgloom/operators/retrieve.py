@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import defaults as D
-from ..functions.text import cosine, fact, normalize
+from ..functions.text import cosine, fact, length, normalize
 from .graphs import undirected
 from .paths import shortest_paths
 
@@ -42,8 +42,11 @@ def top_k(docs: DataFrame, vectors: DataFrame, k: int = D.TOP_K, block: int = BL
 
 
 def _top_k(docs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    pairs = docs.where("embedding is not null").select("doc_id", "embedding").crossJoin(F.broadcast(vectors.where("vector is not null")))
-    scored = pairs.select("question_id", "doc_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("score")).where("score is not null")
+    ours = docs.where("embedding is not null").select("doc_id", "embedding", length(F.col("embedding")).alias("la"))
+    theirs = vectors.where("vector is not null").select("question_id", "vector", length(F.col("vector")).alias("lb"))
+    score = cosine(F.col("embedding"), F.col("vector"), F.col("la"), F.col("lb"))
+    pairs = ours.crossJoin(F.broadcast(theirs))  # a block of questions against all docs
+    scored = pairs.select("question_id", "doc_id", F.round(score, 6).alias("score")).where("score is not null")
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
