@@ -44,6 +44,18 @@ def _csv(spark: SparkSession, path: str):
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
+def _lines():
+    """Questions from the terminal, until an empty line, an exit word or the end of input."""
+    while True:
+        try:
+            line = input("> ").strip()
+        except EOFError:
+            return
+        if line.lower() in ("", "salir", "exit", "quit"):
+            return
+        yield line
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("kgloom").getOrCreate()
@@ -95,7 +107,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.index:
             store.save(g.with_(docs=retrieve.embed_missing(g.docs, embed, a.rebuild)))
             retrieve.index_coverage(store.load().docs).show()
-        lines = [a.question] if a.question else () if a.index else iter(lambda: input("> ").strip(), "salir")
+        lines = [a.question] if a.question else () if a.index else _lines()
         for line in lines:
             q = spark.createDataFrame([(1, line)], "question_id long, text string")
             for with_graph in {"plano": [False], "grafo": [True], "comparar": [False, True]}[a.mode]:

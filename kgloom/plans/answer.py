@@ -24,6 +24,31 @@ def context_only(context: str, question: str) -> str:
     return context
 
 
+#: A prompt for a text model: what may be claimed, and the two places that are filled in.
+PROMPT = """Answer from the context alone. Facts are written as source -RELATION-> target; read each relation literally.
+Don't infer that two people met or worked together because they share a target. Every claim needs a line of the context;
+count only lines that support the count. If there is a path between entities, explain it step by step. If the context
+doesn't hold the answer, say so.
+
+CONTEXT:
+{contexto}
+
+QUESTION: {pregunta}
+
+ANSWER:"""
+
+
+def templated(generate: Callable[[str], str], template: str = PROMPT) -> AnswerModel:
+    """An answer model from a text model: the template is filled with context and question, whatever braces they hold."""
+
+    def say(context: str, question: str) -> str:
+        before, _, rest = template.partition("{contexto}")
+        middle, _, after = rest.partition("{pregunta}")
+        return generate(before + context + middle + question + after)
+
+    return say
+
+
 def hashing_embedder(dimension: int = 256) -> Callable[[Column], Column]:
     """A deterministic embedder: words hashed into signed places, scaled to length one."""
 

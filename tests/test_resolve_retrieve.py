@@ -147,3 +147,9 @@ def test_answer_assembles_path_neighbours_chunks(spark):
     assert all(r.hechos == 0 and r.respuesta == str(r.caracteres) for r in plain)
     c = retrieve.index_coverage(docs).first()
     assert (c.total, c.con_vector, c.dimension) == (2, 2, 64)
+
+
+def test_templates_are_filled_whatever_the_texts_hold():
+    say = answers.templated(lambda prompt: prompt, "C: {contexto} Q: {pregunta}.")
+    assert say("{pregunta} x", "{contexto}") == "C: {pregunta} x Q: {contexto}."
+    assert "{" not in answers.templated(lambda p: p)("a", "b")
