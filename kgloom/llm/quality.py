@@ -3,9 +3,9 @@
 Each rule votes for good (1), for bad (-1) or abstains (0). Expectation-maximisation over the counts of vote patterns
 estimates, for either class, how often each rule votes each way, and the share of good documents; a document is kept if
 its posterior probability of being good is at least `least` (0.5) and the base rules don't reject it. Patterns are at
-most 3 ** 6, whatever the input; their counts come from all documents, and only they come to the driver.
+most 3 ** 7 (2,187), whatever the input; their counts come from all documents, and only they come to the driver.
 
-Features of a whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and letters. Words in three-word
+Features of a whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, letters and bars. Words in three-word
 windows are found by sorting the windows' 64-bit hashes with their places inside the row; no row is exploded.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; repeated rows are judged each;
@@ -66,8 +66,9 @@ def features(docs: DataFrame) -> DataFrame:
     both = let(words, lambda w: F.struct(F.size(w).alias("n_words"), _repeated(w).alias("n_repeat_words")))
     duplicates = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
     letters = F.length(F.regexp_replace(t, "[^\\p{L}]+", ""))
-    raw = docs.select("doc_id", both.alias("b"), duplicates.alias("d"), F.length(_without(t, BLANKS)).alias("word_chars"), (F.length(t) - F.length(_without(t, SYMBOLS))).alias("n_symbols"), letters.alias("n_letters"))
-    names = {"n_words": "b.n_words", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_lines": "d.n_lines", "n_dup_lines": "d.n_dup_lines", "n_repeat_words": "b.n_repeat_words", "n_letters": "n_letters"}
+    bars = F.length(t) - F.length(_without(t, "|"))
+    raw = docs.select("doc_id", both.alias("b"), duplicates.alias("d"), F.length(_without(t, BLANKS)).alias("word_chars"), (F.length(t) - F.length(_without(t, SYMBOLS))).alias("n_symbols"), letters.alias("n_letters"), bars.alias("n_bars"))
+    names = {"n_words": "b.n_words", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_lines": "d.n_lines", "n_dup_lines": "d.n_dup_lines", "n_repeat_words": "b.n_repeat_words", "n_letters": "n_letters", "n_bars": "n_bars"}
     return raw.select("doc_id", *(F.col(v).cast("long").alias(k) for k, v in names.items()))
 
 
@@ -83,9 +84,10 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(c("n_words") >= 80, c("n_words") < 50),
         "symbols": _vote(ratio("n_symbols", "word_chars") < 0.02, ratio("n_symbols", "word_chars") > 0.08),
-        "lines": _vote(ratio("n_dup_lines", "n_lines") < 0.1, ratio("n_dup_lines", "n_lines") > 0.3),
+        "lines": _vote(ratio("n_dup_lines", "n_lines") < 0.1, (ratio("n_dup_lines", "n_lines") > 0.5) & (c("n_dup_lines") >= 3)),
         "repeats": _vote(ratio("n_repeat_words", "n_words") < 0.15, ratio("n_repeat_words", "n_words") > 0.4),
         "word_length": _vote((mean > 3) & (mean < 9), (mean < 2.5) | (mean > 12)),
+        "table": _vote(ratio("n_bars", "n_words") < 0.01, ratio("n_bars", "n_words") > 0.1),
         "letters": _vote(ratio("n_letters", "word_chars") > 0.85, ratio("n_letters", "word_chars") < 0.7),
     }
 
