@@ -22,15 +22,16 @@ is a component's id only where nothing else is in it; repeated rows are all retu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, each, keep, mix, texts_of, tidy, tune, written
+from .common import LOWER, MADE, each, keep, mix, shared_dir, texts_of, tidy, tune, written
 from .components import components
 
 SHINGLE, RADIUS, SEGMENTS, BITS, PIVOTS, HOT = 3, 2, 4, 16, 12, 64
@@ -290,7 +291,9 @@ def _nearest(key: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray
 
 
 def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int = SIMILAR_HOT) -> DataFrame:
-    """Distinct wide fingerprints (id, lanes) -> verified links (a, b).
+    """Distinct wide fingerprints (id, lanes) -> links (a, b) by an estimate, for callers that have no texts any more. It misses
+    pairs: only a row's nearest earlier one of each bucket is tried, and pairs of crowded buckets can be separated. The
+    pipeline doesn't use it; `jaccard_links` finds every pair and decides by the sets.
 
     A document meets those that share the distance vectors of a sample of 24 bits (of 140 samples two documents of
     similarity 0.8 share one or more with probability 0.94, of 0.85 with 0.99, of 0.9 with 0.9999). Within a bucket the pivot
@@ -371,38 +374,187 @@ def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int =
     return pairs.join(lanes("a"), "a").join(lanes("b"), "b").select("a", "b", "lanes_a", "lanes_b").mapInArrow(verified, "a bigint, b bigint")
 
 
+# --- Near-duplicates by exact Jaccard similarity ------------------------------------------------------------------------
+
+#: Texts whose shingles are counted for the order of shingles, and the most shingles that get a count; rows of a block.
+ORDER_TEXTS, ORDER_MOST, BLOCK, LINKING_ROUNDS = 10_000, 500_000, 1024, 2
+
+
+def _sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The distinct hashes of each text's shingles, ascending."""
+    return [np.unique(np.frombuffer(_shingle_hashes(t, shingle), dtype=">u8").astype(np.uint64)) for t in texts]
+
+
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several of some ORDER_TEXTS texts, ascending, with their counts. They decide the order in which
+    prefixes are taken, so what is not counted costs time, never a pair."""
+
+    def run(batches):
+        return each(batches, lambda b: pa.RecordBatch.from_arrays([pa.array(np.concatenate(_sets(texts_of(b), shingle)).view(np.int64))], names=["h"]))
+
+    share = min(1.0, ORDER_TEXTS / max(1, texts.count()))
+    some = texts.where(F.pmod("text_hash", F.lit(1 << 30)) <= int(share * (1 << 30)))
+    counts = some.dropDuplicates(["text_hash"]).select("text").mapInArrow(run, "h bigint").groupBy("h").count().where("count > 1")
+    found = counts.orderBy(F.desc("count"), "h").limit(ORDER_MOST).toArrow()
+    h, n = (found.column(k).to_numpy() for k in ("h", "count"))
+    h = h.view(np.uint64)
+    at = np.argsort(h)
+    return h[at], n[at]
+
+
+def _prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets of this similarity or more have one of them in common."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    rank = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def _by_id(frame: DataFrame) -> DataFrame:
+    """A table of the shared folder, dealt by id once, so that joins on id don't move it again."""
+    spark = frame.sparkSession
+    name = f"kgloom_sets_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    MADE.append((path, name))
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frame.repartition("id").write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(count, "id").saveAsTable(name)
+    return spark.table(name)
+
+
+def jaccard_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, rounds: int = LINKING_ROUNDS) -> DataFrame:
+    """nodes (id, n, prefix), one row a set, and texts, which gives the rows (id, text) of the ids (id) it is called with ->
+    links (a, b) whose components are those of all pairs of Jaccard similarity `similarity` or more.
+
+    Two such sets have a shingle of their prefixes in common, so buckets of prefix shingles meet every pair; a pair is decided
+    by the sets themselves. First each set is only tried with one other, which most often stands before it or first in its
+    buckets, in several orders; then every pair of a bucket whose rows aren't linked yet goes on if the sizes and the number
+    of shared prefix shingles allow the similarity: of the set whose prefix ends first (in the order of shingles) all that is
+    shared in it is counted, and what follows it is n less the prefix at most. Pairs that links connect already need no trial:
+    they can't change a component.
+    A bucket of more than `block` rows is dealt over tasks, block against block, so that no pair is left out."""
+    spark = nodes.sparkSession
+    t = similarity
+
+    def keyed(batches):
+        def make(b):
+            parts = [np.frombuffer(x, dtype="<i8") for x in b.column(2).to_pylist()]
+            size = np.array([len(x) for x in parts])
+            owner = pa.array(np.repeat(np.arange(len(parts)), size))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), b.column(0).take(owner), b.column(1).take(owner)], names=["key", "id", "n"])
+
+        return each(batches, make)
+
+    def set_of(batches):
+        def make(b):
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u8").tobytes() for x in _sets(texts_of(b), shingle)], pa.binary())], names=["id", "members"])
+
+        return each(batches, make)
+
+    def verified(batches):
+        def make(b):
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= t * (len(x) + len(y) - both) - 1e-9)
+            return b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return each(batches, make)
+
+    rows = nodes.select("id", "n", "prefix").mapInArrow(keyed, "key bigint, id bigint, n int")
+    sizes = rows.groupBy("key").count().where("count > 1").select("key")
+    met = keep(rows.join(sizes, "key"))
+    wanted = met.select("id").distinct()
+    sets = _by_id(texts(wanted).groupBy("id").agg(F.first("text").alias("text")).mapInArrow(set_of, "id bigint, members binary"))
+
+    def sizes_allow(n, m):
+        return F.expr(f"least({n}, {m}) >= {t} * greatest({n}, {m}) - 1e-9")
+
+    def tried(pairs):
+        of = lambda name: sets.select(F.col("id").alias(name), F.col("members").alias(f"set_{name}"))
+        return keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verified, "a bigint, b bigint"))
+
+    def rooted(links):
+        """The rows of buckets that have rows of several components."""
+        now = met.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        return keep(now.join(split, "key"))
+
+    links, now = None, met.withColumn("root", F.col("id"))
+    for k in range(rounds):
+        order = [F.col("n"), F.col("id")] if k == 0 else [F.xxhash64("id", F.lit(k))]
+        count = now.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        dealt = now.join(count, "key").withColumn("part", F.pmod(F.xxhash64("id", F.lit(100 + k)), F.col("blocks")))
+        w = Window.partitionBy("key", "part").orderBy(*order)
+        this = F.struct("id", "n", "root")
+        seen = dealt.select("id", "n", "root", F.array(F.lag(this).over(w), F.first(this).over(w)).alias("others"))
+        pairs = seen.select("*", F.explode("others").alias("o")).where((F.col("root") != F.col("o.root")) & sizes_allow("n", "o.n"))
+        best = pairs.groupBy("id", "o.id").count().toDF("a", "b", "times").groupBy("a").agg(F.max(F.struct("times", "b")).alias("m"))
+        found = tried(best.select("a", F.col("m.b").alias("b")))
+        links = found if links is None else links.unionByName(found)
+        now = rooted(links)
+
+    # All that is left: in each bucket the rows outside its largest component against all of its rows.
+    of_root = now.groupBy("key", "root").agg(F.count("*").alias("c"))
+    of_key = of_root.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("m"))
+    plan = of_key.select("key", F.col("m.root").alias("large"), F.ceil((F.col("c") - F.col("m.c")) / block).alias("left_blocks"), F.ceil(F.col("c") / block).alias("right_blocks"))
+    planned = keep(now.join(plan, "key"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n))
+    left = planned.where("root <> large").withColumn("i", place(200, "left_blocks")).withColumn("j", spread("right_blocks"))
+    right = planned.withColumn("j", place(201, "right_blocks")).withColumn("i", spread("left_blocks"))
+    left = left.select("key", "i", "j", "id", "n", "root")
+    right = right.select("key", "i", "j", F.col("id").alias("o"), F.col("n").alias("m"), F.col("root").alias("oroot"), (F.col("root") == F.col("large")).alias("olarge"))
+    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+    cross = left.alias("l").join(right.alias("r"), same & (F.col("root") != F.col("oroot")) & (F.col("olarge") | (F.col("id") < F.col("o"))) & sizes_allow("n", "m"))
+    one, other = F.struct("id", "n"), F.struct(F.col("o").alias("id"), F.col("m").alias("n"))
+    times = cross.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).groupBy("x", "y").count()
+    behind = f"greatest(ceil({t} * x.n - 1e-9), ceil({t} * y.n - 1e-9)) - 1"
+    rest = tried(times.where(f"count + {behind} >= {t} / {1 + t} * (x.n + y.n) - 1e-9").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    return rest if links is None else links.unionByName(rest)
+
+
 def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without near-duplicates: of each group, linked by similarity (estimated by the lanes) or by the exact rule
-    of `near_duplicates`, the one of smallest doc_id stays, with all its columns.
+    """The documents without near-duplicates: of each group, linked by the exact Jaccard similarity of their sets of shingles or
+    by the rule of `near_duplicates`, the one of smallest doc_id stays, with all its columns.
 
     Repeated rows are duplicates of each other; null doc_ids stay only where their group has no other."""
-    tune(docs.sparkSession)
+    spark = tune(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    of_text = F.xxhash64(F.lit(8), F.coalesce("text", F.lit("")))
+    hashed = docs.select("doc_id", "text", of_text.alias("text_hash"))
+    shared = spark.sparkContext.broadcast(_common_shingles(hashed, shingle))
 
     @tidy
     def prints(batches):
         def make(b):
             texts = texts_of(b)
-            lanes = wide_fingerprints_of(texts, shingle)
-            id_ = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in lanes], pa.int64())
-            return pa.RecordBatch.from_arrays([b.column(0), id_, pa.array([x.astype("<u8").tobytes() for x in lanes], pa.binary()), pa.array(fingerprints_of(texts).view(np.int64)), b.column(2)], names=["doc_id", "id", "lanes", "fp", "text_hash"])
+            sets = _sets(texts, shingle)
+            id_ = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
+            n = pa.array([len(x) for x in sets], pa.int32())
+            prefix = pa.array([_prefix(x, *shared.value, similarity).astype("<u8").tobytes() for x in sets], pa.binary())
+            return pa.RecordBatch.from_arrays([b.column(0), id_, n, prefix, pa.array(fingerprints_of(texts).view(np.int64)), b.column(2)], names=["doc_id", "id", "n", "prefix", "fp", "text_hash"])
 
         yield from each(batches, make)
 
-    # One row a document: its narrow fingerprint, and the hash of its wide one as a node.
-    hashed = docs.select("doc_id", "text", F.xxhash64(F.lit(8), F.coalesce("text", F.lit(""))).alias("text_hash"))
-    all_ = written(hashed.mapInArrow(prints, f"doc_id {kind}, id bigint, lanes binary, fp bigint, text_hash bigint"))
-    nodes = keep(all_.groupBy("id").agg(F.min("lanes").alias("lanes")))
+    # One row a document: its narrow fingerprint, and the hash of its set of shingles as a node.
+    all_ = written(hashed.mapInArrow(prints, f"doc_id {kind}, id bigint, n int, prefix binary, fp bigint, text_hash bigint"))
+    nodes = all_.groupBy("id").agg(F.first("n").alias("n"), F.min("prefix").alias("prefix"), F.min(F.struct("doc_id", "text_hash")).alias("m"))
+    nodes = written(nodes.select("id", "n", "prefix", F.col("m.doc_id").alias("at"), F.col("m.text_hash").alias("hash")))
+    texts = lambda wanted: hashed.join(nodes.select("id", "at", "hash").join(wanted, "id"), F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("hash"))).select("id", "text")
     fps = keep(all_.groupBy("fp").agg(F.min("id").alias("id")))
     by_fp = all_.select("fp", F.col("id").alias("a")).distinct().join(fps.withColumnRenamed("id", "b"), "fp").select("a", "b")
     ids = fps.withColumnRenamed("id", "n")
     near = links(fps).join(ids.withColumnRenamed("fp", "a").withColumnRenamed("n", "na"), "a").join(ids.withColumnRenamed("fp", "b").withColumnRenamed("n", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    edges = similar_links(nodes, similarity).unionByName(by_fp).unionByName(near)
+    edges = jaccard_links(nodes, texts, shingle, similarity).unionByName(by_fp).unionByName(near)
     roots = components(edges)
     member = all_.select("doc_id", "id", "text_hash").join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
     # A third of all rows may be one group: its first is found by a combined minimum, nulls last.
     first = keep(member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("m")).select("m.doc_id", "m.text_hash"))
-    of_text = F.xxhash64(F.lit(8), F.coalesce("text", F.lit("")))
     met = docs.join(first.select(F.col("doc_id").alias("__first"), F.col("text_hash").alias("__hash")), F.col("doc_id").eqNullSafe(F.col("__first")) & (of_text == F.col("__hash")), "left_semi")
     # Rows that repeat both doc_id and text are one document.
     return met if not _repeated(all_) else met.dropDuplicates(["doc_id", "text"])
