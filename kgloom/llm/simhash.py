@@ -376,8 +376,9 @@ def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int =
 
 # --- Near-duplicates by exact Jaccard similarity ------------------------------------------------------------------------
 
-#: Texts whose shingles are counted for the order of shingles, and the most shingles that get a count; rows of a block.
-ORDER_TEXTS, ORDER_MOST, BLOCK, LINKING_ROUNDS = 10_000, 500_000, 1024, 2
+#: Texts whose shingles are counted for the order of shingles, and the most shingles that get a count; rows of a block
+#: and of a bucket whose pairs are counted at once.
+ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS = 10_000, 500_000, 1024, 32, 2
 
 
 def _sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -415,13 +416,13 @@ def _prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, simila
 
 
 def _by_id(frame: DataFrame) -> DataFrame:
-    """A table of the shared folder, dealt by id once, so that joins on id don't move it again."""
+    """A table of the shared folder, dealt by id, so that joins on id don't move it again."""
     spark = frame.sparkSession
     name = f"kgloom_sets_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     MADE.append((path, name))
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frame.repartition("id").write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(count, "id").saveAsTable(name)
+    frame.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(count, "id").saveAsTable(name)
     return spark.table(name)
 
 
@@ -466,14 +467,28 @@ def jaccard_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shi
         return each(batches, make)
 
     rows = nodes.select("id", "n", "prefix").mapInArrow(keyed, "key bigint, id bigint, n int")
-    sizes = rows.groupBy("key").count().where("count > 1").select("key")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = keep(rows.join(sizes, "key"))
-    wanted = met.select("id").distinct()
-    sets = _by_id(texts(wanted).groupBy("id").agg(F.first("text").alias("text")).mapInArrow(set_of, "id bigint, members binary"))
+    one, other = F.struct("id", "n"), F.struct(F.col("o").alias("id"), F.col("m").alias("n"))
 
     def sizes_allow(n, m):
         return F.expr(f"least({n}, {m}) >= {t} * greatest({n}, {m}) - 1e-9")
 
+    def likely(cross):
+        """Rows (id, n, o, m), one a shared shingle -> pairs (a, b) that share enough of them."""
+        times = cross.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).groupBy("x", "y").count()
+        behind = f"greatest(ceil({t} * x.n - 1e-9), ceil({t} * y.n - 1e-9)) - 1"
+        return times.where(f"count + {behind} >= {t} / {1 + t} * (x.n + y.n) - 1e-9").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    # Sets without a shingle in a greater bucket have all that they share counted here; most have no likely partner.
+    small = min(SMALL, block)
+    few = met.where(F.col("size") <= small)
+    pairs = likely(few.alias("l").join(few.select("key", F.col("id").alias("o"), F.col("n").alias("m")).alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("id") < F.col("o")) & sizes_allow("n", "m")))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(met.where(F.col("size") > small).select("id"))
+    wanted = keep(wanted.distinct())
+    met = keep(met.drop("size").join(wanted, "id"))
+    sets = _by_id(texts(wanted).groupBy("id").agg(F.first("text").alias("text")).mapInArrow(set_of, "id bigint, members binary"))
+
     def tried(pairs):
         of = lambda name: sets.select(F.col("id").alias(name), F.col("members").alias(f"set_{name}"))
         return keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verified, "a bigint, b bigint"))
@@ -511,10 +526,7 @@ def jaccard_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shi
     right = right.select("key", "i", "j", F.col("id").alias("o"), F.col("n").alias("m"), F.col("root").alias("oroot"), (F.col("root") == F.col("large")).alias("olarge"))
     same = (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
     cross = left.alias("l").join(right.alias("r"), same & (F.col("root") != F.col("oroot")) & (F.col("olarge") | (F.col("id") < F.col("o"))) & sizes_allow("n", "m"))
-    one, other = F.struct("id", "n"), F.struct(F.col("o").alias("id"), F.col("m").alias("n"))
-    times = cross.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).groupBy("x", "y").count()
-    behind = f"greatest(ceil({t} * x.n - 1e-9), ceil({t} * y.n - 1e-9)) - 1"
-    rest = tried(times.where(f"count + {behind} >= {t} / {1 + t} * (x.n + y.n) - 1e-9").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    rest = tried(likely(cross))
     return rest if links is None else links.unionByName(rest)
 
 

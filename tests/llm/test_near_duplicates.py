@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from kgloom.llm import simhash
 
 
@@ -68,3 +70,17 @@ def test_partners_on_a_shared_template_are_all_found(spark):
     texts = template_texts(4)
     got = sorted(r.doc_id for r in simhash.first_of_each(frame(spark, texts)).collect())
     assert got == kept_by_brute_force(texts)
+
+
+@pytest.mark.parametrize(("block", "rounds"), [(4, 0), (4, 2), (1000, 0), (1000, 3)])
+def test_crowded_buckets_lose_no_pair(spark, block, rounds):
+    texts = template_texts(6, sources=2, each=25)
+    sets = [shingles(t) for t in texts]
+    docs = frame(spark, texts).withColumnRenamed("doc_id", "id")
+    none = (simhash.np.zeros(0, dtype="<u8"), simhash.np.zeros(0, dtype="<i8"))
+    rows = [(i, len(x), bytearray(simhash._prefix(x, *none, 0.8).astype("<u8").tobytes())) for i, x in enumerate(simhash._sets([t.encode() for t in texts], 5))]
+    nodes = spark.createDataFrame(rows, "id long, n int, prefix binary")
+    links = simhash.jaccard_links(nodes, lambda wanted: docs.join(wanted, "id"), block=block, rounds=rounds)
+    assert all(jaccard(sets[r.a], sets[r.b]) >= 0.8 for r in links.collect())
+    found = {r.node: r.root for r in simhash.components(links).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == roots_of(len(texts), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
