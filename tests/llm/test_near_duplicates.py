@@ -84,3 +84,17 @@ def test_crowded_buckets_lose_no_pair(spark, block, rounds):
     assert all(jaccard(sets[r.a], sets[r.b]) >= 0.8 for r in links.collect())
     found = {r.node: r.root for r in simhash.components(links).collect()}
     assert [found.get(i, i) for i in range(len(texts))] == roots_of(len(texts), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+
+
+def test_the_threshold_is_exact(spark):
+    rng = random.Random(12)
+    texts, sides = [], {True: 0, False: 0}
+    while min(sides.values()) < 60:
+        w = words(rng, 150)
+        x = edited(rng, w, rng.randrange(3, 6))
+        similar = jaccard(shingles(" ".join(w)), shingles(" ".join(x)))
+        if 0.75 <= similar < 0.85 and sides[similar >= 0.8] < 60:
+            sides[similar >= 0.8] += 1
+            texts += [" ".join(w), " ".join(x)]
+    got = sorted(r.doc_id for r in simhash.first_of_each(frame(spark, texts)).collect())
+    assert got == kept_by_brute_force(texts) and len(got) == 180
