@@ -377,8 +377,8 @@ def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int =
 # --- Near-duplicates by exact Jaccard similarity ------------------------------------------------------------------------
 
 #: Texts whose shingles are counted for the order of shingles, and the most shingles that get a count; rows of a block
-#: and of a bucket whose pairs are counted at once.
-ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS = 10_000, 500_000, 1024, 32, 2
+#: and of a bucket whose pairs are counted at once; rounds of links; most sets whose places are broadcast.
+ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS, SENT = 10_000, 500_000, 1024, 32, 2, 500_000
 
 
 def _sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -466,7 +466,7 @@ def jaccard_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shi
 
         return each(batches, make)
 
-    rows = nodes.select("id", "n", "prefix").mapInArrow(keyed, "key bigint, id bigint, n int")
+    rows = nodes.select("id", "n", "prefix").mapInArrow(keyed, "key bigint, id bigint, n int").repartition("key")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = keep(rows.join(sizes, "key"))
     one, other = F.struct("id", "n"), F.struct(F.col("o").alias("id"), F.col("m").alias("n"))
@@ -557,7 +557,12 @@ def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: f
     all_ = written(hashed.mapInArrow(prints, f"doc_id {kind}, id bigint, n int, prefix binary, fp bigint, text_hash bigint"))
     nodes = all_.groupBy("id").agg(F.first("n").alias("n"), F.min("prefix").alias("prefix"), F.min(F.struct("doc_id", "text_hash")).alias("m"))
     nodes = written(nodes.select("id", "n", "prefix", F.col("m.doc_id").alias("at"), F.col("m.text_hash").alias("hash")))
-    texts = lambda wanted: hashed.join(nodes.select("id", "at", "hash").join(wanted, "id"), F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("hash"))).select("id", "text")
+
+    def texts(wanted):
+        at = nodes.select("id", "at", "hash").join(wanted, "id")
+        at = F.broadcast(at) if wanted.count() <= SENT else at  # texts of few sets needn't be moved
+        return hashed.join(at, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("hash"))).select("id", "text")
+
     fps = keep(all_.groupBy("fp").agg(F.min("id").alias("id")))
     by_fp = all_.select("fp", F.col("id").alias("a")).distinct().join(fps.withColumnRenamed("id", "b"), "fp").select("a", "b")
     ids = fps.withColumnRenamed("id", "n")
