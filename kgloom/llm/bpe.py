@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Rolling, each, texts_of, tidy, tune
+from .common import each, hashed, texts_of, tidy, tune
 
 #: Fixed value: the pre-token pattern of byte-level BPE files of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -203,12 +203,27 @@ class Encoder:
         return out
 
 
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each range, one range after the other."""
+    stop = np.cumsum(size)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)
+
+
+def grown(array: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """The array with new values at place `used`, doubled as often as that takes."""
+    while used + len(new) > len(array):
+        array = np.concatenate([array, np.zeros_like(array)])
+    array[used : used + len(new)] = new
+    return array
+
+
 class Pieces:
     """Pre-tokens of many texts at once, and a table of the ids of those met before.
 
-    `many` encodes new pre-tokens, each to little-endian unsigned 32-bit ids. The table is an array with two places for each
-    64-bit hash; a pre-token that finds neither is encoded, and takes the first if that is free, else the second. It is
-    emptied when it holds `most` ids or more."""
+    `many` encodes new pre-tokens, each to little-endian unsigned 32-bit ids. The pre-tokens of a call are told apart by their
+    bytes. The table is an array with two places for each 64-bit hash, and holds the bytes too: only a pre-token of equal bytes is found. One that
+    is found at neither place is encoded, and takes the first if that is free, else the second. The table is emptied when it
+    holds `most` ids or bytes or more."""
 
     def __init__(self, special: dict[str, int], many: Callable[[list[str]], list[bytes]], bits: int = TABLE_BITS, most: int = TABLE_IDS):
         self.many, self.bits, self.most = many, bits, most
@@ -218,27 +233,40 @@ class Pieces:
 
     def _empty(self) -> None:
         self.key = np.zeros(1 << self.bits, dtype=np.uint64)
-        self.begin, self.size = np.zeros(1 << self.bits, dtype=np.int32), np.zeros(1 << self.bits, dtype=np.int32)
+        self.begin, self.size, self.byte, self.bytes = (np.zeros(1 << self.bits, dtype=np.int32) for _ in range(4))
         self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+        self.text, self.written = np.zeros(1 << 16, dtype=np.uint8), 0
 
     def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top = np.uint64(64 - self.bits)
         return (h >> top).astype(np.int64), ((h << np.uint64(self.bits)) >> top).astype(np.int64)
 
-    def _learn(self, h: np.ndarray, encoded: list[bytes]) -> np.ndarray:
-        """Put new pre-tokens into the table; their places among the ids."""
+    def _known(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The place of each pre-token in the table, -1 without one."""
+        one, two = self._places(h)
+        place = np.where(self.key[one] == h, one, np.where(self.key[two] == h, two, -1))
+        some = np.flatnonzero((place >= 0) & (self.bytes[place] == size))
+        if len(some):
+            at, n = place[some], size[some]
+            same = self.text[spread(self.byte[at].astype(np.int64), n)] == data[spread(start[some], n)]
+            some = some[np.logical_and.reduceat(same, np.cumsum(n) - n)]
+        out = np.full(len(h), -1)
+        out[some] = place[some]
+        return out
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new pre-tokens and put them into the table; their ranges among the ids."""
+        encoded = self.many([data[a : a + n].tobytes().decode() for a, n in zip(start.tolist(), length.tolist(), strict=True)])
         size = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
-        new = np.frombuffer(b"".join(encoded), dtype="<u4")
-        while self.used + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), dtype="<u4")])
-        self.ids[self.used : self.used + len(new)] = new
-        begin = self.used + np.cumsum(size) - size
-        self.used += len(new)
+        new, letters = np.frombuffer(b"".join(encoded), dtype="<u4"), data[spread(start, length)]
+        begin, byte = self.used + np.cumsum(size) - size, self.written + np.cumsum(length) - length
+        self.ids, self.text = grown(self.ids, self.used, new), grown(self.text, self.written, letters)
+        self.used, self.written = self.used + len(new), self.written + len(letters)
         one, two = self._places(h)
         at = np.where(self.key[one] == 0, one, two)
         at, first = np.unique(at, return_index=True)  # of several for one place the first takes it
-        self.key[at], self.begin[at], self.size[at] = h[first], begin[first], size[first]
-        return np.stack([begin, size])
+        self.key[at], self.begin[at], self.size[at], self.byte[at], self.bytes[at] = h[first], begin[first], size[first], byte[first], length[first]
+        return begin, size
 
     def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
         length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -248,25 +276,28 @@ class Pieces:
             return [np.zeros(0, dtype="<u4") for _ in texts]
         codes = np.frombuffer(line.encode("utf-32-le"), dtype="<u4")
         start = cut_pieces(codes, text_start[length > 0])
-        stop = np.append(start[1:], len(codes))
-        h = Rolling(codes.astype(np.uint64) + np.uint64(1)).windows(start, stop)
-        h[h == 0] = 1
-        if self.used >= self.most:
+        data = line.encode()
+        if len(data) == len(codes):
+            offsets = np.append(start, len(codes))
+        else:  # where each pre-token begins among the bytes
+            offsets = np.append(np.flatnonzero((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)[start], len(data))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        which, (_, bounds, letters) = pieces.indices.to_numpy(zero_copy_only=False), pieces.dictionary.buffers()
+        bounds, letters = np.frombuffer(bounds, dtype=np.int64)[: len(pieces.dictionary) + 1], np.frombuffer(letters, dtype=np.uint8)
+        if max(self.used, self.written) >= self.most:
             self._empty()
-        one, two = self._places(h)
-        in_one, in_two = self.key[one] == h, self.key[two] == h
-        place = np.where(in_one, one, two)
+        first, many = bounds[:-1], np.diff(bounds)
+        h = np.maximum(hashed(letters, first, bounds[1:]), np.uint64(1))  # 0 marks a free place
+        place = self._known(letters, first, many, h)
         begin, size = self.begin[place].astype(np.int64), self.size[place].astype(np.int64)
-        missed = np.flatnonzero(~(in_one | in_two))
-        if len(missed):
-            new, first, again = np.unique(h[missed], return_index=True, return_inverse=True)
-            where = missed[first]
-            pieces = [line[a:b] for a, b in zip(start[where].tolist(), stop[where].tolist(), strict=True)]
-            begin[missed], size[missed] = self._learn(new, self.many(pieces))[:, again]
-        end = np.cumsum(size)
-        ids = self.ids[np.arange(end[-1]) + np.repeat(begin - (end - size), size)]
-        bounds = np.concatenate([[0], end])[np.searchsorted(start, np.append(text_start, len(codes)))]
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            begin[new], size[new] = self._learn(letters, first[new], many[new], h[new])
+        begin, size = begin[which], size[which]
+        end = np.append(0, np.cumsum(size))
+        ids = self.ids[spread(begin, size)]
+        ends = end[np.searchsorted(start, np.append(text_start, len(codes)))]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """ids of each text as little-endian unsigned 32-bit integers."""

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import shared_dir, ship
@@ -86,8 +87,55 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash for each pair of hashes, in this order; it isn't linear in them."""
+    return mix(a * np.uint64(0x9FB21C651E98DF25) + b)
+
+
+def doubled(h: np.ndarray, length: int) -> np.ndarray:
+    """The hashes of all windows of `length` neighbours of h, by doubling: a window is a pair of windows of half its length or
+    more, which may overlap. Equal windows have equal hashes, and no pattern in long windows makes different ones collide."""
+    if len(h) < length:
+        return h[:0]
+    done = 1
+    while done * 2 <= length:
+        h = paired(h[:-done], h[done:])
+        done *= 2
+    return paired(h[: len(h) - (length - done)], h[length - done :]) if done < length else h
+
+
+#: Bytes up to which `hashed` takes ranges eight bytes at a time, and masks of the first bytes of a value.
+LONG = 128
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one value; zeros follow the end."""
+    return np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, dtype=np.uint8)]), 0, (1,))
+
+
+def hashed(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range [start, stop): its length, paired with its bytes, eight at a time. Ranges of
+    more than LONG bytes are hashed by XXH3."""
+    size, at = stop - start, eights(data)
+    out = mix(size.astype(np.uint64) + np.uint64(1))
+    some = np.flatnonzero((size > 0) & (size <= LONG))
+    for k in range(0, LONG, 8):
+        left = size[some] - k
+        out[some] = paired(out[some], at[start[some] + k] & _MASKS[np.minimum(left, 8)])
+        some = some[left > 8]
+        if not len(some):
+            break
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : stop[i]])
+    return out
+
+
 class Rolling:
-    """Hashes of any window of a sequence of 64-bit values, from prefix sums of value * base**i modulo 2**64."""
+    """Hashes of any window of a sequence of 64-bit values, from prefix sums of value * base**i modulo 2**64.
+
+    Patterns of some hundred values exist that it can't tell apart, so it serves where a collision changes no result: for the cuts of
+    chunks and the buckets of n-grams."""
 
     BASE = 0x5851F42D4C957F2D
     INVERSE = pow(BASE, -1, 1 << 64)
@@ -114,11 +162,6 @@ class Rolling:
         return mix(raw + np.uint64(length * 0xD6E8FEB86659FD93 & (2**64 - 1)))
 
 
-def byte_values(seed: int = 11) -> np.ndarray:
-    """A random 64-bit value for each byte."""
-    return np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64)
-
-
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
@@ -134,11 +177,10 @@ def each(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 PUNCT = np.array([not (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) for c in range(256)])
 _LOWER = np.frombuffer(LOWER, dtype=np.uint8)
-_BYTES = byte_values()
 
 
 class Words:
-    """The words of many texts at once, as byte ranges of one buffer and 64-bit hashes; no word crosses a text."""
+    """The words of many texts at once, as byte ranges of one buffer and 64-bit hashes of their bytes; no word crosses a text."""
 
     def __init__(self, texts: list[bytes], cut: np.ndarray, lower: bool = False):
         self.buffer = b" ".join(texts) + b" "
@@ -150,7 +192,7 @@ class Words:
         gap[1:] = cut[data]
         turn = np.diff(gap)
         self.start, self.stop = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
-        self.hash = Rolling(_BYTES[data]).windows(self.start, self.stop)
+        self.hash = hashed(data, self.start, self.stop)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         self.text_start = np.concatenate([[0], np.cumsum(sizes)])
         #: Word number at which each text starts, and one more at the end.

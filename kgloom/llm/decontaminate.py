@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, Rolling, Words, covered, each, runs, texts_of, tune, written
+from .common import PUNCT, Words, covered, doubled, each, runs, texts_of, tune, written
 
 NGRAM = 10
 BROADCAST_BYTES = 64 << 20
@@ -55,17 +55,17 @@ class Grams:
         self.by_length = {}
         for n, found in lengths.items():
             w = Words(sorted(found), PUNCT, lower=True)
-            hashes = np.unique(Rolling(w.hash).windows(w.first[:-1], w.first[1:]))
+            hashes = np.unique(doubled(w.hash, n)[w.first[:-1]])
             sieve = np.zeros(1 << self.BITS, dtype=bool)
             sieve[hashes >> np.uint64(64 - self.BITS)] = True
             self.by_length[n] = (hashes, sieve)
 
     def find(self, w: Words) -> list[tuple[int, int, frozenset]]:
         """Verified occurrences: first word, word after the last, items."""
-        rolling, out = Rolling(w.hash), []
+        out = []
         for n, (hashes, sieve) in self.by_length.items():
             at = w.inside(n)
-            h = rolling.every(n)[at]
+            h = doubled(w.hash, n)[at]
             may = np.flatnonzero(sieve[h >> np.uint64(64 - self.BITS)])
             may = may[np.isin(h[may], hashes)]
             for i in at[may].tolist():

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import PUNCT, Rolling, Words, each, texts_of, tune
+from .common import PUNCT, Words, doubled, each, texts_of, tune
 
 GRAM, WINNOW, LEAST, INDEX_BYTES = 3, 2, 0.8, 64 << 20
 
@@ -52,7 +52,7 @@ class Index:
         for k, words in enumerate(self.words):
             if not len(words):
                 continue
-            h = Rolling(words).every(min(GRAM, len(words)))
+            h = doubled(words, min(GRAM, len(words)))
             groups = max(1, len(h) - WINNOW + 1)
             for at in {i + int(np.argmin(h[i : i + WINNOW])) for i in range(groups)}:
                 self.places.setdefault(int(h[at]), []).append((k, at))
@@ -95,10 +95,10 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
 
 def scan_texts(texts: list[bytes], index: Index, least: float = LEAST) -> list[list[dict]]:
     w = Words(texts, PUNCT, lower=True)
-    rolling, found = Rolling(w.hash), {}
+    found: dict[tuple[int, int], list[int]] = {}
     for n in index.lengths:
         at = w.inside(n)
-        h = rolling.every(n)[at]
+        h = doubled(w.hash, n)[at]
         for i, x in zip(at[np.isin(h, index.keys)].tolist(), h[np.isin(h, index.keys)].tolist(), strict=True):
             for k, place in index.places[x]:
                 if min(GRAM, len(index.words[k])) == n:

@@ -15,7 +15,8 @@ An anchor with more than CROWD different segments (a common passage's edge) does
 hashed and the earliest of each is found by sorting over the cluster.
 
 Order is by doc_id, then place; documents with equal doc_id follow their place in the table, null doc_ids come last.
-Texts never match across documents. Equality in steps 2 and in crowds is that of 64-bit hashes.
+Texts never match across documents. Equality in step 2 and in crowds is that of 64-bit hashes that pair halves and are
+linear in nothing.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH keep all; extra columns are not read.
 """
@@ -32,10 +33,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import anchors, answered, blocked, column, found_of, joined, within
-from .common import Rolling, byte_values, covered, keep, mix, runs, tidy
+from .common import covered, doubled, eights, keep, mix, paired, runs, tidy
 
 LENGTH, GRAM, CROWD = 100, 32, 20_000
-_BYTES = byte_values(23)
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """The hashes of all byte strings of `gram` bytes: eight neighbouring bytes are a value of their own, longer ones are
+    paired from halves."""
+    if gram < 8:
+        return doubled(mix(data.astype(np.uint64) + np.uint64(1)), gram)
+    h, done = mix(eights(data)[: max(0, len(data) - 7)] ^ np.uint64(0x6A09E667F3BCC909)), 8
+    while done < gram and len(h):
+        shift = min(done, gram - done)
+        h = paired(h[: max(0, len(h) - shift)], h[shift:])
+        done += shift
+    return h
+
+
+def range_hashes(h: np.ndarray, gram: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The hashes of the byte ranges [start, stop), of `gram` bytes or more each, from those of their grams: the ranges' lengths
+    and, one after the other, grams that lie side by side, of which the last ends where the range does."""
+    out = mix((stop - start).astype(np.uint64))
+    for k in range(int((stop - start).max(initial=0) - 1) // gram + 1):
+        some = np.flatnonzero(start + k * gram < stop)
+        out[some] = paired(out[some], h[np.minimum(start[some] + k * gram, stop[some] - gram)])
+    return out
 
 
 class Segments:
@@ -51,7 +73,6 @@ class Segments:
         self.data = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
         sizes = np.fromiter(map(len, self.texts), dtype=np.int64, count=len(self.texts))
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
-        self.rolling = Rolling(_BYTES[self.data])
         gram = max(1, min(GRAM, length // 3))
         n = len(self.data) - length + 1
         if n <= 0:
@@ -60,12 +81,12 @@ class Segments:
             return
         owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         start = np.flatnonzero(owner[:n] == owner[length - 1 :])
-        h = self.rolling.every(gram)
+        h = gram_hashes(self.data, gram)
         at = anchors(h, length - gram + 1)[start]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, dtype=np.int64)
         self.low, self.high, self.at = start[first], start[np.concatenate([first[1:], [len(at)]]) - 1] if len(at) else start[:0], at[first]
         self.gram = h[self.at]
-        self.content = mix(self.rolling.windows(self.low, self.high + length) + (self.at - self.low).astype(np.uint64))
+        self.content = paired(range_hashes(h, gram, self.low, self.high + length), (self.at - self.low).astype(np.uint64))
 
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begin, at, "right") - 1
@@ -262,9 +283,9 @@ def _crowded(rows: DataFrame, length: int, kind: str) -> DataFrame:
             many = size - length + 1
             who = np.repeat(np.arange(len(data)), many)
             off = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
-            rolling = Rolling(_BYTES[np.frombuffer(b"".join(data), dtype=np.uint8)])
+            gram = max(1, min(GRAM, length // 3))
             start = begin[who] + off
-            w = mix(rolling.windows(start, start + length) + (left[who] - off).astype(np.uint64))
+            w = paired(range_hashes(gram_hashes(np.frombuffer(b"".join(data), dtype=np.uint8), gram), gram, start, start + length), (left[who] - off).astype(np.uint64))
             at = pa.array(who)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(b.column(c).take(at) for c in ("doc_id", "block", "seq")), pa.array(b.column("pos").to_numpy(zero_copy_only=False)[who] + off), b.column("c").take(at), pa.array((left[who] - off).astype(np.int32))], names=["w", "doc_id", "block", "seq", "pos", "c", "a"])
 

@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
+from regular import both
 from tokenizers import Tokenizer
 
 from kgloom.llm import bpe
@@ -43,3 +44,18 @@ def test_operator(spark, library):
         assert got[i].decoded == (t or "") and got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert got[None].n_tokens == 1
     assert bpe.encoded(docs.limit(0), PATH).count() == 0
+
+
+def test_regular_words_are_told_apart(library):
+    texts = [f"{a}{w} {b}" for n in (1024, 2048, 4096, 8192) for w in both(n) for a, b in (("", ""), ("x ", w[::-1]))]
+    c = bpe.Codec(bpe.read_file(PATH))
+    for mine, theirs in zip(c.pieces.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert mine.tolist() == theirs.ids
+
+
+def test_a_full_table_is_emptied(library):
+    c = bpe.Codec(bpe.read_file(PATH))
+    c.pieces.most, c.pieces.bits = 5, 3
+    c.pieces._empty()
+    for t in samples()[:200]:
+        assert c.pieces.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids

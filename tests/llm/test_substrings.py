@@ -3,6 +3,8 @@ import hashlib
 import random
 import re
 
+from regular import both, regular
+
 from kgloom.llm import substrings
 
 
@@ -50,3 +52,14 @@ def test_deduplicated_keeps_columns(spark):
     assert got[1].text == "own  one\nlast" and got[1].n_chars == len(got[1].text) and got[1].lang == "x"
     assert got[2].text == "two" and got[3].text == "only  mine" and got[4].text is None
     assert substrings.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_regular_words_are_told_apart(spark):
+    rng = random.Random(9)
+    some = [f"w{rng.randrange(10**6)}" for _ in range(34)]
+    texts = [" ".join([*some[:k], w, *some[k:]]) for n in (1024, 2048, 4096, 8192) for k, w in enumerate(both(n))]
+    texts += [" ".join([*some[:9], w, *some[9:]]) for n in (1024, 2048, 4096, 8192) for w in both(n)]
+    texts += [" ".join(regular(64, [x, y])) for x, y in ("pq", "qp")] + [" ".join(regular(4096, [x, y])) for x, y in ("rs", "sr")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.removed(docs).collect()}
+    assert got == dict(enumerate(brute(texts, 35)))

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from regular import both
 from tokenizers import Tokenizer
 
 from kgloom.llm import tokenstore
@@ -76,3 +77,12 @@ def test_round_trip(spark, tmp_path):
 def test_empty(spark):
     folder = tokenstore.write(spark.createDataFrame([], "doc_id long, text string"), PATH)
     assert tokenstore.read_digests(spark, folder, 2).count() == 0
+
+
+def test_regular_words_are_told_apart(spark, tmp_path):
+    texts = [f"a {w} b" for n in (1024, 2048, 4096, 8192) for w in both(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    folder = tokenstore.write(docs, PATH, str(tmp_path / "regular"))
+    lib = Tokenizer.from_file(PATH)
+    got = {r.doc_id: r.ids for r in tokenstore.read_ids(spark, folder, tokenstore.width_of(PATH)).collect()}
+    assert got == {i: [*lib.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
