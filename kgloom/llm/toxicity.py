@@ -2,18 +2,20 @@
 
 A word (white-space separated, lower-cased, between the marks < and >) is the bag of its character n-grams of 3 to 6
 characters and itself, hashed into BUCKETS embedding rows. A word's vector is the mean of its rows, a document's the mean
-of its words' vectors; a linear softmax over two classes follows. Embeddings and softmax are trained together by Adam
-on the log loss. A misspelled word that was never seen keeps most of its n-grams, and with them its score.
+of its words' vectors; a linear softmax over two classes follows. The embeddings of all buckets and the softmax are trained together
+by accelerated gradient descent on the log loss. A misspelled word that was never seen keeps most of its n-grams, and with them
+its score.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1; of these, at most TRAIN_DOCS are fitted (the
-least by a hash of doc_id: a documented bound), and of a training text TRAIN_CHARS characters and TRAIN_WORDS different words; every
-document is scored over its whole text. For scoring, embeddings and softmax fold into one weight a bucket: a table of
+least by a hash of doc_id: a documented bound), each by all words of its whole text. Executors count a training text's words; the
+driver gets the different words and their counts. For scoring, embeddings and softmax fold into one weight a bucket: a table of
 2 ** BUCKET_BITS floats is broadcast, whatever the input.
 
 Defined results: null and empty texts get the score of the softmax's bias alone; rows with a null doc_id are scored,
-never learned, and held_out is false; a label without a document is ignored, and of labels that repeat or disagree for a
-doc_id the greatest counts; with no labels, or of one class only, every score is the share of label 1 (0 without any).
-Extra columns are not read, except that `accepted` carries all columns of its input.
+never learned, and held_out is false; a label without a document is ignored, of labels that repeat or disagree for a
+doc_id the greatest counts, and of documents that repeat a doc_id the least text is learned; with no labels, or of one class only,
+every score is the share of label 1 (0 without any). Extra columns are not read, except that `accepted` carries all columns of
+its input.
 """
 
 from __future__ import annotations
@@ -28,9 +30,8 @@ from pyspark.sql import functions as F
 from .common import Rolling, each, mix, texts_of, tidy, tune
 
 BUCKET_BITS, SIZES, WIDTH = 18, (3, 4, 5, 6), 6
-TRAIN_DOCS, TRAIN_WORDS, TRAIN_CHARS, LEAST_R, LEAST_Z, LEAST_DOCS, MOST_VECTORS = 8000, 4000, 200_000, 0.11, 5.0, 5, 2000
-STEPS, RATE, DECAY, SEED = 200, 0.02, 1e-3, 13
-THRESHOLD, CACHED = 0.7, 150_000
+TRAIN_DOCS, STEPS, TRUST, SLOW, BIAS_RATE, SEED = 8000, 80, 3, 0.2, 2.0, 13
+THRESHOLD, CACHED, WORDS_AT_ONCE = 0.7, 150_000, 20_000
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,77 +50,88 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes)[order] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.bincount(whose_all, minlength=len(words))
 
 
-class _Adam:
-    def __init__(self, value: np.ndarray, rate: float):
-        self.value, self.rate, self.m, self.v, self.t = value, rate, np.zeros_like(value), np.zeros_like(value), 0
-
-    def step(self, grad: np.ndarray) -> None:
-        self.t += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
-        self.value -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
-
-
-def _bags(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text its buckets and their weights: the mean over words of the mean over a word's n-grams."""
-    for t in texts:
-        seen: dict[str, int] = {}
-        for w in t.lower().split():
-            seen[w] = seen.get(w, 0) + 1
-        some = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TRAIN_WORDS]
-        if not some:
-            yield np.zeros(0, dtype=np.int64), np.zeros(0)
-            continue
-        bucket, size = grams([w for w, _ in some])
-        times = np.fromiter((c for _, c in some), dtype=np.float64, count=len(some))
-        bucket, at = np.unique(bucket, return_inverse=True)
-        yield bucket, np.bincount(at, weights=np.repeat(times / times.sum() / size, size))
-
-
-def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = SEED, least_r: float = LEAST_R, decay: float = DECAY) -> tuple[np.ndarray, float]:
+def word_counts(text: str) -> dict[str, int]:
+    """The different words of a whole text, lower-cased, and how often it has them."""
+    out: dict[str, int] = {}
+    for w in text.lower().split():
+        out[w] = out.get(w, 0) + 1
+    return out
+
+
+class _Bags:
+    """The inputs of training: documents as means of words, words as means of n-grams. Both means are linear maps, kept as
+    lists of their entries; `down` takes a value a bucket to one a document, and `up` is its transpose."""
+
+    def __init__(self, counted: list[dict[str, int]]):
+        number: dict[str, int] = {}
+        word, share = [], []
+        for c in counted:
+            word.append(np.fromiter((number.setdefault(w, len(number)) for w in c), dtype=np.int32, count=len(c)))
+            share.append(np.fromiter(c.values(), dtype=np.float32, count=len(c)) / max(1, sum(c.values())))
+        self.n_docs, self.n_words = len(counted), len(number)
+        self.document = np.repeat(np.arange(len(counted), dtype=np.int32), [len(c) for c in counted])
+        self.word, self.share = np.concatenate([*word, np.zeros(0, dtype=np.int32)]), np.concatenate([*share, np.zeros(0, dtype=np.float32)])
+        words = list(number)
+        self.parts = []
+        for a in range(0, len(words), WORDS_AT_ONCE):
+            bucket, size = grams(words[a : a + WORDS_AT_ONCE])
+            self.parts.append((a, bucket.astype(np.int32), size, np.cumsum(size) - size))
+
+    def down(self, value: np.ndarray) -> np.ndarray:
+        of_word = np.concatenate([np.zeros(0), *(np.add.reduceat(value[bucket], begin) / size for _, bucket, size, begin in self.parts)])
+        return np.bincount(self.document, weights=of_word[self.word] * self.share, minlength=self.n_docs)
+
+    def up(self, value: np.ndarray, power: int = 1) -> np.ndarray:
+        """With power 2, the entries of both maps are squared."""
+        of_word = np.bincount(self.word, weights=value[self.document] * self.share.astype(np.float64) ** power, minlength=self.n_words)
+        out = np.zeros(1 << BUCKET_BITS)
+        for a, bucket, size, _ in self.parts:
+            out += np.bincount(bucket, weights=np.repeat(of_word[a : a + len(size)] / size.astype(np.float64) ** power, size), minlength=len(out))
+        return out
+
+
+def train(counted: list[dict[str, int]], labels: list[int], steps: int = STEPS, seed: int = SEED) -> tuple[np.ndarray, float]:
     """Weights by bucket and a bias: a document's log-odds are the bias and the mean over its words of their mean weight.
 
-    Buckets whose weights correlate with the label by less than `least_r` (or by less than LEAST_Z standard errors), or that
-    fewer than LEAST_DOCS training texts have, keep a zero vector; the others' vectors and the softmax are trained together."""
+    Inputs are centred, and a bucket's are scaled to root mean square one and then by the power TRUST of their correlation with the
+    label: vectors of buckets that say little about it grow slowly, but all are trained. As the softmax has two classes, the gradient of
+    all embeddings is the outer product of one value a bucket and the difference of the softmax's columns."""
     share = sum(labels) / len(labels) if labels else 0.0
-    out = np.zeros(1 << BUCKET_BITS, dtype=np.float32)
     if not 0 < share < 1:
-        return out, float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-    n = len(labels)
-    total, square, toward, docs = (np.zeros(1 << BUCKET_BITS) for _ in range(4))
-    for (bucket, weight), y in zip(_bags(texts), labels, strict=True):
-        total[bucket] += weight
-        square[bucket] += weight * weight
-        toward[bucket] += weight * (y - share)
-        docs[bucket] += 1
-    spread = np.maximum(square - total * total / n, 1e-18)
-    z = toward / np.sqrt(spread * share * (1 - share))
-    chosen = np.flatnonzero((np.abs(z) >= max(LEAST_Z, least_r * np.sqrt(n))) & (docs >= LEAST_DOCS))
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MOST_VECTORS]])
-    place = np.full(1 << BUCKET_BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    scale = np.sqrt(spread[chosen] / n)
-    x = np.zeros((n, len(chosen)), dtype=np.float32)
-    for k, (bucket, weight) in enumerate(_bags(texts)):
-        at = place[bucket]
-        x[k, at[at >= 0]] = weight[at >= 0] / scale[at[at >= 0]]
+        return np.zeros(1 << BUCKET_BITS, dtype=np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+    bags, n, target = _Bags(counted), len(labels), np.array(labels, dtype=np.float64)
+    mean, square = bags.up(np.ones(n)) / n, np.maximum(bags.up(np.ones(n), 2) / n, 1e-30)
+    toward = np.abs(bags.up(target - share)) / n / np.sqrt(square * share * (1 - share))
+    scale = np.where(mean > 0, np.minimum(toward, 1) ** TRUST / np.sqrt(square), 0.0)
+
+    def logits(value: np.ndarray) -> np.ndarray:
+        return bags.down(value * scale) - mean @ (value * scale)
+
+    def gradient(error: np.ndarray) -> np.ndarray:
+        return (bags.up(error) - mean * error.sum()) * scale
+
     rng = np.random.default_rng(seed)
-    e = _Adam(rng.normal(0, 0.01, (len(chosen), WIDTH)).astype(np.float32), RATE)
-    soft = _Adam(rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), RATE)
-    bias = _Adam(np.log(np.array([1 - share, share], dtype=np.float32)), RATE)
-    target = np.eye(2, dtype=np.float32)[np.array(labels)]
+    most = rng.normal(0, 1, len(scale))  # its length comes to be the greatest curvature
+    for _ in range(6):
+        most = gradient(logits(most / max(np.linalg.norm(most), 1e-30)) / n)
+    rate = 4 / max(np.linalg.norm(most), 1e-30)
+    e = np.zeros((len(scale), WIDTH))
+    soft = rng.normal(0, 1, (WIDTH, 2))
+    soft /= np.linalg.norm(soft[:, 1] - soft[:, 0])
+    bias, before, pace = np.log(np.array([1 - share, share])), e, 1.0
     for _ in range(steps):
-        h = x @ e.value
-        logits = h @ soft.value + bias.value
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        d = (p - target) / n
-        grad_e, grad_soft, grad_bias = x.T @ (d @ soft.value.T), h.T @ d, d.sum(axis=0)
-        e.step(grad_e + decay * e.value)
-        soft.step(grad_soft + decay * soft.value)
-        bias.step(grad_bias)
-    out[chosen] = (e.value @ (soft.value[:, 1] - soft.value[:, 0])) / scale
-    return out, float(bias.value[1] - bias.value[0])
+        next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, before, pace = e + (pace - 1) / next_pace * (e - before), e, next_pace
+        way = soft[:, 1] - soft[:, 0]
+        p = 1 / (1 + np.exp(-np.clip(logits(ahead @ way) + bias[1] - bias[0], -50, 50)))
+        error = (p - target) / n
+        g = gradient(error)
+        e = ahead - rate * np.outer(g, way)
+        toward_one = before.T @ g
+        soft = soft - SLOW * rate * np.stack([-toward_one, toward_one], axis=1)
+        bias = bias - BIAS_RATE * np.array([-error.sum(), error.sum()])
+    weights = (e @ (soft[:, 1] - soft[:, 0])) * scale
+    return weights.astype(np.float32), float(bias[1] - bias[0] - mean @ weights)
 
 
 class Scorer:
@@ -156,11 +168,23 @@ def held_out(doc_id) -> F.Column:
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
     """A model from a bounded sample of the rows that may be learned from."""
+    tune(docs.sparkSession)
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label")).where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS).alias("text"), "label").collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").cast("int").alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make(b):
+            counted = [word_counts(t) for t in b.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([" ".join(c) for c in counted]), pa.array([np.fromiter(c.values(), dtype="<i4").tobytes() for c in counted], pa.binary())], names=["doc_id", "label", "words", "counts"])
+
+        return each(batches, make)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(run, f"doc_id {kind}, label int, words string, counts binary").collect()
     rows.sort(key=lambda r: str(r.doc_id))
-    return train([r.text for r in rows], [int(r.label) for r in rows])
+    counted = [dict(zip(r.words.split(), np.frombuffer(r.counts, dtype="<i4").tolist(), strict=True)) for r in rows]
+    return train(counted, [r.label for r in rows])
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
