@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import defaults as D
+from .functions.text import year_range
 from .operators import audit, export, graphs, resolve, retrieve
 from .operators.extract import PatternExtractor
 from .plans import answer as answers
@@ -32,9 +33,9 @@ def _parser() -> argparse.ArgumentParser:
 
     command("ingest", "reset", corpus={"required": True}, phrases={"required": True, "help": "JSON: words between names -> [type, relation, type]"}, limit={"type": int})
     command("dedupe", "clean", "confirm", "propose", "apply", groups={"default": "groups.json"})
-    command("curate", "apply", aliases={}, nodes={}, edges={}, whitelist={})
+    command("curate", "apply", "approve", aliases={}, nodes={}, edges={}, whitelist={}, groups={"default": "groups.json"}, approved={"help": "CSV of canonico"}, rejected={"help": "CSV of canonico"}, manual={"help": "JSON of groups"})
     command("query", "index", "rebuild", question={"positional": True, "nargs": "?"}, mode={"choices": ["plano", "grafo", "comparar"], "default": "grafo"})
-    command("evaluate", "delete-extra", "add-missing", truth={"required": True}, aliases={})
+    command("evaluate", "delete-extra", "add-missing", "review", "download", truth={"required": True}, aliases={}, responses={"help": "JSON lines (nombre, json) of career queries"})
     command("site", out={"default": "index.html"})
     command("doctor")
     return p
@@ -83,9 +84,16 @@ def main(argv: list[str] | None = None) -> int:
             if a.confirm:
                 store.save(resolve.clean(g))
         if a.propose:
-            files.write_groups(resolve.propose(graphs.degree(g)), a.groups)
+            found = resolve.propose(graphs.degree(g))
+            files.write_groups(resolve.keep_decisions(found, files.read_groups(spark, a.groups)) if files.exists(spark, a.groups) else found, a.groups)
         if a.apply:
             store.save(resolve.apply(g, files.read_groups(spark, a.groups)))
+    elif a.command == "curate" and a.approve:
+        named = lambda path: _csv(spark, path).select("canonico") if path else spark.createDataFrame([], "canonico string")
+        manual = files.read_groups(spark, a.manual) if a.manual else None
+        marked = resolve.approve(files.read_groups(spark, a.groups), named(a.approved), manual, named(a.rejected))
+        files.write_groups(marked, a.groups)
+        files.read_groups(spark, a.groups).groupBy("detector", "aprobado").count().show()
     elif a.command == "curate":
         if a.aliases:
             aliases = _csv(spark, a.aliases).withColumn("ord", F.col("ord").cast("int"))
@@ -113,11 +121,20 @@ def main(argv: list[str] | None = None) -> int:
             for with_graph in {"plano": [False], "grafo": [True], "comparar": [False, True]}[a.mode]:
                 r = answers.answer(g, q, embed, with_graph).first()
                 print(f"\n[{'graph' if with_graph else 'chunks'}] {', '.join(r.fuentes)}; {r.hechos} facts, path: {r.camino}, {r.caracteres} characters\n{r.respuesta}")
+    elif a.command == "evaluate" and (a.review or a.download):
+        rows = files.careers(spark.read.schema("nombre string, json string").json(a.responses))
+        audit.career_counts(rows).orderBy("nombre", "tipo").show(1000, False)
+        if a.review:
+            rows.withColumn("rango", year_range(F.col("inicio"), F.col("fin"))).orderBy("nombre", "tipo", "inicio").select("nombre", "tipo", "equipo", "rango").show(10_000, False)
+        if a.download:
+            named = rows.select(F.col("tipo").alias("rel"), F.col("nombre").alias("persona"), "equipo")
+            truth = audit.truth_lists(named).select("rel", "persona", F.explode("equipos").alias("equipo"))
+            truth.orderBy("rel", "persona", "equipo").write.mode("overwrite").option("header", True).csv(a.truth)
     elif a.command == "evaluate":
         aliases = _csv(spark, a.aliases) if a.aliases else None
         found = audit.compare(g.edges, g.nodes, _csv(spark, a.truth), aliases)
         found.orderBy("rel", "persona").show(1000, False)
-        audit.totals(found).show()
+        audit.totals(audit.counted(g.edges, g.nodes, _csv(spark, a.truth), aliases)).show()
         if a.delete_extra:
             g = graphs.delete_edges(g, audit.extra_edges(found))
         if a.add_missing:

@@ -24,35 +24,50 @@ def same_entity(left: DataFrame, right: DataFrame, on: list[str], aliases: DataF
     return out.distinct()
 
 
+def judged(edges: DataFrame, truth: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """truth (rel, persona, equipo) against the graph -> (rel, persona, kind, x): what the graph has and the truth too ('ok') or not
+    ('extra'), by the graph's names, and what it hasn't ('missing'), by the truth's; people of the truth only."""
+    key = ["rel", "persona"]
+    t = truth.select(*key, F.col("equipo").alias("b")).distinct()
+    mine = edges.select("rel", F.col("src").alias("persona"), F.col("dst").alias("a")).distinct().join(t.select(*key).distinct(), key, "left_semi")
+    match = same_entity(mine, t, key, aliases)
+    ok = mine.join(match.select(*key, "a", F.lit(True).alias("found")).distinct(), [*key, "a"], "left")
+    had = ok.select(*key, F.when(F.col("found"), "ok").otherwise("extra").alias("kind"), F.col("a").alias("x"))
+    return had.unionByName(t.join(match, [*key, "b"], "left_anti").select(*key, F.lit("missing").alias("kind"), F.col("b").alias("x")))
+
+
+def _people(nodes: DataFrame, truth: DataFrame) -> DataFrame:
+    return truth.select("rel", "persona").distinct().join(nodes.select(F.col("id").alias("persona"), F.lit(True).alias("there")), "persona", "left")
+
+
 def compare(edges: DataFrame, nodes: DataFrame, truth: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """truth (rel, persona, equipo) against the graph -> (rel, persona, correctas, sobran, faltan): sorted lists for each person of
-    the truth, null where the graph doesn't have the person."""
-    t = truth.select("rel", "persona", F.col("equipo").alias("b")).distinct()
-    people = t.select("rel", "persona").distinct()
-    mine = edges.select("rel", F.col("src").alias("persona"), F.col("dst").alias("a")).distinct().join(people, ["rel", "persona"], "left_semi")
-    match = same_entity(mine, t, ["rel", "persona"], aliases)
+    """(rel, persona, correctas, sobran, faltan): sorted lists for each person of the truth, null where the graph doesn't have the
+    person. For people to be looked at; `counted` needs no lists."""
     key = ["rel", "persona"]
-    lists = (
-        mine.join(match.select(*key, "a").distinct(), [*key, "a"], "left_semi").select(*key, F.lit("ok").alias("kind"), F.col("a").alias("x"))
-        .unionByName(mine.join(match, [*key, "a"], "left_anti").select(*key, F.lit("extra").alias("kind"), F.col("a").alias("x")))
-        .unionByName(t.join(match, [*key, "b"], "left_anti").select(*key, F.lit("missing").alias("kind"), F.col("b").alias("x")))
-    )
     pick = lambda kind: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("x"))))
-    per = lists.groupBy(*key).agg(pick("ok").alias("correctas"), pick("extra").alias("sobran"), pick("missing").alias("faltan"))
-    there = people.join(nodes.select(F.col("id").alias("persona"), F.lit(True).alias("there")), "persona", "left")
+    per = judged(edges, truth, aliases).groupBy(*key).agg(pick("ok").alias("correctas"), pick("extra").alias("sobran"), pick("missing").alias("faltan"))
     shown = lambda c: F.when(F.col("there"), F.coalesce(c, F.array().cast("array<string>"))).alias(c)
-    return there.join(per, key, "left").select(*key, shown("correctas"), shown("sobran"), shown("faltan"))
+    return _people(nodes, truth).join(per, key, "left").select(*key, shown("correctas"), shown("sobran"), shown("faltan"))
+
+
+def counted(edges: DataFrame, nodes: DataFrame, truth: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(rel, persona, n_ok, n_extra, n_missing); nulls for absent people. No list is made."""
+    kinds = {"ok": "n_ok", "extra": "n_extra", "missing": "n_missing"}
+    per = judged(edges, truth, aliases).groupBy("rel", "persona").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(c) for k, c in kinds.items()))
+    shown = (F.when(F.col("there"), F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in kinds.values())
+    return _people(nodes, truth).join(per, ["rel", "persona"], "left").select("rel", "persona", *shown)
 
 
 def counts(compared: DataFrame) -> DataFrame:
-    """(rel, persona, n_ok, n_extra, n_missing); nulls for absent people."""
+    """The lengths of the lists of `compare`, as `counted` has them."""
     n = lambda c, name: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(name)
     return compared.select("rel", "persona", n("correctas", "n_ok"), n("sobran", "n_extra"), n("faltan", "n_missing"))
 
 
-def totals(compared: DataFrame) -> DataFrame:
-    """(rel, n_ok, n_graph, n_truth, precision, coverage), micro-averaged; absent people don't count."""
-    per = counts(compared).groupBy("rel").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_ok", "n_extra", "n_missing")))
+def totals(found: DataFrame) -> DataFrame:
+    """What `counted` or `compare` gives -> (rel, n_ok, n_graph, n_truth, precision, coverage), micro-averaged; absent people don't
+    count."""
+    per = (found if "n_ok" in found.columns else counts(found)).groupBy("rel").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_ok", "n_extra", "n_missing")))
     share = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
     per = per.withColumns({"n_graph": F.col("n_ok") + F.col("n_extra"), "n_truth": F.col("n_ok") + F.col("n_missing")})
     return per.select("rel", "n_ok", "n_graph", "n_truth", share("n_ok", "n_graph").alias("precision"), share("n_ok", "n_truth").alias("coverage"))
@@ -78,3 +93,8 @@ def career(first: DataFrame, second: DataFrame, tags: tuple[str, str]) -> DataFr
     both = first.select(F.lit(tags[0]).alias("tipo"), "equipo", "inicio", "fin").unionByName(second.select(F.lit(tags[1]).alias("tipo"), "equipo", "inicio", "fin"))
     year = lambda c: F.coalesce(F.substring(c, 1, 4), F.lit("")).alias(c)
     return both.where(~F.col("equipo").rlike("^Q[0-9]+$")).select("tipo", "equipo", year("inicio"), year("fin"))
+
+
+def career_counts(rows: DataFrame) -> DataFrame:
+    """(nombre, tipo, ...) -> (nombre, tipo, n): a person's career rows of each role."""
+    return rows.groupBy("nombre", "tipo").agg(F.count("*").alias("n"))

@@ -14,7 +14,7 @@ from .. import model
 from ..functions import defaults as D
 from ..functions.chunking import chunks
 from ..model import Graph
-from ..plans.session import ship
+from ..plans.session import cut, ship
 
 
 class Triple(NamedTuple):
@@ -69,7 +69,7 @@ def extract(corpus: DataFrame, extractor: Extractor, allowed: DataFrame | None =
     spark = ship(corpus.sparkSession)
     allowed = allowed_relations(spark) if allowed is None else allowed
     docs = chunks(corpus, "fuente").select(F.concat_ws("#", "fuente", F.col("chunk").cast("string")).alias("doc_id"), "fuente", "chunk", "text", F.lit(None).cast("array<float>").alias("embedding"))
-    found = _triples(docs, extractor).persist()
+    found = cut(_triples(docs, extractor))  # the extractor runs once
     on = ["src_tipo", "rel", "dst_tipo"]
     good = found.where("error is null").join(allowed, on, "left_semi")
     ends = good.select("doc_id", F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("src_tipo").alias("tipo")), F.struct(F.col("dst").alias("id"), F.col("dst_tipo").alias("tipo")))).alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fact, strip_year
 from ..model import Graph, first_type
+from ..plans.session import cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -86,14 +87,14 @@ def enforce_whitelist(g: Graph, whitelist: DataFrame, rel: str) -> Graph:
 def resolved(mapping: DataFrame, most_rounds: int = 32) -> DataFrame:
     """A map (variante, canonico, ord) in which no target is a key itself: chains are followed to their ends.
 
-    Each round halves the chains that are left. A cycle raises."""
-    now = mapping.where("variante <> canonico").select("variante", "canonico", "ord")
+    Each round halves the chains that are left, and is cut by a checkpoint. A cycle raises."""
+    now = cut(mapping.where("variante <> canonico").select("variante", "canonico", "ord"))
     for _ in range(most_rounds):
         step = now.select(F.col("variante").alias("canonico"), F.col("canonico").alias("next"))
-        again = now.join(step, "canonico", "left").select("variante", F.coalesce("next", "canonico").alias("canonico"), "ord")
-        if not now.join(step, "canonico", "left_semi").limit(1).count():
+        again = cut(now.join(step, "canonico", "left").select("variante", F.coalesce("next", "canonico").alias("canonico"), "ord", F.col("next").isNotNull().alias("moved")))
+        if not again.where("moved").limit(1).count():
             return now
-        now = again
+        now = again.drop("moved")
     raise ValueError("the map has a cycle")
 
 

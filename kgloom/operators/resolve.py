@@ -6,14 +6,16 @@ pair shares, and verifies what meets.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import defaults as D
 from ..functions.text import match_key, noise_reason, normalize
 from ..model import Graph
-from ..plans.session import cut
+from ..plans.session import cut, ship
 from . import graphs
+from .components import components
 
 DETECTORS = ["normalizacion", "prefijo", "apellido", "subconjunto", "errata", "manual"]
 
@@ -44,21 +46,45 @@ def _normal(entities: DataFrame) -> DataFrame:
     return typed(entities).select("id", "tipo", "grado", normalize(F.col("id")).alias("norm")).where("norm <> ''")
 
 
+def _prefix_sides(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    n = _normal(entities).withColumn("t", F.split("norm", " "))
+    cuts = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda k: F.array_join(F.slice("t", 1, k), " "))
+    long = n.where(F.size("t") > 1).select("tipo", F.explode(cuts).alias("k"), F.col("id").alias("largo"))
+    return n.select("tipo", F.col("norm").alias("k"), F.col("id").alias("corto")), long
+
+
 def prefix_pairs(entities: DataFrame) -> DataFrame:
     """Detector 2: (tipo, corto, largo): the short name is the first words of the long one."""
-    n = _normal(entities).withColumn("t", F.split("norm", " "))
-    cuts = n.where(F.size("t") > 1).select("tipo", F.col("id").alias("largo"), F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda k: F.array_join(F.slice("t", 1, k), " "))).alias("norm"))
-    return cuts.join(n.select("tipo", "norm", F.col("id").alias("corto")), ["tipo", "norm"]).select("tipo", "corto", "largo")
+    return _met(*_prefix_sides(entities))
+
+
+def _surname_sides(entities: DataFrame, persons: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    n = _normal(entities).where(F.col("tipo").isin(D.PERSON_TYPES if persons is None else persons))
+    short = n.where(~F.col("id").contains(" ")).select("tipo", F.col("norm").alias("k"), F.col("id").alias("corto"))
+    return short, n.where(F.col("id").contains(" ")).select("tipo", F.element_at(F.split("norm", " "), -1).alias("k"), F.col("id").alias("largo"))
 
 
 def surname_pairs(entities: DataFrame, persons: list[str] | None = None) -> DataFrame:
     """Detector 3: a single word that is the last word of a longer name; persons only."""
-    n = _normal(entities).where(F.col("tipo").isin(D.PERSON_TYPES if persons is None else persons))
-    short = n.where(~F.col("id").contains(" ")).select("tipo", F.col("id").alias("corto"), F.col("norm").alias("k"))
-    long = n.where(F.col("id").contains(" ")).select("tipo", F.col("id").alias("largo"), F.element_at(F.split("norm", " "), -1).alias("k"))
+    return _met(*_surname_sides(entities, persons))
+
+
+def _met(short: DataFrame, long: DataFrame) -> DataFrame:
     return short.join(long, ["tipo", "k"]).select("tipo", "corto", "largo")
 
 
+def _met_once(short: DataFrame, long: DataFrame) -> DataFrame:
+    """The pairs of short forms that have one pair in all. The long forms of a key are counted before they meet the short ones, so
+    an ambiguous key, however hot, is one row."""
+    counted = long.groupBy("tipo", "k").agg(F.count("*").alias("c"), F.min("largo").alias("largo"))
+    return _single(short.join(counted, ["tipo", "k"]).select("tipo", "corto", "largo", "c"), F.sum("c"))
+
+
+def _single(pairs: DataFrame, count: F.Column) -> DataFrame:
+    one = pairs.groupBy("corto").agg(count.alias("n"), F.min(F.struct("tipo", "largo")).alias("m")).where("n = 1")
+    return one.select("m.tipo", "corto", "m.largo")
+
+
 def subset_pairs(entities: DataFrame, persons: list[str] | None = None) -> DataFrame:
     """Detector 4: equal first and last words, and all words of the shorter name among those of the longer; persons only."""
     n = _normal(entities).where(F.col("tipo").isin(D.PERSON_TYPES if persons is None else persons)).withColumn("t", F.split("norm", " "))
@@ -67,12 +93,38 @@ def subset_pairs(entities: DataFrame, persons: list[str] | None = None) -> DataF
     return a.join(b, ["tipo", "first", "last"]).where((F.size("tc") < F.size("tl")) & (F.size(F.array_except("tc", "tl")) == 0)).select("tipo", "corto", "largo")
 
 
-def typo_pairs(entities: DataFrame, most: int = 2, least_length: int = 6) -> DataFrame:
+def _without_letters(name: F.Column, length: F.Column, most: F.Column) -> F.Column:
+    """The different strings that a name leaves without up to `most` (0 to 2) of its characters."""
+    less = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(1 << 30)))
+    one = lambda s, n: F.transform(F.sequence(F.lit(1), n), lambda i: less(s, i))
+    two = F.flatten(F.transform(F.sequence(F.lit(2), length), lambda j: one(less(name, j), j - 1)))
+    all_ = F.when(most >= 2, F.concat(F.array(name), one(name, length), two)).when(most == 1, F.concat(F.array(name), one(name, length)))
+    return F.array_distinct(F.coalesce(all_, F.array(name)))
+
+
+#: Names up to this length meet on what deletions leave of them, longer ones on their segments.
+SHORT_NAME = 12
+
+
+def typo_pairs(entities: DataFrame, most: int = 2, least_length: int = 6, short_name: int = SHORT_NAME) -> DataFrame:
     """Detector 5: (tipo, corto, largo), corto < largo, whose normal forms differ by 1 or 2 edits; the first has at least six characters.
 
-    Of `most` edits one of most + 1 segments of the shorter form stays whole, displaced by `most` places at most: segments
-    and substrings at these places are the blocking keys."""
+    Forms that differ by so many edits have a string in common that each leaves without up to `most` of its characters: pairs of which the
+    shorter has up to `short_name` characters meet on these strings, some 80 a name, which few names share. Of longer names, of `most`
+    edits one of most + 1 segments of the shorter form stays whole, displaced by `most` places at most: segments and substrings
+    at these places are the keys. What meets is verified once."""
+    if most != 2:
+        raise ValueError("strings without more than two characters aren't made")
     n = _normal(entities).select("tipo", "id", "norm", F.char_length("norm").alias("len")).where(F.col("len") >= least_length - most)
+    gone = F.least(F.lit(most), F.col("len") - (least_length - most))  # one of a pair has six characters, and both leave the same
+    left = n.where(F.col("len") <= short_name + most).select("tipo", "id", "norm", F.explode(_without_letters(F.col("norm"), F.col("len"), gone)).alias("key"))
+    other = left.select("tipo", "key", F.col("id").alias("y"), F.col("norm").alias("ny"))
+    near = left.withColumnsRenamed({"id": "x", "norm": "nx"}).join(other, ["tipo", "key"]).where("x < y").select("tipo", "x", "y", "nx", "ny")
+    met = near.unionByName(_on_segments(n.where(F.col("len") > short_name), most)).distinct()
+    return met.where((F.char_length("nx") >= least_length) & F.levenshtein("nx", "ny", most).between(1, most)).select("tipo", F.col("x").alias("corto"), F.col("y").alias("largo"))
+
+
+def _on_segments(n: DataFrame, most: int) -> DataFrame:
     parts = most + 1
 
     def bounds(length: F.Column, k: F.Column) -> tuple[F.Column, F.Column]:
@@ -83,50 +135,79 @@ def typo_pairs(entities: DataFrame, most: int = 2, least_length: int = 6) -> Dat
         return F.struct(F.col("len").alias("of"), k.cast("int").alias("k"), F.substring("norm", a + 1, b - a).alias("s"))
 
     short = n.select("tipo", F.col("id").alias("x"), F.col("norm").alias("nx"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), segment)).alias("key"))
-    lengths = n.select("tipo", F.col("id").alias("y"), F.col("norm").alias("ny"), F.col("len").alias("ly"), F.explode(F.sequence(F.col("len") - most, F.col("len"))).alias("of")).where(F.col("of") >= 1)
-    placed = lengths.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k"), ).select("*", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("d"))
+    lengths = n.select("tipo", F.col("id").alias("y"), F.col("norm").alias("ny"), F.col("len").alias("ly"), F.explode(F.sequence(F.col("len") - most, F.col("len"))).alias("of"))
+    placed = lengths.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k")).select("*", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("d"))
     a, b = bounds(F.col("of"), F.col("k"))
     begin = a + F.col("d")
     keys = placed.where((begin >= 0) & (begin + (b - a) <= F.col("ly"))).select("tipo", "y", "ny", F.struct("of", F.col("k").cast("int").alias("k"), F.substring("ny", begin + 1, b - a).alias("s")).alias("key")).distinct()
-    met = short.join(keys, ["tipo", "key"]).where("x <> y").select("tipo", "x", "y", "nx", "ny").distinct()
-    near = met.where(F.levenshtein("nx", "ny", most).between(1, most))
+    met = short.join(keys, ["tipo", "key"]).where("x <> y")
     swap = F.col("x") < F.col("y")
-    pair = near.select("tipo", F.when(swap, F.col("x")).otherwise(F.col("y")).alias("corto"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("largo"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nc"))
-    return pair.where(F.char_length("nc") >= least_length).select("tipo", "corto", "largo").distinct()
+    turned = lambda p, q: F.when(swap, F.col(p)).otherwise(F.col(q))
+    return met.select("tipo", turned("x", "y").alias("x"), turned("y", "x").alias("y"), turned("nx", "ny").alias("nx"), turned("ny", "nx").alias("ny"))
 
 
 def ambiguous(pairs: DataFrame, shown: int = 6) -> DataFrame:
-    """(corto, n, ejemplos): short forms with several long ones, and the first of these."""
-    found = pairs.groupBy("corto").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("largo")), 1, shown).alias("ejemplos"))
-    return found.where("n > 1")
+    """(corto, n, ejemplos): short forms with several long ones, and the first of these. Of a short form's long ones no more than
+    `shown` come together."""
+    n = pairs.groupBy("corto").agg(F.count("*").alias("n")).where("n > 1")
+    w = Window.partitionBy("corto").orderBy("largo")
+    first = pairs.select("corto", "largo").distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= shown)
+    return n.join(first.groupBy("corto").agg(F.sort_array(F.collect_list("largo")).alias("ejemplos")), "corto")
 
 
 def unambiguous(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("n", F.count("*").over(Window.partitionBy("corto"))).where("n = 1").drop("n")
+    """The pairs (tipo, corto, largo) whose short form has no other."""
+    return _single(pairs, F.count("*"))
+
+
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pairs that a walk in order takes, if a name may be used once."""
+    rows, used, kept = rows.sort_values(["prio", "corto", "largo"], kind="stable"), set(), []
+    for a, b in zip(rows["corto"], rows["largo"], strict=True):
+        kept.append(a not in used and b not in used)
+        if kept[-1]:
+            used.update((a, b))
+    return rows[kept]
 
 
-def select_pairs(pairs: DataFrame, used: DataFrame, most_rounds: int = 1000) -> DataFrame:
+#: Pairs of a component that are walked through in one task.
+WALK = 200_000
+
+
+def select_pairs(pairs: DataFrame, used: DataFrame, most_rounds: int = 1000, walk: int = WALK) -> DataFrame:
     """pairs (prio, corto, largo, ...) -> those that a walk in order of (prio, corto, largo) takes, if a name may be used once and
     names in `used` (column id) not at all.
 
-    In each round every pair that is the least at both of its names is taken, and pairs that touch a taken name go; this
-    gives the walk's own result in few rounds."""
+    What a pair is taken for depends on pairs that share a name with it, directly or through others, so each component of names is
+    walked through on its own, in any task. Components of more than `walk` pairs don't come into one task: of these, in each round every
+    pair that is the least at both of its names is taken, and pairs that touch a taken name go, which gives the same. If `most_rounds`
+    leave pairs undecided, that raises."""
+    columns = pairs.columns
     key = F.struct("prio", "corto", "largo")
     names = lambda df: df.select(F.explode(F.array("corto", "largo")).alias("id")).distinct()
 
     def without(df: DataFrame, ids: DataFrame) -> DataFrame:
-        return df.join(ids.select(F.col("id").alias("corto")), "corto", "left_anti").join(ids.select(F.col("id").alias("largo")), "largo", "left_anti")
-
-    left, taken = cut(without(pairs.withColumn("key", key), used)), None
-    for _ in range(most_rounds):
-        if left.limit(1).count() == 0:
-            break
+        return df.join(ids.select(F.col("id").alias("corto")), "corto", "left_anti").join(ids.select(F.col("id").alias("largo")), "largo", "left_anti").select(*df.columns)
+
+    free = cut(without(pairs, used))
+    of = components(free.select(F.col("corto").alias("a"), F.col("largo").alias("b")))
+    rooted = free.join(of.select(F.col("node").alias("corto"), "root"), "corto", "left").withColumn("root", F.coalesce("root", "corto"))
+    great = rooted.groupBy("root").agg(F.count("*").alias("c")).where(F.col("c") > walk).select("root")
+    great, rooted = cut(great), cut(rooted)
+    ship(pairs.sparkSession)
+    taken = rooted.join(great, "root", "left_anti").groupBy("root").applyInPandas(lambda rows: _walk(rows)[columns], free.select(*columns).schema)
+    left = cut(rooted.join(great, "root", "left_semi").select(*columns).withColumn("key", key))
+    rounds = 0
+    while left.limit(1).count():
+        if rounds == most_rounds:
+            raise RuntimeError(f"pairs are undecided after {most_rounds} rounds")
+        rounds += 1
         least = left.select("key", F.explode(F.array("corto", "largo")).alias("id")).groupBy("id").agg(F.min("key").alias("least"))
         both = left.join(least.select(F.col("id").alias("corto"), F.col("least").alias("lc")), "corto").join(least.select(F.col("id").alias("largo"), F.col("least").alias("ll")), "largo")
         now = cut(both.where("key = lc and key = ll").select(*left.columns))
-        taken = now if taken is None else taken.unionByName(now)
-        left = cut(without(left, names(now)).select(*left.columns))
-    return (left if taken is None else taken).drop("key")
+        taken = taken.unionByName(now.drop("key"))
+        left = cut(without(left, names(now)))
+    return taken
 
 
 _NOTES = {"prefijo": "revisar: forma corta contenida", "apellido": "revisar: apellido suelto", "subconjunto": "revisar: mismo nombre y apellido, distinto segundo nombre", "errata": "revisar: difieren en 1-2 letras"}
@@ -139,8 +220,8 @@ def propose(entities: DataFrame, persons: list[str] | None = None, canonical: st
     degree, then the longer, then the first."""
     keys = cut(same_key(entities))
     used = keys.select(F.explode("variantes").alias("id")).distinct()
-    found = [("prefijo", prefix_pairs(entities)), ("apellido", surname_pairs(entities, persons)), ("subconjunto", subset_pairs(entities, persons)), ("errata", typo_pairs(entities))]
-    one, *rest = (unambiguous(p).select(F.lit(k).alias("prio"), "tipo", "corto", "largo") for k, (_, p) in enumerate(found))
+    found = [("prefijo", _met_once(*_prefix_sides(entities))), ("apellido", _met_once(*_surname_sides(entities, persons))), ("subconjunto", unambiguous(subset_pairs(entities, persons))), ("errata", unambiguous(typo_pairs(entities)))]
+    one, *rest = (p.select(F.lit(k).alias("prio"), "tipo", "corto", "largo") for k, (_, p) in enumerate(found))
     for r in rest:
         one = one.unionByName(r)
     pairs = select_pairs(one, used)

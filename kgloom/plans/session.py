@@ -28,8 +28,14 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; our own folder where it is unset, as in tests."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/kgloom-shared"
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master (one machine, as in tests) gets a
+    folder of ours; anything else raises, as a cluster's machines share no folder that we could know."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        there = "/tmp/kgloom-shared"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")

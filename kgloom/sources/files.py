@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import defaults as D
 from ..model import Graph
+from ..plans.session import cut
 
 
 def corpus(spark: SparkSession, folder: str, chars: int | None = D.DOCUMENT_CHARS) -> DataFrame:
@@ -18,11 +19,15 @@ def corpus(spark: SparkSession, folder: str, chars: int | None = D.DOCUMENT_CHAR
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(model.GROUPS).option("multiLine", True).json(path)
+    """Merge groups from JSON: one object a line, as `write_groups` writes them, or files with one array each."""
+    head = spark.read.text(path).where("trim(value) <> ''").first()
+    whole = head is not None and head.value.lstrip().startswith("[")
+    return spark.read.schema(model.GROUPS).option("multiLine", whole).json(path)
 
 
 def write_groups(groups: DataFrame, path: str) -> None:
-    groups.orderBy("detector", "tipo", "canonico").write.mode("overwrite").json(path)
+    """Write one object a line. The groups may come from the same path: they are cut from it before it is written again."""
+    cut(groups).orderBy("detector", "tipo", "canonico").write.mode("overwrite").json(path)
 
 
 def best_hit(responses: DataFrame, hints: list[str] | None = None) -> DataFrame:
@@ -45,6 +50,11 @@ def careers(responses: DataFrame) -> DataFrame:
     return out.select("nombre", F.col("b.tipo.value").alias("tipo"), F.col("b.equipoLabel.value").alias("equipo"), year("inicio"), year("fin"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class GraphStore:
     """A graph in a folder of Parquet tables. Every commit writes a new version; readers take the last complete one."""
 

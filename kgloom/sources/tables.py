@@ -43,7 +43,7 @@ def star_edges(spark: SparkSession, folder: str, relations: list[str] | None = N
     if "PART_OF" in wanted:
         parts.append(edge(t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")), "n_name", "PART_OF", "r_name"))
     if "BOUGHT_FROM" in wanted:
-        pairs = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+        pairs = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey")
         named = pairs.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         parts.append(edge(named, "c_name", "BOUGHT_FROM", "s_name"))
     if "SUPPLIES" in wanted:
