@@ -2,13 +2,15 @@
 
 Texts and templates become words (ASCII letters and digits and non-ASCII characters, A-Z lower-cased). A template's hashes
 of GRAM words are winnowed: of each WINNOW neighbours the least is kept, and the kept ones make an inverted index from
-hash to (template, place). All hashes of a text are looked up in it. Hits of one template whose implied starts differ by no
-more than its band are one candidate; the template is aligned with the text around it, words against words, within the
-band. A candidate is reported if the matched words are at least `least` of the template's: with its coverage and the byte
-range from the first to the last matched word. Of reports of one template that overlap the one of greater coverage
-(then the earlier) stays.
+hash to (template, place). All hashes of a text are looked up in it. Each hit implies a start of its template. Starts that lie
+within a band of each other are one candidate, if they hit at least the share HITS of the template's fingerprints (a fifth of changed words
+leaves two fifths of all grams); however long a chain of starts is, every one is in a candidate around which the template is aligned with
+the text, words against words, within the band. A candidate is reported if the matched words are at least `least` of the template's: with its
+coverage and the byte range from the first to the last matched word. Of reports that overlap, of whatever templates, the one with
+the most words matched less words missed stays (then the longer, then the earlier): a text of two clauses isn't one of three.
 
-The index is broadcast: it holds the given templates alone (INDEX_BYTES at most, checked), whatever the input.
+The templates are whole license texts (files in templates/, by SPDX name) and the notices below. The index is broadcast: it holds
+the given templates alone (INDEX_BYTES at most, checked), whatever the input.
 
 Defined results: null and empty texts have no match; repeated rows are scanned each; null doc_ids are kept as they are;
 templates without words are ignored; one shorter than GRAM words is one fingerprint; extra columns are not read.
@@ -17,6 +19,7 @@ templates without words are ignored; one shorter than GRAM words is one fingerpr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,10 @@ from pyspark.sql import DataFrame
 
 from .common import PUNCT, Words, doubled, each, texts_of, tune
 
-GRAM, WINNOW, LEAST, INDEX_BYTES = 3, 2, 0.8, 64 << 20
+GRAM, WINNOW, LEAST, HITS, WIDEST, INDEX_BYTES = 3, 2, 0.8, 1 / 5, 200, 64 << 20
 
-#: Notices and short texts of common public licenses, by SPDX name.
-TEMPLATES = [
+#: Notices of common public licenses, by SPDX name.
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("MIT", "Released under the MIT License."),
@@ -41,6 +44,14 @@ TEMPLATES = [
 ]
 
 
+def texts_of_licenses() -> list[tuple[str, str]]:
+    """The whole license texts that come with this package."""
+    return [(f.stem, f.read_text(encoding="utf-8").strip()) for f in sorted((Path(__file__).parent / "templates").glob("*.txt"))]
+
+
+TEMPLATES = [*NOTICES, *texts_of_licenses()]
+
+
 class Index:
     """Templates as word hashes, and the inverted index of their winnowed fingerprints."""
 
@@ -49,80 +60,95 @@ class Index:
         self.names = [n for n, _ in templates]
         self.words = [w.hash[a:b] for a, b in zip(w.first, w.first[1:], strict=False)]
         self.places: dict[int, list[tuple[int, int]]] = {}
+        self.fewest = [0] * len(self.words)
         for k, words in enumerate(self.words):
             if not len(words):
                 continue
             h = doubled(words, min(GRAM, len(words)))
             groups = max(1, len(h) - WINNOW + 1)
-            for at in {i + int(np.argmin(h[i : i + WINNOW])) for i in range(groups)}:
+            kept = {i + int(np.argmin(h[i : i + WINNOW])) for i in range(groups)}
+            self.fewest[k] = max(1, int(HITS * len(kept)))
+            for at in kept:
                 self.places.setdefault(int(h[at]), []).append((k, at))
         self.lengths = sorted({min(GRAM, len(x)) for x in self.words if len(x)})
         self.keys = np.array(sorted(self.places), dtype=np.uint64)
 
 
 def band_of(length: int) -> int:
-    return max(3, length // 5)
+    """Words that may be missing or inserted in all: a fifth of the template's, WIDEST at most."""
+    return max(3, min(WIDEST, length // 5))
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
     """Template against text, with the template's i near the text's i + shift: matched words, first and last matched place.
 
-    A match counts 2, a mismatch or a gap -1; ends of the text are free; equal scores prefer more matches."""
-    n, m = len(text), len(template)
-    worst = (-(1 << 30), 0, -1, -1)
-    width = 2 * band + 1
-    row = [(0, 0, -1, -1)] * (width + 1)  # template place 0: any start is free
-    a, b = template.tolist(), text.tolist()
-    for i in range(m):
-        new = [worst] * (width + 1)
-        for d in range(width):
-            j = i + shift + d - band
-            if 0 <= j < n:
-                score, hits, first, last = row[d]
-                same = a[i] == b[j]
-                best = (score + (2 if same else -1), hits + same, (j if first < 0 else first) if same else first, j if same else last)
-            else:
-                best = worst
-            for other in (row[d + 1], new[d - 1] if d else worst):  # a template word or a text word without partner
-                moved = (other[0] - 1, *other[1:])
-                if moved[:2] > best[:2]:
-                    best = moved
-            new[d] = best
-        row = new
-    best = max(row, key=lambda x: (x[1], x[0]))
-    return best[1], best[2], best[3]
+    A match counts 2, a mismatch or a gap -1; ends of the text are free; equal scores prefer more matches. A row of the band is
+    an array; words of the text without partner go through it from left to right by a running maximum."""
+    n, width, one = len(text), 2 * band + 1, np.int64(1) << 24  # score and matches in one value
+    d, worst = np.arange(width), np.int64(-(1 << 30)) * one
+    key, first, last = np.zeros(width + 1, dtype=np.int64), np.full(width + 1, -1), np.full(width + 1, -1)
+    for i, word in enumerate(template):
+        j = d + (i + shift - band)
+        inside = (j >= 0) & (j < n)
+        same = np.zeros(width, dtype=bool)
+        same[inside] = text[j[inside]] == word
+        met = np.where(inside, key[:-1] + np.where(same, 2 * one + 1, -one), worst)
+        alone = key[1:] - one  # the template's word has no partner
+        take = alone > met
+        base = np.where(take, alone, met)
+        first = np.where(take, first[1:], np.where(same & (first[:-1] < 0), j, first[:-1]))
+        last = np.where(take, last[1:], np.where(same, j, last[:-1]))
+        reach = base + d * one
+        best = np.maximum.accumulate(reach)
+        at = np.maximum.accumulate(np.where(reach == best, d, 0))
+        key, first, last = np.append(best - d * one, worst), np.append(first[at], -1), np.append(last[at], -1)
+    hits = (key & (one - 1)).astype(np.int64)
+    k = int(np.lexsort((-np.arange(len(key)), key >> np.int64(24), np.where(key > worst // 2, hits, -1)))[-1])
+    return int(hits[k]), int(first[k]), int(last[k])
+
+
+def candidates(starts: list[tuple[int, int]], band: int, fewest: int) -> Iterator[int]:
+    """(implied start, place in the template) of the hits of one template in one text -> middles of runs of starts that span a band at most and,
+    with what lies within a band of them, hit so many different places."""
+    starts.sort()
+    at, place = (np.array(x) for x in zip(*starts, strict=True))
+    a = 0
+    while a < len(at):
+        e = int(np.searchsorted(at, at[a] + band, "right"))
+        near = slice(int(np.searchsorted(at, at[a] - band)), int(np.searchsorted(at, at[e - 1] + band, "right")))
+        if len(np.unique(place[near])) >= fewest:
+            yield int(at[(a + e) // 2])
+        a = e
 
 
 def scan_texts(texts: list[bytes], index: Index, least: float = LEAST) -> list[list[dict]]:
     w = Words(texts, PUNCT, lower=True)
-    found: dict[tuple[int, int], list[int]] = {}
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for n in index.lengths:
         at = w.inside(n)
         h = doubled(w.hash, n)[at]
-        for i, x in zip(at[np.isin(h, index.keys)].tolist(), h[np.isin(h, index.keys)].tolist(), strict=True):
+        hit = np.isin(h, index.keys)
+        for i, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
             for k, place in index.places[x]:
                 if min(GRAM, len(index.words[k])) == n:
-                    found.setdefault((int(w.text[i]), k), []).append(i - place)
-    out: list[list[dict]] = [[] for _ in texts]
+                    found.setdefault((int(w.text[i]), k), []).append((i - place, place))
+    reports: list[list[tuple]] = [[] for _ in texts]
     for (t, k), starts in sorted(found.items()):
         words, band = index.words[k], band_of(len(index.words[k]))
-        reports, cluster = [], []
-        for s in [*sorted(starts), None]:
-            if cluster and (s is None or s - cluster[-1] > band):
-                middle = cluster[len(cluster) // 2]
-                low = max(int(w.first[t]), middle - band)
-                high = min(int(w.first[t + 1]), middle + len(words) + band + 1)
-                n, first, last = align(words, w.hash[low:high], middle - low, band)
-                if n >= least * len(words):
-                    reports.append((-n / len(words), low + first, low + last))
-                cluster = []
-            cluster.append(s)
-        taken: list[tuple[int, int]] = []
-        for cover, first, last in sorted(reports):
-            if all(last < a or first > b for a, b in taken):
-                taken.append((first, last))
-                begin = int(w.text_start[t])
-                out[t].append({"license": index.names[k], "template": k, "coverage": -cover, "start": int(w.start[first]) - begin, "stop": int(w.stop[last]) - begin})
+        for middle in candidates(starts, band, index.fewest[k]):
+            low = max(int(w.first[t]), middle - band)
+            high = min(int(w.first[t + 1]), middle + len(words) + band + 1)
+            n, first, last = align(words, w.hash[low:high], middle - low, band)
+            if n >= least * len(words):
+                reports[t].append((len(words) - 2 * n, -len(words), low + first, low + last, k, n / len(words)))
+    out: list[list[dict]] = [[] for _ in texts]
+    for t, some in enumerate(reports):
+        begin, taken = int(w.text_start[t]), np.zeros(int(w.count[t]), dtype=bool) if some else None
+        for _, _, first, last, k, cover in sorted(some):
+            mine = taken[first - int(w.first[t]) : last - int(w.first[t]) + 1]
+            if not mine.any():
+                mine[:] = True
+                out[t].append({"license": index.names[k], "template": k, "coverage": cover, "start": int(w.start[first]) - begin, "stop": int(w.stop[last]) - begin})
     return [sorted(x, key=lambda r: (r["start"], r["stop"], r["template"])) for x in out]
 
 

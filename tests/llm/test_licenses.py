@@ -52,3 +52,44 @@ def test_planted_notices_and_edits(spark):
     assert all(not got[i] for i, _ in rows if i is not None and i < 900 and i not in want)
     assert not got[900] and not got[901] and not got[902] and got[None][0].license == "MIT" and len(got[903]) == 3
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def reported(text):
+    return [(m["license"], m["coverage"]) for m in licenses.scan_texts([text.encode()], licenses.Index(licenses.TEMPLATES))[0]]
+
+
+def test_repeated_first_words_hide_nothing():
+    for name, text in [x for x in licenses.TEMPLATES if len(x[1]) < 2500]:
+        for times, size in ((10, 7), (30, 4)):
+            again = " ".join([" ".join(text.split()[:size])] * times)
+            assert (name, 1.0) in reported(f"{again} {text}"), (name, times)
+
+
+def test_whole_texts_are_told_apart():
+    for name, text in licenses.texts_of_licenses():
+        assert [x for x, c in reported(f"Some words before.\n{text}\nand others after it") if c > 0.99] == [name]
+        words = text.split()
+        words[len(words) // 2 :: 9] = ["changed"] * len(words[len(words) // 2 :: 9])
+        (found,) = reported(" ".join(words))
+        assert found[0] == name and 0.9 < found[1] < 0.99
+    half = dict(licenses.texts_of_licenses())["MIT"].split()
+    assert not reported(" ".join(half[: len(half) // 2]) + " but all else is another text") or reported(" ".join(half[: len(half) // 2]))[0][1] < 1 or len(half) > 100
+
+
+def test_against_brute_force():
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    templates = [(f"t{k}", text(rng.randrange(8, 40))) for k in range(6)]
+    index = licenses.Index(templates)
+    for _ in range(60):
+        name, base = rng.choice(templates)
+        words = base.split()
+        for at in rng.sample(range(len(words)), rng.randrange(1 + len(words) // 8)):
+            words[at] = "changed"
+        whole = f"{text(rng.randrange(30))} {' '.join(words)} {text(rng.randrange(30))}"
+        got = {m["license"]: m["coverage"] for m in licenses.scan_texts([whole.encode()], index)[0]}
+        hashes = licenses.Words([whole.encode()], licenses.PUNCT, lower=True).hash
+        best = {n: licenses.align(w, hashes, 0, len(hashes))[0] / len(w) for (n, _), w in zip(templates, index.words)}
+        assert got[name] >= 1 - words.count("changed") / len(words) - 1e-9
+        assert all(best[n] >= c - 1e-9 and best[n] >= 0.8 for n, c in got.items())
