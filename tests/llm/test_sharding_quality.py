@@ -4,6 +4,8 @@ import random
 import re
 import zlib
 
+import regex
+
 from kgloom.llm import quality, sharding
 
 
@@ -88,3 +90,65 @@ def test_clean_documents_are_kept(spark):
     junk = [(1000 + i, " ".join("#$%&*" for _ in range(60)) + "\n" + "same line\n" * 20) for i in range(20)]
     got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(clean + junk, "doc_id long, text string")).collect()}
     assert all(got[i] for i, _ in clean) and not any(got[i] for i, _ in junk)
+
+
+def votes(t):
+    t = t or ""
+    n_words, word_chars, symbols, dup_lines, repeats = brute(t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    share = lambda a, b: a / b if b else None
+
+    def vote(x, good, bad):
+        return 0 if x is None else -1 if bad(x) else int(good(x))
+
+    return (
+        vote(n_words, lambda x: x >= 80, lambda x: x < 50),
+        vote(share(symbols, word_chars), lambda x: x < 0.02, lambda x: x > 0.08),
+        vote(share(dup_lines, len(lines)), lambda x: x < 0.1, lambda x: x > 0.5 and dup_lines >= 3),
+        vote(share(repeats, n_words), lambda x: x < 0.15, lambda x: x > 0.4),
+        vote(share(word_chars, n_words), lambda x: 3 < x < 9, lambda x: x < 2.5 or x > 12),
+        vote(share(t.count("|"), n_words), lambda x: x < 0.01, lambda x: x > 0.1),
+        vote(share(len(regex.findall(r"\p{L}", t)), word_chars), lambda x: x > 0.85, lambda x: x < 0.7),
+    )
+
+
+def kept_by_brute_force(texts):
+    """Expectation-maximisation document by document, without patterns."""
+    rows = [votes(t) for t in texts]
+    post = [0.5 + 0.45 * sum(v) / max(1, sum(map(abs, v))) for v in rows]
+    for _ in range(60):
+        good = sum(post)
+        share = (good + 1) / (len(rows) + 2)
+        odds = []
+        for k in range(7):
+            of = {}
+            for x in (-1, 0, 1):
+                a, b = sum(q for q, v in zip(post, rows) if v[k] == x), sum(1 - q for q, v in zip(post, rows) if v[k] == x)
+                of[x] = ((a + 1) / (good + 3)) / ((b + 1) / (len(rows) - good + 3)) if x else 1.0
+            odds.append(of)
+        post = []
+        for v in rows:
+            ratio = share / (1 - share)
+            for k, x in enumerate(v):
+                ratio *= odds[k][x]
+            post.append(ratio / (1 + ratio))
+    out = []
+    for t, q in zip(texts, post):
+        n, _, _, _, r = brute(t)
+        out.append(not (n < 50 or 100 * r > 50 * n) and round(q, 9) >= 0.5)
+    return out
+
+
+def test_kept_equals_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 11)))
+    texts = [None, ""]
+    for _ in range(150):
+        w = [word() for _ in range(rng.randrange(20, 160))]
+        for _ in range(rng.choice([0, 0, 0, 10, 60])):
+            w[rng.randrange(len(w))] = rng.choice(["|", "##", "***", "12345", "\nsame line\nsame line\n", "a b c"])
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(7, texts[7])], "doc_id long, text string")
+    got = quality.judged(docs).collect()
+    want = kept_by_brute_force([*texts, texts[7]])
+    assert len(got) == len(texts) + 1 and {r.doc_id: r.kept for r in got} == dict(enumerate(want[:-1])) and 0 < sum(want) < len(want)
