@@ -9,8 +9,8 @@ rows without an item_id mark hits but are not listed; a repeated item_id counts
 each on its own. Extra columns, whatever their names, are neither read nor returned, except that `cleaned` carries
 all columns of its input.
 
-The set is broadcast only while the benchmark's texts hold at most `broadcast_bytes` in all (checked by an
-aggregate). Beyond that, windows are matched by a shuffled equi-join, which needs no memory bound.
+The set is broadcast only while it takes at most `broadcast_bytes` (an aggregate counts the benchmark's windows, at
+WINDOW_BYTES each). Beyond that, windows are matched by a shuffled equi-join, which needs no memory bound.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, Words, covered, doubled, each, runs, texts_of, tune, written
+from .common import PUNCT, Words, covered, doubled, each, runs, texts_of, tune, unused, written
 
 NGRAM = 10
 BROADCAST_BYTES = 64 << 20
+#: What a window takes in the set: its words, their places in two tables and the set of its items.
+WINDOW_BYTES = 512
 
 SPANS = "n_words bigint, n_hit bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>"
 
@@ -106,15 +108,17 @@ def _grams(benchmark: DataFrame, ngram: int):
     return Grams([(r.item_id, bytes(r.text)) for r in rows.collect()], ngram)
 
 
-def small(benchmark: DataFrame, bound: int) -> bool:
-    size = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    return size <= bound
+def small(benchmark: DataFrame, bound: int, ngram: int = NGRAM) -> bool:
+    """Whether the set of the benchmark's windows keeps within so many bytes."""
+    words = F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+    windows = F.greatest(words - (ngram - 1), F.lit(1)).cast("long")
+    return WINDOW_BYTES * (benchmark.where("text is not null").agg(F.sum(windows)).first()[0] or 0) <= bound
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, spans (byte ranges of the UTF-8 text, hit words from first to last), items."""
     spark = tune(docs.sparkSession)
-    if not small(benchmark, broadcast_bytes):
+    if not small(benchmark, broadcast_bytes, ngram):
         return _scan_by_join(docs, benchmark, ngram)
     shared = spark.sparkContext.broadcast(_grams(benchmark, ngram))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -130,7 +134,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, broadcast_by
 
 
 def _hits_by_join(base: DataFrame, benchmark: DataFrame, ngram: int) -> DataFrame:
-    """base (__row, text) -> (__row, found, items) for a benchmark of any size: windows as rows, joined on their words."""
+    """base (row, text) -> (row, found, found_items) for a benchmark of any size: windows as rows, joined on their words."""
 
     def grams(batches):
         for b in batches:
@@ -147,11 +151,11 @@ def _hits_by_join(base: DataFrame, benchmark: DataFrame, ngram: int) -> DataFram
             for n in lengths:
                 for part in np.array_split(w.inside(n), len(w.inside(n)) // 20000 + 1):
                     at = part.tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([rows[w.text[i]] for i in at], pa.int64()), pa.array([i - int(w.first[w.text[i]]) for i in at], pa.int64()), pa.array([w.joined(i, i + n) for i in at], pa.binary()), pa.array([n] * len(at), pa.int32())], names=["__row", "at", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[w.text[i]] for i in at], pa.int64()), pa.array([i - int(w.first[w.text[i]]) for i in at], pa.int64()), pa.array([w.joined(i, i + n) for i in at], pa.binary()), pa.array([n] * len(at), pa.int32())], names=["row", "at", "gram", "n"])
 
     by_gram = items.groupBy("gram", "n").agg(F.collect_set("item").alias("items"))
-    hits = base.select("__row", "text").mapInArrow(windows, "__row bigint, at bigint, gram binary, n int").join(by_gram, ["gram", "n"])
-    return hits.groupBy("__row").agg(F.collect_list(F.struct("at", "n")).alias("__found"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("__items"))
+    hits = base.select("row", "text").mapInArrow(windows, "row bigint, at bigint, gram binary, n int").join(by_gram, ["gram", "n"])
+    return hits.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("found"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found_items"))
 
 
 def _joined_hits(texts: list[bytes], found: list, items: list):
@@ -167,14 +171,14 @@ def _joined_hits(texts: list[bytes], found: list, items: list):
 
 def _scan_by_join(docs: DataFrame, benchmark: DataFrame, ngram: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = written(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text"))
+    base = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
 
     def finish(batches):
         for b in batches:
             n_words, n_hit, spans, listed = _spans(*_joined_hits(texts_of(b), b.column(2).to_pylist(), b.column(3).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _STRUCT), pa.array(listed, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "spans", "items"])
 
-    found = base.join(_hits_by_join(base, benchmark, ngram), "__row", "left").select("doc_id", "text", "__found", "__items")
+    found = base.join(_hits_by_join(base, benchmark, ngram), "row", "left").select("doc_id", "text", "found", "found_items")
     return found.mapInArrow(finish, f"doc_id {kind}, {SPANS}")
 
 
@@ -191,11 +195,13 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, most: flo
     the share `most` of its words is hit goes. All columns stay; n_chars, if there, is set to the new length."""
     spark = tune(docs.sparkSession)
     at, names = docs.columns.index("text"), docs.columns
-    if small(benchmark, broadcast_bytes):
+    if small(benchmark, broadcast_bytes, ngram):
         shared, source = spark.sparkContext.broadcast(_grams(benchmark, ngram)), docs
     else:
-        base = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-        shared, source = None, base.join(_hits_by_join(base, benchmark, ngram), "__row", "left").select(*names, "__found", "__items")
+        row, found, listed = (unused(docs, c) for c in ("row", "found", "found_items"))
+        base = written(docs.withColumn(row, F.monotonically_increasing_id()))
+        hits = _hits_by_join(base.select(F.col(row).alias("row"), "text"), benchmark, ngram).toDF(row, found, listed)
+        shared, source = None, base.join(hits, row, "left").select(*names, found, listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -58,3 +58,18 @@ def test_cleaned_cuts_spans_and_drops_benchmark_texts(spark):
     assert got == {r.doc_id: r for r in decontaminate.cleaned(docs, bench, broadcast_bytes=0).collect()}
     assert set(got) == {1, 3, 4} and "Item5" not in got[1].text and got[1].text.startswith("own words here, \n.")
     assert got[3].text == "clean  text" and got[4].text is None and got[1].n_chars == len(got[1].text)
+
+
+def test_columns_with_clashing_names_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "some words of its own", 5, 6, 7), (2, "a b c", 5, 6, 7)], "doc_id long, text string, row int, found int, __items int")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for bound in (1 << 20, 0):
+        got = decontaminate.cleaned(docs, bench, broadcast_bytes=bound)
+        assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "some words of its own", 5, 6, 7)]
+        assert decontaminate.cleaned(docs.limit(0), bench, broadcast_bytes=bound).count() == 0
+        assert decontaminate.cleaned(docs, bench.limit(0), broadcast_bytes=bound).count() == 2
+
+
+def test_the_set_is_measured_by_windows(spark):
+    bench = spark.createDataFrame([(1, "a " * 1009), (2, "b"), (3, None), (4, "")], "item_id long, text string")
+    assert decontaminate.small(bench, 1010 * decontaminate.WINDOW_BYTES) and not decontaminate.small(bench, 1000 * decontaminate.WINDOW_BYTES)
