@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from kgloom import model
 from kgloom.operators import audit, resolve, retrieve
@@ -61,6 +64,46 @@ def test_selection_equals_the_sequential_walk(spark):
     assert {(r.prio, r.corto, r.largo) for r in got.collect()} == taken
 
 
+PAIRS = "prio int, tipo string, corto string, largo string"
+
+
+def walked(rows):
+    used, taken = set(), set()
+    for prio, _, a, b in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
+        if a not in used and b not in used:
+            taken.add((prio, a, b))
+            used |= {a, b}
+    return taken
+
+
+def test_a_long_chain_is_selected_in_seconds(spark):
+    rows = [(0, "t", f"n{i:05}", f"n{i + 1:05}") for i in range(5000)]
+    none = spark.createDataFrame([], "id string")
+    began = time.perf_counter()
+    got = {(r.prio, r.corto, r.largo) for r in resolve.select_pairs(spark.createDataFrame(rows, PAIRS), none).collect()}
+    assert got == walked(rows) and len(got) == 2500 and time.perf_counter() - began < 120
+
+
+def test_great_components_go_by_rounds_and_raise_if_these_end(spark):
+    rng = random.Random(5)
+    rows = list({(rng.randrange(4), "t", *rng.sample([f"n{i}" for i in range(12)], 2)) for _ in range(30)}) + [(0, "t", "x1", "x2")]
+    none = spark.createDataFrame([], "id string")
+    pairs_ = spark.createDataFrame(rows, PAIRS)
+    assert {(r.prio, r.corto, r.largo) for r in resolve.select_pairs(pairs_, none, walk=2).collect()} == walked(rows)
+    chain = spark.createDataFrame([(0, "t", f"n{i}", f"n{i + 1}") for i in range(9)], PAIRS)
+    with pytest.raises(RuntimeError):
+        resolve.select_pairs(chain, none, most_rounds=1, walk=2)
+
+
+def test_short_forms_are_counted_before_they_meet(spark):
+    rng = random.Random(6)
+    words = ["ana", "eva", "paz", "sol"]
+    names = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(40)}
+    e = ents(spark, *((n, t, 1) for n in names for t in ("Jugador", "Entrenador") if rng.random() < 0.6))
+    for sides, found in ((resolve._prefix_sides(e), resolve.prefix_pairs(e)), (resolve._surname_sides(e), resolve.surname_pairs(e))):
+        assert sorted(map(tuple, resolve._met_once(*sides).collect())) == sorted(map(tuple, resolve.unambiguous(found).collect()))
+
+
 def test_proposal_approval_application(spark):
     e = ents(spark, ("Real Madrid", "Club", 5), ("Real Madrid C. F.", "Club", 9), ("Ajax", "Club", 2), ("Ajax de Ámsterdam", "Club", 1), ("Johan Cruyff", "Jugador", 9), ("Johann Cruyff", "Jugador", 1))
     found = resolve.propose(e)
@@ -94,6 +137,8 @@ def test_audit(spark):
     found = audit.compare(edges, nodes, truth, aliases)
     got = {r.persona: (r.correctas, r.sobran, r.faltan) for r in found.collect()}
     assert got == {"p": (["Colonia", "FC Barcelona", "de la"], ["Barcelona B", "Extra"], ["Missing"]), "gone": (None, None, None)}
+    key = lambda r: (r.rel, r.persona)
+    assert sorted(audit.counted(edges, nodes, truth, aliases).collect(), key=key) == sorted(audit.counts(found).collect(), key=key)
     t = audit.totals(found).first()
     assert (t.n_ok, t.n_graph, t.n_truth) == (3, 5, 4) and abs(t.precision - 0.6) < 1e-12 and abs(t.coverage - 0.75) < 1e-12
     assert {r.dst for r in audit.extra_edges(found).collect()} == {"Barcelona B", "Extra"} and [r.dst for r in audit.missing_edges(found).collect()] == ["Missing"]

@@ -26,6 +26,48 @@ def test_groups_round_trip(spark, tmp_path):
     assert files.read_groups(spark, str(tmp_path / "g")).collect() == g.collect()
 
 
+def test_many_groups_round_trip_in_both_forms(spark, tmp_path):
+    rows = [("prefijo", "Club", f"Club {i} de Ñandú", [f"Club {i} de Ñandú", f"C{i}"], i % 2 == 0, "x\ny") for i in range(50)]
+    g = spark.createDataFrame(rows, model.GROUPS).repartition(4)
+    files.write_groups(g, str(tmp_path / "g"))
+    read = lambda p: sorted(tuple(r) for r in files.read_groups(spark, str(tmp_path / p)).collect())
+    assert read("g") == sorted(rows)
+    names = ["detector", "tipo", "canonico", "variantes", "aprobado", "nota"]
+    (tmp_path / "array.json").write_text(json.dumps([dict(zip(names, r)) for r in rows], ensure_ascii=False, indent=2), encoding="utf-8")
+    assert read("array.json") == sorted(rows)
+    files.write_groups(files.read_groups(spark, str(tmp_path / "g")), str(tmp_path / "g"))  # over itself
+    assert read("g") == sorted(rows)
+
+
+def test_proposals_keep_approvals(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    store, groups = files.GraphStore(spark, str(tmp_path / "store")), str(tmp_path / "g")
+    names = [(f"Ajax{i}{tail}", "Club") for i in range(12) for tail in ("", " de Ámsterdam")]
+    store.save(model.graph(spark.createDataFrame(names, "id string, tipo string"), spark.createDataFrame([("Ajax1", "R", "Ajax2")], "src string, rel string, dst string")))
+    assert cli.main(["dedupe", store.folder, "--propose", "--groups", groups]) == 0
+    (tmp_path / "yes.csv").write_text("canonico\nAjax3 de Ámsterdam\nAjax7 de Ámsterdam\n", encoding="utf-8")
+    (tmp_path / "no.csv").write_text("canonico\nAjax7 de Ámsterdam\n", encoding="utf-8")
+    assert cli.main(["curate", store.folder, "--approve", "--groups", groups, "--approved", str(tmp_path / "yes.csv"), "--rejected", str(tmp_path / "no.csv")]) == 0
+    approved = lambda: {r.canonico for r in files.read_groups(spark, groups).where("aprobado").collect()}
+    assert approved() == {"Ajax3 de Ámsterdam"}
+    before = files.read_groups(spark, groups).count()
+    assert cli.main(["dedupe", store.folder, "--propose", "--groups", groups]) == 0
+    assert approved() == {"Ajax3 de Ámsterdam"} and files.read_groups(spark, groups).count() == before == 12
+    assert cli.main(["dedupe", store.folder, "--apply", "--groups", groups]) == 0
+    assert store.load().nodes.count() == 23
+
+
+def test_review_and_download_of_careers(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    row = lambda kind, team, begin: {"tipo": {"value": kind}, "equipoLabel": {"value": team}, "inicio": {"value": begin}}
+    b = [row("JUGO_EN", "Ajax", "1990-01-01"), row("JUGO_EN", "Ajax", "1985-01-01"), row("ENTRENO_A", "Milan", "2001-01-01"), row("JUGO_EN", "Q12", "1999")]
+    (tmp_path / "r.json").write_text(json.dumps({"nombre": "Ana", "json": json.dumps({"results": {"bindings": b}})}), encoding="utf-8")
+    truth = str(tmp_path / "truth")
+    assert cli.main(["evaluate", str(tmp_path / "store"), "--review", "--download", "--truth", truth, "--responses", str(tmp_path / "r.json")]) == 0
+    assert "1985" in capsys.readouterr().out
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(truth).collect()) == [("ENTRENO_A", "Ana", "Milan"), ("JUGO_EN", "Ana", "Ajax")]
+
+
 def test_search_and_career_responses(spark):
     hit = lambda *d: json.dumps({"search": [{"id": f"Q{i}", "description": x} for i, x in enumerate(d)]})
     rows = spark.createDataFrame([("a", hit("pintor", "Entrenador de fútbol")), ("b", hit("pintor", None)), ("c", hit()), ("d", "{}")], "nombre string, json string")
