@@ -64,6 +64,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df hasn't got (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
@@ -226,6 +234,17 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
 
 
+def give_back() -> None:
+    """Give memory that is no longer used back to the system."""
+    Rolling._up = Rolling._down = np.zeros(0, dtype=np.uint64)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: memory stays with the process
+        pass
+
+
 def tidy(run: Callable) -> Callable:
     """A function for mapInArrow that gives its memory back at a task's end: Python workers live on between tasks, and
     what one stage leaves in them would stand in the way of the next."""
@@ -235,12 +254,6 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            Rolling._up = Rolling._down = np.zeros(0, dtype=np.uint64)
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except OSError:  # another C library: memory stays with the worker
-                pass
+            give_back()
 
     return whole

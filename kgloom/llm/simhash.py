@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, MADE, each, keep, mix, shared_dir, texts_of, tidy, tune, written
+from .common import LOWER, MADE, SPACE, Words, doubled, each, keep, mix, shared_dir, texts_of, tidy, tune, unused, written
 from .components import components
 
 SHINGLE, RADIUS, SEGMENTS, BITS, PIVOTS, HOT = 3, 2, 4, 16, 12, 64
@@ -216,184 +216,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(by_fp.select("fp", "root").join(of_root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-# --- Near-duplicates by similarity: many lanes of 64 bits ---------------------------------------------------------------
-
-#: Lanes of 64 bits; keys and the bits of each; lanes of the sketch that is compared first, and its references.
-LANES, KEYS, KEY_BITS, SKETCH, SKETCH_PIVOTS, SIMILAR_HOT = 22, 140, 24, 4, 8, 4096
-SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-
-
-def differing_share(jaccard: float) -> float:
-    """Expected share of differing SimHash bits of two sets of equal size with this Jaccard similarity."""
-    return float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
-
-
-def wide_fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
-    """A row of LANES values for each text: the SimHash of its shingles under as many hash functions."""
-    parts = [_shingle_hashes(t, shingle) for t in texts]
-    count = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 8
-    h = np.frombuffer(b"".join(parts), dtype=">u8").astype(np.uint64)
-    first = np.cumsum(count) - count
-    return np.stack([_majority(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))), first, count) for k in range(LANES)], axis=1)
-
-
-class _Wide:
-    """Pivot tables of the wide fingerprints: distance vectors of samples of their bits, and references for sketches."""
-
-    def __init__(self, pivots: int = PIVOTS, seed: int = 6):
-        rng = np.random.default_rng(seed)
-        self.sample = np.stack([rng.choice(LANES * 64, KEY_BITS, replace=False) for _ in range(KEYS)])
-        self.half = KEY_BITS // 2
-        values = np.arange(1 << self.half, dtype=np.uint64)
-        self.packed = np.zeros(1 << self.half, dtype=np.uint64)
-        for p, ref in enumerate(rng.integers(0, 1 << self.half, pivots, dtype=np.uint64)):
-            self.packed |= np.bitwise_count(values ^ ref).astype(np.uint64) << np.uint64(5 * p)
-        self.references = rng.integers(0, 2**64, (SKETCH_PIVOTS, SKETCH), dtype=np.uint64)
-
-    def keys(self, fp: np.ndarray) -> np.ndarray:
-        """For each sample of bits the distance vectors of its two halves to the references, as one hash."""
-        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
-        weight = 1 << np.arange(self.half)
-        out = []
-        for k, places in enumerate(self.sample):
-            low, high = bits[:, places[: self.half]] @ weight, bits[:, places[self.half :]] @ weight
-            out.append(mix(mix(self.packed[low] + np.uint64(2 * k)) * np.uint64(3) + mix(self.packed[high] + np.uint64(2 * k + 1))))
-        return np.stack(out, axis=1)
-
-    def coordinates(self, sketch: np.ndarray) -> np.ndarray:
-        return np.stack([np.bitwise_count(sketch ^ r).sum(axis=1, dtype=np.int16) for r in self.references], axis=1)
-
-
-_WIDE: list[_Wide] = []
-
-
-def _wide() -> _Wide:
-    if not _WIDE:
-        _WIDE.append(_Wide())
-    return _WIDE[0]
-
-
-def _nearest(key: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key -> for each row the nearest earlier one of its key, if its sketch differs in `most` bits or fewer."""
-    n = len(key)
-    best, to = np.full(n, 1 << 30), np.full(n, -1)
-    t = _wide().coordinates(sketch)
-    for shift in range(1, n):
-        at = np.flatnonzero(key[shift:] == key[:-shift])
-        if not len(at):
-            break
-        at = at[(np.abs(t[at] - t[at + shift]) <= most).all(axis=1)]
-        d = np.bitwise_count(sketch[at] ^ sketch[at + shift]).sum(axis=1, dtype=np.int64)
-        ok = (d <= most) & (d < best[at + shift])
-        best[at[ok] + shift], to[at[ok] + shift] = d[ok], at[ok]
-    found = np.flatnonzero(to >= 0)
-    return found, to[found]
-
-
-def similar_links(prints: DataFrame, similarity: float = SIMILARITY, hot: int = SIMILAR_HOT) -> DataFrame:
-    """Distinct wide fingerprints (id, lanes) -> links (a, b) by an estimate, for callers that have no texts any more. It misses
-    pairs: only a row's nearest earlier one of each bucket is tried, and pairs of crowded buckets can be separated. The
-    pipeline doesn't use it; `jaccard_links` finds every pair and decides by the sets.
-
-    A document meets those that share the distance vectors of a sample of 24 bits (of 140 samples two documents of
-    similarity 0.8 share one or more with probability 0.94, of 0.85 with 0.99, of 0.9 with 0.9999). Within a bucket the pivot
-    table of the sketches (256 bits) discards, the sketches pick each document's nearest earlier one, and all lanes verify it.
-    A bucket of more than `hot` documents is cut by the next sample of its documents, so that no task compares more than
-    that. Buckets fill up with chance meetings in proportion to the number of documents over 2 ** KEY_BITS: for corpora far
-    beyond some million documents KEY_BITS is to be raised by their logarithm, and KEYS with it."""
-    share = differing_share(similarity)
-    sketch_bits, all_bits = SKETCH * 64, LANES * 64
-    loose = int(sketch_bits * (share + 2.5 * np.sqrt(share * (1 - share) / sketch_bits)))
-    strict = int(all_bits * (share + np.sqrt(share * (1 - share) / all_bits)))
-    as_matrix = lambda col, width: np.frombuffer(b"".join(col.to_pylist()), dtype="<u8").reshape(-1, width)
-
-    def keyed(batches):
-        def make(b):
-            fp = as_matrix(b.column(1), LANES)
-            k = _wide().keys(fp)
-            return pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(fp)), k.shape[1])))], names=["key", "id"])
-
-        return each(batches, make)
-
-    def compared(batches):
-        keys, ids, sketches = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, SKETCH), dtype=np.uint64)
-
-        def out(k, i, s):
-            found, to = _nearest(k, s, loose)
-            return pa.RecordBatch.from_arrays([pa.array(i[found]), pa.array(i[to])], names=["a", "b"])
-
-        for x in batches:
-            keys, ids = np.concatenate([keys, x.column(0).to_numpy(zero_copy_only=False)]), np.concatenate([ids, x.column(1).to_numpy(zero_copy_only=False)])
-            sketches = np.concatenate([sketches, as_matrix(x.column(2), SKETCH)])
-            if len(keys) and (at := int(np.searchsorted(keys, keys[-1]))):
-                yield out(keys[:at], ids[:at], sketches[:at])
-                keys, ids, sketches = keys[at:], ids[at:], sketches[at:]
-        if len(keys):
-            yield out(keys, ids, sketches)
-
-    def verified(batches):
-        def make(b):
-            ok = np.bitwise_count(as_matrix(b.column(2), LANES) ^ as_matrix(b.column(3), LANES)).sum(axis=1, dtype=np.int64) <= strict
-            return b.select(["a", "b"]).filter(pa.array(ok))
-
-        return each(batches, make)
-
-    def shared(batches):
-        """Rows sorted by key -> those whose key others have too, and whether it has more than `hot`; of a key at most so many
-        rows are held back."""
-        key, ids, crowded = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
-
-        def out(k, i):
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            n = np.diff(np.concatenate([first, [len(k)]]))
-            n[k[first] == crowded] += hot + 1
-            n = np.repeat(n, np.diff(np.concatenate([first, [len(k)]])))
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(n > hot)], names=["key", "id", "crowded"]).filter(pa.array(n > 1))
-
-        for x in batches:
-            key, ids = np.concatenate([key, x.column(0).to_numpy(zero_copy_only=False)]), np.concatenate([ids, x.column(1).to_numpy(zero_copy_only=False)])
-            if not len(key):
-                continue
-            at = int(np.searchsorted(key, key[-1]))
-            if len(key) - at > hot:
-                yield out(key, ids)
-                crowded, key, ids = key[-1], key[:0], ids[:0]
-            elif at:
-                yield out(key[:at], ids[:at])
-                key, ids = key[at:], ids[at:]
-        if len(key):
-            yield out(key, ids)
-
-    rows = prints.select("id", "lanes").mapInArrow(keyed, "key bigint, id bigint")
-    ordered = rows.repartition("key").sortWithinPartitions("key")
-    met = keep(ordered.mapInArrow(shared, "key bigint, id bigint, crowded boolean"))  # few of all rows
-    sketch = prints.select("id", F.expr(f"substring(lanes, 1, {8 * SKETCH})").alias("sketch"), F.expr("xxhash64(substring(lanes, 33, 2))").alias("further"))
-    cut = met.join(sketch, "id").withColumn("key", F.when(F.col("crowded"), F.xxhash64("key", "further")).otherwise(F.col("key")))
-    pairs = cut.select("key", "id", "sketch").repartition("key").sortWithinPartitions("key", "id").mapInArrow(compared, "a bigint, b bigint").distinct()
-    lanes = lambda name: prints.select(F.col("id").alias(name), F.col("lanes").alias(f"lanes_{name}"))
-    return pairs.join(lanes("a"), "a").join(lanes("b"), "b").select("a", "b", "lanes_a", "lanes_b").mapInArrow(verified, "a bigint, b bigint")
-
-
 # --- Near-duplicates by exact Jaccard similarity ------------------------------------------------------------------------
 
-#: Texts whose shingles are counted for the order of shingles, and the most shingles that get a count; rows of a block
-#: and of a bucket whose pairs are counted at once; rounds of links; most sets whose places are broadcast.
-ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS, SENT = 10_000, 500_000, 1024, 32, 2, 500_000
+#: Least texts whose shingles are counted for the order of shingles, as a share of all texts and a number, and the most
+#: shingles that get a count; rows of a block, and of a bucket whose pairs are made at once; rounds of links; most rows that are broadcast.
+ORDER_SHARE, ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS, SENT = 1 / 32, 10_000, 500_000, 1024, 32, 2, 500_000
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: References of the pivot table, a power of two; rows that are looked at together.
+REFERENCES, TOGETHER = 256, 1 << 17
 
 
 def _sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
-    """The distinct hashes of each text's shingles, ascending."""
-    return [np.unique(np.frombuffer(_shingle_hashes(t, shingle), dtype=">u8").astype(np.uint64)) for t in texts]
+    """The distinct hashes of each text's shingles, ascending; a text of fewer words is one shingle."""
+    w = Words(texts, SPACE, lower=True)
+    h = doubled(w.hash, shingle)
+    whole = lambda a, n: np.unique(h[a : a + n - shingle + 1]) if n >= shingle else doubled(w.hash[a : a + n], max(1, n))
+    return [whole(a, n) for a, n in zip(w.first.tolist(), w.count.tolist(), strict=False)]
 
 
 def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several of some ORDER_TEXTS texts, ascending, with their counts. They decide the order in which
+    """Shingles that stand in several of a share of the texts, ascending, with their counts. They decide the order in which
     prefixes are taken, so what is not counted costs time, never a pair."""
 
     def run(batches):
         return each(batches, lambda b: pa.RecordBatch.from_arrays([pa.array(np.concatenate(_sets(texts_of(b), shingle)).view(np.int64))], names=["h"]))
 
-    share = min(1.0, ORDER_TEXTS / max(1, texts.count()))
+    share = min(1.0, max(ORDER_SHARE, ORDER_TEXTS / max(1, texts.count())))
     some = texts.where(F.pmod("text_hash", F.lit(1 << 30)) <= int(share * (1 << 30)))
     counts = some.dropDuplicates(["text_hash"]).select("text").mapInArrow(run, "h bigint").groupBy("h").count().where("count > 1")
     found = counts.orderBy(F.desc("count"), "h").limit(ORDER_MOST).toArrow()
@@ -404,7 +252,7 @@ def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
 
 
 def _prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest shingles of a set, so many that two sets of this similarity or more have one of them in common."""
+    """The rarest shingles of a set, rarest first, so many that two sets of this similarity or more have one of them in common."""
     n = len(shingles)
     if not n:
         return shingles
@@ -415,6 +263,28 @@ def _prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, simila
     return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
+def _coordinates(shingles: np.ndarray) -> bytes:
+    """A row of the pivot table: a set as a fingerprint with a place for each possible shingle has, to the reference with the
+    places of which the hash begins with the bits of k, the Hamming distance |set| + |reference| - 2 * count k. Counts go up to 255."""
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - REFERENCES.bit_length() + 1)).astype(np.int64), minlength=REFERENCES), 255).astype(np.uint8).tobytes()
+
+
+def _near_enough(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows of the pivot table, of sets of n and m shingles, may have this similarity.
+
+    By the triangle inequality two sets' distances to a reference differ by no more than the sets' own distance, which is
+    (n + m) * (1 - similarity) / (1 + similarity) at most. Unions of references are references too, and over all of these the greatest difference
+    of the coordinates is the sum of the differences of the counts. So no pair of this similarity is discarded."""
+    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    return apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def _places_allow(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles, of which the first one in common stands at places i and j of their orders, may have
+    this similarity: what they share stands at or after these places."""
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-9)
+
+
 def _by_id(frame: DataFrame) -> DataFrame:
     """A table of the shared folder, dealt by id, so that joins on id don't move it again."""
     spark = frame.sparkSession
@@ -426,26 +296,100 @@ def _by_id(frame: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, prefix) -> (key, id, at): each shingle of a prefix, with n and its place in the set's order in one value. A task emits
+    a set once, so that the rows of a key grow with its different sets and the number of tasks, not with copies."""
+    seen: set[int] = set()
+    for b in batches:
+        new = [k for k, i in enumerate(b.column(0).to_pylist()) if i not in seen and not seen.add(i)]
+        b = b.take(pa.array(new, pa.int64()))
+        if not b.num_rows:
+            continue
+        parts = [np.frombuffer(x, dtype="<i8") for x in b.column(2).to_pylist()]
+        size = np.array([len(x) for x in parts])
+        owner = np.repeat(np.arange(len(parts)), size)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        n = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), b.column(0).take(pa.array(owner)), pa.array(n[owner] << 32 | place)], names=["key", "id", "at"])
+
+
+def _together(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of so many rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _meetings(similarity: float, small: int) -> Callable:
+    """Rows (key, id, at) sorted by key and id -> (key, a, at, b): the pairs (a, b) of buckets of up to `small` sets whose places allow
+    the similarity, without key and at, and the rows (key, a, at) of greater buckets, without b. Of a key no more than `small` + 1 rows
+    are held between the pieces that are looked at together."""
+    names = ["key", "a", "at", "b"]
+
+    def run(batches):
+        key, ids, at, greater = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
+
+        def out(k, i, v):
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            n = np.diff(np.append(first, len(k)))
+            big = np.repeat((n > small) | (np.zeros(len(first), dtype=bool) if greater is None else k[first] == greater), n)
+            if big.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[big]), pa.array(i[big]), pa.array(v[big]), pa.nulls(int(big.sum()), pa.int64())], names=names)
+            k, i, v = k[~big], i[~big], v[~big]
+            n, place = v >> 32, v & 0xFFFFFFFF
+            found = []
+            for shift in range(1, small):
+                x = np.flatnonzero(k[shift:] == k[:-shift])
+                if not len(x):
+                    break
+                x = x[_places_allow(n[x], place[x], n[x + shift], place[x + shift], similarity)]
+                found.append((i[x], i[x + shift]))
+            if found:
+                a, b = (np.concatenate(f) for f in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(b)], names=names)
+
+        for parts in _together(batches):
+            key, ids, at = (np.concatenate([x, *(b.column(c).to_numpy(zero_copy_only=False) for b in parts)]) for c, x in enumerate((key, ids, at)))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]) if len(key) else np.zeros(0, dtype=bool)
+            key, ids, at = key[new], ids[new], at[new]
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            if len(key) - last > small:
+                yield from out(key, ids, at)
+                greater, key, ids, at = key[-1], key[:0], ids[:0], at[:0]
+            elif last:
+                yield from out(key[:last], ids[:last], at[:last])
+                key, ids, at = key[last:], ids[last:], at[last:]
+        if len(key):
+            yield from out(key, ids, at)
+
+    return tidy(run)
+
+
 def jaccard_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, rounds: int = LINKING_ROUNDS) -> DataFrame:
-    """nodes (id, n, prefix), one row a set, and texts, which gives the rows (id, text) of the ids (id) it is called with ->
-    links (a, b) whose components are those of all pairs of Jaccard similarity `similarity` or more.
-
-    Two such sets have a shingle of their prefixes in common, so buckets of prefix shingles meet every pair; a pair is decided
-    by the sets themselves. First each set is only tried with one other, which most often stands before it or first in its
-    buckets, in several orders; then every pair of a bucket whose rows aren't linked yet goes on if the sizes and the number
-    of shared prefix shingles allow the similarity: of the set whose prefix ends first (in the order of shingles) all that is
-    shared in it is counted, and what follows it is n less the prefix at most. Pairs that links connect already need no trial:
-    they can't change a component.
-    A bucket of more than `block` rows is dealt over tasks, block against block, so that no pair is left out."""
-    spark = nodes.sparkSession
+    """nodes (id, n, prefix, coordinates), rows of sets (copies of a set are equal), and texts, which gives a row (id, text) or more of
+    each id (id) it is called with -> links (a, b) whose components are those of all pairs of Jaccard similarity `similarity` or more.
+
+    Two such sets have a shingle of their prefixes in common, so buckets of prefix shingles meet every pair, and the place of
+    their first common shingle allows the similarity. Pairs that meet are discarded by the pivot table, and the sets themselves decide on the
+    survivors. Of small buckets all pairs are tried. In greater ones each set is first tried with one other, which most often
+    stands before it or first in its buckets, in several orders; then every pair of a bucket whose rows aren't linked yet. Pairs that links
+    connect already need no trial: they can't change a component. A bucket of more than `block` rows is dealt over tasks, block
+    against block, so that no pair is left out."""
     t = similarity
 
-    def keyed(batches):
+    def near(batches):
         def make(b):
-            parts = [np.frombuffer(x, dtype="<i8") for x in b.column(2).to_pylist()]
-            size = np.array([len(x) for x in parts])
-            owner = pa.array(np.repeat(np.arange(len(parts)), size))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), b.column(0).take(owner), b.column(1).take(owner)], names=["key", "id", "n"])
+            table = [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, REFERENCES) for c in ("xc", "yc")]
+            n, m = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("xn", "yn"))
+            return b.select(["a", "b"]).filter(pa.array(_near_enough(*table, n, m, t)))
 
         return each(batches, make)
 
@@ -466,68 +410,60 @@ def jaccard_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shi
 
         return each(batches, make)
 
-    rows = nodes.select("id", "n", "prefix").mapInArrow(keyed, "key bigint, id bigint, n int").repartition("key")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = keep(rows.join(sizes, "key"))
-    one, other = F.struct("id", "n"), F.struct(F.col("o").alias("id"), F.col("m").alias("n"))
-
-    def sizes_allow(n, m):
-        return F.expr(f"least({n}, {m}) >= {t} * greatest({n}, {m}) - 1e-9")
-
-    def likely(cross):
-        """Rows (id, n, o, m), one a shared shingle -> pairs (a, b) that share enough of them."""
-        times = cross.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).groupBy("x", "y").count()
-        behind = f"greatest(ceil({t} * x.n - 1e-9), ceil({t} * y.n - 1e-9)) - 1"
-        return times.where(f"count + {behind} >= {t} / {1 + t} * (x.n + y.n) - 1e-9").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-    # Sets without a shingle in a greater bucket have all that they share counted here; most have no likely partner.
-    small = min(SMALL, block)
-    few = met.where(F.col("size") <= small)
-    pairs = likely(few.alias("l").join(few.select("key", F.col("id").alias("o"), F.col("n").alias("m")).alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("id") < F.col("o")) & sizes_allow("n", "m")))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(met.where(F.col("size") > small).select("id"))
-    wanted = keep(wanted.distinct())
-    met = keep(met.drop("size").join(wanted, "id"))
-    sets = _by_id(texts(wanted).groupBy("id").agg(F.first("text").alias("text")).mapInArrow(set_of, "id bigint, members binary"))
+    rows = nodes.select("id", "n", "prefix").mapInArrow(_emitted, "key bigint, id bigint, at bigint")
+    met = written(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meetings(t, min(SMALL, block)), "key bigint, a bigint, at bigint, b bigint"))
+    ids = met.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
+    table = _by_id(nodes.select("id", "n", "coordinates").join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.min("coordinates").alias("coordinates")))
 
     def tried(pairs):
+        row = lambda name, n, c: table.select(F.col("id").alias(name), F.col("n").alias(n), F.col("coordinates").alias(c))
+        survivors = keep(pairs.join(row("a", "xn", "xc"), "a").join(row("b", "yn", "yc"), "b").select("a", "b", "xn", "yn", "xc", "yc").mapInArrow(near, "a bigint, b bigint"))
+        wanted = keep(survivors.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        sets = _by_id(texts(wanted).groupBy("id").agg(F.first("text").alias("text")).mapInArrow(set_of, "id bigint, members binary"))
         of = lambda name: sets.select(F.col("id").alias(name), F.col("members").alias(f"set_{name}"))
-        return keep(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verified, "a bigint, b bigint"))
+        return keep(survivors.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verified, "a bigint, b bigint"))
 
-    def rooted(links):
+    def rooted(rows, links):
         """The rows of buckets that have rows of several components."""
-        now = met.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        now = rows.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         return keep(now.join(split, "key"))
 
-    links, now = None, met.withColumn("root", F.col("id"))
+    n, m = F.shiftright("at", 32), F.shiftright("oat", 32)
+    after = lambda at: F.shiftright(at, 32) - F.col(at).bitwiseAND(0xFFFFFFFF)
+    sizes_allow = F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9
+    places_allow = F.least(after("at"), after("oat")) >= F.lit(t / (1 + t)) * (n + m) - 1e-9
+    links = tried(met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    great = met.where("b is null").select("key", F.col("a").alias("id"), "at")
+    now = rooted(great, links)
     for k in range(rounds):
-        order = [F.col("n"), F.col("id")] if k == 0 else [F.xxhash64("id", F.lit(k))]
+        if not now.limit(1).count():
+            return links
+        order = [n, F.col("id")] if k == 0 else [F.xxhash64("id", F.lit(k))]
         count = now.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
         dealt = now.join(count, "key").withColumn("part", F.pmod(F.xxhash64("id", F.lit(100 + k)), F.col("blocks")))
         w = Window.partitionBy("key", "part").orderBy(*order)
-        this = F.struct("id", "n", "root")
-        seen = dealt.select("id", "n", "root", F.array(F.lag(this).over(w), F.first(this).over(w)).alias("others"))
-        pairs = seen.select("*", F.explode("others").alias("o")).where((F.col("root") != F.col("o.root")) & sizes_allow("n", "o.n"))
+        this = F.struct("id", "at", "root")
+        seen = dealt.select("id", "at", "root", F.array(F.lag(this).over(w), F.first(this).over(w)).alias("others"))
+        pairs = seen.select("*", F.explode("others").alias("o")).withColumn("oat", F.col("o.at")).where((F.col("root") != F.col("o.root")) & sizes_allow)
         best = pairs.groupBy("id", "o.id").count().toDF("a", "b", "times").groupBy("a").agg(F.max(F.struct("times", "b")).alias("m"))
-        found = tried(best.select("a", F.col("m.b").alias("b")))
-        links = found if links is None else links.unionByName(found)
-        now = rooted(links)
+        links = links.unionByName(tried(best.select("a", F.col("m.b").alias("b"))))
+        now = rooted(great, links)
 
     # All that is left: in each bucket the rows outside its largest component against all of its rows.
     of_root = now.groupBy("key", "root").agg(F.count("*").alias("c"))
     of_key = of_root.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("m"))
     plan = of_key.select("key", F.col("m.root").alias("large"), F.ceil((F.col("c") - F.col("m.c")) / block).alias("left_blocks"), F.ceil(F.col("c") / block).alias("right_blocks"))
     planned = keep(now.join(plan, "key"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n))
+    spread = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    place = lambda salt, c: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(c))
     left = planned.where("root <> large").withColumn("i", place(200, "left_blocks")).withColumn("j", spread("right_blocks"))
     right = planned.withColumn("j", place(201, "right_blocks")).withColumn("i", spread("left_blocks"))
-    left = left.select("key", "i", "j", "id", "n", "root")
-    right = right.select("key", "i", "j", F.col("id").alias("o"), F.col("n").alias("m"), F.col("root").alias("oroot"), (F.col("root") == F.col("large")).alias("olarge"))
+    left = left.select("key", "i", "j", "id", "at", "root")
+    right = right.select("key", "i", "j", F.col("id").alias("o"), F.col("at").alias("oat"), F.col("root").alias("oroot"), (F.col("root") == F.col("large")).alias("olarge"))
     same = (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
-    cross = left.alias("l").join(right.alias("r"), same & (F.col("root") != F.col("oroot")) & (F.col("olarge") | (F.col("id") < F.col("o"))) & sizes_allow("n", "m"))
-    rest = tried(likely(cross))
-    return rest if links is None else links.unionByName(rest)
+    cross = left.alias("l").join(right.alias("r"), same & (F.col("root") != F.col("oroot")) & (F.col("olarge") | (F.col("id") < F.col("o"))) & sizes_allow & places_allow)
+    return links.unionByName(tried(cross.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()))
 
 
 def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -540,6 +476,7 @@ def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: f
     of_text = F.xxhash64(F.lit(8), F.coalesce("text", F.lit("")))
     hashed = docs.select("doc_id", "text", of_text.alias("text_hash"))
     shared = spark.sparkContext.broadcast(_common_shingles(hashed, shingle))
+    columns = {"doc_id": kind, "id": "bigint", "n": "int", "prefix": "binary", "coordinates": "binary", "fp": "bigint", "text_hash": "bigint"}
 
     @tidy
     def prints(batches):
@@ -547,19 +484,18 @@ def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: f
             texts = texts_of(b)
             sets = _sets(texts, shingle)
             id_ = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
-            n = pa.array([len(x) for x in sets], pa.int32())
             prefix = pa.array([_prefix(x, *shared.value, similarity).astype("<u8").tobytes() for x in sets], pa.binary())
-            return pa.RecordBatch.from_arrays([b.column(0), id_, n, prefix, pa.array(fingerprints_of(texts).view(np.int64)), b.column(2)], names=["doc_id", "id", "n", "prefix", "fp", "text_hash"])
+            table = pa.array([_coordinates(x) for x in sets], pa.binary())
+            return pa.RecordBatch.from_arrays([b.column(0), id_, pa.array([len(x) for x in sets], pa.int32()), prefix, table, pa.array(fingerprints_of(texts).view(np.int64)), b.column(2)], names=[*columns])
 
         yield from each(batches, make)
 
     # One row a document: its narrow fingerprint, and the hash of its set of shingles as a node.
-    all_ = written(hashed.mapInArrow(prints, f"doc_id {kind}, id bigint, n int, prefix binary, fp bigint, text_hash bigint"))
-    nodes = all_.groupBy("id").agg(F.first("n").alias("n"), F.min("prefix").alias("prefix"), F.min(F.struct("doc_id", "text_hash")).alias("m"))
-    nodes = written(nodes.select("id", "n", "prefix", F.col("m.doc_id").alias("at"), F.col("m.text_hash").alias("hash")))
+    all_ = written(hashed.mapInArrow(prints, ", ".join(f"{c} {k}" for c, k in columns.items())))
 
     def texts(wanted):
-        at = nodes.select("id", "at", "hash").join(wanted, "id")
+        at = all_.select("id", "doc_id", "text_hash").join(wanted, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"))
+        at = at.select("id", F.col("m.doc_id").alias("at"), F.col("m.text_hash").alias("hash"))
         at = F.broadcast(at) if wanted.count() <= SENT else at  # texts of few sets needn't be moved
         return hashed.join(at, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("text_hash") == F.col("hash"))).select("id", "text")
 
@@ -567,12 +503,16 @@ def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: f
     by_fp = all_.select("fp", F.col("id").alias("a")).distinct().join(fps.withColumnRenamed("id", "b"), "fp").select("a", "b")
     ids = fps.withColumnRenamed("id", "n")
     near = links(fps).join(ids.withColumnRenamed("fp", "a").withColumnRenamed("n", "na"), "a").join(ids.withColumnRenamed("fp", "b").withColumnRenamed("n", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    edges = jaccard_links(nodes, texts, shingle, similarity).unionByName(by_fp).unionByName(near)
+    edges = jaccard_links(all_, texts, shingle, similarity).unionByName(by_fp).unionByName(near)
     roots = components(edges)
     member = all_.select("doc_id", "id", "text_hash").join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
     # A third of all rows may be one group: its first is found by a combined minimum, nulls last.
-    first = keep(member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("m")).select("m.doc_id", "m.text_hash"))
-    met = docs.join(first.select(F.col("doc_id").alias("__first"), F.col("text_hash").alias("__hash")), F.col("doc_id").eqNullSafe(F.col("__first")) & (of_text == F.col("__hash")), "left_semi")
+    first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("m"))
+    others = member.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("text_hash") == F.col("m.text_hash"))))
+    names = [unused(docs, "id"), unused(docs, "hash")]
+    gone = keep(others.select("doc_id", "text_hash").distinct().toDF(*names))
+    gone = F.broadcast(gone) if gone.count() <= SENT else gone  # texts aren't moved for few rows
+    met = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(names[0])) & (of_text == F.col(names[1])), "left_anti")
     # Rows that repeat both doc_id and text are one document.
     return met if not _repeated(all_) else met.dropDuplicates(["doc_id", "text"])
 

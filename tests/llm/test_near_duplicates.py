@@ -78,8 +78,9 @@ def test_crowded_buckets_lose_no_pair(spark, block, rounds):
     sets = [shingles(t) for t in texts]
     docs = frame(spark, texts).withColumnRenamed("doc_id", "id")
     none = (simhash.np.zeros(0, dtype="<u8"), simhash.np.zeros(0, dtype="<i8"))
-    rows = [(i, len(x), bytearray(simhash._prefix(x, *none, 0.8).astype("<u8").tobytes())) for i, x in enumerate(simhash._sets([t.encode() for t in texts], 5))]
-    nodes = spark.createDataFrame(rows, "id long, n int, prefix binary")
+    made = simhash._sets([t.encode() for t in texts], 5)
+    rows = [(i, len(x), bytearray(simhash._prefix(x, *none, 0.8).astype("<u8").tobytes()), bytearray(simhash._coordinates(x))) for i, x in enumerate(made)]
+    nodes = spark.createDataFrame(rows + rows[:5], "id long, n int, prefix binary, coordinates binary").repartition(3)
     links = simhash.jaccard_links(nodes, lambda wanted: docs.join(wanted, "id"), block=block, rounds=rounds)
     assert all(jaccard(sets[r.a], sets[r.b]) >= 0.8 for r in links.collect())
     found = {r.node: r.root for r in simhash.components(links).collect()}
@@ -98,3 +99,24 @@ def test_the_threshold_is_exact(spark):
             texts += [" ".join(w), " ".join(x)]
     got = sorted(r.doc_id for r in simhash.first_of_each(frame(spark, texts)).collect())
     assert got == kept_by_brute_force(texts) and len(got) == 180
+
+
+def test_no_pair_of_the_similarity_is_discarded():
+    rng = random.Random(21)
+    for n in (1, 6, 40, 300, 30_000):
+        base = words(rng, n)
+        for edits in {0, 1, max(1, n // 60), n // 30}:
+            a, b = simhash._sets([" ".join(base).encode(), " ".join(edited(rng, base, min(edits, n))).encode()], 5)
+            rows = [simhash.np.frombuffer(simhash._coordinates(x), dtype="uint8")[None] for x in (a, b)]
+            near = len(simhash.np.intersect1d(a, b)) / len(simhash.np.union1d(a, b)) >= 0.8
+            assert simhash._near_enough(*rows, *(simhash.np.array([len(x)]) for x in (a, b)), 0.8)[0] or not near
+    a, b = simhash._sets([" ".join(words(rng, 300)).encode() for _ in range(2)], 5)
+    rows = [simhash.np.frombuffer(simhash._coordinates(x), dtype="uint8")[None] for x in (a, b)]
+    assert not simhash._near_enough(*rows, simhash.np.array([len(a)]), simhash.np.array([len(b)]), 0.8)[0]
+
+
+def test_columns_with_clashing_names(spark):
+    texts = ["one two three four five six seven"] * 2 + ["other words than these"]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, id int, hash int, __first int")
+    got = simhash.first_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 2]

@@ -1,7 +1,19 @@
+import collections
+import hashlib
+import os
 import random
+import re
+
+import duckdb
+import pytest
+import test_decontaminate
+import test_near_duplicates
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kgloom.llm import simhash
+from kgloom.llm import queries, simhash, toxicity
+
+FOLDER = os.environ.get("KGLOOM_TEST_TABLES", "/root/testdata/sf0.001")
 
 
 def text(rng, n):
@@ -34,7 +46,7 @@ def test_first_of_each_keeps_one_of_each_group(spark):
     assert simhash.first_of_each(docs.limit(0)).count() == 0
 
 
-def test_crowded_buckets_are_split(spark):
+def test_a_large_group_keeps_one(spark):
     rng = random.Random(5)
     w = text(rng, 400).split()
     rows = []
@@ -44,11 +56,6 @@ def test_crowded_buckets_are_split(spark):
         rows.append((i, " ".join(x)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in simhash.first_of_each(docs).collect()] == [0]
-    lanes = simhash.wide_fingerprints_of([t.encode() for _, t in rows], 5)
-    prints = spark.createDataFrame([(i, bytearray(x.astype("<u8").tobytes())) for i, x in enumerate(lanes)], "id long, lanes binary")
-    for hot in (3, 30, 4096):
-        roots = {r.node: r.root for r in simhash.components(simhash.similar_links(prints, hot=hot)).collect()}
-        assert roots == dict.fromkeys(range(120), 0)
 
 
 def test_pipeline_runs_over_all_stages(spark, tmp_path):
@@ -77,3 +84,62 @@ def test_pipeline_runs_over_all_stages(spark, tmp_path):
     assert bench not in last[102] and len(last) == 44 and last[104] is None
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == {*last} and all(len(r.ids) == r.n_tokens for r in out.collect())
+
+
+def cut_by_brute_force(texts, length=35):
+    spans = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    words = [[t[a:b] for a, b in s] for t, s in zip(texts, spans)]
+    count = collections.Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    out = []
+    for t, s, w in zip(texts, spans, words):
+        gone = {p for i in range(len(w) - length + 1) if count[tuple(w[i : i + length])] > 1 for p in range(i, i + length)}
+        kept, last = [], None
+        for p, (a, b) in enumerate(s):
+            if p not in gone:
+                if last == p - 1 and kept:
+                    kept[-1] = (kept[-1][0], b)
+                else:
+                    kept.append((a, b))
+                last = p
+        out.append("\n".join(t[a:b] for a, b in kept) if gone else t)
+    return out
+
+
+def cleaned_by_brute_force(texts, items):
+    windows = set()
+    for t in items:
+        w = test_decontaminate.WORD.findall(test_decontaminate.low(t))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9)) if w}
+    out = []
+    for t in texts:
+        spans = [m.span() for m in test_decontaminate.WORD.finditer(test_decontaminate.low(t or ""))]
+        w = [test_decontaminate.low(t)[a:b] for a, b in spans] if spans else []
+        hit = {p for n in {len(x) for x in windows} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for p in range(k, k + n)}
+        parts, last = [], 0
+        for p in sorted(hit):
+            if p - 1 in hit:
+                last = spans[p][1]
+            else:
+                parts.append(t[last : spans[p][0]])
+                last = spans[p][1]
+        out.append(None if 2 * len(hit) > len(w) else t if not hit else "\n".join([*parts, t[last:]]))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables aren't here")
+def test_pipeline_equals_brute_force(spark):
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{FOLDER}/documents.parquet' ORDER BY doc_id").fetchall()
+    items = [t for (t,) in duckdb.sql(f"SELECT text FROM '{FOLDER}/benchmark.parquet'").fetchall()]
+    read = lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet")
+    scores = toxicity.Scorer(*toxicity.fitted(read("documents"), read("labels"))).scores([t for _, t in docs])
+    docs = [d for d, x in zip(docs, scores, strict=True) if x < 0.7]
+    first = test_near_duplicates.kept_by_brute_force([test_decontaminate.low(t) for _, t in docs])
+    docs = [docs[k] for k in first]
+    texts = cleaned_by_brute_force(cut_by_brute_force([t for _, t in docs]), items)
+    lib, want = Tokenizer.from_file(queries.tokenizer_path()), {}
+    for (i, _), t in zip(docs, texts, strict=True):
+        if t is not None:
+            ids = lib.encode(t, add_special_tokens=False).ids
+            want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, FOLDER).collect()}
+    assert got == want
