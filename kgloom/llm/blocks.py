@@ -110,17 +110,31 @@ def within(values: np.ndarray, found: np.ndarray) -> np.ndarray:
     return found[at] == values
 
 
-def answered(rows: DataFrame) -> DataFrame:
-    """`sent` rows -> (block, found): for each block the hashes that another block has too, or that it has more than once."""
+def answered(rows: DataFrame, together: int = 1 << 20) -> DataFrame:
+    """`sent` rows -> (block, found): for each block the hashes that another block has too, or that it has more than once.
+
+    Rows come sorted by hash and are streamed, `together` at a time; of a hash that goes on, however many blocks have it, no more
+    than its first row is held back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(h, block, many):
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            group = np.cumsum(new) - 1
-            n = np.bincount(group)
-            often = np.zeros(len(n), dtype=bool)
-            often[group[many]] = True
-            keep = ((n > 1) | often)[group]
+        last, waiting = None, None  # the last hash, and the block of its only row so far, if one row says nothing yet
+        parts: list[tuple] = []
+
+        def out():
+            nonlocal last, waiting
+            h, block, many = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            new = np.concatenate([[h[0] != last], h[1:] != h[:-1]])
+            group = np.cumsum(new) - int(new[0])
+            found = np.bincount(group) > 1
+            found[group[many]] = True
+            keep = found[group]
+            if not new[0]:  # the last hash goes on
+                found[0] = True
+                keep = found[group]
+                if waiting is not None:
+                    h, block, keep = np.append(h[:1], h), np.append(waiting, block), np.append(True, keep)
+            last, waiting = h[-1], None if found[-1] else block[-1]
             h, block = h[keep], block[keep]
             order = np.argsort(block, kind="stable")
             h, block = h[order], block[order]
@@ -128,21 +142,17 @@ def answered(rows: DataFrame) -> DataFrame:
             blobs = [h[a:e].astype("<i8").tobytes() for a, e in zip(first, [*first[1:], len(h)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "blob"])
 
-        parts: list[tuple] = []
         held = 0
         for b in batches:
             if not b.num_rows:
                 continue
             parts.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
             held += b.num_rows
-            if held >= 1 << 20:
-                h, block, many = (np.concatenate(x) for x in zip(*parts, strict=True))
-                at = int(np.searchsorted(h, h[-1]))  # the last hash may go on in the next batch
-                if at:
-                    yield out(h[:at], block[:at], many[:at])
-                parts, held = [(h[at:], block[at:], many[at:])], len(h) - at
-        if held:
-            yield out(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            if held >= together:
+                yield out()
+                held = 0
+        if parts:
+            yield out()
 
     met = rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "block bigint, blob binary")
     return met.groupBy("block").agg(F.collect_list("blob").alias("found"))

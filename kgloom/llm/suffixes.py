@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .blocks import anchors, answered, blocked, column, found_of, joined, within
 from .common import covered, doubled, eights, keep, mix, paired, runs, tidy
 
-LENGTH, GRAM, CROWD = 100, 32, 20_000
+LENGTH, GRAM, CROWD = 100, 32, 4096
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """The hashes of all byte strings of `gram` bytes: eight neighbouring bytes are a value of their own, longer ones are

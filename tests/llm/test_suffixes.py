@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from kgloom.llm import suffixes
+from kgloom.llm import blocks, suffixes
 
 
 def brute(rows, n):
@@ -66,3 +66,17 @@ def test_repeats_are_maximal_and_have_all_occurrences():
 
 def test_empty(spark):
     assert suffixes.removed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hashes_of_very_many_blocks_are_streamed(spark):
+    rng = random.Random(3)
+    rows = [(h, b, False) for h in (1, 5, 9) for b in range(50)] + [(h, 60, h % 2 == 0) for h in range(10, 30)] + [(40, 7, True), (-3, 8, False), (-3, 9, False)]
+    rng.shuffle(rows)
+    sent = spark.createDataFrame(rows, "h long, block long, many boolean")
+    want = {}
+    for h, b, many in rows:
+        if many or sum(x[0] == h for x in rows) > 1:
+            want.setdefault(b, set()).add(h)
+    for together in (1, 7, 1 << 20):
+        got = {r.block: {int.from_bytes(x[i : i + 8], "little", signed=True) for x in map(bytes, r.found) for i in range(0, len(x), 8)} for r in blocks.answered(sent, together).collect()}
+        assert got == want, together
