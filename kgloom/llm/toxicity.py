@@ -20,17 +20,17 @@ its input.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, each, mix, texts_of, tidy, tune
+from .common import Rolling, each, give_back, mix, texts_of, tidy, tune
 
 BUCKET_BITS, SIZES, WIDTH = 18, (3, 4, 5, 6), 6
-TRAIN_DOCS, STEPS, TRUST, SLOW, BIAS_RATE, SEED = 8000, 80, 3, 0.2, 2.0, 13
+TRAIN_DOCS, STEPS, TRUST, SLOW, BIAS_RATE, SEED = 4000, 80, 3, 0.2, 2.0, 13
 THRESHOLD, CACHED, WORDS_AT_ONCE = 0.7, 150_000, 20_000
 
 
@@ -62,36 +62,42 @@ class _Bags:
     """The inputs of training: documents as means of words, words as means of n-grams. Both means are linear maps, kept as
     lists of their entries; `down` takes a value a bucket to one a document, and `up` is its transpose."""
 
-    def __init__(self, counted: list[dict[str, int]]):
+    def __init__(self, counted: Iterable[dict[str, int]]):
         number: dict[str, int] = {}
         word, share = [], []
         for c in counted:
             word.append(np.fromiter((number.setdefault(w, len(number)) for w in c), dtype=np.int32, count=len(c)))
             share.append(np.fromiter(c.values(), dtype=np.float32, count=len(c)) / max(1, sum(c.values())))
-        self.n_docs, self.n_words = len(counted), len(number)
-        self.document = np.repeat(np.arange(len(counted), dtype=np.int32), [len(c) for c in counted])
+        self.n_docs, self.n_words = len(word), len(number)
+        self.document = np.repeat(np.arange(len(word), dtype=np.int32), [len(w) for w in word])
         self.word, self.share = np.concatenate([*word, np.zeros(0, dtype=np.int32)]), np.concatenate([*share, np.zeros(0, dtype=np.float32)])
-        words = list(number)
-        self.parts = []
+        words, self.parts = list(number), []
+        number.clear()
         for a in range(0, len(words), WORDS_AT_ONCE):
             bucket, size = grams(words[a : a + WORDS_AT_ONCE])
             self.parts.append((a, bucket.astype(np.int32), size, np.cumsum(size) - size))
 
     def down(self, value: np.ndarray) -> np.ndarray:
         of_word = np.concatenate([np.zeros(0), *(np.add.reduceat(value[bucket], begin) / size for _, bucket, size, begin in self.parts)])
-        return np.bincount(self.document, weights=of_word[self.word] * self.share, minlength=self.n_docs)
+        weights = of_word.astype(np.float32)[self.word]
+        weights *= self.share
+        return np.bincount(self.document, weights=weights, minlength=self.n_docs)
 
     def up(self, value: np.ndarray, power: int = 1) -> np.ndarray:
         """With power 2, the entries of both maps are squared."""
-        of_word = np.bincount(self.word, weights=value[self.document] * self.share.astype(np.float64) ** power, minlength=self.n_words)
+        weights = value.astype(np.float32)[self.document]
+        for _ in range(power):
+            weights *= self.share
+        of_word = np.bincount(self.word, weights=weights, minlength=self.n_words)
         out = np.zeros(1 << BUCKET_BITS)
         for a, bucket, size, _ in self.parts:
             out += np.bincount(bucket, weights=np.repeat(of_word[a : a + len(size)] / size.astype(np.float64) ** power, size), minlength=len(out))
         return out
 
 
-def train(counted: list[dict[str, int]], labels: list[int], steps: int = STEPS, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """Weights by bucket and a bias: a document's log-odds are the bias and the mean over its words of their mean weight.
+def train(counted: Iterable[dict[str, int]], labels: list[int], steps: int = STEPS, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """Weights by bucket and a bias: a document's log-odds are the bias and the mean over its words of their mean weight. counted:
+    the words of each text, read once.
 
     Inputs are centred, and a bucket's are scaled to root mean square one and then by the power TRUST of their correlation with the
     label: vectors of buckets that say little about it grow slowly, but all are trained. As the softmax has two classes, the gradient of
@@ -115,18 +121,18 @@ def train(counted: list[dict[str, int]], labels: list[int], steps: int = STEPS,
     for _ in range(6):
         most = gradient(logits(most / max(np.linalg.norm(most), 1e-30)) / n)
     rate = 4 / max(np.linalg.norm(most), 1e-30)
-    e = np.zeros((len(scale), WIDTH))
+    e = np.zeros((len(scale), WIDTH), dtype=np.float32)
     soft = rng.normal(0, 1, (WIDTH, 2))
     soft /= np.linalg.norm(soft[:, 1] - soft[:, 0])
     bias, before, pace = np.log(np.array([1 - share, share])), e, 1.0
     for _ in range(steps):
         next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        ahead, before, pace = e + (pace - 1) / next_pace * (e - before), e, next_pace
+        ahead, before, pace = e + np.float32((pace - 1) / next_pace) * (e - before), e, next_pace
         way = soft[:, 1] - soft[:, 0]
         p = 1 / (1 + np.exp(-np.clip(logits(ahead @ way) + bias[1] - bias[0], -50, 50)))
         error = (p - target) / n
         g = gradient(error)
-        e = ahead - rate * np.outer(g, way)
+        e = ahead - np.outer(rate * g, way).astype(np.float32)
         toward_one = before.T @ g
         soft = soft - SLOW * rate * np.stack([-toward_one, toward_one], axis=1)
         bias = bias - BIAS_RATE * np.array([-error.sum(), error.sum()])
@@ -183,8 +189,17 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(run, f"doc_id {kind}, label int, words string, counts binary").collect()
     rows.sort(key=lambda r: str(r.doc_id))
-    counted = [dict(zip(r.words.split(), np.frombuffer(r.counts, dtype="<i4").tolist(), strict=True)) for r in rows]
-    return train(counted, [r.label for r in rows])
+    labels_, rows = [r.label for r in rows], rows[::-1]
+
+    def counted() -> Iterator[dict[str, int]]:
+        while rows:  # a row's words go when they have been counted
+            r = rows.pop()
+            yield dict(zip(r.words.split(), np.frombuffer(r.counts, dtype="<i4").tolist(), strict=True))
+
+    try:
+        return train(counted(), labels_)
+    finally:
+        give_back()
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
