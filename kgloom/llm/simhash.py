@@ -435,6 +435,8 @@ def jaccard_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shi
     places_allow = F.least(after("at"), after("oat")) >= F.lit(t / (1 + t)) * (n + m) - 1e-9
     links = tried(met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     great = met.where("b is null").select("key", F.col("a").alias("id"), "at")
+    if not great.limit(1).count():
+        return links
     now = rooted(great, links)
     for k in range(rounds):
         if not now.limit(1).count():
