@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 #: Least texts whose shingles are counted for the order of shingles, as a share of all texts and a number, and the most
 #: shingles that get a count; rows of a block, and of a bucket whose pairs are made at once; rounds of links; most rows that are broadcast.
-ORDER_SHARE, ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS, SENT = 1 / 32, 10_000, 500_000, 1024, 32, 2, 500_000
+ORDER_SHARE, ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS, SENT = 1 / 32, 10_000, 500_000, 1024, 8, 2, 500_000
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: References of the pivot table, a power of two; rows that are looked at together.
 REFERENCES, TOGETHER = 256, 1 << 17
