@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, quality, secrets, sharding, simhash, substrings, suffixes, tokenstore, toxicity
+from . import bpe, decontaminate, licenses, quality, secrets, sharding, simhash, substrings, suffixes, tokenstore, toxicity, whitening
 from .common import table
 
 
@@ -84,6 +84,10 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 _OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -123,6 +127,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
     "op12_secrets": op12_secrets,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op8_decontaminate": _OP8_SQL,

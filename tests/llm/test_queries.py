@@ -10,6 +10,7 @@ import pytest
 import test_sharding_quality
 import test_simhash
 import test_suffixes
+import test_whitening
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -92,6 +93,11 @@ def test_quality_query(spark, docs):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
 
 
+def test_whitening_query(spark):
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{FOLDER}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    test_whitening.check(queries.op13_whitening(spark, FOLDER).collect(), [v for _, v in rows], [i for i, _ in rows])
+
+
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert set(queries.QUERIES) | {"pipeline"} <= names and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) | {"pipeline"} <= names and len(queries.QUERIES) == 13
