@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, quality, secrets, sharding, simhash, substrings, suffixes, tokenstore, toxicity, whitening
+from . import bpe, conversations, decontaminate, licenses, quality, secrets, sharding, simhash, substrings, suffixes, tokenstore, toxicity, whitening
 from .common import table
 
 
@@ -80,6 +80,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -126,11 +130,13 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
+    "op11_conversations": op11_conversations,
     "op12_secrets": op12_secrets,
     "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op8_decontaminate": _OP8_SQL,
     "op10_substrings": _OP10_SQL,
+    "op11_conversations": conversations.ORACLE,
     "op12_secrets": secrets.oracle(),
 }
