@@ -32,7 +32,8 @@ def test_query_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     want = con.execute(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, FOLDER).toPandas()[list(want.columns)]
-    rows = lambda frame: sorted(str([int(x) if isinstance(x, float) and x == x else x for x in r]) for r in frame.itertuples(index=False, name=None))
+    plain = lambda x: None if x is None or x != x else int(x) if isinstance(x, float) else x
+    rows = lambda frame: sorted(str([plain(x) for x in r]) for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
 
 
