@@ -287,6 +287,23 @@ def merge_alias_lists(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.merge_aliases(tables.star(spark, folder, ["LOCATED_IN", "SUPPLIES"]), _aliases(spark, folder)).edges.select("src", "rel", "dst")
 
 
+# Four suppliers in a row, three groups that share names: the first merges two, the second merges nothing that is still there under its
+# canonical (which is missing) but two variants, and a manual one, where it is approved, merges both results.
+_BLOCKS = "SELECT s_suppkey AS k, s_suppkey % 4 AS r, s_suppkey - s_suppkey % 4 AS b, s_name FROM supplier"
+
+
+@query(f"""WITH {_EDGES}, s AS ({_BLOCKS}), m AS (SELECT x.s_name AS v, CASE WHEN z.s_name IS NOT NULL AND (x.r >= 2 OR x.b % 3 > 0) THEN z.s_name WHEN x.r < 2 THEN y.s_name ELSE x.s_name END AS c
+ FROM s x LEFT JOIN s y ON y.k = x.b LEFT JOIN s z ON z.k = x.b + 2)
+SELECT DISTINCT coalesce(a.c, src) AS src, rel, coalesce(b.c, dst) AS dst FROM edges LEFT JOIN m a ON src = a.v LEFT JOIN m b ON dst = b.v WHERE rel IN ('LOCATED_IN', 'SUPPLIES')""")
+def apply_groups(spark: SparkSession, folder: str) -> DataFrame:
+    s = tables.read(spark, folder, "supplier").selectExpr("s_suppkey AS k", "s_name", "s_suppkey - s_suppkey % 4 AS b")
+    name = "concat('Supplier#', lpad(cast(b + {} as string), 9, '0'))".format
+    blocks = s.select("b").distinct()
+    group = lambda detector, canonical, names, approved: blocks.selectExpr(f"'{detector}' AS detector", "'Supplier' AS tipo", f"{canonical} AS canonico", f"array({names}) AS variantes", f"{approved} AS aprobado")
+    groups = group("manual", name(2), f"{name(2)}, {name(1)}, {name(0)}", "b % 3 > 0").unionByName(group("normalizacion", name(0), f"{name(0)}, {name(1)}", "true")).unionByName(group("prefijo", "concat('Missing ', b)", f"{name(1)}, {name(2)}, {name(3)}", "true"))
+    return resolve.apply(tables.star(spark, folder, ["LOCATED_IN", "SUPPLIES"]), groups).edges.select("src", "rel", "dst")
+
+
 @query(f"""WITH {_EDGES}, d AS (SELECT s_name AS id FROM supplier WHERE s_acctbal < 1000) SELECT src, rel, dst FROM edges WHERE src NOT IN (SELECT id FROM d) AND dst NOT IN (SELECT id FROM d)""")
 def detach_delete(spark: SparkSession, folder: str) -> DataFrame:
     ids = tables.read(spark, folder, "supplier").where("s_acctbal < 1000").select(F.col("s_name").alias("id"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fact, strip_year
 from ..model import Graph, first_type
-from ..plans.session import cut
+from ..plans.session import written
+from .merges import in_order
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -84,14 +85,15 @@ def enforce_whitelist(g: Graph, whitelist: DataFrame, rel: str) -> Graph:
     return delete_edges(g, outside_whitelist(g.edges, whitelist, rel))
 
 
-def resolved(mapping: DataFrame, most_rounds: int = 32) -> DataFrame:
+def resolved(mapping: DataFrame) -> DataFrame:
     """A map (variante, canonico, ord) in which no target is a key itself: chains are followed to their ends.
 
-    Each round halves the chains that are left, and is cut by a checkpoint. A cycle raises."""
-    now = cut(mapping.where("variante <> canonico").select("variante", "canonico", "ord"))
-    for _ in range(most_rounds):
+    Each round halves the chains that are left, so a map of n rows without a cycle is done after log2(n) + 1 rounds: if rows still move
+    then, that raises. Rounds are written and read again, which keeps the planner's estimates true."""
+    now = written(mapping.where("variante <> canonico").select("variante", "canonico", "ord"))
+    for _ in range(now.count().bit_length() + 2):
         step = now.select(F.col("variante").alias("canonico"), F.col("canonico").alias("next"))
-        again = cut(now.join(step, "canonico", "left").select("variante", F.coalesce("next", "canonico").alias("canonico"), "ord", F.col("next").isNotNull().alias("moved")))
+        again = written(now.join(step, "canonico", "left").select("variante", F.coalesce("next", "canonico").alias("canonico"), "ord", F.col("next").isNotNull().alias("moved")))
         if not again.where("moved").limit(1).count():
             return now
         now = again.drop("moved")
@@ -126,10 +128,11 @@ def present_aliases(nodes: DataFrame, aliases: DataFrame, least: int = 2) -> Dat
 
 
 def merge_aliases(g: Graph, aliases: DataFrame, rename_singletons: bool = False) -> Graph:
-    """Merge each alias list of which two names or more are in the graph, under its canonical name."""
-    there = present_aliases(g.nodes, aliases, 1 if rename_singletons else 2)
-    mapping = there.select("canonico", F.posexplode("presentes").alias("ord", "variante")).where("variante <> canonico")
-    return contract(g, mapping)
+    """Merge each alias list (canonico, variante, ord) of which two names or more are in the graph, under its canonical name. Lists go by their
+    least ord, then by name, one after the other: a later list finds what the earlier ones have left."""
+    named = aliases.groupBy("canonico").agg(F.min("ord").cast("long").alias("prio"), F.sort_array(F.collect_set(F.struct("ord", "variante"))).alias("v"))
+    lists = named.select("prio", F.lit("").alias("tipo"), "canonico", F.transform("v", lambda x: x["variante"]).alias("variantes"))
+    return contract(g, in_order(lists, g.nodes, rename=True, least=1 if rename_singletons else 2))
 
 
 def year_groups(nodes: DataFrame, kind: str = "Competicion") -> DataFrame:

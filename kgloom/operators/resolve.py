@@ -16,6 +16,7 @@ from ..model import Graph
 from ..plans.session import cut, ship
 from . import graphs
 from .components import components
+from .merges import in_order
 
 DETECTORS = ["normalizacion", "prefijo", "apellido", "subconjunto", "errata", "manual"]
 
@@ -257,7 +258,8 @@ def approve(groups: DataFrame, approved: DataFrame, manual: DataFrame | None = N
     ok = F.when(F.col("detector") == "manual", F.coalesce("aprobado", F.lit(False))).otherwise((F.col("detector") == "normalizacion") | F.coalesce("__yes", F.lit(False)))
     out = yes.withColumn("aprobado", ok).select(*groups.columns)
     if manual is not None:
-        out = out.unionByName(manual.join(groups.where("detector = 'manual'").select("canonico"), "canonico", "left_anti").select(*groups.columns))
+        new = manual.join(groups.where("detector = 'manual'").select("canonico"), "canonico", "left_anti")
+        out = out.unionByName(new.select(*(c for c in groups.columns if c in new.columns)), allowMissingColumns=True)
     if rejected is not None:
         no = out.join(rejected.select("canonico", F.lit(True).alias("__no")).distinct(), "canonico", "left")
         out = no.withColumn("aprobado", F.col("aprobado") & F.col("__no").isNull()).select(*groups.columns)
@@ -265,9 +267,8 @@ def approve(groups: DataFrame, approved: DataFrame, manual: DataFrame | None = N
 
 
 def apply(g: Graph, groups: DataFrame) -> Graph:
-    """Merge the approved groups of which two names or more are in the graph; the first name survives."""
-    each = groups.where(F.coalesce("aprobado", F.lit(False))).select("canonico", F.posexplode("variantes").alias("ord", "variante"))
-    there = each.join(g.nodes.select(F.col("id").alias("variante")), "variante", "left_semi")
-    ranked = there.groupBy("canonico").agg(F.sort_array(F.collect_set(F.struct("ord", "variante"))).alias("m")).where(F.size("m") >= 2)
-    mapping = ranked.select(F.element_at("m", 1)["variante"].alias("canonico"), F.posexplode(F.transform("m", lambda x: x["variante"])).alias("ord", "variante")).where("variante <> canonico")
-    return graphs.contract(g, graphs.resolved(mapping))
+    """Merge the approved groups, one after the other, of which two names or more are still in the graph: into the canonical if it is there,
+    else into the first variant that is. Groups go by `ord` if they have such a column (as in a file), else by detector, type and name."""
+    order = F.col("ord") if "ord" in groups.columns else F.array_position(F.array(*map(F.lit, DETECTORS)), F.coalesce("detector", F.lit(""))).cast("long")
+    lists = groups.where(F.coalesce("aprobado", F.lit(False))).select(order.cast("long").alias("prio"), "tipo", "canonico", "variantes")
+    return graphs.contract(g, in_order(lists, g.nodes))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +46,28 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: executors may be lost after it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Tables that this session has written to the shared folder: (path, name in the catalog or None).
+MADE: list[tuple[str, str | None]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by Parquet in the shared folder, read again with its own schema: the planner sees the table's true size."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    MADE.append((path, None))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables written since MADE had so many entries. For callers that have stored what they made from them:
+    DataFrames that still read these tables fail afterwards."""
+    jvm = spark._jvm
+    while len(MADE) > since:
+        path, name = MADE.pop()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

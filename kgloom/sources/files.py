@@ -13,16 +13,19 @@ from ..plans.session import cut
 
 def corpus(spark: SparkSession, folder: str, chars: int | None = D.DOCUMENT_CHARS) -> DataFrame:
     """(fuente, text) of each *.txt file in a folder, whole; `chars` truncates as a download does (None: whole texts)."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     text = F.col("value") if chars is None else F.substring("value", 1, chars)
     return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("fuente"), text.alias("text"))
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Merge groups from JSON: one object a line, as `write_groups` writes them, or files with one array each."""
+    """Merge groups from JSON: one object a line, as `write_groups` writes them, or files with one array each. Those of an array
+    have their place in it as a further column, `ord`: lists that share names are applied in that order."""
     head = spark.read.text(path).where("trim(value) <> ''").first()
-    whole = head is not None and head.value.lstrip().startswith("[")
-    return spark.read.schema(model.GROUPS).option("multiLine", whole).json(path)
+    if head is None or not head.value.lstrip().startswith("["):
+        return spark.read.schema(model.GROUPS).json(path)
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ': ', 1) for c in model.GROUPS.split(', '))}>>")).alias("ord", "g")).select("g.*", F.col("ord").cast("long"))
 
 
 def write_groups(groups: DataFrame, path: str) -> None:

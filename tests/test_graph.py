@@ -65,7 +65,10 @@ def test_chains_are_followed_and_cycles_raise(spark):
     assert {(r.variante, r.canonico) for r in graphs.resolved(chain).collect()} == {("a", "d"), ("b", "d"), ("c", "d")}
     cycle = spark.createDataFrame([("a", "b", 0), ("b", "c", 0), ("c", "a", 0)], "variante string, canonico string, ord int")
     with pytest.raises(ValueError, match="cycle"):
-        graphs.resolved(cycle, 8)
+        graphs.resolved(cycle)
+    n = 1000
+    long = spark.range(n).selectExpr("cast(id as string) as variante", "cast(id + 1 as string) as canonico", "0 as ord")
+    assert {r.canonico for r in graphs.resolved(long).select("canonico").distinct().collect()} == {str(n)}
 
 
 def test_aliases_need_two_present_names(spark):

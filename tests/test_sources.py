@@ -17,6 +17,9 @@ def test_corpus_truncates_and_names(spark, tmp_path):
     (tmp_path / "skip.md").write_text("no")
     r = files.corpus(spark, str(tmp_path)).collect()
     assert [(x.fuente, len(x.text)) for x in r] == [("uno", 8000)]
+    (tmp_path / "uno.txt").write_text("uno\ndos\n\ntres", encoding="utf-8")
+    assert [x.text for x in files.corpus(spark, str(tmp_path)).collect()] == ["uno\ndos\n\ntres"]
+    (tmp_path / "uno.txt").write_text("é" * 9000, encoding="utf-8")
     assert len(files.corpus(spark, str(tmp_path), None).first().text) == 9000
 
 
@@ -34,7 +37,7 @@ def test_many_groups_round_trip_in_both_forms(spark, tmp_path):
     assert read("g") == sorted(rows)
     names = ["detector", "tipo", "canonico", "variantes", "aprobado", "nota"]
     (tmp_path / "array.json").write_text(json.dumps([dict(zip(names, r)) for r in rows], ensure_ascii=False, indent=2), encoding="utf-8")
-    assert read("array.json") == sorted(rows)
+    assert read("array.json") == sorted((*r, i) for i, r in enumerate(rows))  # with their places
     files.write_groups(files.read_groups(spark, str(tmp_path / "g")), str(tmp_path / "g"))  # over itself
     assert read("g") == sorted(rows)
 
