@@ -6,6 +6,8 @@ from embeddings. All queries run over their whole tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from .functions import text as X
 from .functions.chunking import chunks
 from .model import Graph
 from .operators import audit, export, graphs, paths, resolve, retrieve
+from .operators.vectors import VectorIndex
+from .plans.session import shared_dir
 from .sources import tables
 from .streaming.ingest import pending
 
@@ -411,10 +415,26 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""SELECT question_id, doc_id, score, rank FROM (SELECT q.vec_id AS question_id, e.vec_id AS doc_id, {_COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank
  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 4""")
 def vector_topk_per_query(spark: SparkSession, folder: str) -> DataFrame:
-    found = retrieve.top_k(*_vectors(spark, folder, "vec_id % 20 = 0"))
+    docs, questions = _vectors(spark, folder, "vec_id % 20 = 0")
+    found = _index(spark, docs).nearest(questions)
     return found.select("question_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _index(spark: SparkSession, docs: DataFrame) -> VectorIndex:
+    return VectorIndex.build(docs, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+
+
+@query()
+def vector_index_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """What half of the cells find of the four nearest, and how many cells and vectors are read for that."""
+    docs, questions = _vectors(spark, folder, "vec_id % 20 = 0")
+    index = _index(spark, docs)
+    near, read = index.searched(questions, probes=max(1, index.coverage().first().cells // 2))
+    pair = ["question_id", "doc_id"]
+    hits = index.nearest(questions).select(*pair).join(near.select(*pair, F.lit(1).alias("hit")), pair, "left").groupBy("question_id").agg(F.count("hit").alias("n_found"), F.count("*").alias("n_nearest"))
+    return read.join(hits, "question_id")
+
+
 @query("SELECT count(*) AS total, count(CASE WHEN vec_id % 7 > 0 THEN 1 END) AS con_vector, max(CAST(len(embedding) AS BIGINT)) AS dimension FROM embeddings")
 def index_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return retrieve.index_coverage(tables.read(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.expr("CASE WHEN vec_id % 7 > 0 THEN embedding END").alias("embedding")))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import defaults as D
-from ..functions.text import cosine, fact, length, normalize
+from ..functions.text import fact, normalize
 from .graphs import undirected
 from .paths import shortest_paths
+from .vectors import nearest_of_all
 
 SEPARATOR = "\n\n---\n\n"
 
@@ -27,28 +28,10 @@ def index_coverage(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("total"), F.count("embedding").alias("con_vector"), first["n"].cast("long").alias("dimension"))
 
 
-BLOCK = 2000
-
-
-def top_k(docs: DataFrame, vectors: DataFrame, k: int = D.TOP_K, block: int = BLOCK) -> DataFrame:
+def top_k(docs: DataFrame, vectors: DataFrame, k: int = D.TOP_K) -> DataFrame:
     """vectors (question_id, vector), a stated set of questions, against all docs (doc_id, embedding): (question_id, doc_id, score,
-    rank), the k nearest by cosine (six digits), then by id. Docs aren't shuffled: the questions go to them, in blocks of about
-    `block` by a hash of their id, and of each question every task keeps k rows before the window."""
-    blocks = max(1, -(-vectors.count() // block))
-    one, *rest = (_top_k(docs, vectors.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i), k) for i in range(blocks))
-    for r in rest:
-        one = one.unionByName(r)
-    return one
-
-
-def _top_k(docs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    ours = docs.where("embedding is not null").select("doc_id", "embedding", length(F.col("embedding")).alias("la"))
-    theirs = vectors.where("vector is not null").select("question_id", "vector", length(F.col("vector")).alias("lb"))
-    score = cosine(F.col("embedding"), F.col("vector"), F.col("la"), F.col("lb"))
-    pairs = ours.crossJoin(F.broadcast(theirs))  # a block of questions against all docs
-    scored = pairs.select("question_id", "doc_id", F.round(score, 6).alias("score")).where("score is not null")
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    rank), the k nearest by cosine (six digits), then by id; see vectors.py, which also has the index."""
+    return nearest_of_all(docs, vectors, k)
 
 
 def chunk_facts(mentions: DataFrame, edges: DataFrame, most: int = D.MAX_CHUNK_FACTS, distinct_facts: bool = False) -> DataFrame:
