@@ -6,13 +6,14 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import defaults as D
 from .functions.text import year_range
 from .operators import audit, export, graphs, resolve, retrieve
 from .operators.extract import PatternExtractor
+from .operators.vectors import VectorIndex
 from .plans import answer as answers
 from .plans.doctor import doctor
 from .sources import files
@@ -57,6 +58,14 @@ def _lines():
         yield line
 
 
+def _shown(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """Print the first rows, and say how many more there are."""
+    rows.show(most, False)
+    if (n := rows.count()) > most:
+        print(f"... and {n - most} more rows")
+    return rows
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("kgloom").getOrCreate()
@@ -80,9 +89,9 @@ def main(argv: list[str] | None = None) -> int:
     g = store.load()
     if a.command == "dedupe":
         if a.clean:
-            resolve.noise(g.nodes).orderBy("motivo", "id").show(1000, False)
+            resolve.noise(g.nodes).orderBy("motivo", "id").transform(_shown)
             if a.confirm:
-                store.save(resolve.clean(g))
+                store.delete(nodes=resolve.noise(g.nodes).select("id"))
         if a.propose:
             found = resolve.propose(graphs.degree(g))
             files.write_groups(resolve.keep_decisions(found, files.read_groups(spark, a.groups)) if files.exists(spark, a.groups) else found, a.groups)
@@ -97,35 +106,38 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "curate":
         if a.aliases:
             aliases = _csv(spark, a.aliases).withColumn("ord", F.col("ord").cast("int"))
-            graphs.present_aliases(g.nodes, aliases).show(1000, False)
+            graphs.present_aliases(g.nodes, aliases).transform(_shown)
             g = graphs.merge_aliases(g, aliases)
         if a.nodes:
             g = graphs.detach_delete(g, _csv(spark, a.nodes))
         if a.edges:
-            graphs.existing_edges(g.edges, _csv(spark, a.edges)).show(1000, False)
+            graphs.existing_edges(g.edges, _csv(spark, a.edges)).transform(_shown)
             g = graphs.delete_edges(g, _csv(spark, a.edges))
         if a.whitelist:
-            graphs.outside_whitelist(g.edges, _csv(spark, a.whitelist), "ENTRENO_A").show(1000, False)
+            graphs.outside_whitelist(g.edges, _csv(spark, a.whitelist), "ENTRENO_A").transform(_shown)
             g = graphs.enforce_whitelist(g, _csv(spark, a.whitelist), "ENTRENO_A")
-        graphs.year_groups(g.nodes).show(1000, False)
+        graphs.year_groups(g.nodes).transform(_shown)
         if a.apply:
             store.save(graphs.merge_years(g))
     elif a.command == "query":
         embed = answers.hashing_embedder()
         if a.index:
-            store.save(g.with_(docs=retrieve.embed_missing(g.docs, embed, a.rebuild)))
-            retrieve.index_coverage(store.load().docs).show()
+            store.replace_docs(retrieve.embed_missing(g.docs if a.rebuild else g.docs.where("embedding is null"), embed, a.rebuild))
+            g = store.load()
+            retrieve.index_coverage(g.docs).show()
+            VectorIndex.build(g.docs, f"{a.store}/vectors").coverage().show()
+        index = VectorIndex(spark, f"{a.store}/vectors") if files.exists(spark, f"{a.store}/vectors/centres") else None
         lines = [a.question] if a.question else () if a.index else _lines()
         for line in lines:
             q = spark.createDataFrame([(1, line)], "question_id long, text string")
             for with_graph in {"plano": [False], "grafo": [True], "comparar": [False, True]}[a.mode]:
-                r = answers.answer(g, q, embed, with_graph).first()
+                r = answers.answer(g, q, embed, with_graph, index=index).first()
                 print(f"\n[{'graph' if with_graph else 'chunks'}] {', '.join(r.fuentes)}; {r.hechos} facts, path: {r.camino}, {r.caracteres} characters\n{r.respuesta}")
     elif a.command == "evaluate" and (a.review or a.download):
         rows = files.careers(spark.read.schema("nombre string, json string").json(a.responses))
-        audit.career_counts(rows).orderBy("nombre", "tipo").show(1000, False)
+        audit.career_counts(rows).orderBy("nombre", "tipo").transform(_shown)
         if a.review:
-            rows.withColumn("rango", year_range(F.col("inicio"), F.col("fin"))).orderBy("nombre", "tipo", "inicio").select("nombre", "tipo", "equipo", "rango").show(10_000, False)
+            rows.withColumn("rango", year_range(F.col("inicio"), F.col("fin"))).orderBy("nombre", "tipo", "inicio").select("nombre", "tipo", "equipo", "rango").transform(_shown)
         if a.download:
             named = rows.select(F.col("tipo").alias("rel"), F.col("nombre").alias("persona"), "equipo")
             truth = audit.truth_lists(named).select("rel", "persona", F.explode("equipos").alias("equipo"))
@@ -133,7 +145,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "evaluate":
         aliases = _csv(spark, a.aliases) if a.aliases else None
         found = audit.compare(g.edges, g.nodes, _csv(spark, a.truth), aliases)
-        found.orderBy("rel", "persona").show(1000, False)
+        found.orderBy("rel", "persona").transform(_shown)
         audit.totals(audit.counted(g.edges, g.nodes, _csv(spark, a.truth), aliases)).show()
         if a.delete_extra:
             g = graphs.delete_edges(g, audit.extra_edges(found))

@@ -426,10 +426,10 @@ def _index(spark: SparkSession, docs: DataFrame) -> VectorIndex:
 
 @query()
 def vector_index_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """What half of the cells find of the four nearest, and how many cells and vectors are read for that."""
+    """What three quarters of the cells find of the four nearest, and how many cells and vectors are read for that."""
     docs, questions = _vectors(spark, folder, "vec_id % 20 = 0")
     index = _index(spark, docs)
-    near, read = index.searched(questions, probes=max(1, index.coverage().first().cells // 2))
+    near, read = index.searched(questions, probes=max(1, 3 * index.coverage().first().cells // 4))
     pair = ["question_id", "doc_id"]
     hits = index.nearest(questions).select(*pair).join(near.select(*pair, F.lit(1).alias("hit")), pair, "left").groupBy("question_id").agg(F.count("hit").alias("n_found"), F.count("*").alias("n_nearest"))
     return read.join(hits, "question_id")

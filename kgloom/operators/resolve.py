@@ -119,10 +119,12 @@ def typo_pairs(entities: DataFrame, most: int = 2, least_length: int = 6, short_
     n = _normal(entities).select("tipo", "id", "norm", F.char_length("norm").alias("len")).where(F.col("len") >= least_length - most)
     gone = F.least(F.lit(most), F.col("len") - (least_length - most))  # one of a pair has six characters, and both leave the same
     left = n.where(F.col("len") <= short_name + most).select("tipo", "id", "norm", F.explode(_without_letters(F.col("norm"), F.col("len"), gone)).alias("key"))
+    left = left.select("tipo", "id", "norm", F.xxhash64("key").alias("key"))
     other = left.select("tipo", "key", F.col("id").alias("y"), F.col("norm").alias("ny"))
+    # What meets is verified where it meets; only true pairs are shuffled, to be counted once.
+    true = lambda met: met.where((F.char_length("nx") >= least_length) & F.levenshtein("nx", "ny", most).between(1, most)).select("tipo", F.col("x").alias("corto"), F.col("y").alias("largo"))
     near = left.withColumnsRenamed({"id": "x", "norm": "nx"}).join(other, ["tipo", "key"]).where("x < y").select("tipo", "x", "y", "nx", "ny")
-    met = near.unionByName(_on_segments(n.where(F.col("len") > short_name), most)).distinct()
-    return met.where((F.char_length("nx") >= least_length) & F.levenshtein("nx", "ny", most).between(1, most)).select("tipo", F.col("x").alias("corto"), F.col("y").alias("largo"))
+    return true(near).unionByName(true(_on_segments(n.where(F.col("len") > short_name), most))).distinct()
 
 
 def _on_segments(n: DataFrame, most: int) -> DataFrame:

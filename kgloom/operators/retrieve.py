@@ -38,11 +38,15 @@ def chunk_facts(mentions: DataFrame, edges: DataFrame, most: int = D.MAX_CHUNK_F
     """(doc_id, hechos): facts that leave the entities a chunk mentions, then those that reach them, each list distinct and
     sorted; the first `most` of both."""
     text = fact(F.col("src"), F.col("rel"), F.col("dst")).alias("hecho")
-    side = lambda end: mentions.join(edges, F.col("entity_id") == F.col(end)).select("doc_id", text)
-    lists = [side(end).groupBy("doc_id").agg(F.sort_array(F.collect_set("hecho")).alias(name)) for end, name in (("src", "salientes"), ("dst", "entrantes"))]
-    none = F.array().cast("array<string>")
-    all_ = F.concat(F.coalesce("salientes", none), F.coalesce("entrantes", none))
-    return lists[0].join(lists[1], "doc_id", "full").select("doc_id", F.slice(F.array_distinct(all_) if distinct_facts else all_, 1, most).alias("hechos"))
+    side = lambda end, n: mentions.join(edges, F.col("entity_id") == F.col(end)).select("doc_id", F.lit(n).alias("lado"), text).distinct()
+    both = side("src", 0).unionByName(side("dst", 1))
+    if distinct_facts:
+        both = both.groupBy("doc_id", "hecho").agg(F.min("lado").alias("lado"))
+    # No more than `most` of a chunk come together: a mentioned hub's facts are ranked before they are gathered.
+    w = Window.partitionBy("doc_id", "lado").orderBy("hecho")
+    first = both.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    listed = first.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lado", "hecho"))).alias("m"))
+    return listed.select("doc_id", F.slice(F.transform("m", lambda x: x["hecho"]), 1, most).alias("hechos"))
 
 
 def expanded(docs: DataFrame, facts: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import defaults as D
 from ..model import Graph
 from ..operators import graphs, retrieve
+from ..operators.vectors import VectorIndex
 from .session import ship
 
 #: A model maps (context, question) to an answer.
@@ -67,13 +68,13 @@ def hashing_embedder(dimension: int = 256) -> Callable[[Column], Column]:
     return embed
 
 
-def answer(g: Graph, questions: DataFrame, embed: Callable[[Column], Column], with_graph: bool = True, k: int = D.TOP_K, model: AnswerModel | None = None) -> DataFrame:
+def answer(g: Graph, questions: DataFrame, embed: Callable[[Column], Column], with_graph: bool = True, k: int = D.TOP_K, model: AnswerModel | None = None, index: VectorIndex | None = None) -> DataFrame:
     """questions (question_id, text) -> (question_id, respuesta, fuentes, hechos, detectadas, camino, caracteres, contexto).
 
-    Without the graph the context is the nearest chunks alone."""
+    Without the graph the context is the nearest chunks alone. The nearest chunks come from the index, if there is one."""
     ship(questions.sparkSession)
     vectors = questions.select("question_id", embed(F.col("text")).alias("vector"))
-    near = retrieve.top_k(g.docs, vectors, k)
+    near = retrieve.top_k(g.docs, vectors, k) if index is None else index.nearest(vectors, k)
     texts = retrieve.expanded(g.docs, retrieve.chunk_facts(g.mentions, g.edges)) if with_graph else g.docs.select("doc_id", "fuente", "text", F.lit(0).cast("long").alias("n_hechos"))
     chunks = near.select("question_id", "doc_id", "rank").join(texts, "doc_id").select("question_id", "rank", "fuente", "text", "n_hechos")
     entities = graphs.degree(g) if with_graph else graphs.degree(g).where("false")

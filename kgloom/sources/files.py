@@ -1,4 +1,4 @@
-"""File sources and sinks: corpora, merge groups, search and career responses, and the graph store."""
+"""File sources and sinks: corpora, merge groups, search and career responses; the graph store is in store.py."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import defaults as D
-from ..model import Graph
 from ..plans.session import cut
+from .store import Conflict, GraphStore
+
+__all__ = ["Conflict", "GraphStore", "best_hit", "careers", "corpus", "exists", "read_groups", "write_groups"]
 
 
 def corpus(spark: SparkSession, folder: str, chars: int | None = D.DOCUMENT_CHARS) -> DataFrame:
@@ -56,64 +58,3 @@ def careers(responses: DataFrame) -> DataFrame:
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-class GraphStore:
-    """A graph in a folder of Parquet tables. Every commit writes a new version; readers take the last complete one."""
-
-    TABLES = {"nodes": model.NODES, "edges": model.EDGES, "docs": model.DOCS, "mentions": model.MENTIONS}
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path(self.folder)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.folder))]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{self.folder}/{n}/_COMPLETE")))
-
-    def load(self) -> Graph:
-        found = self.versions()
-        if not found:
-            return model.empty(self.spark)
-        at = f"{self.folder}/v{found[-1]}"
-        return Graph(*(self.spark.read.schema(s).parquet(f"{at}/{t}") for t, s in self.TABLES.items()))
-
-    def save(self, g: Graph) -> int:
-        n = (self.versions() or [0])[-1] + 1
-        at = f"{self.folder}/v{n}"
-        blank = model.empty(self.spark)
-        for t in self.TABLES:
-            df = getattr(g, t)
-            df = getattr(blank, t) if df is None else df
-            writer = df.write.mode("overwrite")
-            (writer.partitionBy("rel") if t == "edges" else writer).parquet(f"{at}/{t}")
-        fs, path = self._fs()
-        fs.create(path(f"{at}/_COMPLETE")).close()
-        return n
-
-    def upsert(self, new: Graph) -> int:
-        """Merge by key: ids, triples, doc_ids and links; what was there first keeps its properties. Doing it again changes nothing."""
-        old = self.load()
-        n = old.nodes.withColumn("o", F.lit(0)).unionByName(new.nodes.withColumn("o", F.lit(1)))
-        labels = n.groupBy("id").agg(F.min(F.struct("o", "origen")).alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tipos")))).alias("tipos"))
-        nodes = labels.select("id", model.declared_order(F.col("tipos"), D.ENTITY_TYPES).alias("tipos"), F.col("m.origen").alias("origen"))
-        edges = old.edges.unionByName(new.edges).groupBy("src", "rel", "dst").agg(F.min("origen").alias("origen"))
-        blank = model.empty(self.spark)
-        docs = old.docs.unionByName((new.docs or blank.docs).join(old.docs.select("doc_id"), "doc_id", "left_anti").select(*old.docs.columns))
-        links = old.mentions.unionByName(new.mentions or blank.mentions).distinct()
-        return self.save(Graph(nodes.select("id", "tipos", model.first_type(F.col("tipos")).alias("tipo"), "origen"), edges, docs, links))
-
-    def assert_unique(self) -> None:
-        if self.load().nodes.groupBy("id").count().where("count > 1").limit(1).count():
-            raise ValueError("an id has two nodes")
-
-    def reset(self) -> None:
-        fs, path = self._fs()
-        fs.delete(path(self.folder), True)

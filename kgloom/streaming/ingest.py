@@ -1,16 +1,17 @@
 """Incremental ingest: a file stream whose micro-batches are upserted into a graph store.
 
 The stream's checkpoint remembers which files were read; a batch that is done again after a failure changes nothing, as the
-upsert merges by key. Texts that an extractor fails on go to a dead-letter table, with their error.
+store remembers the stream's last batch. Texts that an extractor fails on go to a dead-letter table, with their error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import defaults as D
 from ..operators.extract import Extractor, extract
+from ..plans.session import cut
 from ..sources.files import GraphStore, corpus
 
 
@@ -29,23 +30,23 @@ def ingest(spark: SparkSession, folder: str, store: GraphStore, extractor: Extra
     found: list[dict] = []
 
     def batch(rows: DataFrame, number: int) -> None:
-        found.append({"batch": number} | _upsert(rows, store, extractor, f"batch={number}"))
+        found.append({"batch": number} | _upsert(rows, store, extractor, f"batch={number}", (checkpoint, number)))
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return found
 
 
-def _upsert(rows: DataFrame, store: GraphStore, extractor: Extractor, name: str) -> dict:
-    g, _, errors = extract(rows.persist(), extractor)
-    store.upsert(g)
-    errors.write.mode("overwrite").parquet(f"{store.folder}/errors/{name}")
-    counts = {"nodes": g.nodes.count(), "relations": g.edges.count(), "errors": errors.count()}
-    rows.unpersist()
-    return counts
+def _upsert(rows: DataFrame, store: GraphStore, extractor: Extractor, name: str, mark: tuple[str, int] | None = None) -> dict:
+    """One batch into the store; its counts are observed as it is written, no job counts again."""
+    g, _, errors = extract(rows, extractor)
+    done = store.upsert(g, mark)
+    failed = Observation()
+    errors.observe(failed, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{store.folder}/errors/{name}")
+    return {"nodes": done["nodes"], "relations": done["edges"], "errors": failed.get["n"]}
 
 
 def ingest_some(spark: SparkSession, folder: str, store: GraphStore, extractor: Extractor, limit: int, chars: int = D.DOCUMENT_CHARS) -> dict:
     """The same without a stream, for the first `limit` files by name; those whose chunks the store has are skipped."""
     first = corpus(spark, folder, chars).orderBy("fuente").limit(limit)
     rest = pending(first, store.load().docs.select("fuente").distinct())
-    return _upsert(rest, store, extractor, f"version={len(store.versions()) + 1}")
+    return _upsert(cut(rest), store, extractor, f"version={(store.versions() or [0])[-1] + 1}")
