@@ -397,6 +397,24 @@ def path_highlight_edges(spark: SparkSession, folder: str) -> DataFrame:
     return paths.on_path(edges, paths.shortest_paths(edges, _pairs(spark, folder), 6))
 
 
+# Over all relations: hubs with hundreds of neighbours, several shortest paths a pair, parallel edges. No pair is farther than three steps.
+_ALL_PATHS = f"""{_PAIRS}, {_EDGES}, adj AS (SELECT node, other, min(f) AS f FROM (SELECT src AS node, dst AS other, src || ' -' || rel || '-> ' || dst AS f FROM edges WHERE src <> dst
+  UNION ALL SELECT dst, src, src || ' -' || rel || '-> ' || dst FROM edges WHERE src <> dst) GROUP BY node, other),
+p1 AS (SELECT pair_id, [f] AS p FROM pairs JOIN adj ON a = node AND b = other),
+q2 AS (SELECT * FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM p1)),
+p2 AS (SELECT pair_id, min([x.f, y.f]) AS p FROM q2 JOIN adj x ON x.node = a JOIN adj y ON y.node = x.other AND y.other = b GROUP BY pair_id),
+q3 AS (SELECT * FROM q2 WHERE pair_id NOT IN (SELECT pair_id FROM p2)),
+p3 AS (SELECT pair_id, min([x.f, y.f, z.f]) AS p FROM q3 JOIN adj x ON x.node = a JOIN adj z ON z.other = b JOIN adj y ON y.node = x.other AND y.other = z.node GROUP BY pair_id),
+least AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)"""
+
+
+@query(f"WITH {_ALL_PATHS} SELECT pair_id, CAST(len(p) AS BIGINT) AS hops, array_to_string(p, '; ') AS pasos FROM least")
+def shortest_path_all(spark: SparkSession, folder: str) -> DataFrame:
+    edges = tables.star_edges(spark, folder)
+    found = paths.shortest_paths(edges, _pairs(spark, folder), 6, marks=paths.landmarks(edges))
+    return found.select("pair_id", "hops", F.array_join("pasos", "; ").alias("pasos"))
+
+
 # --- Vectors and retrieval ----------------------------------------------------------------------------------------------
 
 _COSINE = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
@@ -480,21 +498,41 @@ def _star_questions(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("pair_id").alias("question_id"), F.when(F.col("pair_id") % 3 == 0, F.concat(F.lit("Where is "), "a")).otherwise(F.concat(F.lit("What links "), "a", F.lit(" and "), "b", F.lit("?"))).alias("text"))
 
 
-_CONTEXT = r"""c AS (SELECT p.*, pair_id % 3 = 0 AS alone, a || ' -LOCATED_IN-> ' || x AS fa, b || ' -LOCATED_IN-> ' || y AS fb FROM p),
-t AS (SELECT pair_id, a, b, alone, CASE WHEN alone OR rx <> ry THEN NULL ELSE '[Camino mas corto entre las entidades de la pregunta]' || chr(10) || a || ' <-> ' || b || ':' || chr(10) || '  ' || fa || chr(10)
-  || CASE WHEN x = y THEN '' ELSE '  ' || x || ' -PART_OF-> ' || rx || chr(10) || '  ' || y || ' -PART_OF-> ' || ry || chr(10) END || '  ' || fb END AS path,
- '[Relaciones de las entidades de la pregunta]' || chr(10) || fa || CASE WHEN alone THEN '' ELSE chr(10) || fb END AS near FROM c),
-o AS (SELECT *, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), path, near, 'Order lines of ' || a) AS contexto FROM t)
-SELECT pair_id AS question_id, contexto, a || CASE WHEN alone THEN '' ELSE '|' || b END AS detectadas, path IS NOT NULL AS camino, CAST(2 AS BIGINT) AS hechos, CAST(length(contexto) AS BIGINT) AS caracteres FROM o"""
+_NL = "chr(10)"
+_CONTEXT = f"""{_ALL_PATHS}, {_MENTIONS},
+dv AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'Order ' || o_orderkey || ': ' || o_orderstatus || ' ' || o_orderpriority AS text, embedding FROM orders JOIN embeddings ON vec_id = o_orderkey),
+near AS (SELECT * FROM (SELECT q.vec_id AS pair_id, doc_id, text, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, doc_id) AS rank FROM embeddings q JOIN pairs ON pair_id = q.vec_id, dv e) WHERE rank <= 4),
+fo AS (SELECT doc_id, list_sort(list(DISTINCT src || ' -' || rel || '-> ' || dst)) AS f FROM men JOIN edges ON entity_id = src WHERE doc_id IN (SELECT doc_id FROM near) GROUP BY doc_id),
+fi AS (SELECT doc_id, list_sort(list(DISTINCT src || ' -' || rel || '-> ' || dst)) AS f FROM men JOIN edges ON entity_id = dst WHERE doc_id IN (SELECT doc_id FROM near) GROUP BY doc_id),
+ch AS (SELECT pair_id, rank, text, list_concat(coalesce(fo.f, []), coalesce(fi.f, []))[1:30] AS f FROM near LEFT JOIN fo USING (doc_id) LEFT JOIN fi USING (doc_id)),
+cs AS (SELECT pair_id, string_agg(text || CASE WHEN len(f) > 0 THEN {_NL} || {_NL} || '[Relaciones del grafo]' || {_NL} || array_to_string(f, {_NL}) ELSE '' END, {_NL} || {_NL} || '---' || {_NL} || {_NL} ORDER BY rank) AS t, sum(len(f)) AS n FROM ch GROUP BY pair_id),
+det AS (SELECT pair_id, a AS id FROM pairs UNION ALL SELECT pair_id, b FROM pairs WHERE pair_id % 3 <> 0),
+nb AS (SELECT pair_id, array_to_string(list_sort(list(DISTINCT src || ' -' || rel || '-> ' || dst))[1:60], {_NL}) AS t FROM det JOIN edges ON id = src OR id = dst GROUP BY pair_id),
+o AS (SELECT pairs.pair_id, a, b, pairs.pair_id % 3 = 0 AS alone, CASE WHEN pairs.pair_id % 3 <> 0 THEN '[Camino mas corto entre las entidades de la pregunta]' || {_NL} || a || ' <-> ' || b || ':' || {_NL} || '  ' || array_to_string(p, {_NL} || '  ') END AS path,
+  '[Relaciones de las entidades de la pregunta]' || {_NL} || nb.t AS near, cs.t AS chunks, n FROM pairs LEFT JOIN least USING (pair_id) LEFT JOIN nb USING (pair_id) LEFT JOIN cs USING (pair_id)),
+t AS (SELECT *, concat_ws({_NL} || {_NL} || '---' || {_NL} || {_NL}, path, near, chunks) AS contexto FROM o)
+SELECT pair_id AS question_id, contexto, a || CASE WHEN alone THEN '' ELSE '|' || b END AS detectadas, path IS NOT NULL AS camino, CAST(coalesce(n, 0) AS BIGINT) AS hechos, CAST(length(contexto) AS BIGINT) AS caracteres FROM t"""
+
+
+def _order_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as chunks (those that have a vector), and the suppliers that they mention."""
+    o, li, s, e = (tables.read(spark, folder, t) for t in ("orders", "lineitem", "supplier", "embeddings"))
+    text = F.concat(F.lit("Order "), F.col("o_orderkey"), F.lit(": "), "o_orderstatus", F.lit(" "), "o_orderpriority")
+    docs = o.join(e, F.col("vec_id") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit("orders").alias("fuente"), F.lit(0).alias("chunk"), text.alias("text"), "embedding")
+    men = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("s_name").alias("entity_id")).distinct()
+    return docs, men
 
 
-@query(f"{_UP}, {_CONTEXT}")
+@query(f"WITH {_CONTEXT}")
 def graph_context(spark: SparkSession, folder: str) -> DataFrame:
-    edges = tables.star_edges(spark, folder, tables.HIERARCHY)
+    """Contexts over all relations: the nearest chunks with the facts of what they mention, neighbourhoods, and paths of up to six steps."""
+    docs, men = _order_chunks(spark, folder)
+    g = Graph(tables.star_nodes(spark, folder), tables.star_edges(spark, folder), docs, men)
     questions = _star_questions(spark, folder)
-    entities = tables.star_nodes(spark, folder).where("tipo in ('Customer', 'Supplier')").select("id", "tipo", F.lit(1).alias("grado"))
-    chunks_ = questions.select("question_id", F.lit(1).alias("rank"), F.lit("orders").alias("fuente"), F.concat(F.lit("Order lines of "), F.format_string("Customer#%09d", "question_id")).alias("text"), F.lit(2).cast("long").alias("n_hechos"))
-    found = retrieve.contexts(questions, retrieve.detect_entities(questions, entities), edges, chunks_)
+    vectors = questions.join(tables.read(spark, folder, "embeddings"), F.col("question_id") == F.col("vec_id")).select("question_id", F.col("embedding").alias("vector"))
+    near = retrieve.top_k(g.docs, vectors)
+    detected = retrieve.detect_entities(questions, graphs.degree(g))
+    found = retrieve.contexts(questions, detected, g.edges, retrieve.retrieved_chunks(g, near))
     return found.select("question_id", "contexto", F.array_join("detectadas", "|").alias("detectadas"), "camino", "hechos", "caracteres")
 
 

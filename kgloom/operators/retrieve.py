@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import defaults as D
 from ..functions.text import fact, normalize
+from ..model import Graph
+from ..plans.session import cut
 from .graphs import undirected
 from .paths import shortest_paths
 from .vectors import nearest_of_all
@@ -56,6 +58,19 @@ def expanded(docs: DataFrame, facts: DataFrame) -> DataFrame:
     return docs.join(facts, "doc_id", "left").select("doc_id", "fuente", F.concat("text", tail).alias("text"), F.when(F.col("hechos").isNull(), 0).otherwise(F.size("hechos")).cast("long").alias("n_hechos"))
 
 
+def retrieved_chunks(g: Graph, near: DataFrame, with_graph: bool = True) -> DataFrame:
+    """near (question_id, doc_id, rank) -> (question_id, rank, fuente, text, n_hechos): the texts of the chunks that were found, with the facts of what
+    these mention; facts of other chunks aren't made."""
+    near = cut(near.select("question_id", "doc_id", "rank"))
+    wanted = near.select("doc_id").distinct()
+    docs = g.docs.join(wanted, "doc_id", "left_semi")
+    if with_graph:
+        texts = expanded(docs, chunk_facts(g.mentions.join(wanted, "doc_id", "left_semi"), g.edges))
+    else:
+        texts = docs.select("doc_id", "fuente", "text", F.lit(0).cast("long").alias("n_hechos"))
+    return near.join(texts, "doc_id").select("question_id", "rank", "fuente", "text", "n_hechos")
+
+
 def detect_entities(questions: DataFrame, entities: DataFrame, least_length: int = D.MIN_ENTITY_LENGTH, longest_words: int = 12) -> DataFrame:
     """(question_id, id, norm): entities named in questions (question_id, text), at word borders.
 

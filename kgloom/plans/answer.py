@@ -75,8 +75,7 @@ def answer(g: Graph, questions: DataFrame, embed: Callable[[Column], Column], wi
     ship(questions.sparkSession)
     vectors = questions.select("question_id", embed(F.col("text")).alias("vector"))
     near = retrieve.top_k(g.docs, vectors, k) if index is None else index.nearest(vectors, k)
-    texts = retrieve.expanded(g.docs, retrieve.chunk_facts(g.mentions, g.edges)) if with_graph else g.docs.select("doc_id", "fuente", "text", F.lit(0).cast("long").alias("n_hechos"))
-    chunks = near.select("question_id", "doc_id", "rank").join(texts, "doc_id").select("question_id", "rank", "fuente", "text", "n_hechos")
+    chunks = retrieve.retrieved_chunks(g, near, with_graph)
     entities = graphs.degree(g) if with_graph else graphs.degree(g).where("false")
     detected = retrieve.detect_entities(questions, entities)
     found = retrieve.contexts(questions, detected, g.edges, chunks, D.DOMAIN_RELATIONS, D.CAREER_RELATIONS)
