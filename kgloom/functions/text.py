@@ -12,24 +12,45 @@ from pyspark.sql import functions as F
 from . import defaults as D
 
 
+#: Fixed values of the standard: the first Hangul syllable and the last, the first characters that syllables decompose into, and how many
+#: vowels and tails there are (tails: one more than there are characters, as a syllable may have none).
+SYLLABLES, LEAD, VOWEL, TAIL, VOWELS, TAILS = (0xAC00, 0xD7A3), 0x1100, 0x1161, 0x11A7, 21, 28
+
+
 @functools.cache
-def accent_table() -> tuple[str, str]:
+def accent_table() -> tuple[str, str, dict[str, str]]:
     """Arguments of `translate` that replace each character by what its canonical decomposition leaves without nonspacing
-    marks. Characters that leave more than one (mostly Hangul syllables) stay as they are."""
-    single, alone, removed = [], [], []
+    marks, and those that leave several characters, but for Hangul syllables, which decompose by a rule."""
+    single, alone, removed, several = [], [], [], {}
     for c in map(chr, range(sys.maxunicode + 1)):
-        if not 0xD800 <= ord(c) <= 0xDFFF and not c.isascii():
+        if not 0xD800 <= ord(c) <= 0xDFFF and not SYLLABLES[0] <= ord(c) <= SYLLABLES[1] and not c.isascii():
             left = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
             if not left:
                 removed.append(c)
-            elif left != c and len(left) == 1:
+            elif len(left) > 1:
+                several[c] = left
+            elif left != c:
                 single.append(c)
                 alone.append(left)
-    return "".join(single + removed), "".join(alone)
+    return "".join(single + removed), "".join(alone), several
+
+
+def _syllable(c: Column) -> Column:
+    """A Hangul syllable's two or three characters, by arithmetic on its code point."""
+    at = F.ascii(c) - SYLLABLES[0]
+    one = lambda first, k: F.substring(F.lit("".join(map(chr, range(first, first + 30)))), (k + 1).cast("int"), F.lit(1))
+    tail = at % TAILS
+    return F.concat(one(LEAD, F.floor(at / (VOWELS * TAILS))), one(VOWEL, F.floor(at / TAILS) % VOWELS), F.when(tail > 0, one(TAIL, tail)).otherwise(F.lit("")))
 
 
 def strip_accents(s: Column) -> Column:
-    return F.translate(s, *accent_table())
+    """Canonically decomposed, without nonspacing marks. Texts that have no character of several are translated only."""
+    plain, alone, several = accent_table()
+    simple = F.translate(s, plain, alone)
+    first, last = map(chr, SYLLABLES)
+    known = F.create_map(*(F.lit(x) for kv in several.items() for x in kv))
+    whole = F.transform(F.split(simple, ""), lambda c: F.when(c.between(first, last), _syllable(c)).otherwise(F.coalesce(F.try_element_at(known, c), c)))
+    return F.when(simple.rlike(f"[{first}-{last}{''.join(several)}]"), F.array_join(whole, "")).otherwise(simple)
 
 
 def normalize(s: Column) -> Column:

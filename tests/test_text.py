@@ -83,3 +83,16 @@ def test_chunks_bound_cover_and_overlap(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, " "), (4, text)], "id long, text string")
     got = chunks(df, "id").collect()
     assert [(r.chunk, r.text) for r in got if r.id == 4] == list(enumerate(parts)) and {r.id for r in got} == {1, 4}
+
+
+def test_accents_of_all_code_points(spark):
+    import sys
+    import unicodedata
+
+    every = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    rows = [(i, "".join(every[i : i + 200])) for i in range(0, len(every), 200)] + [(-1, None), (-2, ""), (-3, "한국어 각 é ো한")] + [(-10 - i, c) for i, c in enumerate(every[0xA000:0xAC00:7])]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i long, s string").select("i", X.strip_accents(F.col("s")).alias("t")).collect()}
+    want = {i: s and "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn") for i, s in rows}
+    order = lambda s: s and sorted(s)  # noqa: E731  next to each other, marks of the standard's reordering may swap
+    assert {i: order(t) for i, t in got.items()} == {i: order(t) for i, t in want.items()}
+    assert got[-3] == want[-3] and all(got[i] == want[i] for i, s in rows if i < 0)
