@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,35 @@ class PatternExtractor:
         return [Triple(m[1].rstrip(" ."), a, rel, m[2].rstrip(" ."), b) for pattern, (a, rel, b) in self.phrases for m in pattern.finditer(text)]
 
 
+class GazetteerExtractor:
+    """Triples of known names: two names of a dictionary (name -> type) that stand next to each other, with a phrase between them that the closed
+    list (phrase -> relation) has. Names are found as written, at word borders, the longest at each place."""
+
+    def __init__(self, names: dict[str, str], phrases: dict[str, str]):
+        self.names, self.phrases = names, phrases
+        self._found: ahocorasick.Automaton | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_found": None}  # each worker builds its own
+
+    def __call__(self, text: str) -> list[Triple]:
+        if not self.names:
+            return []
+        if self._found is None:
+            self._found = ahocorasick.Automaton()
+            for n in self.names:
+                self._found.add_word(n, n)
+            self._found.make_automaton()
+        word = lambda at: 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
+        spans = sorted((end + 1 - len(n), -end - 1, n) for end, n in self._found.iter(text) if not word(end - len(n)) and not word(end + 1))
+        kept: list[tuple[int, int, str]] = []
+        for start, stop, n in spans:
+            if not kept or start >= kept[-1][1]:
+                kept.append((start, -stop, n))
+        pairs = ((a, b, self.phrases.get(" ".join(text[a[1] : b[0]].split()))) for a, b in zip(kept, kept[1:], strict=False))
+        return [Triple(a[2], self.names[a[2]], rel, b[2], self.names[b[2]]) for a, b, rel in pairs if rel]
+
+
 def _triples(docs: DataFrame, extractor: Extractor) -> DataFrame:
     """(doc_id, src, src_tipo, rel, dst, dst_tipo, error): a row a triple, or one with the error."""
     columns = ["doc_id", *Triple._fields, "error"]

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import defaults as D
-from ..functions.text import fact, normalize
+from ..functions.text import fact
 from ..model import Graph
 from ..plans.session import cut
+from .gazetteer import forms, longest_spans, occurrences
 from .graphs import undirected
 from .paths import shortest_paths
 from .vectors import nearest_of_all
@@ -71,23 +72,15 @@ def retrieved_chunks(g: Graph, near: DataFrame, with_graph: bool = True) -> Data
     return near.join(texts, "doc_id").select("question_id", "rank", "fuente", "text", "n_hechos")
 
 
-def detect_entities(questions: DataFrame, entities: DataFrame, least_length: int = D.MIN_ENTITY_LENGTH, longest_words: int = 12) -> DataFrame:
-    """(question_id, id, norm): entities named in questions (question_id, text), at word borders.
-
-    Questions give their word n-grams, which join with normal forms; of several names with one form the one of highest degree (then
-    the first) counts, and names within another found name's form are left out. `longest_words` bounds nothing silently: names of
-    more words are looked for by containment."""
-    names = entities.select("id", "grado", normalize(F.col("id")).alias("norm")).where(F.char_length("norm") >= least_length)
-    names = names.groupBy("norm").agg(F.min(F.struct((-F.col("grado")).alias("g"), "id")).alias("m")).select("norm", F.col("m.id").alias("id"), F.size(F.split("norm", " ")).alias("words"))
-    q = questions.select("question_id", normalize(F.col("text")).alias("q")).where("q <> ''").withColumn("t", F.split("q", " "))
-    grams = q.select("question_id", F.explode(F.sequence(F.lit(1), F.least(F.size("t"), F.lit(longest_words)))).alias("n"), "t")
-    grams = grams.select("question_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.array_join(F.slice("t", i, F.col("n")), " "))).alias("norm")).distinct()
-    found = grams.join(names.where(F.col("words") <= longest_words).select("norm", "id"), "norm").select("question_id", "id", "norm")
-    # A longer name is found by its first words, then verified.
-    long = names.where(F.col("words") > longest_words).withColumn("start", F.array_join(F.slice(F.split("norm", " "), 1, longest_words), " "))
-    more = grams.join(long.select(F.col("norm").alias("whole"), "id", F.col("start").alias("norm")), "norm").join(q.select("question_id", "q"), "question_id")
-    more = more.where(F.contains(F.concat(F.lit(" "), "q", F.lit(" ")), F.concat(F.lit(" "), "whole", F.lit(" ")))).select("question_id", "id", F.col("whole").alias("norm"))
-    hits = found.unionByName(more).distinct()
+def detect_entities(questions: DataFrame, entities: DataFrame, least_length: int = D.MIN_ENTITY_LENGTH, spans: bool = False) -> DataFrame:
+    """(question_id, id, norm): entities named in questions (question_id, text), at word borders; see gazetteer.py.
+
+    Of several names with one form the one of highest degree (then the first) counts. Names within another found name's form are left out;
+    with `spans` only where they stand inside it: a short name that also stands on its own is found."""
+    found = occurrences(questions, forms(entities, least_length))
+    if spans:
+        return longest_spans(found).select("question_id", "id", "norm").distinct()
+    hits = found.select("question_id", "id", "norm").distinct()
     other = hits.select("question_id", F.col("id").alias("id2"), F.col("norm").alias("norm2"))
     return hits.join(other, (hits.question_id == other.question_id) & (hits.id != other.id2) & F.contains(other.norm2, hits.norm), "left_anti")
 
