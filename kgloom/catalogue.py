@@ -18,7 +18,8 @@ from .operators import audit, export, graphs, paths, resolve, retrieve
 from .operators.vectors import VectorIndex
 from .plans.session import shared_dir
 from .sources import tables
-from .streaming.ingest import pending
+from .sources.store import GraphStore
+from .streaming.ingest import ingest_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -637,11 +638,17 @@ def site_payload(spark: SparkSession, folder: str) -> DataFrame:
     return export.site_nodes(export.site_edges(g, [*tables.HIERARCHY, "MADE_BY"]))
 
 
-@query("SELECT doc_id, 'src' || (doc_id % 10) AS fuente FROM documents WHERE doc_id % 10 >= 4")
+@query("SELECT CAST(doc_id AS VARCHAR) AS fuente, md5(left(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), 20)) AS digest FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''")
 def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    files = tables.read(spark, folder, "documents").select("doc_id", F.concat(F.lit("src"), (F.col("doc_id") % 10).cast("string")).alias("fuente"))
-    done = spark.createDataFrame([(f"src{i}",) for i in range(4)], "fuente string")
-    return pending(files, done).select("doc_id", "fuente")
+    """Two runs of the stream over files written from the documents: the second finds half of them done. Each text is ingested once, and
+    its first chunk begins as it does."""
+    docs = tables.read(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("fuente"), "text", (F.col("doc_id") % 2).alias("half"))
+    at = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    store = GraphStore(spark, f"{at}/store")
+    for half in (0, 1):
+        docs.where(F.col("half") == half).select("fuente", "text").write.mode("append").parquet(f"{at}/in")
+        ingest_stream(spark.readStream.schema("fuente string, text string").parquet(f"{at}/in"), store, lambda text: [], f"{at}/checkpoint")
+    return store.load().docs.where("chunk = 0").select("fuente", F.md5(F.substring("text", 1, 20).cast("binary")).alias("digest"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

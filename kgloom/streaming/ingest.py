@@ -26,13 +26,18 @@ def ingest(spark: SparkSession, folder: str, store: GraphStore, extractor: Extra
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.txt$", "")
-    stream = reader.load(folder).select(name.alias("fuente"), F.substring("value", 1, chars).alias("text"))
+    return ingest_stream(reader.load(folder).select(name.alias("fuente"), F.col("value").alias("text")), store, extractor, checkpoint, chars)
+
+
+def ingest_stream(stream: DataFrame, store: GraphStore, extractor: Extractor, checkpoint: str, chars: int = D.DOCUMENT_CHARS) -> list[dict]:
+    """The same for any stream of texts (fuente, text): what is new since the last call with this checkpoint."""
     found: list[dict] = []
 
     def batch(rows: DataFrame, number: int) -> None:
         found.append({"batch": number} | _upsert(rows, store, extractor, f"batch={number}", (checkpoint, number)))
 
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    cut_off = stream.select("fuente", F.substring("text", 1, chars).alias("text"))
+    cut_off.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return found
 
 
