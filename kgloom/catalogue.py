@@ -6,6 +6,7 @@ from embeddings. All queries run over their whole tables.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -618,6 +619,22 @@ def career_union(spark: SparkSession, folder: str) -> DataFrame:
     return audit.career(first, second, ("entrenador", "jugador"))
 
 
+# Order lines as statements: two properties with a role and one without, optional and repeated qualifiers, labels in some languages.
+_CLAIMS = "SELECT c_name AS subject, CASE l_linenumber % 3 WHEN 0 THEN 'P1' WHEN 1 THEN 'P2' ELSE 'P9' END AS property, o_orderkey || '-' || l_linenumber AS statement, 'Q' || l_suppkey AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
+_QUALIFIERS = "SELECT l_orderkey || '-' || l_linenumber AS statement, 'P580' AS property, CAST(l_shipdate AS {0}) AS value FROM lineitem WHERE l_linenumber % 2 = 0 UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'P580', '1999' FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'P582', CAST(l_shipdate AS {0}) FROM lineitem WHERE l_quantity > 25 UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'P777', 'x' FROM lineitem"
+_LABELS = "SELECT 'Q' || s_suppkey AS id, 'es' AS lang, s_name AS label FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'Q' || s_suppkey, 'en', 'The ' || s_name FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'Q' || s_suppkey, 'de', s_name FROM supplier"
+
+
+@query(f"""WITH c AS ({_CLAIMS}), q AS ({_QUALIFIERS.format('VARCHAR')}), l AS ({_LABELS})
+SELECT subject AS nombre, CASE c.property WHEN 'P1' THEN 'jugador' ELSE 'entrenador' END AS tipo, coalesce(es.label, en.label) AS equipo, coalesce(left(b.value, 4), '') AS inicio, coalesce(left(e.value, 4), '') AS fin
+FROM c LEFT JOIN q b ON b.statement = c.statement AND b.property = 'P580' LEFT JOIN q e ON e.statement = c.statement AND e.property = 'P582'
+LEFT JOIN l es ON es.id = c.value AND es.lang = 'es' LEFT JOIN l en ON en.id = c.value AND en.lang = 'en' WHERE c.property IN ('P1', 'P2') AND coalesce(es.label, en.label) IS NOT NULL""")
+def career_statements(spark: SparkSession, folder: str) -> DataFrame:
+    named = {t: tables.read(spark, folder, t) for t in ("lineitem", "orders", "customer", "supplier")}
+    sql = lambda text: spark.sql(re.sub(r"\b(FROM|JOIN) (lineitem|orders|customer|supplier)\b", r"\1 {\2}", text), **named)
+    return audit.statement_careers(sql(_CLAIMS), sql(_QUALIFIERS.format("STRING")), sql(_LABELS), {"P1": "jugador", "P2": "entrenador"}, "P580", "P582", ["es", "en"])
+
+
 @query("SELECT c_name AS nombre, o_orderstatus AS tipo, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2")
 def career_counts(spark: SparkSession, folder: str) -> DataFrame:
     o, c = tables.read(spark, folder, "orders"), tables.read(spark, folder, "customer")

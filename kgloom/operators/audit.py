@@ -95,6 +95,23 @@ def career(first: DataFrame, second: DataFrame, tags: tuple[str, str]) -> DataFr
     return both.where(~F.col("equipo").rlike("^Q[0-9]+$")).select("tipo", "equipo", year("inicio"), year("fin"))
 
 
+def statement_careers(claims: DataFrame, qualifiers: DataFrame, labels: DataFrame, roles: dict[str, str], begin: str, end: str, languages: list[str]) -> DataFrame:
+    """claims (subject, property, statement, value), qualifiers (statement, property, value) and labels (id, lang, label) as a store of statements
+    has them -> (nombre, tipo, equipo, inicio, fin) of the claims whose property has a role.
+
+    Qualifiers are optional, and a statement with several of one kind is a row for each; a label is that of the first language that has
+    one (of several the least), else the id itself, which drops the row if it is Q and digits. Years are the first four characters, or empty."""
+    role = F.create_map(*(F.lit(x) for kv in roles.items() for x in kv))
+    mine = claims.where(F.col("property").isin(list(roles))).select("subject", "statement", "value", role[F.col("property")].alias("tipo"))
+    one = lambda p, name: qualifiers.where(F.col("property") == p).select("statement", F.col("value").alias(name))
+    rank = F.array_position(F.array(*map(F.lit, languages)), F.col("lang"))
+    named = labels.where(F.col("lang").isin(languages)).groupBy(F.col("id").alias("value")).agg(F.min(F.struct(rank.alias("k"), "label"))["label"].alias("label"))
+    rows = mine.join(one(begin, "inicio"), "statement", "left").join(one(end, "fin"), "statement", "left").join(named, "value", "left")
+    year = lambda c: F.coalesce(F.substring(c, 1, 4), F.lit("")).alias(c)
+    found = rows.select(F.col("subject").alias("nombre"), "tipo", F.coalesce("label", "value").alias("equipo"), year("inicio"), year("fin"))
+    return found.where(~F.col("equipo").rlike("^Q[0-9]+$"))
+
+
 def career_counts(rows: DataFrame) -> DataFrame:
     """(nombre, tipo, ...) -> (nombre, tipo, n): a person's career rows of each role."""
     return rows.groupBy("nombre", "tipo").agg(F.count("*").alias("n"))

@@ -198,3 +198,11 @@ def test_templates_are_filled_whatever_the_texts_hold():
     say = answers.templated(lambda prompt: prompt, "C: {contexto} Q: {pregunta}.")
     assert say("{pregunta} x", "{contexto}") == "C: {pregunta} x Q: {contexto}."
     assert "{" not in answers.templated(lambda p: p)("a", "b")
+
+
+def test_careers_of_statements(spark):
+    claims = spark.createDataFrame([("ana", "P1", "s1", "Q1"), ("ana", "P2", "s2", "Q2"), ("ana", "P1", "s3", "Q3"), ("ana", "P9", "s4", "Q1"), ("eva", "P1", "s5", "Q1")], "subject string, property string, statement string, value string")
+    qualifiers = spark.createDataFrame([("s1", "B", "1990-05"), ("s1", "B", "1995"), ("s1", "E", "2000"), ("s2", "E", None), ("s4", "B", "1"), ("sx", "B", "2")], "statement string, property string, value string")
+    labels = spark.createDataFrame([("Q1", "en", "one"), ("Q1", "es", "uno"), ("Q2", "en", "two"), ("Q3", "de", "drei")], "id string, lang string, label string")
+    got = audit.statement_careers(claims, qualifiers, labels, {"P1": "J", "P2": "E"}, "B", "E", ["es", "en"])
+    assert sorted(map(tuple, got.collect())) == [("ana", "E", "two", "", ""), ("ana", "J", "uno", "1990", "2000"), ("ana", "J", "uno", "1995", "2000"), ("eva", "J", "uno", "", "")]
