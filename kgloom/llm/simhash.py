@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 #: Least texts whose shingles are counted for the order of shingles, as a share of all texts and a number, and the most
 #: shingles that get a count; rows of a block, and of a bucket whose pairs are made at once; rounds of links; most rows that are broadcast.
-ORDER_SHARE, ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS, SENT = 1 / 32, 10_000, 500_000, 1024, 8, 2, 500_000
+ORDER_SHARE, ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS, SENT = 1 / 32, 10_000, 500_000, 512, 8, 3, 500_000
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: References of the pivot table, a power of two; rows that are looked at together.
 REFERENCES, TOGETHER = 256, 1 << 17
@@ -373,16 +373,141 @@ def _meetings(similarity: float, small: int) -> Callable:
     return tidy(run)
 
 
+def _columns_of(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    """Rows of buckets as arrays: id, n, place, root, and their rows of the pivot table."""
+    of = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts])
+    at = of("at")
+    table = np.frombuffer(b"".join(x for b in parts for x in b.column("coordinates").to_pylist()), dtype=np.uint8).reshape(-1, REFERENCES)
+    return {"id": of("id"), "root": of("root"), "n": at >> 32, "place": at & 0xFFFFFFFF, "table": table}
+
+
+def _survivors(x: dict, y: dict, similarity: float, above: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of rows of x and y whose roots differ, whose places allow the similarity and that the pivot table doesn't
+    discard, with the greatest coordinate difference over the sizes; `above`: only pairs i < j of one block."""
+    found = []
+    for begin in range(0, len(y["id"]), 256):
+        z = {k: v[begin : begin + 256] for k, v in y.items()}
+        ok = (x["root"][:, None] != z["root"]) & _places_allow(x["n"][:, None], x["place"][:, None], z["n"], z["place"], similarity)
+        if above:
+            ok &= np.arange(len(x["id"]))[:, None] < np.arange(begin, begin + len(z["id"]))
+        i, j = np.nonzero(ok)
+        for k in range(0, len(i), 8192):
+            p, q = i[k : k + 8192], j[k : k + 8192]
+            apart = np.abs(x["table"][p].astype(np.int16) - z["table"][q]).sum(axis=1, dtype=np.int64)
+            both = x["n"][p] + z["n"][q]
+            near = apart <= both * (1 - similarity) / (1 + similarity) + 1e-6
+            found.append((p[near], q[near] + begin, (apart / both)[near]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    i, j, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+    return i, j, apart
+
+
+def _forest(root: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) make a spanning forest of the rows' roots, the nearest pairs first: in each round every tree takes its
+    nearest pair to another tree."""
+    tree = np.unique(root, return_inverse=True)[1]
+    order = np.argsort(apart, kind="stable")
+    taken = []
+    while len(order):
+        a, b = tree[i[order]], tree[j[order]]
+        order, a, b = order[a != b], a[a != b], b[a != b]
+        if not len(order):
+            break
+        chosen = np.unique(np.unique(np.stack([a, b], axis=1).ravel(), return_index=True)[1] // 2)
+        taken.append(order[chosen])
+        tree = _roots(len(tree), a[chosen], b[chosen])[tree]
+    return np.concatenate(taken) if taken else order
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """Rows that are sorted by some columns as runs of equal values of these: (values, batches of the run)."""
+    left: list[pa.RecordBatch] = []
+    source = iter(batches)
+
+    def piece():
+        """The next batch's first run: (values, rows, whether the run may go on)."""
+        if not left:
+            b = next(source, None)
+            while b is not None and not b.num_rows:
+                b = next(source, None)
+            if b is None:
+                return None
+            left.append(b)
+        b = left.pop()
+        at = [b.column(n).to_numpy(zero_copy_only=False) for n in names]
+        other = np.flatnonzero(np.any([c != c[0] for c in at], axis=0))
+        end = int(other[0]) if len(other) else b.num_rows
+        if end < b.num_rows:
+            left.append(b.slice(end))
+        return tuple(c[0] for c in at), b.slice(0, end)
+
+    now = piece()
+    while now is not None:
+        value, held = now[0], [now]
+
+        def run(value=value, held=held):
+            while held:
+                yield held.pop()[1]
+                more = piece()
+                if more is not None and more[0] == value:
+                    held.append(more)
+                else:
+                    rest.append(more)
+                    return
+
+        rest: list = []
+        yield value, run()
+        now = rest[0] if rest else piece()
+
+
+def _nearest_pairs(similarity: float) -> Callable:
+    """Rows (key, part, id, at, root, coordinates) by key and part -> (a, b): a spanning forest of the block's roots, of pairs that the pivot
+    table leaves."""
+
+    def run(batches):
+        for _, rows in _by_block(batches, ["key", "part"]):
+            x = _columns_of(list(rows))
+            i, j, apart = _survivors(x, x, similarity, above=True)
+            at = _forest(x["root"], i, j, apart)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(x["id"][i[at]]), pa.array(x["id"][j[at]])], names=["a", "b"])
+
+    return tidy(run)
+
+
+def _all_pairs(similarity: float) -> Callable:
+    """Rows (key, i, j, side, id, at, root, coordinates) by key, i, j and side -> (a, b): the pairs of a left row (side 0) and a right one that
+    the pivot table leaves. The left rows of a block are held; the right ones pass by."""
+
+    def run(batches):
+        held = at = None
+        for value, rows in _by_block(batches, ["key", "i", "j", "side"]):
+            if value[-1] == 0:
+                held, at = _columns_of(list(rows)), value[:-1]
+            elif at == value[:-1]:
+                for b in rows:
+                    y = _columns_of([b])
+                    i, j, _ = _survivors(held, y, similarity)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(held["id"][i]), pa.array(y["id"][j])], names=["a", "b"])
+            for _ in rows:
+                pass
+
+    return tidy(run)
+
+
 def jaccard_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, rounds: int = LINKING_ROUNDS) -> DataFrame:
     """nodes (id, n, prefix, coordinates), rows of sets (copies of a set are equal), and texts, which gives a row (id, text) or more of
     each id (id) it is called with -> links (a, b) whose components are those of all pairs of Jaccard similarity `similarity` or more.
 
     Two such sets have a shingle of their prefixes in common, so buckets of prefix shingles meet every pair, and the place of
     their first common shingle allows the similarity. Pairs that meet are discarded by the pivot table, and the sets themselves decide on the
-    survivors. Of small buckets all pairs are tried. In greater ones each set is first tried with one other, which most often
-    stands before it or first in its buckets, in several orders; then every pair of a bucket whose rows aren't linked yet. Pairs that links
-    connect already need no trial: they can't change a component. A bucket of more than `block` rows is dealt over tasks, block
-    against block, so that no pair is left out."""
+    survivors. Of small buckets all pairs are tried. In greater ones a set first takes part in the largest of its buckets that isn't linked, with
+    its row of the pivot table: of the pairs that the table leaves in a block of a bucket, those of a spanning forest, nearest first, are tried. Then
+    the rows of every bucket that aren't linked to its largest component go by all of its rows, block against block, in tasks that hand on only the
+    pairs that the table leaves; these are all tried. Pairs that links connect already need no trial: they can't change a component. So
+    no pair is left out, and neither joins nor tables grow with the pairs of a group."""
     t = similarity
 
     def near(batches):
@@ -429,43 +554,39 @@ def jaccard_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shi
         split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         return keep(now.join(split, "key"))
 
-    n, m = F.shiftright("at", 32), F.shiftright("oat", 32)
-    after = lambda at: F.shiftright(at, 32) - F.col(at).bitwiseAND(0xFFFFFFFF)
-    sizes_allow = F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9
-    places_allow = F.least(after("at"), after("oat")) >= F.lit(t / (1 + t)) * (n + m) - 1e-9
+    def with_coordinates(rows):
+        return rows.join(table.select("id", "coordinates"), "id")
+
     links = tried(met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     great = met.where("b is null").select("key", F.col("a").alias("id"), "at")
     if not great.limit(1).count():
         return links
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     now = rooted(great, links)
     for k in range(rounds):
         if not now.limit(1).count():
             return links
-        order = [n, F.col("id")] if k == 0 else [F.xxhash64("id", F.lit(k))]
-        count = now.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
-        dealt = now.join(count, "key").withColumn("part", F.pmod(F.xxhash64("id", F.lit(100 + k)), F.col("blocks")))
-        w = Window.partitionBy("key", "part").orderBy(*order)
-        this = F.struct("id", "at", "root")
-        seen = dealt.select("id", "at", "root", F.array(F.lag(this).over(w), F.first(this).over(w)).alias("others"))
-        pairs = seen.select("*", F.explode("others").alias("o")).withColumn("oat", F.col("o.at")).where((F.col("root") != F.col("o.root")) & sizes_allow)
-        best = pairs.groupBy("id", "o.id").count().toDF("a", "b", "times").groupBy("a").agg(F.max(F.struct("times", "b")).alias("m"))
-        links = links.unionByName(tried(best.select("a", F.col("m.b").alias("b"))))
+        size = now.groupBy("key").agg(F.count("*").alias("size"))
+        one = now.join(size, "key").groupBy("id").agg(F.max(F.struct("size", "key"))["key"].alias("key"))
+        chosen = now.join(one, ["id", "key"], "left_semi")
+        count = chosen.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        dealt = with_coordinates(chosen.join(count, "key").withColumn("part", F.pmod(F.xxhash64("id", F.lit(100 + k)), F.col("blocks"))))
+        dealt = dealt.select("key", "part", "id", "at", "root", "coordinates").repartition("key", "part").sortWithinPartitions("key", "part")
+        links = links.unionByName(tried(dealt.mapInArrow(_nearest_pairs(t), "a bigint, b bigint").select(*pair).distinct()))
         now = rooted(great, links)
 
     # All that is left: in each bucket the rows outside its largest component against all of its rows.
     of_root = now.groupBy("key", "root").agg(F.count("*").alias("c"))
     of_key = of_root.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("m"))
     plan = of_key.select("key", F.col("m.root").alias("large"), F.ceil((F.col("c") - F.col("m.c")) / block).alias("left_blocks"), F.ceil(F.col("c") / block).alias("right_blocks"))
-    planned = keep(now.join(plan, "key"))
+    planned = written(with_coordinates(now.join(plan, "key")))
     spread = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
     place = lambda salt, c: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(c))
-    left = planned.where("root <> large").withColumn("i", place(200, "left_blocks")).withColumn("j", spread("right_blocks"))
-    right = planned.withColumn("j", place(201, "right_blocks")).withColumn("i", spread("left_blocks"))
-    left = left.select("key", "i", "j", "id", "at", "root")
-    right = right.select("key", "i", "j", F.col("id").alias("o"), F.col("at").alias("oat"), F.col("root").alias("oroot"), (F.col("root") == F.col("large")).alias("olarge"))
-    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
-    cross = left.alias("l").join(right.alias("r"), same & (F.col("root") != F.col("oroot")) & (F.col("olarge") | (F.col("id") < F.col("o"))) & sizes_allow & places_allow)
-    return links.unionByName(tried(cross.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()))
+    left = planned.where("root <> large").withColumn("i", place(200, "left_blocks")).withColumn("j", spread("right_blocks")).withColumn("side", F.lit(0))
+    right = planned.withColumn("j", place(201, "right_blocks")).withColumn("i", spread("left_blocks")).withColumn("side", F.lit(1))
+    columns = ["key", "i", "j", "side", "id", "at", "root", "coordinates"]
+    blocks = left.select(*columns).unionByName(right.select(*columns)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return links.unionByName(tried(blocks.mapInArrow(_all_pairs(t), "a bigint, b bigint").select(*pair).distinct()))
 
 
 def first_of_each(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
