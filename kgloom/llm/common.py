@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +12,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.session import shared_dir, ship
+from ..plans.session import MADE, forget, shared_dir, ship, written
+
+__all__ = ["MADE", "forget", "shared_dir", "written"]  # besides what is defined here
 
 #: ASCII lower-casing, as the contracts ask for (A-Z only).
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -35,31 +36,6 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a wide table: Parquet in the shared folder, read again with its own schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    MADE.append((path, None))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Tables that this session has written to the shared folder: (path, name in the catalog or None).
-MADE: list[tuple[str, str | None]] = []
-
-
-def forget(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables written since MADE had so many entries. For callers that have stored what they made from them:
-    DataFrames that still read these tables fail afterwards."""
-    jvm = spark._jvm
-    while len(MADE) > since:
-        path, name = MADE.pop()
-        if name:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

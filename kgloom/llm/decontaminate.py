@@ -26,7 +26,7 @@ from .common import PUNCT, Words, covered, doubled, each, runs, texts_of, tune,
 
 NGRAM = 10
 BROADCAST_BYTES = 64 << 20
-#: What a window takes in the set: its words, their places in two tables and the set of its items.
+#: What a window takes in the set besides its words' bytes: their places in two tables and the set of its items.
 WINDOW_BYTES = 512
 
 SPANS = "n_words bigint, n_hit bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>"
@@ -112,7 +112,8 @@ def small(benchmark: DataFrame, bound: int, ngram: int = NGRAM) -> bool:
     """Whether the set of the benchmark's windows keeps within so many bytes."""
     words = F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
     windows = F.greatest(words - (ngram - 1), F.lit(1)).cast("long")
-    return WINDOW_BYTES * (benchmark.where("text is not null").agg(F.sum(windows)).first()[0] or 0) <= bound
+    letters = F.octet_length("text").cast("long") * ngram  # a word stands in so many windows at most
+    return (benchmark.where("text is not null").agg(F.sum(windows * WINDOW_BYTES + letters)).first()[0] or 0) <= bound
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

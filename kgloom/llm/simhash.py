@@ -12,9 +12,10 @@ differs by more than two, and the survivors are verified by their own Hamming di
 values, whatever the input.
 
 Only distinct fingerprints are joined: copies of one fingerprint, however many, are one row. A bucket of more than
-HOT fingerprints is not compared pair by pair: each of its fingerprints emits itself and its 64 one-bit neighbours,
-and those that share an emitted value are within two bits of each other; a value is shared by 65 fingerprints at
-most, so this way is linear and exact. No bucket is capped, and no list of links leaves the executors.
+HOT fingerprints is split by further pivots: the 32 bits in which its fingerprints may differ fall into four segments of 8 with
+tables of their own, of which two agree again, and in the same way the 16 bits that are left then into four of 4. What meets after that agrees in
+56 bits: such a bucket has a few hundred fingerprints at most, whatever the input. So the pivot tables are the way at any size, no bucket
+is capped, none is compared that could be large, and no list of links leaves the executors.
 
 Defined results: null and empty texts have fingerprint zero and link with each other; a null doc_id takes part, and
 is a component's id only where nothing else is in it; repeated rows are all returned; extra columns are not read.
@@ -31,10 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import LOWER, MADE, SPACE, Words, doubled, each, keep, mix, shared_dir, texts_of, tidy, tune, unused, written
-from .components import components
 
 SHINGLE, RADIUS, SEGMENTS, BITS, PIVOTS, HOT = 3, 2, 4, 16, 12, 64
+#: The pairs of segments, of which one agrees.
+PAIRS = [(a, b) for a in range(SEGMENTS) for b in range(a)]
 _LANES = np.uint64(0x0001_0001_0001_0001)
 
 
@@ -91,29 +94,41 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 class PivotTables:
-    """Distances of each possible segment to its reference fingerprints: one byte per reference, packed as 5 bits in a key."""
+    """Distances of each possible segment to its reference fingerprints: one byte per reference, packed as 5 bits in a key. There are tables for
+    segments of 16, 8 and 4 bits, four of each."""
 
     def __init__(self, pivots: int = PIVOTS, seed: int = 5):
-        values = np.arange(1 << BITS, dtype=np.uint64)
-        refs = np.random.default_rng(seed).integers(0, 1 << BITS, (SEGMENTS, pivots), dtype=np.uint64)
-        self.distance = np.bitwise_count(values[None, :, None] ^ refs[:, None, :]).astype(np.int8)
-        self.packed = np.zeros((SEGMENTS, 1 << BITS), dtype=np.uint64)
-        for p in range(pivots):
-            self.packed |= self.distance[:, :, p].astype(np.uint64) << np.uint64(5 * p)
-
-    def segments(self, fp: np.ndarray) -> np.ndarray:
-        return np.stack([((fp >> np.uint64(BITS * s)) & np.uint64(0xFFFF)).astype(np.int64) for s in range(SEGMENTS)])
-
-    def keys(self, fp: np.ndarray) -> np.ndarray:
-        """Six keys for each fingerprint: the distance vectors of two segments."""
-        seg = self.segments(fp)
-        vec = [mix(self.packed[s][seg[s]] + np.uint64(s + 1)) for s in range(SEGMENTS)]
-        pairs = [(a, b) for a in range(SEGMENTS) for b in range(a)]
-        return np.stack([mix(vec[a] * np.uint64(3) + vec[b] + np.uint64(k)) for k, (a, b) in enumerate(pairs)], axis=1)
+        self.distance, self.packed = {}, {}
+        for bits in (BITS, BITS // 2, BITS // 4):
+            values = np.arange(1 << bits, dtype=np.uint64)
+            refs = np.random.default_rng(seed).integers(0, 1 << bits, (SEGMENTS, pivots), dtype=np.uint64)
+            self.distance[bits] = np.bitwise_count(values[None, :, None] ^ refs[:, None, :]).astype(np.int8)
+            packed = np.zeros((SEGMENTS, 1 << bits), dtype=np.uint64)
+            for p in range(pivots):
+                packed |= self.distance[bits][:, :, p].astype(np.uint64) << np.uint64(5 * p)
+            self.packed[bits] = packed
+
+    @staticmethod
+    def segments(values: np.ndarray, bits: int = BITS) -> np.ndarray:
+        return np.stack([((values >> np.uint64(bits * s)) & np.uint64((1 << bits) - 1)).astype(np.int64) for s in range(SEGMENTS)])
+
+    def keys(self, values: np.ndarray, bits: int = BITS) -> np.ndarray:
+        """Six keys for each value of four segments: the distance vectors of two segments."""
+        seg = self.segments(values, bits)
+        vec = [mix(self.packed[bits][s][seg[s]] + np.uint64(s + 1)) for s in range(SEGMENTS)]
+        return np.stack([mix(vec[a] * np.uint64(3) + vec[b] + np.uint64(k)) for k, (a, b) in enumerate(PAIRS)], axis=1)
 
     def coordinates(self, fp: np.ndarray) -> np.ndarray:
         seg = self.segments(fp)
-        return np.concatenate([self.distance[s][seg[s]] for s in range(SEGMENTS)], axis=1)
+        return np.concatenate([self.distance[BITS][s][seg[s]] for s in range(SEGMENTS)], axis=1)
+
+
+def _open(values: np.ndarray, pair: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of the two segments that don't belong to the pair of this number, as one value each."""
+    seg = PivotTables.segments(values, bits).astype(np.uint64)
+    rest = np.array([[s for s in range(SEGMENTS) if s not in p] for p in PAIRS])[pair]
+    at = np.arange(len(values))
+    return seg[rest[:, 0], at] | seg[rest[:, 1], at] << np.uint64(bits)
 
 
 _TABLES: list[PivotTables] = []
@@ -166,10 +181,30 @@ def links(distinct: DataFrame, hot: int = HOT, radius: int = RADIUS) -> DataFram
         def make(b):
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             k = tables().keys(fp)
-            return pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, k.shape[1]).view(np.int64))], names=["key", "fp"])
+            return pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, len(PAIRS)).view(np.int64)), pa.array(np.tile(np.arange(len(PAIRS), dtype=np.int32), len(fp)))], names=["key", "fp", "way"])
 
         return each(batches, make)
 
+    def further(level):
+        """Rows of crowded buckets -> six rows each, by pivots of the bits that are open. `way` has the pairs that agree so far."""
+
+        def run(batches):
+            def make(b):
+                key, fp = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", "fp"))
+                way = b.column("way").to_numpy(zero_copy_only=False)
+                bits = BITS
+                value = fp
+                for step in range(level):
+                    value = _open(value, way // len(PAIRS) ** (level - 1 - step) % len(PAIRS), bits)
+                    bits //= 2
+                k = mix(tables().keys(value, bits) * np.uint64(5) + key[:, None])
+                new = way[:, None] * len(PAIRS) + np.arange(len(PAIRS), dtype=np.int32)
+                return pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, len(PAIRS)).view(np.int64)), pa.array(new.reshape(-1).astype(np.int32))], names=["key", "fp", "way"])
+
+            return each(batches, make)
+
+        return run
+
     def compared(batches):
         key, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
 
@@ -186,24 +221,22 @@ def links(distinct: DataFrame, hot: int = HOT, radius: int = RADIUS) -> DataFram
         if len(key):
             yield out(key, fp)
 
-    def balls(batches):
-        flips = np.concatenate([np.zeros(1, dtype=np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
-
-        def make(b):
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array((fp[:, None] ^ flips).reshape(-1).view(np.int64)), pa.array(np.repeat(fp, 65).view(np.int64))], names=["z", "fp"])
-
-        return each(batches, make)
-
-    rows = distinct.select("fp").mapInArrow(keyed, "key bigint, fp bigint")
-    sizes = rows.groupBy("key").count().where("count > 1")
-    met = rows.join(sizes, "key")
-    cold = met.where(F.col("count") <= hot).select("key", "fp").repartition("key").sortWithinPartitions("key")
-    near = cold.mapInArrow(compared, "a bigint, b bigint")
-    crowd = met.where(F.col("count") > hot).select("fp").distinct().mapInArrow(balls, "z bigint, fp bigint")
-    stars = crowd.groupBy("z").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    far = stars.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b")
-    return near.unionByName(far)
+    rows = distinct.select("fp").mapInArrow(keyed, "key bigint, fp bigint, way int")
+    near = None
+    for level in range(3):
+        sizes = rows.groupBy("key").count().where("count > 1")
+        met = rows.join(sizes, "key")
+        last = level == 2
+        cold = met if last else met.where(F.col("count") <= hot)
+        some = cold.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(compared, "a bigint, b bigint")
+        near = some if near is None else near.unionByName(some)
+        if last:
+            break
+        crowd = keep(met.where(F.col("count") > hot).select("key", "fp", "way"))
+        if not crowd.limit(1).count():
+            break
+        rows = crowd.mapInArrow(further(level + 1), "key bigint, fp bigint, way int")
+    return near
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -220,7 +253,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 #: Least texts whose shingles are counted for the order of shingles, as a share of all texts and a number, and the most
 #: shingles that get a count; rows of a block, and of a bucket whose pairs are made at once; rounds of links; most rows that are broadcast.
-ORDER_SHARE, ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS, SENT = 1 / 32, 10_000, 500_000, 512, 8, 3, 500_000
+ORDER_SHARE, ORDER_TEXTS, ORDER_MOST, BLOCK, SMALL, LINKING_ROUNDS, SENT = 1 / 32, 10_000, 500_000, 512, 8, 2, 500_000
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: References of the pivot table, a power of two; rows that are looked at together.
 REFERENCES, TOGETHER = 256, 1 << 17

@@ -72,4 +72,6 @@ def test_columns_with_clashing_names_and_empty_tables(spark):
 
 def test_the_set_is_measured_by_windows(spark):
     bench = spark.createDataFrame([(1, "a " * 1009), (2, "b"), (3, None), (4, "")], "item_id long, text string")
-    assert decontaminate.small(bench, 1010 * decontaminate.WINDOW_BYTES) and not decontaminate.small(bench, 1000 * decontaminate.WINDOW_BYTES)
+    assert decontaminate.small(bench, 1050 * decontaminate.WINDOW_BYTES) and not decontaminate.small(bench, 1000 * decontaminate.WINDOW_BYTES)
+    long = spark.createDataFrame([(1, "x" * 1_000_000)], "item_id long, text string")
+    assert decontaminate.small(long, 11_000_000) and not decontaminate.small(long, 9_000_000)

@@ -83,6 +83,8 @@ def test_suffix_query(spark, docs):
 def test_sharding_query(spark, docs):
     got = queries.op7_sharding(spark, FOLDER).collect()
     assert {(r.doc_id, r.size, r.text_crc32) for r in got} == {(i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs}
+    load = [sum(r.size for r in got if r.shard == s) for s in range(16)]
+    assert max(load) - min(load) <= max(0.1 * sum(load) / 16, max(r.size for r in got)) and {r.law for r in got} == {"bytes"}
     for s in range(16):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
