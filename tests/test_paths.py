@@ -88,3 +88,23 @@ def test_landmarks_prove_that_there_is_no_path(spark):
     assert run(spark, edges, [(1, "b1", "o3"), (2, "o1", "b2")], None, (1, 9), trace=trace) == {} and trace == []
     run(spark, edges, [(1, "b1", "o3")], None, trace=trace)
     assert trace
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_paths_of_three_steps_that_landmarks_know_are_not_searched(spark, monkeypatch, block):
+    """Hubs that all shops share, hundreds of ways on from each end: no level of a search is made, lists of neighbours are cut into blocks or not."""
+    monkeypatch.setattr(paths, "LIST", block)
+    rng = random.Random(5)
+    shops = [f"s{i:02}" for i in range(60)]
+    edges = [(f"c{i:03}", "BUYS", s) for i in range(200) for s in rng.sample(shops, 4)]
+    edges += [(s, "SELLS", f"p{k}") for s in shops for k in range(4)] + [(s, "IN", f"n{i % 3}") for i, s in enumerate(shops)]
+    pairs = [(i, f"c{i:03}", rng.choice(shops)) for i in range(200)]
+    trace: list = []
+    got = run(spark, edges, pairs, 6, (8, 12), trace=trace)
+    assert got == brute(edges, pairs, 6) and {g[0] for g in got.values()} == {1, 3}
+    assert trace == []
+
+
+def test_names_with_arrows_go_by_the_search(spark):
+    edges = [("a", "R", "b -R-> c"), ("a", "R-> b -R", "c"), ("b -R-> c", "S", "h"), ("c", "S", "h"), ("h", "R", "z"), ("h", "R", "y"), ("h", "R", "x")]
+    assert run(spark, edges, [(1, "a", "z")], 6, (1, 9)) == brute(edges, [(1, "a", "z")], 6)
