@@ -13,7 +13,7 @@ from ..model import Graph
 from ..plans.session import cut
 from .gazetteer import forms, longest_spans, occurrences
 from .graphs import undirected
-from .paths import shortest_paths
+from .paths import Landmarks, shortest_paths
 from .vectors import nearest_of_all
 
 SEPARATOR = "\n\n---\n\n"
@@ -41,7 +41,15 @@ def chunk_facts(mentions: DataFrame, edges: DataFrame, most: int = D.MAX_CHUNK_F
     """(doc_id, hechos): facts that leave the entities a chunk mentions, then those that reach them, each list distinct and
     sorted; the first `most` of both."""
     text = fact(F.col("src"), F.col("rel"), F.col("dst")).alias("hecho")
-    side = lambda end, n: mentions.join(edges, F.col("entity_id") == F.col(end)).select("doc_id", F.lit(n).alias("lado"), text).distinct()
+    named = mentions.select("entity_id").distinct()
+    w = Window.partitionBy("entity_id").orderBy("hecho")
+
+    def side(end: str, n: int) -> DataFrame:
+        """The first facts of a chunk are among the first of the entities it mentions, which are ranked once for all chunks."""
+        own = edges.withColumn("entity_id", F.col(end)).join(named, "entity_id", "left_semi").select("entity_id", text).distinct()
+        own = own.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("entity_id", "hecho")
+        return mentions.join(own, "entity_id").select("doc_id", F.lit(n).alias("lado"), "hecho").distinct()
+
     both = side("src", 0).unionByName(side("dst", 1))
     if distinct_facts:
         both = both.groupBy("doc_id", "hecho").agg(F.min("lado").alias("lado"))
@@ -101,25 +109,29 @@ def entity_pairs(detected: DataFrame) -> DataFrame:
 def neighbour_blocks(detected: DataFrame, edges: DataFrame, relations: list[str] | None = None, most: int = D.MAX_FACTS) -> DataFrame:
     """(question_id, bloque): the first facts around all entities of a question."""
     e = edges if relations is None else edges.where(F.col("rel").isin(relations))
-    facts = detected.select("question_id", F.col("id").alias("node")).join(undirected(e), "node").select("question_id", fact(F.col("src"), F.col("rel"), F.col("dst")).alias("hecho")).distinct()
+    # A question's first facts are among the first of its entities: each entity's are ranked once, however many questions name it.
+    asked = detected.select("question_id", F.col("id").alias("node")).distinct()
+    own = undirected(e).join(asked.select("node").distinct(), "node", "left_semi").select("node", fact(F.col("src"), F.col("rel"), F.col("dst")).alias("hecho")).distinct()
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("hecho"))).where(F.col("n") <= most).select("node", "hecho")
+    facts = asked.join(own, "node").select("question_id", "hecho").distinct()
     first = facts.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("hecho"))).where(F.col("n") <= most)
     return first.groupBy("question_id").agg(F.concat(F.lit("[Relaciones de las entidades de la pregunta]\n"), F.array_join(F.sort_array(F.collect_list("hecho")), "\n")).alias("bloque"))
 
 
-def path_blocks(detected: DataFrame, edges: DataFrame, relations: list[str] | None = None, max_hops: int | None = D.MAX_HOPS) -> DataFrame:
-    """(question_id, bloque): the shortest path of each pair of a question's entities, pairs in order."""
+def path_blocks(detected: DataFrame, edges: DataFrame, relations: list[str] | None = None, max_hops: int | None = D.MAX_HOPS, marks: Landmarks | None = None) -> DataFrame:
+    """(question_id, bloque): the shortest path of each pair of a question's entities, pairs in order. `marks` are landmarks of the same edges and relations."""
     pairs = entity_pairs(detected)
-    paths = shortest_paths(edges, pairs, max_hops, relations).join(pairs.select("pair_id", "question_id", F.col("a").alias("x"), F.col("b").alias("y")), "pair_id")
+    paths = shortest_paths(edges, pairs, max_hops, relations, marks).join(pairs.select("pair_id", "question_id", F.col("a").alias("x"), F.col("b").alias("y")), "pair_id")
     line = F.concat("x", F.lit(" <-> "), "y", F.lit(":\n"), F.array_join(F.transform("pasos", lambda p: F.concat(F.lit("  "), p)), "\n"))
     one = paths.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("x", "y", line.alias("l")))).alias("m"))
     return one.select("question_id", F.concat(F.lit("[Camino mas corto entre las entidades de la pregunta]\n"), F.array_join(F.transform("m", lambda r: r["l"]), "\n")).alias("bloque"))
 
 
-def contexts(questions: DataFrame, detected: DataFrame, edges: DataFrame, chunks: DataFrame, relations: list[str] | None = None, path_relations: list[str] | None = None, max_hops: int | None = D.MAX_HOPS) -> DataFrame:
+def contexts(questions: DataFrame, detected: DataFrame, edges: DataFrame, chunks: DataFrame, relations: list[str] | None = None, path_relations: list[str] | None = None, max_hops: int | None = D.MAX_HOPS, marks: Landmarks | None = None) -> DataFrame:
     """(question_id, contexto, fuentes, hechos, detectadas, camino, caracteres): path block, then neighbourhood, then chunks.
 
     chunks: (question_id, rank, fuente, text, n_hechos), the retrieved ones."""
-    near, path = neighbour_blocks(detected, edges, relations), path_blocks(detected, edges, path_relations, max_hops)
+    near, path = neighbour_blocks(detected, edges, relations), path_blocks(detected, edges, path_relations, max_hops, marks)
     per = chunks.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "fuente", "text"))).alias("c"), F.sum("n_hechos").alias("hechos"))
     names = detected.groupBy("question_id").agg(F.sort_array(F.collect_set("id")).alias("detectadas"))
     rows = questions.select("question_id").join(per, "question_id", "left").join(names, "question_id", "left")

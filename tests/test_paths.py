@@ -108,3 +108,16 @@ def test_paths_of_three_steps_that_landmarks_know_are_not_searched(spark, monkey
 def test_names_with_arrows_go_by_the_search(spark):
     edges = [("a", "R", "b -R-> c"), ("a", "R-> b -R", "c"), ("b -R-> c", "S", "h"), ("c", "S", "h"), ("h", "R", "z"), ("h", "R", "y"), ("h", "R", "x")]
     assert run(spark, edges, [(1, "a", "z")], 6, (1, 9)) == brute(edges, [(1, "a", "z")], 6)
+
+
+def test_contexts_take_landmarks_and_each_entity_is_ranked_once(spark):
+    """Blocks of a hub that all questions name: the first facts of each, with and without landmarks."""
+    from kgloom.operators import retrieve
+
+    edges = spark.createDataFrame([("hub", "R", f"m{i:02}") for i in range(30)] + [(f"m{i:02}", "S", "end") for i in range(30)], "src string, rel string, dst string")
+    detected = spark.createDataFrame([(q, e) for q in range(3) for e in ("hub", "end", f"m{q:02}")], "question_id long, id string")
+    near = {r.question_id: r.bloque.split("\n")[1:] for r in retrieve.neighbour_blocks(detected, edges, most=40).collect()}
+    facts = sorted([f"hub -R-> m{i:02}" for i in range(30)] + [f"m{i:02} -S-> end" for i in range(30)])
+    assert near == {q: facts[:40] for q in range(3)}
+    marked = retrieve.path_blocks(detected, edges, marks=paths.landmarks(edges, 2)).collect()
+    assert len(marked) == 3 and all("hub -R-> m00\n  m00 -S-> end" in r.bloque for r in marked)
