@@ -36,6 +36,31 @@ def judged(edges: DataFrame, truth: DataFrame, aliases: DataFrame | None = None)
     return had.unionByName(t.join(match, [*key, "b"], "left_anti").select(*key, F.lit("missing").alias("kind"), F.col("b").alias("x")))
 
 
+def same_listed(left: DataFrame, members: DataFrame, lists: DataFrame) -> DataFrame:
+    """`same_entity` of left (persona, a) and a truth in two parts, members (persona, lista) and lists (lista, equipo): distinct (persona, lista, a, b).
+
+    Names meet within a list, whatever number of people share it: first the graph's names of each list, once, then who has them."""
+    mine = left.join(members.select("persona", "lista").distinct(), "persona").select("persona", "lista", "a").distinct()
+    names = lists.select("lista", F.col("equipo").alias("b")).distinct()
+    return mine.join(same_entity(mine.select("lista", "a").distinct(), names, ["lista"]), ["lista", "a"]).select("persona", "lista", "a", "b")
+
+
+def counted_lists(edges: DataFrame, nodes: DataFrame, members: DataFrame, lists: DataFrame, rel: str) -> DataFrame:
+    """`counted` for a truth in two parts of one relation, members (persona, lista) and lists (lista, equipo): the teams of a list, or of
+    several that one person has, are counted once, and those that a person lacks are the rest of those that matched."""
+    has = members.join(lists.select("lista").distinct(), "lista", "left_semi").groupBy("persona").agg(F.sort_array(F.collect_set("lista")).alias("all"))
+    sizes = has.select("all").distinct().select("all", F.explode("all").alias("lista")).join(lists, "lista").select("all", "equipo").distinct().groupBy("all").agg(F.count("*").alias("n_list"))
+    people = has.join(sizes, "all").select("persona", "n_list")
+    mine = edges.where(F.col("rel") == rel).select(F.col("src").alias("persona"), F.col("dst").alias("a")).distinct().join(people.select("persona"), "persona", "left_semi")
+    match = same_listed(mine, members, lists)
+    n = match.groupBy("persona").agg(F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b"))
+    per = people.join(mine.groupBy("persona").agg(F.count("*").alias("n_mine")), "persona", "left").join(n, "persona", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    there = per.join(nodes.select(F.col("id").alias("persona"), F.lit(True).alias("there")), "persona", "left")
+    shown = {"n_ok": zero("n_a"), "n_extra": zero("n_mine") - zero("n_a"), "n_missing": F.col("n_list") - zero("n_b")}
+    return there.select(F.lit(rel).alias("rel"), "persona", *(F.when(F.col("there"), v).cast("long").alias(c) for c, v in shown.items()))
+
+
 def _people(nodes: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.select("rel", "persona").distinct().join(nodes.select(F.col("id").alias("persona"), F.lit(True).alias("there")), "persona", "left")
 

@@ -85,6 +85,19 @@ def enforce_whitelist(g: Graph, whitelist: DataFrame, rel: str) -> Graph:
     return delete_edges(g, outside_whitelist(g.edges, whitelist, rel))
 
 
+def outside_lists(edges: DataFrame, members: DataFrame, lists: DataFrame, rel: str) -> DataFrame:
+    """The same for a whitelist in two parts, members (src, lista) and lists (lista, dst): targets that many sources share are listed once. A
+    source may have several lists; an edge is looked up in each, so the pairs of sources and targets are never made."""
+    mine = edges.where(F.col("rel") == rel)
+    listed = members.select("src", "lista").distinct()
+    allowed = mine.join(listed, "src").join(lists.select("lista", "dst"), ["lista", "dst"], "left_semi").select("src", "dst").distinct()
+    return mine.join(listed.select("src").distinct(), "src", "left_semi").join(allowed, ["src", "dst"], "left_anti").select(*edges.columns)
+
+
+def enforce_lists(g: Graph, members: DataFrame, lists: DataFrame, rel: str) -> Graph:
+    return delete_edges(g, outside_lists(g.edges, members, lists, rel))
+
+
 def resolved(mapping: DataFrame) -> DataFrame:
     """A map (variante, canonico, ord) in which no target is a key itself: chains are followed to their ends.
 
