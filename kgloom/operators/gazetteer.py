@@ -1,38 +1,23 @@
-"""A dictionary automaton: all names of a dictionary found in texts at once, at word borders, in time that grows with the texts alone.
+"""A dictionary of names found in texts, at word borders, by joins: all of a dictionary's names in all texts at once.
 
-Names and texts are compared by their normal forms. An Aho-Corasick automaton over the dictionary goes to every task, if the dictionary is no
-larger than PART_BYTES; a larger one is cut into parts of that size by the first word of its names, and each part is a pass over the texts,
-which are never shuffled. A task builds a part's automaton once.
+Names and texts are compared by their normal forms. A text is all windows of its words that have as many words as some name has; windows meet the
+names in an equi-join. A small dictionary (PART_BYTES) is sent to every task, a larger one is shuffled as the windows are: no task and no
+Python worker holds a dictionary that grows with the tables. Texts go by blocks of BLOCK words, so that none is a single long row.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import defaults as D
 from ..functions.text import normalize
-from ..plans.session import ship
-
-#: Bytes of the names that are sent to every task at once (with what a name needs beside its characters), and bytes for that.
-PART_BYTES, NAME_BYTES = 64 << 20, 64
-
-_BUILT: dict[str, ahocorasick.Automaton] = {}
+from ..plans.session import written
 
-
-def automaton(names: list[str]) -> ahocorasick.Automaton:
-    """Finds the number of each name, between blanks."""
-    found = ahocorasick.Automaton()
-    for k, n in enumerate(names):
-        found.add_word(f" {n} ", (k, len(n)))
-    if names:
-        found.make_automaton()
-    return found
+#: Bytes of the names of a dictionary that is sent to every task (with what a name needs beside its characters), and bytes for that.
+PART_BYTES, NAME_BYTES = 16 << 20, 64
+#: Words of a text that are one row.
+BLOCK = 64
 
 
 def forms(names: DataFrame, least_length: int = D.MIN_ENTITY_LENGTH) -> DataFrame:
@@ -41,46 +26,41 @@ def forms(names: DataFrame, least_length: int = D.MIN_ENTITY_LENGTH) -> DataFram
     return keyed.groupBy("norm").agg(F.min(F.struct((-F.col("grado")).alias("g"), "id")).alias("m")).select("norm", F.col("m.id").alias("id"))
 
 
+def _blocks(text: Column, beyond: int) -> Column:
+    """A text's words in blocks of BLOCK (begin, words), each with the first `beyond` words of the next; begin is the place of its first word."""
+
+    def cut(words: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(words), F.lit(BLOCK))
+        length = lambda i: F.char_length(F.array_join(F.slice(words, i, BLOCK), " ")) + 1
+        begins = F.aggregate(firsts, F.array(F.lit(0)), lambda at, i: F.concat(at, F.array(F.element_at(at, -1) + length(i))))
+        return F.zip_with(firsts, F.slice(begins, F.lit(1), F.size(firsts)), lambda i, at: F.struct(at.alias("begin"), F.slice(words, i, BLOCK + beyond).alias("words")))
+
+    return F.flatten(F.transform(F.array(F.split(text, " ")), cut))  # the words are bound once, not made anew at each use
+
+
+def _windows(block: Column, lengths: list[int]) -> Column:
+    """(start, norm) of all windows of so many words that begin among the first BLOCK words of a block."""
+    words = block["words"]
+    begins = F.aggregate(words, F.array(block["begin"]), lambda at, w: F.concat(at, F.array(F.element_at(at, -1) + F.char_length(w) + 1)))
+
+    def of(n: int, at: Column) -> Column:
+        last = F.least(F.lit(BLOCK), F.size(words) - (n - 1))
+        one = lambda i: F.struct(F.get(at, i - 1).cast("long").alias("start"), F.array_join(F.slice(words, i, n), " ").alias("norm"))
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), one)).otherwise(F.array().cast("array<struct<start:bigint,norm:string>>"))
+
+    return F.flatten(F.transform(F.array(begins), lambda at: F.concat(*(of(n, at) for n in lengths))))
+
+
 def occurrences(texts: DataFrame, dictionary: DataFrame, key: str = "question_id", part_bytes: int = PART_BYTES) -> DataFrame:
     """texts (key, text) and dictionary (norm, id) -> (key, id, norm, start, stop): every place where a form stands between word borders, in code
     points of the text's normal form. Null and empty texts have none; repeated rows are texts of their own with one key."""
-    spark = ship(texts.sparkSession)
-    size = dictionary.agg(F.sum(F.octet_length("norm") + F.octet_length("id") + NAME_BYTES)).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
+    names = written(dictionary.select("norm", "id"))
+    size, lengths = names.agg(F.sum(F.octet_length("norm") + F.octet_length("id") + NAME_BYTES), F.sort_array(F.collect_set(F.size(F.split("norm", " "))))).first()
     rows = texts.select(key, normalize(F.col("text")).alias("text")).where("text <> ''")
-    kind = texts.schema[key].dataType.simpleString()
-    dealt = dictionary.withColumn("part", F.pmod(F.xxhash64(F.substring_index("norm", " ", 1)), F.lit(parts)))
-    out = None
-    for p in range(parts):
-        mine = dealt.where(F.col("part") == p).select("norm", "id").toArrow()
-        sent = spark.sparkContext.broadcast((mine.column("norm").to_pylist(), mine.column("id").to_pylist()))
-        one = rows.mapInArrow(_finder(sent, uuid.uuid4().hex, key), f"{key} {kind}, id string, norm string, start long, stop long")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _finder(sent, name: str, key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms, ids = sent.value
-        if name not in _BUILT:
-            _BUILT.clear()  # a worker holds one automaton at a time
-            _BUILT[name] = automaton(norms)
-        if not norms:
-            return
-        for b in batches:
-            at, names, starts, stops = [], [], [], []
-            for r, text in enumerate(b.column("text").to_pylist()):
-                for end, (k, n) in _BUILT[name].iter(f" {text} "):
-                    at.append(r)
-                    names.append(k)
-                    starts.append(end - 1 - n)
-                    stops.append(end - 1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(key).take(pa.array(at, pa.int64())), pa.array([ids[k] for k in names], pa.string()), pa.array([norms[k] for k in names], pa.string()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())],
-                names=[key, "id", "norm", "start", "stop"],
-            )
-
-    return run
+    blocks = rows.select(key, F.explode(_blocks(F.col("text"), max(lengths or [1]) - 1)).alias("block"))
+    places = blocks.select(key, F.inline(_windows(F.col("block"), lengths or [1])))
+    met = places.join(F.broadcast(names) if (size or 0) <= part_bytes else names.hint("shuffle_merge"), "norm")
+    return met.select(key, "id", "norm", "start", (F.col("start") + F.char_length("norm")).alias("stop"))
 
 
 def longest_spans(found: DataFrame, key: str = "question_id") -> DataFrame:

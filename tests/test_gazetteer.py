@@ -40,6 +40,21 @@ def test_places_and_longest_spans(spark):
     assert gazetteer.occurrences(t, d.limit(0)).collect() == [] == gazetteer.occurrences(t.limit(0), d).collect()
 
 
+def test_names_across_blocks_without_python(spark, monkeypatch, capsys):
+    """A dictionary of any size stays out of Python workers; names that go over the end of a block are found once."""
+    monkeypatch.setattr(gazetteer, "BLOCK", 3)
+    names, texts = some(random.Random(6))
+    t, d = spark.createDataFrame(texts, "question_id long, text string"), spark.createDataFrame([(n, n) for n in names], "norm string, id string")
+    for part_bytes in (gazetteer.PART_BYTES, 300):
+        found = gazetteer.occurrences(t, d, part_bytes=part_bytes)
+        got = [tuple(r) for r in found.where("question_id < 92").select("question_id", "id", "start", "stop").collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(texts[:-1], names)
+        capsys.readouterr()
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "Join" in plan and "Arrow" not in plan and "Python" not in plan
+
+
 def test_a_short_name_on_its_own_counts_with_spans(spark):
     q = spark.createDataFrame([(1, "¿Ajax o Ajax de Ámsterdam?"), (2, "Ajax de Amsterdam"), (3, "el ajaxiano")], "question_id long, text string")
     e = spark.createDataFrame([("Ajax", 5), ("AJAX", 9), ("Ajax de Ámsterdam", 1)], "id string, grado long")
