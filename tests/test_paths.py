@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kgloom.operators import paths
 
@@ -121,3 +122,17 @@ def test_contexts_take_landmarks_and_each_entity_is_ranked_once(spark):
     assert near == {q: facts[:40] for q in range(3)}
     marked = retrieve.path_blocks(detected, edges, marks=paths.landmarks(edges, 2)).collect()
     assert len(marked) == 3 and all("m00 -S-> end\n  hub -R-> m00" in r.bloque for r in marked)
+
+
+def test_tables_of_a_search_are_shuffled(spark, monkeypatch):
+    """The driver collects no table that grows with the pairs: files of names are small, so the planner would have them sent to every task."""
+    edges = spark.createDataFrame([(f"c{i}", "IN", f"n{i % 5}") for i in range(40)] + [(f"n{i}", "OF", f"r{i % 2}") for i in range(5)], "src string, rel string, dst string")
+    pairs = spark.createDataFrame([(i, f"c{i}", f"c{39 - i}") for i in range(20)], "pair_id long, a string, b string")
+    want = sorted(map(str, paths.shortest_paths(edges, pairs, None).collect()))
+    monkeypatch.setattr("kgloom.plans.session.SENT_ROWS", 0)
+    found = sorted(map(str, paths.shortest_paths(edges, pairs, None).collect()))
+    assert found == want and len(want) > 10
+    plan = lambda: paths.written(pairs).join(edges, F.col("a") == F.col("src"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan() and "Broadcast" not in plan()
+    monkeypatch.undo()
+    assert "Broadcast" in plan()
