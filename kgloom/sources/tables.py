@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Graph
+from ..plans.session import written
 
 STAR_TYPES = ["Region", "Nation", "Customer", "Supplier", "Product", "Brand"]
 HIERARCHY = ["LOCATED_IN", "PART_OF"]
@@ -30,32 +31,44 @@ def star_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return one.distinct().select("id", F.array("tipo").alias("tipos"), "tipo", F.lit(None).cast("string").alias("origen"))
 
 
+def _numbered(df: DataFrame, key: str, name: str, number: str) -> tuple[DataFrame, DataFrame]:
+    """(key, number) and (number, name): each different name has a number, so rows that meet by keys are made distinct by two longs, not by texts."""
+    names = written(df.select(name).distinct().withColumn(number, F.monotonically_increasing_id()))
+    of = names.withColumnRenamed(name, "__name")
+    return df.select(key, name).join(of, F.col(name).eqNullSafe(F.col("__name"))).select(key, number), names
+
+
 def star_edges(spark: SparkSession, folder: str, relations: list[str] | None = None) -> DataFrame:
-    """Distinct (src, rel, dst, origen) of the asked relations; only the tables that they need are read."""
+    """Distinct (src, rel, dst, origen) of the asked relations; only the tables that they need are read. Each relation is made distinct on its
+    own, those of order lines before they get their names."""
     wanted = RELATIONS if relations is None else relations
     t = lambda name: read(spark, folder, name)
     parts: list[DataFrame] = []
     edge = lambda df, src, rel, dst: df.select(F.col(src).alias("src"), F.lit(rel).alias("rel"), F.col(dst).alias("dst"))
     if "LOCATED_IN" in wanted:
         nation = t("nation").select("n_nationkey", "n_name")
-        for name, key, label in (("customer", "c_nationkey", "c_name"), ("supplier", "s_nationkey", "s_name")):
-            parts.append(edge(t(name).join(nation, F.col(key) == F.col("n_nationkey")), label, "LOCATED_IN", "n_name"))
+        one, two = (edge(t(name).join(nation, F.col(key) == F.col("n_nationkey")), label, "LOCATED_IN", "n_name") for name, key, label in (("customer", "c_nationkey", "c_name"), ("supplier", "s_nationkey", "s_name")))
+        parts.append(one.unionByName(two).distinct())
     if "PART_OF" in wanted:
-        parts.append(edge(t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")), "n_name", "PART_OF", "r_name"))
+        parts.append(edge(t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")), "n_name", "PART_OF", "r_name").distinct())
+    if {"BOUGHT_FROM", "SUPPLIES"} & set(wanted):
+        s_of, s_names = _numbered(t("supplier"), "s_suppkey", "s_name", "s_number")
     if "BOUGHT_FROM" in wanted:
-        pairs = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey")
-        named = pairs.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        parts.append(edge(named, "c_name", "BOUGHT_FROM", "s_name"))
+        c_of, c_names = _numbered(t("customer"), "c_custkey", "c_name", "c_number")
+        bought = t("orders").select("o_orderkey", "o_custkey").join(c_of, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_number")
+        pairs = t("lineitem").select("l_orderkey", "l_suppkey").join(s_of, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_number")
+        pairs = pairs.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).select("c_number", "s_number").distinct()
+        parts.append(edge(pairs.join(c_names, "c_number").join(s_names, "s_number"), "c_name", "BOUGHT_FROM", "s_name"))
     if "SUPPLIES" in wanted:
-        pairs = t("lineitem").select("l_suppkey", "l_partkey").distinct()
-        named = pairs.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-        parts.append(edge(named, "s_name", "SUPPLIES", "p_name"))
+        p_of, p_names = _numbered(t("part"), "p_partkey", "p_name", "p_number")
+        pairs = t("lineitem").select("l_suppkey", "l_partkey").join(p_of, F.col("l_partkey") == F.col("p_partkey")).join(s_of, F.col("l_suppkey") == F.col("s_suppkey"))
+        parts.append(edge(pairs.select("s_number", "p_number").distinct().join(s_names, "s_number").join(p_names, "p_number"), "s_name", "SUPPLIES", "p_name"))
     if "MADE_BY" in wanted:
-        parts.append(edge(t("part"), "p_name", "MADE_BY", "p_brand"))
+        parts.append(edge(t("part"), "p_name", "MADE_BY", "p_brand").distinct())
     one, *rest = parts
     for r in rest:
         one = one.unionByName(r)
-    return one.distinct().withColumn("origen", F.lit(None).cast("string"))
+    return one.withColumn("origen", F.lit(None).cast("string"))
 
 
 def star(spark: SparkSession, folder: str, relations: list[str] | None = None) -> Graph:
