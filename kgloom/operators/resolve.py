@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import defaults as D
 from ..functions.text import match_key, noise_reason, normalize
 from ..model import Graph
-from ..plans.session import cut, ship
+from ..plans.session import cut, ship, written
 from . import graphs
 from .components import components
 from .merges import in_order
@@ -94,37 +94,87 @@ def subset_pairs(entities: DataFrame, persons: list[str] | None = None) -> DataF
     return a.join(b, ["tipo", "first", "last"]).where((F.size("tc") < F.size("tl")) & (F.size(F.array_except("tc", "tl")) == 0)).select("tipo", "corto", "largo")
 
 
-def _without_letters(name: F.Column, length: F.Column, most: F.Column) -> F.Column:
-    """The different strings that a name leaves without up to `most` (0 to 2) of its characters."""
-    less = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(1 << 30)))
-    one = lambda s, n: F.transform(F.sequence(F.lit(1), n), lambda i: less(s, i))
-    two = F.flatten(F.transform(F.sequence(F.lit(2), length), lambda j: one(less(name, j), j - 1)))
-    all_ = F.when(most >= 2, F.concat(F.array(name), one(name, length), two)).when(most == 1, F.concat(F.array(name), one(name, length)))
-    return F.array_distinct(F.coalesce(all_, F.array(name)))
+def _less(s: F.Column, i: F.Column) -> F.Column:
+    return F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(1 << 30)))
 
 
-#: Names up to this length meet on what deletions leave of them, longer ones on their segments.
-SHORT_NAME = 12
+def _places(names: DataFrame) -> DataFrame:
+    """A row for each place i of each name. Rows instead of arrays of strings, as these would be made by interpreted functions."""
+    return names.select("*", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("i"))
+
+
+def _two_places(names: DataFrame) -> DataFrame:
+    """A row for each two places i < j of each name."""
+    return names.select("*", F.explode(F.sequence(F.lit(2), F.col("len"))).alias("j")).select("*", F.explode(F.sequence(F.lit(1), F.col("j") - 1)).alias("i"))
+
+
+#: Names up to this length meet on what is left of them without two characters, longer ones on their segments.
+SHORT_NAME = 16
 
 
 def typo_pairs(entities: DataFrame, most: int = 2, least_length: int = 6, short_name: int = SHORT_NAME) -> DataFrame:
     """Detector 5: (tipo, corto, largo), corto < largo, whose normal forms differ by 1 or 2 edits; the first has at least six characters.
 
-    Forms that differ by so many edits have a string in common that each leaves without up to `most` of its characters: pairs of which the
-    shorter has up to `short_name` characters meet on these strings, some 80 a name, which few names share. Of longer names, of `most`
-    edits one of most + 1 segments of the shorter form stays whole, displaced by `most` places at most: segments and substrings
-    at these places are the keys. What meets is verified once."""
+    Pairs of which the shorter has up to `short_name` characters are of three kinds. Forms that differ in one or two places meet where these are
+    masked, and each such pair counts once: at the mask of its two differences, or of its one and the next place. Forms of one length that are
+    displaced between two places leave the same without one character each. Of two lengths, the longer leaves without two characters what the other
+    leaves without one or is. Of longer names, of `most` edits one of most + 1 segments of the shorter form stays whole, displaced by
+    `most` places at most: segments and substrings at these places are the keys. So few pairs meet that aren't true; each is verified."""
     if most != 2:
         raise ValueError("strings without more than two characters aren't made")
-    n = _normal(entities).select("tipo", "id", "norm", F.char_length("norm").alias("len")).where(F.col("len") >= least_length - most)
-    gone = F.least(F.lit(most), F.col("len") - (least_length - most))  # one of a pair has six characters, and both leave the same
-    left = n.where(F.col("len") <= short_name + most).select("tipo", "id", "norm", F.explode(_without_letters(F.col("norm"), F.col("len"), gone)).alias("key"))
-    left = left.select("tipo", "id", "norm", F.xxhash64("key").alias("key"))
-    other = left.select("tipo", "key", F.col("id").alias("y"), F.col("norm").alias("ny"))
-    # What meets is verified where it meets; only true pairs are shuffled, to be counted once.
+    # The names are read many times: what makes them (words of all texts) runs once.
+    n = written(_normal(entities).select("tipo", "id", "norm", F.char_length("norm").alias("len")).where(F.col("len") >= least_length - most))
     true = lambda met: met.where((F.char_length("nx") >= least_length) & F.levenshtein("nx", "ny", most).between(1, most)).select("tipo", F.col("x").alias("corto"), F.col("y").alias("largo"))
-    near = left.withColumnsRenamed({"id": "x", "norm": "nx"}).join(other, ["tipo", "key"]).where("x < y").select("tipo", "x", "y", "nx", "ny")
-    return true(near).unionByName(true(_on_segments(n.where(F.col("len") > short_name), most))).distinct()
+    same = n.where((F.col("len") >= least_length) & (F.col("len") <= short_name))
+    return true(_in_place(same)).unionByName(true(_displaced(same).unionByName(_longer(n, least_length, short_name)).unionByName(_on_segments(n.where(F.col("len") > short_name), most))).distinct())
+
+
+def _same_type(one: str, two: str) -> F.Column:
+    """Types are part of the keys, which are numbers; an equation here would make the join sort by types first, as texts."""
+    return F.col(one).between(F.col(two), F.col(two))
+
+
+def _met_twice(keys: DataFrame) -> DataFrame:
+    """Rows (tipo, id, norm, key, ...) as sides a and b, where they share type and key, and the id of a is the lesser. Both sides are one shuffle
+    if the same columns are asked of both."""
+    a, b = keys.alias("a"), keys.alias("b")
+    return a.join(b.hint("merge"), F.col("a.key") == F.col("b.key")).where(_same_type("a.tipo", "b.tipo") & (F.col("a.id") < F.col("b.id")))
+
+
+_MET = ["a.tipo", "a.id AS x", "b.id AS y", "a.norm AS nx", "b.norm AS ny"]
+
+
+def _in_place(n: DataFrame) -> DataFrame:
+    """Pairs of one length that differ in one or two places, each once. Keys are names with two places masked; near is 2 if these are the last two,
+    1 if one follows the other, else 0."""
+    i, j = F.col("i"), F.col("j")
+    masked = F.xxhash64("tipo", i, j, F.substring("norm", F.lit(1), i - 1), F.substring("norm", i + 1, j - i - 1), F.substring("norm", j + 1, F.lit(1 << 30)))
+    near = F.when(j > i + 1, 0).when(j < F.col("len"), 1).otherwise(2)
+    at = lambda k: F.ascii(F.substring("norm", k, F.lit(1)))
+    keys = _two_places(n).select("tipo", "id", "norm", masked.alias("key"), at(i).alias("c"), at(j).alias("d"), near.alias("near"))
+    once = "a.c <> b.c and a.d <> b.d or a.near > 0 and b.near > 0 and a.c <> b.c or a.near = 2 and b.near = 2 and a.d <> b.d"
+    return _met_twice(keys).where(once).selectExpr(*_MET)
+
+
+def _displaced(n: DataFrame) -> DataFrame:
+    """Pairs of one length that are equal without one character each, and differ in three places or more."""
+    keys = _places(n).select("tipo", "id", "norm", F.xxhash64("tipo", "len", _less(F.col("norm"), F.col("i"))).alias("key"))
+    apart = F.size(F.filter(F.sequence(F.lit(1), F.char_length("nx")), lambda k: F.substring("nx", k, F.lit(1)) != F.substring("ny", k, F.lit(1))))
+    return _met_twice(keys).selectExpr(*_MET).where((F.char_length("nx") == F.char_length("ny")) & (apart > 2))
+
+
+def _longer(n: DataFrame, least_length: int, short_name: int) -> DataFrame:
+    """Pairs of which one has one or two characters more, and leaves without two what the other leaves without one or is."""
+    norm, i, j = F.col("norm"), F.col("i"), F.col("j")
+    key = lambda of, left: F.xxhash64("tipo", of, left).alias("key")
+    long = _two_places(n.where((F.col("len") >= least_length) & (F.col("len") <= short_name + 2))).select("tipo", F.col("id").alias("a"), F.col("norm").alias("na"), key("len", _less(_less(norm, j), i)))
+    short = n.where(F.col("len") <= short_name).select(F.col("tipo"), "id", "norm", "len")
+    one = _places(short.where(F.col("len") >= least_length - 1)).select(F.col("tipo").alias("tipo2"), F.col("id").alias("b"), F.col("norm").alias("nb"), key(F.col("len") + 1, _less(norm, i)))
+    none = short.select(F.col("tipo").alias("tipo2"), F.col("id").alias("b"), F.col("norm").alias("nb"), key(F.col("len") + 2, norm))
+    first = F.col("a") < F.col("b")
+    either = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    met = long.join(one.unionByName(none).hint("merge"), "key").where(_same_type("tipo", "tipo2") & (F.col("a") != F.col("b")))
+    return met.select("tipo", either("a", "b").alias("x"), either("b", "a").alias("y"), either("na", "nb").alias("nx"), either("nb", "na").alias("ny"))
 
 
 def _on_segments(n: DataFrame, most: int) -> DataFrame:
@@ -143,7 +193,7 @@ def _on_segments(n: DataFrame, most: int) -> DataFrame:
     a, b = bounds(F.col("of"), F.col("k"))
     begin = a + F.col("d")
     keys = placed.where((begin >= 0) & (begin + (b - a) <= F.col("ly"))).select("tipo", "y", "ny", F.struct("of", F.col("k").cast("int").alias("k"), F.substring("ny", begin + 1, b - a).alias("s")).alias("key")).distinct()
-    met = short.join(keys, ["tipo", "key"]).where("x <> y")
+    met = short.join(keys.hint("merge"), ["tipo", "key"]).where("x <> y")
     swap = F.col("x") < F.col("y")
     turned = lambda p, q: F.when(swap, F.col(p)).otherwise(F.col(q))
     return met.select("tipo", turned("x", "y").alias("x"), turned("y", "x").alias("y"), turned("nx", "ny").alias("nx"), turned("ny", "nx").alias("ny"))

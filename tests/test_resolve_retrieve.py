@@ -51,6 +51,21 @@ def test_typos_lose_no_pair(spark):
     assert pairs(resolve.typo_pairs(ents(spark, ("Johann Cruyff", "Jugador", 1), ("Johan Cruyff", "Jugador", 1), ("Johan Cruyff", "Club", 1)))) == {("Johan Cruyff", "Johann Cruyff")}
 
 
+def test_typos_of_all_lengths_meet_where_they_are_true(spark):
+    """Runs, alternations and lengths around the border between the two kinds of keys. Pairs that differ in place meet once and are all true."""
+    rng = random.Random(2)
+    names = {"".join(rng.choice("ab") for _ in range(rng.randrange(4, 9))) for _ in range(120)}
+    for n in range(12, 22):
+        whole = "".join(rng.choice("abcd") for _ in range(n))
+        names |= {whole, whole[1:], whole[2:], "x" + whole[1:], whole[1:] + "y", "x" + whole + "y", whole[::-1], "ab" * (n // 2), "ba" * (n // 2), "a" * n}
+    want = {(a, b) for a in names for b in names if a < b and len(a) >= 6 and abs(len(a) - len(b)) <= 2 and 1 <= edit(a, b) <= 2}
+    found = resolve.typo_pairs(ents(spark, *((n, "Club", 1) for n in names))).collect()
+    assert {(r.corto, r.largo) for r in found} == want and len(found) == len(want)
+    n = spark.createDataFrame([("Club", a, a, len(a)) for a in names if 6 <= len(a) <= resolve.SHORT_NAME], "tipo string, id string, norm string, len int")
+    met = [(r.x, r.y) for r in resolve._in_place(n).collect()]
+    assert sorted(met) == sorted((a, b) for a, b in want if len(a) == len(b) <= resolve.SHORT_NAME and sum(p != q for p, q in zip(a, b, strict=True)) <= 2)
+
+
 def test_selection_equals_the_sequential_walk(spark):
     rng = random.Random(3)
     names = [f"n{i}" for i in range(25)]
