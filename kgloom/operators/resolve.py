@@ -225,6 +225,8 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
 
 #: Pairs of a component that are walked through in one task.
 WALK = 200_000
+#: Pairs of short components that are walked through together, about.
+WALKED = 20_000
 
 
 def select_pairs(pairs: DataFrame, used: DataFrame, most_rounds: int = 1000, walk: int = WALK) -> DataFrame:
@@ -248,7 +250,10 @@ def select_pairs(pairs: DataFrame, used: DataFrame, most_rounds: int = 1000, wal
     great = rooted.groupBy("root").agg(F.count("*").alias("c")).where(F.col("c") > walk).select("root")
     great, rooted = cut(great), cut(rooted)
     ship(pairs.sparkSession)
-    taken = rooted.join(great, "root", "left_anti").groupBy("root").applyInPandas(lambda rows: _walk(rows)[columns], free.select(*columns).schema)
+    # Components share no names, so many that are short are walked through together: a call for each would cost more than its walk.
+    walks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rooted.count() // WALKED))
+    short = rooted.join(great, "root", "left_anti").withColumn("walk", F.pmod(F.xxhash64("root"), F.lit(walks)))
+    taken = short.groupBy("walk").applyInPandas(lambda rows: _walk(rows)[columns], free.select(*columns).schema)
     left = cut(rooted.join(great, "root", "left_semi").select(*columns).withColumn("key", key))
     rounds = 0
     while left.limit(1).count():
@@ -271,6 +276,7 @@ def propose(entities: DataFrame, persons: list[str] | None = None, canonical: st
 
     canonical: 'reference' takes the long name of a pair, for typos the greater one; 'degree' takes, for typos, the name of higher
     degree, then the longer, then the first."""
+    entities = cut(entities)  # all detectors read them; what makes them (words of all texts) runs once
     keys = cut(same_key(entities))
     used = keys.select(F.explode("variantes").alias("id")).distinct()
     found = [("prefijo", _met_once(*_prefix_sides(entities))), ("apellido", _met_once(*_surname_sides(entities, persons))), ("subconjunto", unambiguous(subset_pairs(entities, persons))), ("errata", unambiguous(typo_pairs(entities)))]

@@ -91,6 +91,14 @@ def walked(rows):
     return taken
 
 
+def test_short_components_are_walked_together(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), "t", f"n{3 * i + a:05}", f"n{3 * i + b:05}") for i in range(400) for a, b in ((0, 1), (1, 2), (0, 2))]
+    got = resolve.select_pairs(spark.createDataFrame(rows, PAIRS), spark.createDataFrame([], "id string"))
+    assert {(r.prio, r.corto, r.largo) for r in got.collect()} == walked(rows)
+    assert "FlatMapGroupsInPandas [walk" in got._jdf.queryExecution().analyzed().toString()  # not a call for each of 400 components
+
+
 def test_a_long_chain_is_selected_in_seconds(spark):
     rows = [(0, "t", f"n{i:05}", f"n{i + 1:05}") for i in range(5000)]
     none = spark.createDataFrame([], "id string")
