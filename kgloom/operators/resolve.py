@@ -119,7 +119,7 @@ def typo_pairs(entities: DataFrame, most: int = 2, least_length: int = 6, short_
     masked, and each such pair counts once: at the mask of its two differences, or of its one and the next place. Forms of one length that are
     displaced between two places leave the same without one character each. Of two lengths, the longer leaves without two characters what the other
     leaves without one or is. Of longer names, of `most` edits one of most + 1 segments of the shorter form stays whole, displaced by
-    `most` places at most: segments and substrings at these places are the keys. So few pairs meet that aren't true; each is verified."""
+    `most` places at most: segments and substrings at these places are the keys. What meets is verified."""
     if most != 2:
         raise ValueError("strings without more than two characters aren't made")
     # The names are read many times: what makes them (words of all texts) runs once.
