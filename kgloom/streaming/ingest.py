@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import defaults as D
 from ..operators.extract import Extractor, extract
 from ..plans.session import cut
 from ..sources.files import GraphStore, corpus
@@ -20,8 +19,8 @@ def pending(files: DataFrame, done: DataFrame) -> DataFrame:
     return files.join(done.select("fuente"), "fuente", "left_anti")
 
 
-def ingest(spark: SparkSession, folder: str, store: GraphStore, extractor: Extractor, checkpoint: str, files_per_batch: int | None = None, chars: int = D.DOCUMENT_CHARS) -> list[dict]:
-    """Read all *.txt files that are new since the last call, then stop; what each batch has found, in order."""
+def ingest(spark: SparkSession, folder: str, store: GraphStore, extractor: Extractor, checkpoint: str, files_per_batch: int | None = None, chars: int | None = None) -> list[dict]:
+    """Read all *.txt files that are new since the last call, then stop; what each batch has found, in order. Texts are whole; `chars` truncates them."""
     reader = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -29,15 +28,15 @@ def ingest(spark: SparkSession, folder: str, store: GraphStore, extractor: Extra
     return ingest_stream(reader.load(folder).select(name.alias("fuente"), F.col("value").alias("text")), store, extractor, checkpoint, chars)
 
 
-def ingest_stream(stream: DataFrame, store: GraphStore, extractor: Extractor, checkpoint: str, chars: int = D.DOCUMENT_CHARS) -> list[dict]:
+def ingest_stream(stream: DataFrame, store: GraphStore, extractor: Extractor, checkpoint: str, chars: int | None = None) -> list[dict]:
     """The same for any stream of texts (fuente, text): what is new since the last call with this checkpoint."""
     found: list[dict] = []
 
     def batch(rows: DataFrame, number: int) -> None:
         found.append({"batch": number} | _upsert(rows, store, extractor, f"batch={number}", (checkpoint, number)))
 
-    cut_off = stream.select("fuente", F.substring("text", 1, chars).alias("text"))
-    cut_off.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    texts = stream.select("fuente", "text" if chars is None else F.substring("text", 1, chars).alias("text"))
+    texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return found
 
 
@@ -50,7 +49,7 @@ def _upsert(rows: DataFrame, store: GraphStore, extractor: Extractor, name: str,
     return {"nodes": done["nodes"], "relations": done["edges"], "errors": failed.get["n"]}
 
 
-def ingest_some(spark: SparkSession, folder: str, store: GraphStore, extractor: Extractor, limit: int, chars: int = D.DOCUMENT_CHARS) -> dict:
+def ingest_some(spark: SparkSession, folder: str, store: GraphStore, extractor: Extractor, limit: int, chars: int | None = None) -> dict:
     """The same without a stream, for the first `limit` files by name; those whose chunks the store has are skipped."""
     first = corpus(spark, folder, chars).orderBy("fuente").limit(limit)
     rest = pending(first, store.load().docs.select("fuente").distinct())
