@@ -111,11 +111,12 @@ def neighbour_blocks(detected: DataFrame, edges: DataFrame, relations: list[str]
     e = edges if relations is None else edges.where(F.col("rel").isin(relations))
     # A question's first facts are among the first of its entities: each entity's are ranked once, however many questions name it.
     asked = detected.select("question_id", F.col("id").alias("node")).distinct()
-    own = undirected(e).join(asked.select("node").distinct(), "node", "left_semi").select("node", fact(F.col("src"), F.col("rel"), F.col("dst")).alias("hecho")).distinct()
-    own = own.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("hecho"))).where(F.col("n") <= most).select("node", "hecho")
-    facts = asked.join(own, "node").select("question_id", "hecho").distinct()
-    first = facts.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy("hecho"))).where(F.col("n") <= most)
-    return first.groupBy("question_id").agg(F.concat(F.lit("[Relaciones de las entidades de la pregunta]\n"), F.array_join(F.sort_array(F.collect_list("hecho")), "\n")).alias("bloque"))
+    own = undirected(e).join(asked.select("node").distinct(), "node", "left_semi").select("node", fact(F.col("src"), F.col("rel"), F.col("dst")).alias("hecho"))
+    own = own.withColumn("n", F.dense_rank().over(Window.partitionBy("node").orderBy("hecho"))).where(F.col("n") <= most)
+    # They go to the questions as one list an entity: there are no rows of questions times facts.
+    lists = own.groupBy("node").agg(F.collect_set("hecho").alias("lista"))
+    first = asked.join(lists, "node").groupBy("question_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lista")))), 1, most).alias("hechos"))
+    return first.select("question_id", F.concat(F.lit("[Relaciones de las entidades de la pregunta]\n"), F.array_join("hechos", "\n")).alias("bloque"))
 
 
 def path_blocks(detected: DataFrame, edges: DataFrame, relations: list[str] | None = None, max_hops: int | None = D.MAX_HOPS, marks: Landmarks | None = None) -> DataFrame:
